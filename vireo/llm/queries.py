@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing
+from . import decontaminate, embedding_join, langid, lm_score, mixing, ngram_join, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,31 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_read(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_texts(_read(spark, sf_dir, "documents"), langid.fold("doc_id", 10) != 0, keep=["doc_id"])
+    return scored.select("doc.doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     langs, prototypes = langid.learn_prototypes(docs.filter(langid.fold("doc_id", 4) != 2))
@@ -27,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(held, langs, prototypes, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_decontaminate, op10_language_id)}
-SQL = {"op1_mix_sources": mixing.SQL, "op5_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op5_decontaminate, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id)}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL}
