@@ -1,5 +1,92 @@
-STAGES = []
+"""A training-data pipeline over the table of documents, stage by stage.
 
+Each stage takes (spark, docs, sf_dir) and returns the documents that go on; all but the last return the columns
+they were given. Between stages documents are written and read again.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vireo.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
+from vireo.llm.common import materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: those that are null or have no letter."""
+    langs, prototypes = langid.learn_prototypes(docs)
+    return langid.identify_languages(docs, langs, prototypes).filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+#: At most so many keys of dropped documents (some 50 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    keys = materialize(keys, "pipeline-keys")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id stays of each group of near-duplicates; of repeated rows of it, one."""
+    text = F.xxhash64("text")
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text.alias("text_hash")).alias("key"), "text")
+    groups = materialize(ngram_join.similar_groups(keyed, id_col="key").filter("n_shingles > 0").withColumnRenamed("doc_id", "key"), "pipeline-groups")
+
+    def same(keys: DataFrame):
+        return F.col("doc_id").eqNullSafe(keys["drop_id"]) & (text == keys["drop_hash"])
+
+    as_key = [F.col("key.doc_id").alias("drop_id"), F.col("key.text_hash").alias("drop_hash")]
+    drop = _small(groups.filter("key <> component_id").select(*as_key).distinct())
+    kept = docs.join(drop, same(drop), "left_anti")
+    repeated = materialize(groups.filter("key = component_id").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(*as_key), "pipeline-keys")
+    if repeated.isEmpty():
+        return kept
+    repeated = _small(repeated)
+    one = Window.partitionBy("doc_id", text).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = kept.join(repeated, same(repeated), "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(first)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes and more that stand elsewhere too are cut out; a document that is cut to blanks goes.
+
+    A cut may fall inside a character; its other bytes are left out too.
+    """
+    cut = suffix_dedup.remove_repeats(docs, with_text=True)
+    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
+    kept = cut.withColumn("cut_text", F.when(F.col("n_removed") > 0, F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))).otherwise(F.col("doc.text")))
+    kept = kept.filter((F.col("n_removed") == 0) | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("cut_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("cut_text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return kept.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("runs") == 0).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``copies``."""
+    return mixing.take_mix(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", one_of_each_group),
+    ("repeats", remove_repeats),
+    ("contamination", drop_contaminated),
+    ("mix", mix),
+]
+
+#: SQL can't express the language model of the first stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(current)
     while seen[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # b < a in every row of large
         low = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -8,12 +8,15 @@ document) within hash buckets; the long ones are never merged, but probed by bin
 is kept if the shingles of one that are found in the sorted array of the other reach the required overlap.
 
 Only what changes the groups is verified. Equal sets are one node. First each document of a merged list is
-verified against the list's least document. Then, with the components of the verified links, every pair of a
-list whose documents are still in different components is verified. A pair that this skips would join what
-already is joined; no link between components is lost.
+verified against the list's least document. Lists whose documents then are in different components are taken up
+again: of a short list, the pairs across components are verified; long ones that share documents are gathered to a
+cluster, and all its documents outside of its largest component are searched in an index of the cluster, by
+DivideSkip on the index's own lists. A pair that this skips would join what already is joined; no link between
+components is lost.
 
 Postings move as arrays in one row for each task and bucket; the sets of documents that meet any other are
-made anew from the text and moved only for them. A list of the least document is split over salts.
+made anew from the text and moved only for them. Searches in one document and indexes are split into parts of
+bounded size, and a task returns at most as many links as it joins components.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing, itself its component;
 a null id is ignored in minima (a group of null ids only: null); repeated rows are one node; extra columns
@@ -41,7 +44,10 @@ PERCENT = 75
 SKETCH_BITS = 20
 POSTINGS = 1_000_000  # held in a task before they are dealt to buckets
 BUCKET = 1_500_000  # postings aimed at for a bucket
-SALT = 512  # members of a list's least document for each salt
+SALT = 512  # searches in the index of one document for each salt
+FEW = 64  # pairs are made of the documents of lists up to this length; longer lists are searched
+INDEX = 512  # documents of an index that a task holds
+SKIP = 0.02  # weight of a list's length in the choice of how many lists are long
 
 
 def linked(overlap, n, m, percent: int = PERCENT):
@@ -213,46 +219,127 @@ def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     return rows.select("text").mapInArrow(apply, "code long, members binary")
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+class Index:
+    """Inverted lists of some sets, searched as DivideSkip does."""
+
+    def __init__(self, codes: list[int], sets: list[np.ndarray], percent: int):
+        self.codes, self.sets, self.percent = codes, sets, percent
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        if len(sets) > 1:
+            key = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(sets)), self.sizes)
+            order = np.argsort(key, kind="stable")
+            self.doc = doc[order]
+            self.keys, self.starts, self.lengths = np.unique(key[order], return_index=True, return_counts=True)
+            self.places = np.repeat(np.arange(len(self.keys)), self.lengths) * len(sets) + self.doc
+
+    def search(self, s: np.ndarray) -> np.ndarray:
+        """Numbers of the sets that link with ``s``."""
+        if len(self.sets) == 1:
+            return np.flatnonzero([linked(probe(s, self.sets[0]), len(s), len(self.sets[0]), self.percent)])
+        need = (self.percent * len(s) + 99) // 100
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        lists = at[self.keys[at] == s]
+        if len(lists) < need:
+            return np.empty(0, dtype=np.int64)
+        lists = lists[np.argsort(self.lengths[lists], kind="stable")]
+        n_long = min(need - 1, int(need / (SKIP * np.log2(self.lengths[lists[-1]] + 1) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        n = self.lengths[short]
+        member = self.doc[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[short], n)]
+        count = np.bincount(member, minlength=len(self.sets))
+        found = np.flatnonzero(count >= need - n_long)
+        found = found[self.percent * np.maximum(self.sizes[found], len(s)) <= 100 * np.minimum(self.sizes[found], len(s))]
+        if n_long and len(found):
+            wanted = (long[:, None] * len(self.sets) + found[None, :]).ravel()
+            place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+            count[found] += (self.places[place] == wanted).reshape(n_long, -1).sum(axis=0)
+        return found[linked(count[found], len(s), self.sizes[found], self.percent)]
+
+
+ROLES = ["kind", "group", "part", "role", "code", "comp"]
+
+
+def _star_roles(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as searches of each b in the index of a alone, in parts of about SALT."""
+    stars = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("star"), F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
+    members = pairs.join(stars, F.col("a") == F.col("star")).select(F.lit(0).alias("kind"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("code"), F.col("b").alias("comp"))
+    centres = stars.select(F.lit(0).alias("kind"), F.col("star").alias("group"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("star").alias("code"), F.col("star").alias("comp"))
+    return members.unionByName(centres)
+
+
+def _cluster_roles(entries: DataFrame) -> DataFrame:
+    """Long lists' entries (list, least, code, comp) as searches: of all documents but the largest component's, in all.
+
+    Lists that share documents are one cluster, so that a document is indexed once. An index is split into parts of
+    about INDEX documents, and a search goes to each of them.
+    """
+    cluster = materialize(components(entries.select(F.col("least").alias("a"), F.col("code").alias("b"))), "join-clusters")
+    docs = entries.select("code", "comp").distinct().join(cluster, F.col("code") == F.col("node")).select(F.col("component").alias("group"), "code", "comp")
+    docs = materialize(docs, "join-cluster-documents")
+    largest = docs.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.ceil(F.sum("n") / INDEX).cast("int").alias("parts"))
+    placed = docs.join(largest, "group")
+    one = F.lit(1).alias("kind")
+    index = placed.select(one, "group", F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"), F.lit(0).alias("role"), "code", "comp")
+    queries = placed.filter("comp <> largest").select(one, "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "code", "comp")
+    return index.unionByName(queries)
+
+
+def _search(rows: DataFrame, roles: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components which no earlier one of the same task joined."""
     spark = rows.sparkSession
-    stars = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
-    members = pairs.join(stars, "a").select(F.col("b").alias("code"), F.col("a").alias("star"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
-    centres = stars.select(F.col("a").alias("code"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = materialize(members.unionByName(centres), "join-roles")
+    roles = materialize(roles, "join-roles")
     sets = _sets(rows, roles.select("code"), n_words).dropDuplicates(["code"])
-    placed = roles.join(sets, "code").repartition(n_partitions(spark), "star", "salt").sortWithinPartitions("star", "salt", "role")
+    key = ["kind", "group", "part"]
+    placed = roles.join(sets, "code").repartition(n_partitions(spark), *key).sortWithinPartitions(*key, "role")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, centre = None, None
+        now, index, codes, sets, comps, root = None, None, [], [], [], {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for batch in batches:
             a, b = [], []
-            for code, s, role, blob in zip(*(batch.column(c).to_pylist() for c in ("code", "star", "role", "members"))):
+            for *k, role, code, comp, blob in zip(*(batch.column(c).to_pylist() for c in [*ROLES, "members"])):
+                if k != now:
+                    now, index, codes, sets, comps, root = k, None, [], [], [], {}
                 own = unpack_set(blob)
                 if role == 0:
-                    star, centre = s, own
-                elif star == s and linked(probe(own, centre), len(own), len(centre), percent):
-                    a.append(s)
-                    b.append(code)
+                    codes.append(code)
+                    sets.append(own)
+                    comps.append(comp)
+                elif codes:
+                    index = index or Index(codes, sets, percent)
+                    for i in index.search(own).tolist():
+                        x, y = find(comp), find(comps[i])
+                        if x != y:
+                            root[x] = y
+                            a.append(codes[i])
+                            b.append(code)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.select("code", "star", "role", "members").mapInArrow(apply, "a long, b long")
+    return placed.select(*ROLES, "members").mapInArrow(apply, "a long, b long")
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list in different components and of fitting size, but those with its least document."""
+    """All pairs of a short list in different components and of fitting size, but those with its least document."""
     for batch in batches:
+        a, b = [], []
         for entries in batch.column("entries"):
             v = entries.values
             code, size, comp = (v.field(k).to_numpy() for k in ("code", "size", "comp"))
             order = np.argsort(code)
             code, size, comp = code[order], size[order], comp[order]
-            for i in range(1, len(code) - 1):
-                rest = slice(i + 1, None)
-                low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-                b = code[rest][(comp[rest] != comp[i]) & (100 * low >= percent * high)]
-                if len(b):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), code[i])), pa.array(b)], names=["a", "b"])
+            i, j = np.triu_indices(len(code) - 1, 1)
+            i, j = i + 1, j + 1
+            fit = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            a.append(code[i[fit]])
+            b.append(code[j[fit]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -271,20 +358,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = lists.select("list", F.col("codes")[0].alias("least"), F.col("sizes")[0].alias("least_size"), F.explode(F.arrays_zip("codes", "sizes")).alias("e")).select("list", "least", "least_size", F.col("e.codes").alias("code"), F.col("e.sizes").alias("size"))
     fits = F.expr(f"100 * least(least_size, size) >= {percent} * greatest(least_size, size)")
     stars = materialize(entries.filter((F.col("code") != F.col("least")) & fits).select(F.col("least").alias("a"), F.col("code").alias("b")).distinct(), "join-stars")
-    links = materialize(_verify(rows, stars, n_words, percent), "join-links")
+    links = materialize(_search(rows, _star_roles(stars), n_words, percent), "join-links")
     comps = materialize(components(links), "join-components")
-    placed = entries.select("list", "code", "size").join(comps.withColumnRenamed("node", "code"), "code", "left").withColumn("comp", F.coalesce("component", "code"))
-    mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_list(F.struct("code", "size", "comp")).alias("entries")).filter("lo <> hi").select("entries")
-    open_pairs = materialize(mixed.mapInArrow(lambda it: _across(it, percent), "a long, b long").distinct(), "join-pairs")
-    if not open_pairs.isEmpty():
-        more = materialize(_verify(rows, open_pairs, n_words, percent), "join-links")
-        if not more.isEmpty():
-            comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-components")
+    placed = entries.select("list", "least", "code", "size").join(comps.withColumnRenamed("node", "code"), "code", "left").withColumn("comp", F.coalesce("component", "code")).drop("component")
+    mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select(F.col("list").alias("mixed"), "n")
+    mixed = materialize(placed.join(mixed, F.col("list") == F.col("mixed")).drop("mixed"), "join-mixed")
+    few = mixed.filter(F.col("n") <= FEW).groupBy("list").agg(F.collect_list(F.struct("code", "size", "comp")).alias("entries")).select("entries")
+    open_pairs = materialize(few.mapInArrow(lambda it: _across(it, percent), "a long, b long").distinct(), "join-pairs")
+    roles = _star_roles(open_pairs).unionByName(_cluster_roles(mixed.filter(F.col("n") > FEW)))
+    more = materialize(_search(rows, roles, n_words, percent), "join-links")
+    if not more.isEmpty():
+        comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-components")
     least = own.filter("n > 0").groupBy("code").agg(F.min("doc").alias("least")).join(comps, F.col("code") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "code"))
     per_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_code = least.join(per_comp, "comp").select("code", "component_id")
     out = own.join(by_code, "code", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
-    discard(spark, lists, stars, links, open_pairs)
+    discard(spark, stars, links, open_pairs, mixed)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_join, langid, lm_score, mixing, ngram_join, suffix_dedup, warc
+from . import decontaminate, embedding_join, langid, lm_score, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_tokens")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -48,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(held, langs, prototypes, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op5_decontaminate, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op4_token_counts, op5_decontaminate, op6_quality, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id)}
 SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL}

@@ -101,13 +101,14 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The 64-bit hashes of each text's words after lower-casing A-Z, in order; short texts are hashed together."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of each text's words (A-Z lower-cased), in order; short texts are hashed together."""
     held: list[bytes] = []
     size = 0
+    case = LOWER if lower else bytes(range(256))
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, starts = _hash_tile(b" ".join(held).translate(LOWER))
+        hashes, starts = _hash_tile(b" ".join(held).translate(case))
         ends = np.cumsum([len(x) + 1 for x in held])
         yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
@@ -116,7 +117,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield from flush()
             held, size = [], 0
         if len(t) > TILE:
-            yield np.concatenate([_hash_tile(p.translate(LOWER))[0] for p in _pieces(t)])
+            yield np.concatenate([_hash_tile(p.translate(case))[0] for p in _pieces(t)])
         else:
             held.append(t)
             size += len(t) + 1
