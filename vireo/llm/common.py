@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -34,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_DIR:
             _LOCAL_DIR.append(tempfile.mkdtemp(prefix="vireo-shared-"))
+            atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
         found = "file://" + _LOCAL_DIR[0]
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else "file://" + found
@@ -41,7 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/vireo/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/vireo/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that operators of this process wrote to the shared folder, once no result is read any more."""
+    discard(spark, *_MADE)
+    _MADE.clear()
 
 
 def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
@@ -92,5 +104,14 @@ def get_file(base: str, name: str) -> bytes:
         return f.read()
 
 
+def by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Deal rows by ``block`` to about as many tasks as there are blocks.
+
+    A block's rows are small beside the block that its task loads, so their size must not decide on the number of tasks.
+    """
+    n = blocks.select("block").distinct().count()
+    return rows.repartition(max(1, n), "block")
+
+
 def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -22,6 +22,7 @@ ignored in minima; repeated rows link with each other; extra columns are not rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SAMPLE = 20_000
 SEED = 11
 
 
+@lru_cache(maxsize=8)
 def directions(dim: int) -> np.ndarray:
     """Orthonormal columns: the first MAX_SPLITS deal, the next PROJECTIONS count (fewer in few dimensions: all count)."""
     q, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))

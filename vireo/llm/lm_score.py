@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
-from .common import ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
+from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 
 ORDER = 2
 ADD = 0.1
@@ -237,7 +237,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, text_col: st
         totals.select("block", F.lit(1).alias("kind"), null.cast("int").alias("number"), null.cast(doc_type).alias("doc"), null.cast("boolean").alias("train"), "bucket", "k", "totals")
     )
     schema = f"doc {doc_type}, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
-    scored = materialize(every.groupBy("block").applyInArrow(lambda t: _score(t, base, buckets, order, n, v), schema), "lm-scored")
+    scored = materialize(by_block(every, gathered.filter("kind = 0")).groupBy("block").applyInArrow(lambda t: _score(t, base, buckets, order, n, v), schema), "lm-scored")
     likelihood = scored.agg(*[F.sum(F.col("left_out")[i]).alias(f"x{i}") for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likelihood[i] if likelihood[i] is not None else 0.0)
     return scored.select("doc", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))

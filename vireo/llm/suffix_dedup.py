@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
-from .common import discard, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
+from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 
 LENGTH = 400
 BLOCK_BYTES = 12 << 20
@@ -426,7 +426,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     inner_rows = length // 2 // STEP + 1
     hits = parsed.filter("kind = 1").select("bucket", "block", "a", "c", "inner", "weight", "at").groupBy("bucket").applyInArrow(lambda t: _match_parse(t, inner_rows), "block long, at binary, status binary")
     hits = materialize(hits, "phrase-hits")
-    sent = hits.groupBy("block").applyInArrow(lambda t: _send(t, base, buckets, length), SENT)
+    sent = by_block(hits, hits).groupBy("block").applyInArrow(lambda t: _send(t, base, buckets, length), SENT)
     shared = sent.groupBy("bucket").applyInArrow(lambda t: _match_dictionary(t, length), "block long, at binary, lo binary, hi binary")
     none = F.lit(None).cast("binary")
     every = (
@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
         .unionByName(shared.select("block", F.lit(2).alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(None).cast(doc_type).alias("doc"), "at", none.alias("status"), "lo", "hi"))
     )
     schema = f"doc {doc_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return every.groupBy("block").applyInArrow(lambda t: _cut(t, base, length, with_text), schema)
+    return by_block(every, parsed.filter("kind = 0")).groupBy("block").applyInArrow(lambda t: _cut(t, base, length, with_text), schema)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
