@@ -106,3 +106,15 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)] + [(200, 200 + k) for k in range(1, 30)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, **{200 + k: 200 for k in range(30)}}
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, size=rng.integers(1, 400), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, size=rng.integers(1, len(pool) + 1))) for _ in range(2))
+        d = ngram_join.least_difference(ngram_join.bitmap(a), ngram_join.bitmap(b))
+        common = len(np.intersect1d(a, b))
+        assert d <= len(a) + len(b) - 2 * common
+        if ngram_join.linked(common, len(a), len(b)):
+            assert ngram_join.may_link(len(a), len(b), d)

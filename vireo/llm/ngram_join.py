@@ -7,12 +7,13 @@ lists. Any two documents that link meet in a short list. The short lists are mer
 document) within hash buckets; the long ones are never merged, but probed by binary search: a pair that meets
 is kept if the shingles of one that are found in the sorted array of the other reach the required overlap.
 
-Only what changes the groups is verified. Equal sets are one node. First each document of a merged list is
-verified against the list's least document. Lists whose documents then are in different components are taken up
-again: of a short list, the pairs across components are verified; long ones that share documents are gathered to a
-cluster, and all its documents outside of its largest component are searched in an index of the cluster, by
-DivideSkip on the index's own lists. A pair that this skips would join what already is joined; no link between
-components is lost.
+Equal sets are one node. The pairs of a short list pass a filter before that: bitmaps of the two sets, of
+about a bit for each member, differ in no more bits than the sets do in members. Only what changes the groups is
+verified: first each document in one other that it meets; then, with the components of those links, the pairs that
+are still in different components. Long lists make no pairs: those that share documents and are in different
+components are gathered to a cluster, and all its documents outside of its largest component are searched
+in an index of the cluster, by DivideSkip on the index's own lists. A pair that this skips would join what already is
+joined; no link between components is lost.
 
 Postings move as arrays in one row for each task and bucket; the sets of documents that meet any other are
 made anew from the text and moved only for them. Searches in one document and indexes are split into parts of
@@ -68,8 +69,40 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return textcodes.binary(batch.column(name))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the members that fall on each of a power of two of bits, at least as many as members and 64."""
+    n = max(64, 1 << (len(s) - 1).bit_length())
+    at = (s >> np.uint64(20)).astype(np.int64) & (n - 1)
+    return np.packbits((np.bincount(at, minlength=n) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, n: int) -> int:
+    """A bitmap as a number of n bits."""
+    x, width = int.from_bytes(bits, "little"), 8 * len(bits)
+    while width > n:
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return x
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many members are in one of two sets only: the bits in which their bitmaps differ."""
+    n = 8 * min(len(a), len(b))
+    return (_folded(a, n) ^ _folded(b, n)).bit_count()
+
+
+def may_link(n: int, m: int, difference: int, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m members that differ in at least so many may link."""
+    return percent * max(n, m) <= 100 * min(n, m) and 2 * linked_overlap(n, m, percent) + difference <= n + m
+
+
+def linked_overlap(n: int, m: int, percent: int = PERCENT) -> int:
+    """The least overlap with which sets of n and m members link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def _sign(rows: DataFrame, n_words: int) -> DataFrame:
-    """kind 0: doc, n, code for each row; kind 1: the task's part of the frequency sketch."""
+    """kind 0: doc, n, code, bitmap for each row; kind 1: the task's part of the frequency sketch."""
     doc_type = rows.schema["doc"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,18 +110,19 @@ def _sign(rows: DataFrame, n_words: int) -> DataFrame:
         names = ["kind", "doc", "n", "code", "chunk", "salt", "blob"]
         salt, doc = 0, None
         for b in batches:
-            n, code, cells = [], [], []
+            n, code, cells, bits = [], [], [], []
             for words in textcodes.word_hashes(_texts(b)):
                 s = textcodes.shingle_set(words, n_words)
                 n.append(len(s))
                 code.append(textcodes.set_code(s) if len(s) else None)
                 cells.append(s >> np.uint64(64 - SKETCH_BITS))
+                bits.append(bitmap(s) if len(s) else None)
             if cells:
                 counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(counts))
             salt += sum(n)
             k, doc = b.num_rows, b.column("doc")
             none = pa.nulls(k, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), doc, pa.array(n, pa.int64()), pa.array(code, pa.int64()), none, none, pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), doc, pa.array(n, pa.int64()), pa.array(code, pa.int64()), none, none, pa.array(bits, pa.binary())], names=names)
         if doc is not None:
             rows = chunk_rows(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), salt)
             k = len(rows)
@@ -150,7 +184,7 @@ def _postings(rows: DataFrame, classes: np.ndarray, buckets: int, n_words: int,
     return rows.select("text").mapInArrow(apply, "bucket int, keys binary, docs binary, codes binary, sizes binary")
 
 
-def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_bucket(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Merge a bucket's lists; each distinct list of two or more documents once, in the order of their codes."""
     key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["keys"]])
     codes, docs, sizes, at = [], [], [], 0
@@ -173,6 +207,8 @@ def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     with np.errstate(over="ignore"):
         ident = np.add.reduceat(textcodes.mix(code[doc].view(np.uint64)), starts) + length.astype(np.uint64)
     many = np.flatnonzero(length >= 2)
+    a, b = size[doc[starts[many]]].astype(np.int64), size[doc[starts[many] + 1]].astype(np.int64)
+    many = many[(length[many] > 2) | (100 * np.minimum(a, b) >= percent * np.maximum(a, b))]
     ident, pick = np.unique(ident[many], return_index=True)
     many = many[pick]
     return pd.DataFrame({"list": ident.view(np.int64), "codes": [code[doc[starts[i] : starts[i] + length[i]]] for i in many], "sizes": [size[doc[starts[i] : starts[i] + length[i]]].astype(np.int64) for i in many]})
@@ -324,22 +360,18 @@ def _search(rows: DataFrame, roles: DataFrame, n_words: int, percent: int) -> Da
     return placed.select(*ROLES, "members").mapInArrow(apply, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of a short list in different components and of fitting size, but those with its least document."""
+def _fitting(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of short lists that may link by sizes and bitmaps."""
     for batch in batches:
         a, b = [], []
-        for entries in batch.column("entries"):
-            v = entries.values
-            code, size, comp = (v.field(k).to_numpy() for k in ("code", "size", "comp"))
-            order = np.argsort(code)
-            code, size, comp = code[order], size[order], comp[order]
-            i, j = np.triu_indices(len(code) - 1, 1)
-            i, j = i + 1, j + 1
-            fit = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            a.append(code[i[fit]])
-            b.append(code[j[fit]])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for entries in batch.column("entries").to_pylist():
+            docs = sorted((e["code"], e["size"], e["bits"]) for e in entries)
+            for j, (code, n, bits) in enumerate(docs):
+                for other, m, more in docs[:j]:
+                    if may_link(n, m, 0, percent) and may_link(n, m, least_difference(bits, more), percent):
+                        a.append(other)
+                        b.append(code)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -349,31 +381,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     signed = materialize(_sign(rows, n_words), "join-signed", partition_by="kind")
     own = signed.filter("kind = 0").select("doc", "n", "code")
+    nodes = materialize(signed.filter("kind = 0 AND n > 0").groupBy("code").agg(F.min("doc").alias("least"), F.first("blob").alias("bits")), "join-nodes")
     counts = combine(signed.filter("kind = 1").select("chunk", "salt", "blob"), "uint32", np.add)
     classes = _class_of(counts) if len(counts) else np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     shingles = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(n_partitions(spark), -(-shingles * (100 - percent) // (100 * BUCKET)))
-    lists = _postings(rows, classes, buckets, n_words, percent).groupBy("bucket").applyInPandas(_merge_bucket, "list long, codes array<long>, sizes array<long>")
+    merge = lambda pdf: _merge_bucket(pdf, percent)
+    lists = _postings(rows, classes, buckets, n_words, percent).groupBy("bucket").applyInPandas(merge, "list long, codes array<long>, sizes array<long>")
     lists = materialize(lists.dropDuplicates(["list"]), "join-lists")
-    entries = lists.select("list", F.col("codes")[0].alias("least"), F.col("sizes")[0].alias("least_size"), F.explode(F.arrays_zip("codes", "sizes")).alias("e")).select("list", "least", "least_size", F.col("e.codes").alias("code"), F.col("e.sizes").alias("size"))
-    fits = F.expr(f"100 * least(least_size, size) >= {percent} * greatest(least_size, size)")
-    stars = materialize(entries.filter((F.col("code") != F.col("least")) & fits).select(F.col("least").alias("a"), F.col("code").alias("b")).distinct(), "join-stars")
-    links = materialize(_search(rows, _star_roles(stars), n_words, percent), "join-links")
+    entries = lists.select("list", F.size("codes").alias("n"), F.col("codes")[0].alias("least"), F.explode(F.arrays_zip("codes", "sizes")).alias("e")).select("list", "n", "least", F.col("e.codes").alias("code"), F.col("e.sizes").alias("size"))
+    short = entries.filter(F.col("n") <= FEW).join(nodes.select("code", "bits"), "code").groupBy("list").agg(F.collect_list(F.struct("code", "size", "bits")).alias("entries")).select("entries")
+    pairs = materialize(short.mapInArrow(lambda it: _fitting(it, percent), "a long, b long").distinct(), "join-pairs")
+    long = materialize(entries.filter(F.col("n") > FEW).select("list", "least", "code"), "join-long-lists")
+    # one search for each document first, then all that are still open
+    near = pairs.unionByName(long.filter("code <> least").select(F.col("least").alias("a"), F.col("code").alias("b"))).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(_search(rows, _star_roles(near), n_words, percent), "join-links")
     comps = materialize(components(links), "join-components")
-    placed = entries.select("list", "least", "code", "size").join(comps.withColumnRenamed("node", "code"), "code", "left").withColumn("comp", F.coalesce("component", "code")).drop("component")
-    mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select(F.col("list").alias("mixed"), "n")
+
+    def component_of(table: DataFrame, code: str, name: str) -> DataFrame:
+        found = table.join(comps.select(F.col("node").alias(code), F.col("component").alias("_c")), code, "left")
+        return found.withColumn(name, F.coalesce("_c", code)).drop("_c")
+
+    open_pairs = component_of(component_of(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    placed = component_of(long, "code", "comp")
+    mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("list").alias("mixed"))
     mixed = materialize(placed.join(mixed, F.col("list") == F.col("mixed")).drop("mixed"), "join-mixed")
-    few = mixed.filter(F.col("n") <= FEW).groupBy("list").agg(F.collect_list(F.struct("code", "size", "comp")).alias("entries")).select("entries")
-    open_pairs = materialize(few.mapInArrow(lambda it: _across(it, percent), "a long, b long").distinct(), "join-pairs")
-    roles = _star_roles(open_pairs).unionByName(_cluster_roles(mixed.filter(F.col("n") > FEW)))
-    more = materialize(_search(rows, roles, n_words, percent), "join-links")
+    more = materialize(_search(rows, _star_roles(open_pairs).unionByName(_cluster_roles(mixed)), n_words, percent), "join-links")
     if not more.isEmpty():
         comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-components")
-    least = own.filter("n > 0").groupBy("code").agg(F.min("doc").alias("least")).join(comps, F.col("code") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "code"))
+    discard(spark, links, pairs, long, mixed)
+    least = nodes.select("code", "least").join(comps, F.col("code") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "code"))
     per_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_code = least.join(per_comp, "comp").select("code", "component_id")
     out = own.join(by_code, "code", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
-    discard(spark, stars, links, open_pairs, mixed)
     return out
 
 
