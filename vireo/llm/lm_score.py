@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
+from .textcodes import pack40, unpack40
 from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 
 ORDER = 2
@@ -73,16 +74,6 @@ def _distinct(code: np.ndarray, inside: np.ndarray, buckets: int) -> tuple[np.nd
     return own[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[back], order
 
 
-def pack40(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack40(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view(U)
-
-
 def _gather(rows: DataFrame, base: str, buckets: int, order: int) -> DataFrame:
     """Store blocks; kind 0: (block, number, doc, train) for each row; kind 1: n-grams and counts for a bucket."""
     doc_type = rows.schema["doc"].dataType.simpleString()

@@ -143,6 +143,17 @@ def set_code(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
 
 
+def pack40(x: np.ndarray) -> bytes:
+    """The lower 40 bits of each number."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack40(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(U)
+
+
 def binary(column) -> list[bytes]:
     """An Arrow string column as bytes; null: empty."""
     import pyarrow as pa
