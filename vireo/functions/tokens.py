@@ -61,3 +61,71 @@ def api_key(user_id: int, random: bytes) -> str:
 def token_status(expected: Column, given: Column, now: Column, expiry: Column, grace: int = 300) -> Column:
     """403 on another hash, 410 long after the expiry, else 200."""
     return F.when(expected != given, 403).when(now - expiry > grace, 410).otherwise(200)
+
+
+#: Fixed value: the public scheme's default alphabet.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+class ShortIds:
+    """Reversible short ids of lists of non-negative integers (the public Sqids scheme, without its word filter)."""
+
+    def __init__(self, alphabet: str = ALPHABET):
+        if len(set(alphabet)) != len(alphabet) or len(alphabet) < 3:
+            raise ValueError("the alphabet needs three different characters at least")
+        self.alphabet = self._mixed(alphabet)
+
+    @staticmethod
+    def salted(salt: str, alphabet: str = ALPHABET) -> ShortIds:
+        """An alphabet in an order that depends on a salt."""
+        return ShortIds("".join(sorted(alphabet, key=lambda c: hashlib.sha256((salt + c).encode()).digest())))
+
+    @staticmethod
+    def _mixed(alphabet: str) -> str:
+        c, n = list(alphabet), len(alphabet)
+        for i in range(n - 1):
+            j = n - 1 - i
+            r = (i * j + ord(c[i]) + ord(c[j])) % n
+            c[i], c[r] = c[r], c[i]
+        return "".join(c)
+
+    def encode(self, numbers: list[int]) -> str:
+        if not numbers:
+            return ""
+        if min(numbers) < 0:
+            raise ValueError("numbers must not be negative")
+        n = len(self.alphabet)
+        at = (len(numbers) + sum(ord(self.alphabet[x % n]) + i for i, x in enumerate(numbers))) % n
+        turned = self.alphabet[at:] + self.alphabet[:at]
+        out, turned = turned[0], turned[::-1]
+        for i, x in enumerate(numbers):
+            digits, base = "", turned[1:]
+            while True:
+                digits = base[x % len(base)] + digits
+                x //= len(base)
+                if not x:
+                    break
+            out += digits
+            if i < len(numbers) - 1:
+                out += turned[0]
+                turned = self._mixed(turned)
+        return out
+
+    def decode(self, text: str) -> list[int]:
+        """The numbers, or none if the text isn't an id."""
+        if not text or any(c not in self.alphabet for c in text):
+            return []
+        at = self.alphabet.index(text[0])
+        turned = (self.alphabet[at:] + self.alphabet[:at])[::-1]
+        rest, out = text[1:], []
+        while rest:
+            digits, found, rest = rest.partition(turned[0])
+            if not digits:
+                break
+            base, x = turned[1:], 0
+            for c in digits:
+                x = x * len(base) + base.index(c)
+            out.append(x)
+            if found:
+                turned = self._mixed(turned)
+        return out if self.encode(out) == text else []

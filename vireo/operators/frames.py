@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import similarity, squared_distance
+from ..functions.vectors import similarity, squared_distance, squared_distance_double
 
 MAX_QUERIES = 10
 CANDIDATES = 1000
@@ -19,7 +19,9 @@ RESULTS = 10
 
 def nearest_frames(frames: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     """frames x queries(query_id, qvec) -> query_id, frame_id, file_id, time, score: the ``candidates`` nearest."""
-    scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), squared_distance(F.col("vector"), F.col("qvec")).alias("score"))
+    whole = "array<int>" == queries.schema["qvec"].dataType.simpleString()
+    distance = squared_distance if whole else squared_distance_double
+    scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), distance(F.col("vector"), F.col("qvec")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "frame_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= candidates).drop("rank")
 

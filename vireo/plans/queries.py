@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
 from ..operators import accounts, analytics, catalog, dedupe, descriptor, frames, pipeline, scenes
+from ..session import ensure_importable
 from ..sources import views
 
 QUERY_FRAMES = (7, 77, 177)
@@ -17,8 +20,13 @@ QUERIES: dict = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_importable(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _frames(spark, d):
