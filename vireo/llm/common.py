@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_importable
+
 _LOCAL_DIR: list[str] = []
 _MADE: list[str] = []
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver runs in another directory."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's own.
 
@@ -33,14 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     ensure_importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_DIR:
             _LOCAL_DIR.append(tempfile.mkdtemp(prefix="vireo-shared-"))
             atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
         found = "file://" + _LOCAL_DIR[0]
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)  # without a scheme it is in the cluster's default store
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
