@@ -42,14 +42,14 @@ def _letters() -> np.ndarray:
 
 @lru_cache(maxsize=50_000)
 def letter_vector(code: int) -> np.ndarray:
-    return (np.random.Generator(np.random.PCG64(7_919 + code)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.float32)
+    return (np.random.Generator(np.random.PCG64(7_919 + code)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
 class _Trigrams:
-    """Bound vectors of trigrams, kept for the frequent ones; ``clear`` bounds memory."""
+    """Bound vectors of trigrams, kept as bytes: a worker holds them on, some 40 MB, beside what later stages need."""
 
     def __init__(self, most: int = 40_000):
-        self.most, self.row, self.table = most, {}, np.empty((most, DIM), dtype=np.float32)
+        self.most, self.row, self.table = most, {}, np.empty((most, DIM), dtype=np.int8)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         if len(self.row) + len(codes) > self.most:
@@ -112,7 +112,7 @@ def text_vectors(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarr
         counts[np.repeat(np.arange(len(group)), [len(g[0]) for g in group]), back] = np.concatenate([g[1] for g in group])
         out = np.zeros((len(group), DIM), dtype=np.float32)
         for at in range(0, len(codes), 8192):
-            out += counts[:, at : at + 8192] @ bound(codes[at : at + 8192])
+            out += counts[:, at : at + 8192] @ bound(codes[at : at + 8192]).astype(np.float32)
         return out, np.array([g[2] for g in group])
 
     for t in texts:
