@@ -1,10 +1,10 @@
-"""Scoring texts with a smoothed n-gram model as a weighted backoff automaton.
+"""Scoring texts with a smoothed n-gram model: the weights of a backoff automaton, looked up in arrays.
 
-The automaton's states are histories of up to ``order - 1`` tokens. A seen n-gram is an arc with the weight
+Such an automaton's states are histories of up to ``order - 1`` tokens. A seen n-gram is an arc with the weight
 (c(hw) + b * P'(w)) / (c(h) + b), where P' is the distribution of the shorter history's state; any other word
 takes the failure arc of weight b / (c(h) + b) to that state (Dirichlet smoothing, so each state's weights add
-up to one). The lowest state has the add-0.1 unigram distribution. A traversal starts in the state of the text's
-begin and carries the state along; in a block of texts all steps are evaluated together, order by order.
+up to one). The lowest state has the add-0.1 unigram distribution. No automaton is built or
+traversed: in a block of texts all steps are evaluated together from their counts, order by order.
 
 The counts come from the whole training part: every block of texts sends each of its distinct n-grams once,
 with its count, to the n-gram's hash bucket, and gets the corpus count back. Nothing is pruned and no
