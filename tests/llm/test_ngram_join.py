@@ -89,6 +89,55 @@ def test_hot_near_copies_and_small_salts(spark, monkeypatch, few):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 211])
+@pytest.mark.parametrize("shared", [0, 1, 3])
+def test_few_shared_shingles(spark, partitions, shared):
+    common = " ".join(f"c{i}" for i in range(4 + shared))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + (" " + common if shared and i < 3 else "")) for i in range(50)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_templated_pages_that_do_not_link_make_no_searches(spark, monkeypatch):
+    template = " ".join(f"t{i}" for i in range(81))
+    rows = [(i, template + " " + " ".join(f"p{i}x{j}" for j in range(19))) for i in range(300)]
+    searched = []
+    search = ngram_join._search
+    monkeypatch.setattr(ngram_join, "_search", lambda rows, roles, *a: searched.append(roles.count()) or search(rows, roles, *a))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("doc_id = component_id").count() == 300
+    assert sum(searched) == 0
+
+
+def test_entries_without_a_fitting_partner_are_dropped():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        lists, size, indexed = np.sort(rng.integers(0, 4, n)), rng.integers(1, 40, n), rng.random(n) < 0.5
+        want = []
+        for i in range(n):
+            fits = [j for j in range(n) if j != i and lists[j] == lists[i] and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j])]
+            want.append(any((indexed[j] and size[j] <= size[i]) or (indexed[i] and size[i] <= size[j]) for j in fits))
+        got = ngram_join._with_partner(lists, size, indexed)
+        assert all(g or not w for g, w in zip(got, want))  # none is lost
+        assert got.sum() <= sum(any(lists[j] == lists[i] and j != i and (indexed[i] or indexed[j]) for j in range(n)) for i in range(n))
+
+
+def test_search_finds_all_links_in_an_index():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        base = sets[rng.integers(len(sets))] if len(sets) > 5 and rng.random() < 0.7 else np.sort(rng.choice(pool, rng.integers(1, 120), replace=False))
+        keep = rng.random(len(base)) < 0.93
+        sets.append(base[keep] if keep.any() else base)
+    for k in (1, 2, len(sets)):
+        index = ngram_join.Index(list(range(k)), sets[:k], 75)
+        for s in sets:
+            want = [i for i in range(k) if ngram_join.linked(len(np.intersect1d(s, sets[i])), len(s), len(sets[i]))]
+            assert index.search(s).tolist() == want
+
+
 def test_empty_table(spark):
     assert ngram_join.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

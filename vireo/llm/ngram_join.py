@@ -3,25 +3,31 @@
 Two sets with Jaccard >= 0.75 share at least T = ceil(0.75 n) shingles, n being the larger size. As DivideSkip
 does, each document's inverted lists are divided into short ones and T - 1 long ones: shingles are ordered by
 frequency (a fixed-size count sketch over all documents) and the n - T + 1 rarest are the document's short
-lists. Any two documents that link meet in a short list. The short lists are merged by a sort of (shingle,
-document) within hash buckets; the long ones are never merged, but probed by binary search: a pair that meets
-is kept if the shingles of one that are found in the sorted array of the other reach the required overlap.
+lists. With a partner that is no smaller it shares ceil(6/7 n), so it is indexed in fewer lists than it looks up:
+of two documents that link, the smaller is indexed in a list that the larger looks up. That routes a document to
+those that it may link with; entries that meet no partner of fitting size are dropped within the buckets.
+
+Whatever is left is searched by T-occurrence in indexes of some hundred sets: a query's short lists are merged by
+counting their members (vectorised, in place of a heap), sets whose count can still reach the required overlap
+are looked up in the long lists by binary search, and those that reach it link.
 
 Equal sets are one node. The pairs of a short list pass a filter before that: bitmaps of the two sets, of
 about a bit for each member, differ in no more bits than the sets do in members. Only what changes the groups is
-verified: first each document in one other that it meets; then, with the components of those links, the pairs that
-are still in different components. Long lists make no pairs: those that share documents and are in different
-components are gathered to a cluster, and all its documents outside of its largest component are searched
-in an index of the cluster, by DivideSkip on the index's own lists. A pair that this skips would join what already is
-joined; no link between components is lost.
+verified: first each document in an index that holds one other that it meets; then, with the components of those
+links, the pairs that are still in different components. Lists of more than ``FEW`` documents make no pairs: those
+that share documents and are in different components are gathered to a cluster, and all its documents outside of its
+largest component are searched in the cluster's indexes of fitting sizes. A pair that this skips would join what
+already is joined; no link between components is lost.
 
-Postings move as arrays in one row for each task and bucket; the sets of documents that meet any other are
-made anew from the text and moved only for them. Searches in one document and indexes are split into parts of
-bounded size, and a task returns at most as many links as it joins components.
+Postings move as arrays in one row for each task and bucket, merged lists in rows of bounded size; the sets of
+documents that meet any other are made anew from the text and moved only for them. Indexes and the queries
+sent to one are split into parts of bounded size, and a task returns at most as many links as it joins components.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing, itself its component;
-a null id is ignored in minima (a group of null ids only: null); repeated rows are one node; extra columns
-are not read.
+a null id is ignored in minima (a group of null ids only: null); repeated rows and equal sets are one node; a very
+long text is hashed in tiles and its set is held whole in a task; an empty table, or one in which no two documents
+share a shingle, gives every row its own component; ties in frequency fall to the smaller hash; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +50,10 @@ PERCENT = 75
 SKETCH_BITS = 20
 POSTINGS = 1_000_000  # held in a task before they are dealt to buckets
 BUCKET = 1_500_000  # postings aimed at for a bucket
-SALT = 512  # searches in the index of one document for each salt
+SALT = 4096  # queries that a part of an index gets
 FEW = 64  # pairs are made of the documents of lists up to this length; longer lists are searched
 INDEX = 512  # documents of an index that a task holds
+ROW = 1024  # documents of a list in one row
 SKIP = 0.02  # weight of a list's length in the choice of how many lists are long
 
 
@@ -60,6 +66,11 @@ def short_lists(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def indexed_lists(n: int, percent: int = PERCENT) -> int:
+    """In how many of them a partner that is no smaller must meet it."""
+    return n - linked_overlap(n, n, percent) + 1
+
+
 def _class_of(counts: np.ndarray) -> np.ndarray:
     """Frequency class of each cell of the sketch, in half powers of two."""
     return (2 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
@@ -133,16 +144,19 @@ def _sign(rows: DataFrame, n_words: int) -> DataFrame:
 
 
 def _postings(rows: DataFrame, classes: np.ndarray, buckets: int, n_words: int, percent: int) -> DataFrame:
-    """(bucket, keys, docs, codes, sizes): postings of the short lists as arrays."""
+    """(bucket, keys, docs, codes, sizes): postings of the short lists as arrays; a doc's last bit: whether it is indexed."""
     held = rows.sparkSession.sparkContext.broadcast(classes)
 
     def deal(keys: list[np.ndarray], codes: list[int], sizes: list[int]) -> pa.RecordBatch:
         key = np.concatenate(keys)
-        doc = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+        n = np.array([len(k) for k in keys])
+        doc = np.repeat(np.arange(len(keys), dtype=np.uint32), n)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+        indexed = place < np.repeat([indexed_lists(x, percent) for x in sizes], n)
         code, size = np.array(codes, dtype=np.int64), np.array(sizes, dtype=np.uint32)
         at = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
-        key, doc, at = key[order], doc[order], at[order]
+        key, doc, at, indexed = key[order], doc[order], at[order], indexed[order]
         edges = np.searchsorted(at, np.arange(buckets + 1))
         out: dict[str, list] = {"bucket": [], "keys": [], "docs": [], "codes": [], "sizes": []}
         for k in range(buckets):
@@ -152,7 +166,7 @@ def _postings(rows: DataFrame, classes: np.ndarray, buckets: int, n_words: int,
             own, back = np.unique(doc[a:b], return_inverse=True)
             out["bucket"].append(k)
             out["keys"].append((key[a:b] // np.uint64(buckets)).astype(np.uint32).tobytes())
-            out["docs"].append(back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes())
+            out["docs"].append((2 * back + indexed[a:b]).astype(_doc_type(len(own))).tobytes())
             out["codes"].append(code[own].tobytes())
             out["sizes"].append(size[own].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "docs", "codes", "sizes"))], names=list(out))
@@ -184,34 +198,61 @@ def _postings(rows: DataFrame, classes: np.ndarray, buckets: int, n_words: int,
     return rows.select("text").mapInArrow(apply, "bucket int, keys binary, docs binary, codes binary, sizes binary")
 
 
-def _merge_bucket(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+def _doc_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 15 else np.uint32
+
+
+def _with_partner(lists: np.ndarray, size: np.ndarray, indexed: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which entries of lists meet another of fitting size, the smaller of the two being indexed."""
+    span = int(size.max()) * 100 // percent + 2
+    place = lists.astype(np.int64) * span
+    among = np.sort((place + size)[indexed])
+    looked_up = np.sort((place + size)[~indexed])
+    low, high = place + -(-size * percent // 100), place + size * 100 // percent
+    between = lambda a, lo, hi: np.searchsorted(a, hi, side="right") - np.searchsorted(a, lo)
+    own = between(among, low, np.where(indexed, high, place + size)) - indexed
+    return own + np.where(indexed, between(looked_up, place + size, high), 0) > 0
+
+
+LISTS = "list long, row int, n int, least long, codes array<long>, sizes array<long>"
+
+
+def _merge_bucket(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Merge a bucket's lists; each distinct list of two or more documents once, in the order of their codes."""
-    key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in pdf["keys"]])
+    key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("keys").to_pylist()])
     codes, docs, sizes, at = [], [], [], 0
-    for d, c, s in zip(pdf["docs"], pdf["codes"], pdf["sizes"]):
+    for d, c, s in zip(*(table.column(x).to_pylist() for x in ("docs", "codes", "sizes"))):
         c = np.frombuffer(c, dtype=np.int64)
-        docs.append(np.frombuffer(d, dtype=np.uint16 if len(c) <= 1 << 16 else np.uint32).astype(np.int64) + at)
+        docs.append(np.frombuffer(d, dtype=_doc_type(len(c))).astype(np.int64) + 2 * at)
         codes.append(c)
         sizes.append(np.frombuffer(s, dtype=np.uint32))
         at += len(c)
     code, first, back = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first]
-    doc = back[np.concatenate(docs)]
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    size = np.concatenate(sizes)[first].astype(np.int64)
+    entry = np.concatenate(docs)
+    doc, indexed = back[entry >> 1], (entry & 1).astype(bool)
+    order = np.lexsort((~indexed, doc, key))
+    key, doc, indexed = key[order], doc[order], indexed[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[new], doc[new]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(starts, len(key)))
-    with np.errstate(over="ignore"):
-        ident = np.add.reduceat(textcodes.mix(code[doc].view(np.uint64)), starts) + length.astype(np.uint64)
-    many = np.flatnonzero(length >= 2)
-    a, b = size[doc[starts[many]]].astype(np.int64), size[doc[starts[many] + 1]].astype(np.int64)
-    many = many[(length[many] > 2) | (100 * np.minimum(a, b) >= percent * np.maximum(a, b))]
-    ident, pick = np.unique(ident[many], return_index=True)
-    many = many[pick]
-    return pd.DataFrame({"list": ident.view(np.int64), "codes": [code[doc[starts[i] : starts[i] + length[i]]] for i in many], "sizes": [size[doc[starts[i] : starts[i] + length[i]]].astype(np.int64) for i in many]})
+    key, doc, indexed = key[new], doc[new], indexed[new]
+    lists = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+    meets = _with_partner(lists, size[doc], indexed, percent)
+    lists, doc = lists[meets], doc[meets]
+    out: dict[str, list] = {c.split()[0]: [] for c in LISTS.split(", ")}
+    if len(doc):
+        starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        length = np.diff(np.append(starts, len(doc)))
+        with np.errstate(over="ignore"):
+            ident = np.add.reduceat(textcodes.mix(code[doc].view(np.uint64)), starts) + length.astype(np.uint64)
+        ident, pick = np.unique(ident, return_index=True)
+        for name, i in zip(ident.view(np.int64).tolist(), pick.tolist()):
+            for row, a in enumerate(range(0, length[i], ROW)):
+                part = doc[starts[i] + a : starts[i] + min(a + ROW, length[i])]
+                for c, v in zip(out, (name, row, int(length[i]), int(code[doc[starts[i]]]), code[part], size[part])):
+                    out[c].append(v)
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -225,21 +266,12 @@ def unpack_set(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def probe(short: np.ndarray, long: np.ndarray) -> int:
-    """How many members of one sorted set a binary search finds in the other."""
-    if len(short) > len(long):
-        short, long = long, short
-    at = np.searchsorted(long, short)
-    at[at == len(long)] = 0
-    return int(np.count_nonzero(long[at] == short)) if len(long) else 0
-
-
 def _sets(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     """(code, members) of the sets whose codes are in ``wanted`` (and a few others)."""
-    held = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom_filter(wanted)))
+    held = rows.sparkSession.sparkContext.broadcast(bloom_filter(wanted))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value)
+        bits = held.value
         seen: set[int] = set()
         for b in batches:
             codes, blobs = [], []
@@ -261,18 +293,15 @@ class Index:
     def __init__(self, codes: list[int], sets: list[np.ndarray], percent: int):
         self.codes, self.sets, self.percent = codes, sets, percent
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        if len(sets) > 1:
-            key = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), self.sizes)
-            order = np.argsort(key, kind="stable")
-            self.doc = doc[order]
-            self.keys, self.starts, self.lengths = np.unique(key[order], return_index=True, return_counts=True)
-            self.places = np.repeat(np.arange(len(self.keys)), self.lengths) * len(sets) + self.doc
+        key = np.concatenate(sets)
+        doc = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(key, kind="stable")
+        self.doc = doc[order]
+        self.keys, self.starts, self.lengths = np.unique(key[order], return_index=True, return_counts=True)
+        self.places = np.repeat(np.arange(len(self.keys)), self.lengths) * len(sets) + self.doc
 
     def search(self, s: np.ndarray) -> np.ndarray:
         """Numbers of the sets that link with ``s``."""
-        if len(self.sets) == 1:
-            return np.flatnonzero([linked(probe(s, self.sets[0]), len(s), len(self.sets[0]), self.percent)])
         need = (self.percent * len(s) + 99) // 100
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         lists = at[self.keys[at] == s]
@@ -296,28 +325,33 @@ class Index:
 ROLES = ["kind", "group", "part", "role", "code", "comp"]
 
 
-def _star_roles(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) as searches of each b in the index of a alone, in parts of about SALT."""
-    stars = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("star"), F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
-    members = pairs.join(stars, F.col("a") == F.col("star")).select(F.lit(0).alias("kind"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("code"), F.col("b").alias("comp"))
-    centres = stars.select(F.lit(0).alias("kind"), F.col("star").alias("group"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("star").alias("code"), F.col("star").alias("comp"))
-    return members.unionByName(centres)
+def _pair_roles(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as searches of each b in an index that holds a and some others, in parts of about SALT queries."""
+    parts = max(1, -(-pairs.agg(F.count_distinct("a")).first()[0] // INDEX))
+    placed = pairs.withColumn("group", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    salts = placed.groupBy("group").agg(F.ceil(F.count("*") / SALT).cast("long").alias("salts"))
+    zero, one = F.lit(0), F.lit(1)
+    queries = placed.join(salts, "group").select(zero.alias("kind"), "group", F.pmod(F.xxhash64("b"), "salts").alias("part"), one.alias("role"), F.col("b").alias("code"), F.col("b").alias("comp")).distinct()
+    index = placed.select("group", "a").distinct().join(salts, "group").select(zero.alias("kind"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"), zero.alias("role"), F.col("a").alias("code"), F.col("a").alias("comp"))
+    return queries.unionByName(index)
 
 
-def _cluster_roles(entries: DataFrame) -> DataFrame:
-    """Long lists' entries (list, least, code, comp) as searches: of all documents but the largest component's, in all.
+def _cluster_roles(entries: DataFrame, percent: int) -> DataFrame:
+    """Long lists' entries (list, least, code, size, comp) as searches: of all documents but the largest component's.
 
-    Lists that share documents are one cluster, so that a document is indexed once. An index is split into parts of
-    about INDEX documents, and a search goes to each of them.
+    Lists that share documents are one cluster, so that a document is indexed once. An index is split by bands of
+    sizes and into parts of about INDEX documents, and a search goes to those of the bands that it may link with.
     """
     cluster = materialize(components(entries.select(F.col("least").alias("a"), F.col("code").alias("b"))), "join-clusters")
-    docs = entries.select("code", "comp").distinct().join(cluster, F.col("code") == F.col("node")).select(F.col("component").alias("group"), "code", "comp")
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("long")
+    docs = entries.select("code", "size", "comp").distinct().join(cluster, F.col("code") == F.col("node")).select(F.col("component").alias("group"), "code", "comp", band.alias("band"))
     docs = materialize(docs, "join-cluster-documents")
-    largest = docs.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.ceil(F.sum("n") / INDEX).cast("int").alias("parts"))
-    placed = docs.join(largest, "group")
-    one = F.lit(1).alias("kind")
-    index = placed.select(one, "group", F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"), F.lit(0).alias("role"), "code", "comp")
-    queries = placed.filter("comp <> largest").select(one, "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "code", "comp")
+    largest = docs.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    parts = docs.groupBy("group", "band").agg(F.ceil(F.count("*") / INDEX).cast("long").alias("parts"))
+    one, width = F.lit(1).alias("kind"), F.lit(1 << 32)
+    index = docs.join(parts, ["group", "band"]).select(one, "group", (F.col("band") * width + F.pmod(F.xxhash64("code"), "parts")).alias("part"), F.lit(0).alias("role"), "code", "comp")
+    around = docs.join(largest, "group").filter("comp <> largest").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    queries = around.join(parts, ["group", "band"]).select(one, "group", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.col("band") * width + i)).alias("part"), F.lit(1).alias("role"), "code", "comp")
     return index.unionByName(queries)
 
 
@@ -386,16 +420,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = _class_of(counts) if len(counts) else np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     shingles = own.agg(F.sum("n")).first()[0] or 0
     buckets = max(n_partitions(spark), -(-shingles * (100 - percent) // (100 * BUCKET)))
-    merge = lambda pdf: _merge_bucket(pdf, percent)
-    lists = _postings(rows, classes, buckets, n_words, percent).groupBy("bucket").applyInPandas(merge, "list long, codes array<long>, sizes array<long>")
-    lists = materialize(lists.dropDuplicates(["list"]), "join-lists")
-    entries = lists.select("list", F.size("codes").alias("n"), F.col("codes")[0].alias("least"), F.explode(F.arrays_zip("codes", "sizes")).alias("e")).select("list", "n", "least", F.col("e.codes").alias("code"), F.col("e.sizes").alias("size"))
+    lists = _postings(rows, classes, buckets, n_words, percent).groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, percent), LISTS)
+    lists = materialize(lists.dropDuplicates(["list", "row"]), "join-lists")
+    entries = lists.select("list", "n", "least", F.explode(F.arrays_zip("codes", "sizes")).alias("e")).select("list", "n", "least", F.col("e.codes").alias("code"), F.col("e.sizes").alias("size"))
     short = entries.filter(F.col("n") <= FEW).join(nodes.select("code", "bits"), "code").groupBy("list").agg(F.collect_list(F.struct("code", "size", "bits")).alias("entries")).select("entries")
     pairs = materialize(short.mapInArrow(lambda it: _fitting(it, percent), "a long, b long").distinct(), "join-pairs")
-    long = materialize(entries.filter(F.col("n") > FEW).select("list", "least", "code"), "join-long-lists")
+    long = materialize(entries.filter(F.col("n") > FEW).select("list", "least", "code", "size"), "join-long-lists")
     # one search for each document first, then all that are still open
     near = pairs.unionByName(long.filter("code <> least").select(F.col("least").alias("a"), F.col("code").alias("b"))).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(_search(rows, _star_roles(near), n_words, percent), "join-links")
+    links = materialize(_search(rows, _pair_roles(near), n_words, percent), "join-links")
     comps = materialize(components(links), "join-components")
 
     def component_of(table: DataFrame, code: str, name: str) -> DataFrame:
@@ -406,7 +439,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = component_of(long, "code", "comp")
     mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("list").alias("mixed"))
     mixed = materialize(placed.join(mixed, F.col("list") == F.col("mixed")).drop("mixed"), "join-mixed")
-    more = materialize(_search(rows, _star_roles(open_pairs).unionByName(_cluster_roles(mixed)), n_words, percent), "join-links")
+    more = materialize(_search(rows, _pair_roles(open_pairs).unionByName(_cluster_roles(mixed, percent)), n_words, percent), "join-links")
     if not more.isEmpty():
         comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-components")
     discard(spark, links, pairs, long, mixed)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 CHUNKS = 16
 SALTS = 64
-BLOOM_BITS = 25
+BLOOM_BITS = (20, 27)
 
 
 def chunk_rows(summary: np.ndarray, salt: int) -> list[tuple[int, int, bytes]]:
@@ -37,31 +37,38 @@ def combine(parts: DataFrame, dtype: str, how: Callable) -> np.ndarray:
     return np.concatenate([np.frombuffer(zlib.decompress(r["blob"]), dtype=dtype) for r in sorted(got, key=lambda r: r["chunk"])])
 
 
-def bloom_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bloom_places(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     u = codes.view(np.uint64)
     with np.errstate(over="ignore"):
-        return (u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS), (u * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BLOOM_BITS)
+        return tuple(((u * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def bloom_filter(codes: DataFrame) -> np.ndarray:
-    """Bit array of a one-column table of longs. Its size is fixed: a fuller filter lets more pass, never less."""
+    """Packed bits of a one-column table of longs: 16 bits for each, within BLOOM_BITS (16 MiB to broadcast at most).
+
+    A fuller filter lets more pass, never less, so beyond the bound results stay and only more is moved.
+    """
+    low, high = BLOOM_BITS
+    bits = min(high, max(low, (16 * codes.count()).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        packed = np.zeros(1 << (bits - 3), dtype=np.uint8)
         salt = 0
         for b in batches:
             x = b.column(0).to_numpy(zero_copy_only=False)
-            for places in bloom_places(x):
-                bits[places.astype(np.int64)] = True
+            for at in bloom_places(x, bits):
+                np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
             salt = int(x[0]) if len(x) else salt
-        rows = chunk_rows(np.packbits(bits), abs(salt))
+        rows = chunk_rows(packed, abs(salt))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "salt", "blob"])
 
-    return np.unpackbits(combine(codes.mapInArrow(build, "chunk int, salt int, blob binary"), "uint8", np.bitwise_or))
+    return combine(codes.mapInArrow(build, "chunk int, salt int, blob binary"), "uint8", np.bitwise_or)
 
 
-def in_bloom(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    if len(bits) == 0:
+def in_bloom(packed: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    if len(packed) == 0:
         return np.zeros(len(codes), dtype=bool)
-    a, b = bloom_places(codes)
-    return (bits[a.astype(np.int64)] & bits[b.astype(np.int64)]).astype(bool)
+    found = np.ones(len(codes), dtype=bool)
+    for at in bloom_places(codes, (8 * len(packed)).bit_length() - 1):
+        found &= (packed[at >> 3] >> (at & 7)) & 1 > 0
+    return found
