@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from vireo.llm import suffix_dedup, textcodes
@@ -57,13 +58,36 @@ def test_other_length(spark):
     assert run(spark, texts, length=130) == brute(texts, 130)
 
 
-def test_hot_triggers_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+@pytest.mark.parametrize("hot, fan", [(2, 1024), (2, 3), (20_000, 2)])
+def test_hot_triggers_small_blocks_in_groups(spark, monkeypatch, hot, fan):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     texts = corpus(4)
     assert run(spark, texts) == brute(texts, 400)
 
 
+@pytest.mark.parametrize("length", [5, 8, 17, 64, 100])
+def test_window_ranks_are_the_order_of_the_windows(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(0, 2, 300), np.tile(rng.integers(0, 256, 40), 5)]).astype(np.uint8)
+    at = rng.permutation(len(data) - length + 1)
+    raw = data.tobytes()
+    own = [raw[i : i + length] for i in at]
+    number = {w: k for k, w in enumerate(sorted(set(own)))}
+    assert suffix_dedup.window_ranks(data, at, length).tolist() == [number[w] for w in own]
+
+
+def test_equal_phrases_of_a_block_are_dealt_once():
+    block = suffix_dedup._Block(400)
+    text = "".join(random.Random(8).choices("abc", k=3000)).encode()
+    for t in (text, b"x" + text, text):
+        block.add(t)
+    got = block.parse()
+    assert 0 < (got["weight"] > 0).sum() <= len(got["p"]) // 2 + 8
+    assert (got["weight"][got["first"]] > 0).all()
+
+
 def test_long_texts_in_tiles(monkeypatch):
     rnd = random.Random(5)
     texts = ["".join(rnd.choices("abc", k=9000))]

@@ -4,24 +4,27 @@ A rolling hash over half-length strings triggers phrase starts: a start is the l
 ``length`` bytes, so every window holds a trigger, and equal windows hold it at the same place. Parsing cuts
 each text into phrases at the triggers, a phrase reaching as far as the windows that start in it, so that it
 overlaps the next one and no phrase is a prefix of another's windows. The dictionary holds each distinct phrase
-of a trigger once; the parse is the list of phrases of a text. Sorting by (trigger, phrase) brings the starts of
-all texts into an order in which equal strings are neighbours, and the two parts are combined:
+once; the parse lists where they occur. Both are sorted, and their orders combine to that of the corpus, in which
+equal strings are neighbours:
 
-* parse: a phrase that occurs twice repeats every window in it; no byte of it is looked at again;
+* parse: its occurrences are sorted by phrase. As a window never leaves its phrase, suffixes of the parse are told
+  apart by their first symbol, so this is their whole order here. A phrase that occurs twice repeats every window in
+  it; no byte of it is looked at again;
 * dictionary: distinct phrases of one trigger may share windows at their ends. Those that also share one of
-  five shorter strings inside (a necessary condition) are fetched, and their windows are named by hash and
-  sorted; equal neighbours are repeats.
+  five shorter strings inside (a necessary condition) are fetched, and the suffix array of their bytes is built by
+  prefix doubling, to the depth of ``length`` bytes. Windows of equal rank are equal byte by byte: repeats.
 
-In place of a comparison of suffixes to their ends, which a fixed length doesn't need, strings are ordered by
-64-bit rolling hashes of the first ``length`` bytes.
+Phrases are told apart by 128 bits (a rolling hash of the trigger and one of another kind over all bytes).
 
-Texts are stored in blocks in the shared folder; hashes are dealt to buckets as arrays, and answers return to
-the blocks. Copies in a block are one text of that weight, so a group of copies costs its phrases once a block.
-A trigger with very many phrases isn't gathered: the hashes of its windows are dealt out instead.
+Texts are stored in blocks in the shared folder; phrases are dealt to buckets by trigger as arrays, each distinct one
+once for each block, and answers return to the blocks. Copies in a block are one text of that weight. Where there are
+many blocks, groups of them are combined first, so that a phrase of all blocks comes once for each group.
+A trigger with very many phrases isn't gathered: its windows are dealt out instead, named by 128 bits.
 
 Defined cases: null and empty texts have 0 bytes and keep nothing (the hash of no bytes); texts shorter than
-``length`` lose nothing; repeated rows are occurrences like others, so long ones are removed wholly; ids may be
-null or repeated; extra columns are not read or passed through untouched.
+``length`` lose nothing; very long texts are parsed in overlapping tiles and held whole by the task that stores them;
+repeated rows are occurrences like others, so long ones are removed wholly; among equal strings none is preferred, all
+go; an empty table gives no rows; ids may be null or repeated; extra columns are not read or passed through untouched.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,9 @@ from . import textcodes
 from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 
 LENGTH = 400
-BLOCK_BYTES = 12 << 20
-BUCKET = 1_000_000  # phrases aimed at for a bucket
+BLOCK_BYTES = 8 << 20
+BUCKET = 250_000  # phrases aimed at for a bucket
+FAN = 1024  # blocks whose phrases are combined before they meet those of others
 STEP = 50  # distance of the inner strings
 #: A trigger with more distinct phrases has its windows dealt out one by one.
 HOT = 20_000
@@ -85,12 +90,13 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return trigger[first], window[first], window[last], codes
 
 
-def _describe(codes: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _describe(data: bytes, codes: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigger hash, phrase hash, hashes of inner strings, 0 where the phrase has none) of phrases."""
     half = length // 2
     a = textcodes.span_hashes(codes, p, p + half)
+    c = np.fromiter((xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(lo.tolist(), (hi + length).tolist())), dtype=U, count=len(p))
     with np.errstate(over="ignore"):
-        c = textcodes.mix(textcodes.span_hashes(codes, lo, hi + length) + textcodes.mix(((p - lo) * (1 << 20) + (hi - lo)).astype(U)))
+        c = textcodes.mix(c + textcodes.mix((p - lo).astype(U)))
     inner = np.zeros((half // STEP + 1, len(p)), dtype=np.uint32)
     for j in range(len(inner)):
         # windows that start in (p - STEP * (j + 1), p - STEP * j]
@@ -136,23 +142,29 @@ class _Block:
             yield b"".join(held), np.cumsum([len(x) for x in held]), at
 
     def parse(self) -> dict[str, np.ndarray]:
+        """The phrases; ``first`` is the number of the first equal one, which has the weight of all of them."""
         ends = np.cumsum([len(t) for t in self.texts])
         out: dict[str, list[np.ndarray]] = {k: [] for k in ("p", "lo", "hi", "a", "c", "inner")}
         for data, tile_ends, at in self._tiles():
             p, lo, hi, codes = phrases(np.frombuffer(data, dtype=np.uint8), tile_ends, self.length)
-            a, c, inner = _describe(codes, p, lo, hi, self.length)
+            a, c, inner = _describe(data, codes, p, lo, hi, self.length)
             for k, v in zip(out, (p + at, lo + at, hi + at, a, c, inner)):
                 out[k].append(v)
         got = {k: np.concatenate(v, axis=-1) if v else np.empty(0, dtype=np.int64) for k, v in out.items()}
+        got["first"], got["weight"] = np.arange(len(got["p"])), np.zeros(len(got["p"]), dtype=np.uint8)
         if len(got["p"]):
-            got["weight"] = np.minimum(np.array(self.weight)[np.searchsorted(ends, got["p"], side="right")], 2).astype(np.uint8)
-        else:
-            got["weight"] = np.empty(0, dtype=np.uint8)
+            weight = np.array(self.weight)[np.searchsorted(ends, got["p"], side="right")]
+            order = np.lexsort((got["c"], got["a"]))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (got["a"][order[1:]] != got["a"][order[:-1]]) | (got["c"][order[1:]] != got["c"][order[:-1]])
+            first = order[np.flatnonzero(new)]
+            got["first"][order] = first[np.cumsum(new) - 1]
+            got["weight"][first] = np.minimum(np.bincount(np.cumsum(new) - 1, weights=weight[order]), 2)
         return got
 
     def save(self, base: str, name: str, got: dict[str, np.ndarray]) -> None:
         f = io.BytesIO()
-        np.savez(f, data=np.frombuffer(b"".join(self.texts), dtype=np.uint8), ends=np.cumsum([len(t) for t in self.texts]), **{k: got[k].astype(np.int32) for k in ("p", "lo", "hi")})
+        np.savez(f, data=np.frombuffer(b"".join(self.texts), dtype=np.uint8), ends=np.cumsum([len(t) for t in self.texts]), **{k: got[k].astype(np.int32) for k in ("p", "lo", "hi", "first")})
         put_file(base, name, zstandard.compress(f.getvalue(), 3))
 
 
@@ -179,18 +191,16 @@ def _parse(rows: DataFrame, base: str, buckets: int, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array([ident] * k, pa.int64()), pa.array(block.rows, pa.int32()), doc, pa.nulls(k, pa.int32()), none, none, none, none, none], names=names)
         if not len(got["p"]):
             return
-        bucket = (got["a"] % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        dealt = np.flatnonzero(got["weight"])
+        bucket = (got["a"][dealt] % U(buckets)).astype(np.int64)
         cols: dict[str, list] = {c: [] for c in ("bucket", "a", "c", "inner", "weight", "at")}
-        for b in range(buckets):
-            pick = order[edges[b] : edges[b + 1]]
-            if len(pick):
-                cols["bucket"].append(b)
-                for c in ("a", "c", "weight"):
-                    cols[c].append(got[c][pick].tobytes())
-                cols["inner"].append(np.ascontiguousarray(got["inner"][:, pick]).tobytes())
-                cols["at"].append(pick.astype(np.uint32).tobytes())
+        for b, pick in _groups(bucket):
+            pick = dealt[pick]
+            cols["bucket"].append(b)
+            for c in ("a", "c", "weight"):
+                cols[c].append(got[c][pick].tobytes())
+            cols["inner"].append(np.ascontiguousarray(got["inner"][:, pick]).tobytes())
+            cols["at"].append(pick.astype(np.uint32).tobytes())
         k = len(cols["bucket"])
         yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array([ident] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, doc.type), pa.array(cols["bucket"], pa.int32()), *(pa.array(cols[c], pa.binary()) for c in ("a", "c", "inner", "weight", "at"))], names=names)
 
@@ -228,46 +238,114 @@ def _by_block(block: np.ndarray, **arrays: np.ndarray) -> pa.Table:
     return pa.table(cols)
 
 
+def _groups(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places of it) for the values that occur."""
+    order = np.argsort(number, kind="stable")
+    own, first = np.unique(number[order], return_index=True)
+    for x, pick in zip(own.tolist(), np.split(order, first[1:])):
+        yield x, pick
+
+
+class _Parse:
+    """Some blocks' phrases of a bucket, sorted: their order, each distinct phrase's first place in it, and its weight."""
+
+    def __init__(self, table: pa.Table, inner_rows: int):
+        join = lambda c, t: np.frombuffer(_join(table.column(c)), dtype=t)
+        self.a, self.c, weight, self.at = join("a", U), join("c", U), join("weight", np.uint8), join("at", np.uint32)
+        self.block = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in table.column("a").to_pylist()])
+        self.inner = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(inner_rows, -1) for x in table.column("inner").to_pylist()], axis=1)
+        self.order = np.lexsort((self.at, self.block, self.c, self.a))
+        a, c = self.a[self.order], self.c[self.order]
+        self.new_a = np.concatenate([[True], a[1:] != a[:-1]])
+        new = self.new_a | np.concatenate([[True], c[1:] != c[:-1]])
+        self.phrase, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.weight = np.minimum(np.bincount(self.phrase, weights=weight[self.order]), 2).astype(np.uint8)
+
+    def spread(self, status: np.ndarray) -> pa.Table:
+        """All occurrences learn that they repeat; one of each distinct phrase gets its whole status."""
+        each = status[self.phrase] & 1
+        each[self.first] = status
+        keep = np.flatnonzero(each)
+        at = self.order[keep]
+        return _by_block(self.block[at], at=self.at[at], status=each[keep])
+
+
+def _combine(table: pa.Table, inner_rows: int) -> pa.Table:
+    """The distinct phrases of a group of blocks, as those of one block that has the group's number."""
+    p = _Parse(table, inner_rows)
+    pick = p.order[p.first]
+    one = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+    return pa.table({"bucket": table.column("bucket").slice(0, 1), "block": pa.array([table.column("salt")[0].as_py()], pa.int64()), "a": one(p.a[pick]), "c": one(p.c[pick]), "inner": one(p.inner[:, pick]), "weight": one(p.weight), "at": one(np.arange(len(pick), dtype=np.uint32))})
+
+
+def _return(table: pa.Table, hits: pa.Table, inner_rows: int) -> pa.Table:
+    """The statuses of a group's distinct phrases, for its blocks."""
+    p = _Parse(table, inner_rows)
+    status = np.zeros(len(p.first), dtype=np.uint8)
+    status[np.frombuffer(_join(hits.column("at")), dtype=np.uint32)] = np.frombuffer(_join(hits.column("status")), dtype=np.uint8)
+    return p.spread(status)
+
+
+def _with_bucket(table: pa.Table, answers: pa.Table) -> pa.Table:
+    return answers.add_column(0, "bucket", pa.repeat(table.column("bucket")[0], len(answers)))
+
+
 def _match_parse(table: pa.Table, inner_rows: int) -> pa.Table:
     """For a bucket's phrases: those that occur twice (1), those whose bytes are needed (2), in a hot trigger (4)."""
-    a = np.frombuffer(_join(table.column("a")), dtype=U)
-    c = np.frombuffer(_join(table.column("c")), dtype=U)
-    weight = np.frombuffer(_join(table.column("weight")), dtype=np.uint8)
-    at = np.frombuffer(_join(table.column("at")), dtype=np.uint32)
-    counts = [len(x) // 8 for x in table.column("a").to_pylist()]
-    block = np.repeat(table.column("block").to_numpy(), counts)
-    inner = np.concatenate([np.frombuffer(x, dtype=np.uint32).reshape(inner_rows, -1) for x in table.column("inner").to_pylist()], axis=1)
-    order = np.lexsort((c, a))
-    a, c = a[order], c[order]
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
-    phrase = np.cumsum(new_c) - 1
-    first = np.flatnonzero(new_c)
-    status = np.zeros(len(first), dtype=np.uint8)
-    status[np.add.reduceat(weight[order].astype(np.int64), first) >= 2] = 1
-    trigger = (np.cumsum(new_a) - 1)[first]
+    p = _Parse(table, inner_rows)
+    first = p.first
+    status = (p.weight >= 2).astype(np.uint8)
+    trigger = (np.cumsum(p.new_a) - 1)[first]
     distinct = np.bincount(trigger)[trigger]
     some = np.flatnonzero(distinct >= 2)
     needed = np.zeros(len(first), dtype=bool)
-    for row in inner:
-        x = row[order[first[some]]].astype(np.int64)
+    for row in p.inner:
+        x = row[p.order[first[some]]]
         with np.errstate(over="ignore"):
             key = textcodes.mix(trigger[some].astype(U) * U(0x9E3779B97F4A7C15) + x.astype(U))
         _, back, n = np.unique(key, return_inverse=True, return_counts=True)
         needed[some[(n[back] >= 2) & (x != 0)]] = True
     status[needed] |= 2
     status[needed & (distinct > HOT)] |= 4
-    # all occurrences learn that they repeat; one of each distinct phrase sends its bytes
-    each = status[phrase] & 1
-    each[first] = status
-    keep = np.flatnonzero(each)
-    return _by_block(block[order[keep]], at=at[order[keep]], status=each[keep])
+    return p.spread(status)
 
 
-def _window_keys(codes: np.ndarray, a: np.ndarray, start: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
-    """Names of windows: trigger, place of the trigger in the window, bytes."""
+def _window_keys(codes: np.ndarray, data: np.ndarray, a: np.ndarray, start: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
+    """128-bit names of windows: trigger, place of the trigger in the window, bytes."""
+    raw, low = data.tobytes(), int(start[0])
     with np.errstate(over="ignore"):
-        return textcodes.mix(textcodes.span_hashes(codes, start, start + length) + textcodes.mix(a + (p - start).astype(U)))
+        rolling = textcodes.mix(textcodes.span_hashes(codes, start, start + length) + textcodes.mix(a + (p - start).astype(U)))
+    other = np.fromiter((xxhash.xxh3_64_intdigest(raw[s : s + length]) for s in range(low, low + len(start))), dtype=U, count=len(start))
+    return np.stack([rolling, other], axis=1)
+
+
+def window_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of data[i : i + length] for the places ``at``: the suffix array of ``data`` to that depth, by prefix doubling."""
+    padded = np.concatenate([data, np.zeros(length + 8, dtype=np.uint8)])
+    step = min(8, length)
+    rank = np.zeros(len(data), dtype=U)
+    for i in range(step):
+        rank = (rank << U(8)) | padded[i : i + len(data)]
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint32)
+    while 2 * step <= length:  # ranks to the depth of step bytes -> of twice as many
+        key = rank.astype(U) << U(32)
+        key[:-step] |= rank[step:]
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint32)
+        step *= 2
+    key = rank[at].astype(U) << U(32) | rank[at + length - step]  # two that overlap
+    return np.unique(key, return_inverse=True)[1]
+
+
+def _again(*keys: np.ndarray) -> np.ndarray:
+    """Which entries are equal to another one in all keys."""
+    order = np.lexsort(keys)
+    same = np.ones(max(len(order) - 1, 0), dtype=bool)
+    for k in keys:
+        same &= k[order[1:]] == k[order[:-1]]
+    again = np.zeros(len(order), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return again
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +355,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-SENT = "bucket int, block long, hot boolean, at binary, a binary, lo binary, hi binary, bytes binary, size binary, keys binary"
+SENT = "bucket int, block long, hot boolean, at binary, lo binary, hi binary, bytes binary, size binary, keys binary"
 
 
 def _send(rows: pa.Table, base: str, buckets: int, length: int) -> pa.Table:
@@ -309,18 +387,16 @@ def _send(rows: pa.Table, base: str, buckets: int, length: int) -> pa.Table:
             for i in np.flatnonzero(hot[s:e]):
                 l, h = int(lo[s + i] + shift[s + i] - base_at), int(hi[s + i] + shift[s + i] - base_at)
                 start = np.arange(l, h + 1)
-                keys = _window_keys(codes, np.full(len(start), a[s + i]), start, np.full(len(start), q[i]), length)
-                k = (keys % U(buckets)).astype(np.int64)
-                for x in np.unique(k):
-                    pick = k == x
-                    for c, v in (("bucket", int(x)), ("block", block), ("hot", True), ("at", np.full(pick.sum(), need[s + i], dtype=np.uint32).tobytes()), ("a", b""), ("lo", (p[s + i] - lo[s + i] - np.flatnonzero(pick)).astype(np.int32).tobytes()), ("hi", b""), ("bytes", b""), ("size", b""), ("keys", keys[pick].tobytes())):
+                keys = _window_keys(codes, part, np.full(len(start), a[s + i]), start, np.full(len(start), q[i]), length)
+                for x, pick in _groups((keys[:, 0] % U(buckets)).astype(np.int64)):
+                    for c, v in (("bucket", x), ("block", block), ("hot", True), ("at", np.full(len(pick), need[s + i], dtype=np.uint32).tobytes()), ("lo", (p[s + i] - lo[s + i] - pick).astype(np.int32).tobytes()), ("hi", b""), ("bytes", b""), ("size", b""), ("keys", keys[pick].tobytes())):
                         out[c].append(v)
         bucket = (a % U(buckets)).astype(np.int64)
         ends = np.cumsum(size)
         for x in np.unique(bucket[~hot]):
             pick = np.flatnonzero((bucket == x) & ~hot)
             text = b"".join(flat[ends[i] - size[i] : ends[i]].tobytes() for i in pick)
-            for c, v in (("bucket", int(x)), ("block", block), ("hot", False), ("at", need[pick].astype(np.uint32).tobytes()), ("a", a[pick].tobytes()), ("lo", (p - lo)[pick].astype(np.int32).tobytes()), ("hi", (p - hi)[pick].astype(np.int32).tobytes()), ("bytes", zstandard.compress(text, 1)), ("size", size[pick].astype(np.int32).tobytes()), ("keys", b"")):
+            for c, v in (("bucket", int(x)), ("block", block), ("hot", False), ("at", need[pick].astype(np.uint32).tobytes()), ("lo", (p - lo)[pick].astype(np.int32).tobytes()), ("hi", (p - hi)[pick].astype(np.int32).tobytes()), ("bytes", zstandard.compress(text, 1)), ("size", size[pick].astype(np.int32).tobytes()), ("keys", b"")):
                 out[c].append(v)
     types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.table({k: pa.array(out[k], types[t]) for k, t in (x.split() for x in SENT.split(", "))})
@@ -328,37 +404,26 @@ def _send(rows: pa.Table, base: str, buckets: int, length: int) -> pa.Table:
 
 def _match_dictionary(table: pa.Table, length: int) -> pa.Table:
     """Windows of a bucket's phrases that occur twice, as (phrase, distances of the trigger from, to)."""
-    keys, block, at, d = [], [], [], []
-    for r in table.to_pylist():
-        if r["hot"]:
-            k = np.frombuffer(r["keys"], dtype=U)
-            keys.append(k)
-            block.append(np.full(len(k), r["block"]))
-            at.append(np.frombuffer(r["at"], dtype=np.uint32))
-            d.append(np.frombuffer(r["lo"], dtype=np.int32))
-            continue
-        data = np.frombuffer(zstandard.decompress(r["bytes"]), dtype=np.uint8)
-        a, n = np.frombuffer(r["a"], dtype=U), np.frombuffer(r["at"], dtype=np.uint32)
-        far, near, size = (np.frombuffer(r[k], dtype=np.int32).astype(np.int64) for k in ("lo", "hi", "size"))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = table.to_pylist()
+    hot = [r for r in rows if r["hot"]]
+    if hot:
+        key = np.concatenate([np.frombuffer(r["keys"], dtype=U) for r in hot]).reshape(-1, 2)
+        again = _again(key[:, 1], key[:, 0])
+        n = [len(r["at"]) // 4 for r in hot]
+        found.append((np.repeat([r["block"] for r in hot], n)[again], np.frombuffer(b"".join(r["at"] for r in hot), dtype=np.uint32)[again], np.frombuffer(b"".join(r["lo"] for r in hot), dtype=np.int32)[again]))
+    rows = [r for r in rows if not r["hot"]]
+    if rows:
+        data = np.frombuffer(b"".join(zstandard.decompress(r["bytes"]) for r in rows), dtype=np.uint8)
+        n = [len(r["at"]) // 4 for r in rows]
+        block, at = np.repeat([r["block"] for r in rows], n), np.frombuffer(b"".join(r["at"] for r in rows), dtype=np.uint32)
+        far, near, size = (np.frombuffer(b"".join(r[k] for r in rows), dtype=np.int32).astype(np.int64) for k in ("lo", "hi", "size"))
         begin = np.cumsum(size) - size
-        for s in range(0, len(n), 2000):
-            e = min(s + 2000, len(n))
-            codes = textcodes.prefix_codes(data[begin[s] : begin[e - 1] + size[e - 1]])
-            q = begin[s:e] - begin[s] + far[s:e]
-            which, start = _expand(begin[s:e] - begin[s], q - near[s:e])
-            keys.append(_window_keys(codes, a[s:e][which], start, q[which], length))
-            block.append(np.full(len(which), r["block"]))
-            at.append(n[s:e][which])
-            d.append((q[which] - start).astype(np.int32))
-    if not keys:
-        return pa.table({"block": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("at", "lo", "hi")}})
-    key, block, at, d = np.concatenate(keys), np.concatenate(block), np.concatenate(at), np.concatenate(d)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    again = np.zeros(len(key), dtype=bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    block, at, d = block[again], at[again], d[again]
+        which, start = _expand(begin, begin + far - near)
+        again = _again(window_ranks(data, start, length))
+        which, start = which[again], start[again]
+        found.append((block[which], at[which], (begin[which] + far[which] - start).astype(np.int32)))
+    block, at, d = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((d, at, block))
     block, at, d = block[order], at[order], d[order]
     new = np.ones(len(d), dtype=bool)
@@ -378,7 +443,9 @@ def _cut(table: pa.Table, base: str, length: int, with_text: bool) -> pa.Table:
     answers = table.filter(pa.array(kinds == 1))
     at = np.frombuffer(_join(answers.column("at")), dtype=np.uint32).astype(np.int64)
     status = np.frombuffer(_join(answers.column("status")), dtype=np.uint8)
-    at = at[(status & 1) > 0]
+    repeats = np.zeros(len(b["p"]), dtype=bool)
+    repeats[at[(status & 1) > 0]] = True
+    at = np.flatnonzero(repeats[b["first"]])
     np.add.at(edge, b["lo"][at], 1)
     np.add.at(edge, b["hi"][at] + length, -1)
     answers = table.filter(pa.array(kinds == 2))
@@ -386,18 +453,23 @@ def _cut(table: pa.Table, base: str, length: int, with_text: bool) -> pa.Table:
     far, near = (np.frombuffer(_join(answers.column(k)), dtype=np.int32) for k in ("lo", "hi"))
     np.add.at(edge, b["p"][at] - far, 1)
     np.add.at(edge, b["p"][at] - near + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    np.cumsum(edge, out=edge)
+    gone = edge[:-1] > 0
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(gone)])
-    removed = total[ends] - total[starts]
+
+    def per_text(flags: np.ndarray) -> np.ndarray:
+        edge[0] = 0
+        np.cumsum(flags, out=edge[1:])
+        return (edge[ends] - edge[starts]).astype(np.int64)
+
+    removed = per_text(gone)
     begin = gone.copy()
     begin[1:] &= ~gone[:-1]
     begin[starts[(starts < len(gone))]] |= gone[starts[(starts < len(gone))]]
-    total = np.concatenate([[0], np.cumsum(begin)])
-    spans = total[ends] - total[starts]
-    raw, texts, shas = data.tobytes(), [], []
+    spans = per_text(begin)
+    texts, shas = [], []
     for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-        kept = data[s:e][~gone[s:e]].tobytes() if removed[k] else raw[s:e]
+        kept = (data[s:e][~gone[s:e]] if removed[k] else data[s:e]).tobytes()
         shas.append(hashlib.sha256(kept).hexdigest())
         if with_text:
             texts.append(kept)
@@ -424,7 +496,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     buckets = max(n_partitions(spark), size // per_phrase // BUCKET)
     parsed = materialize(_parse(rows, base, buckets, length), "parsed", partition_by="kind")
     inner_rows = length // 2 // STEP + 1
-    hits = parsed.filter("kind = 1").select("bucket", "block", "a", "c", "inner", "weight", "at").groupBy("bucket").applyInArrow(lambda t: _match_parse(t, inner_rows), "block long, at binary, status binary")
+    dealt = parsed.filter("kind = 1").select("bucket", "block", "a", "c", "inner", "weight", "at")
+    groups = -(-parsed.filter("kind = 0").select("block").distinct().count() // FAN)
+    match, answer = (lambda t: _match_parse(t, inner_rows)), "block long, at binary, status binary"
+    if groups <= 1:
+        hits = dealt.groupBy("bucket").applyInArrow(match, answer)
+    else:
+        dealt = dealt.withColumn("salt", F.pmod("block", F.lit(groups)))
+        combined = materialize(dealt.groupBy("bucket", "salt").applyInArrow(lambda t: _combine(t, inner_rows), "bucket int, block long, a binary, c binary, inner binary, weight binary, at binary"), "group-phrases")
+        of_groups = combined.groupBy("bucket").applyInArrow(lambda t: _with_bucket(t, match(t)), f"bucket int, {answer}")
+        hits = dealt.groupBy("bucket", "salt").cogroup(of_groups.withColumnRenamed("block", "salt").groupBy("bucket", "salt")).applyInArrow(lambda t, h: _return(t, h, inner_rows), answer)
     hits = materialize(hits, "phrase-hits")
     sent = by_block(hits, hits).groupBy("block").applyInArrow(lambda t: _send(t, base, buckets, length), SENT)
     shared = sent.groupBy("bucket").applyInArrow(lambda t: _match_dictionary(t, length), "block long, at binary, lo binary, hi binary")

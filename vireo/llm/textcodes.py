@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
 U = np.uint64
-TILE = 1 << 21  # bytes hashed at once: bounds memory, whatever the length of a text
+TILE = 1 << 19  # bytes hashed at once: bounds memory, whatever the length of a text
 LONG_WORD = 1 << 12  # longer words are hashed on their own
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so powers have inverses mod 2^64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -101,7 +101,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> Iterator[np.ndarray]:
+def word_hashes(texts: Iterable[bytes], lower: bool = True) -> Iterator[np.ndarray]:
     """The 64-bit hashes of each text's words (A-Z lower-cased), in order; short texts are hashed together."""
     held: list[bytes] = []
     size = 0
@@ -154,8 +154,9 @@ def unpack40(b: bytes) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
-def binary(column) -> list[bytes]:
-    """An Arrow string column as bytes; null: empty."""
+def binary(column, step: int = 256) -> Iterator[bytes]:
+    """The values of an Arrow string column as bytes, some at a time; null: empty."""
     import pyarrow as pa
 
-    return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
+    for at in range(0, len(column), step):
+        yield from (x if x is not None else b"" for x in column.slice(at, step).cast(pa.binary()).to_pylist())
