@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ def brute(rows, order):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_against_dictionaries(spark, monkeypatch, order):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "PART", 7)
     rnd = random.Random(order)
     vocabulary = [f"w{i}é" for i in range(40)]
     rows = [(" ".join(rnd.choices(vocabulary[: rnd.randint(2, 40)], k=rnd.randint(0, 60))), i % 3 > 0) for i in range(60)]
@@ -78,3 +80,32 @@ def test_state_weights_add_up(spark):
     # P(w | a) = score('a w') - score('a') with the end tokens' own steps taken off by brute force
     want = brute(rows + probes, 2)
     assert [got[i] for i in range(len(want))] == pytest.approx([w[4] for w in want])
+
+
+def test_states_carry_histories_and_failure_arcs_shorten_them():
+    """Trigrams over the tokens 0 1 2 0 1 3: what is seen is an arc, all else goes by failure arcs."""
+    tokens = np.array([0, 1, 2, 0, 1, 3])
+    number, counts = [], []
+    for k in (1, 2, 3):
+        grams = [tuple(tokens[i - k + 1 : i + 1]) if i >= k - 1 else None for i in range(len(tokens))]
+        own = sorted({g for g in grams if g})
+        number.append(np.array([own.index(g) if g else -1 for g in grams]))
+        counts.append(np.array([grams.count(g) for g in own]))
+    a = lm_score.Automaton(counts, number, n=6, v=4, grid=(2.0,))
+    word = {w: number[0][list(tokens).index(w)] for w in range(4)}
+
+    def go(*words):
+        state, w = np.array([0]), None
+        for x in words:
+            state, w = a.step(state, np.array([word[x]]))
+        return int(state[0]), 10 ** float(w[0, 0])
+
+    low = {w: (list(tokens).count(w) + 0.1) / (6 + 0.5) for w in range(4)}
+    assert go(1)[1] == pytest.approx(low[1])
+    assert go(0, 1)[1] == pytest.approx((2 + 2 * low[1]) / (2 + 2))
+    second = (1 + 2 * low[2]) / (2 + 2)
+    assert go(0, 1, 2)[1] == pytest.approx((1 + 2 * second) / (2 + 2))
+    # after (0, 1) the token 0 has no arc in any history: two failure arcs, each 2 / (2 + 2)
+    assert go(0, 1, 0)[1] == pytest.approx(0.5 * 0.5 * low[0])
+    assert go(3, 0, 1)[0] == go(0, 1)[0] != go(1)[0]
+    assert a.fail[go(0, 1)[0]] == go(1)[0] and a.fail[go(1)[0]] == 0

@@ -75,3 +75,22 @@ def test_empty_table(spark):
 def test_only_empty_texts(spark):
     out = mixing.mix_sources(spark.createDataFrame([(1, None, "a", 1, ""), (2, "", None, 1, "")], SCHEMA)).collect()
     assert [(r.size, r.taken) for r in out] == [(0, 0), (0, 0)]
+
+
+def test_a_cut_may_fall_between_equal_rows(spark):
+    """Null ids and repeated rows: each source's words come within half a document of its target."""
+    rows = [(None, "a b c", "a", 1, "")] * 41 + [(None, f"t{i % 3} x", "b", 1, "") for i in range(60)] + [(4, "z " * 7, "c", i, "") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mix_sources(docs).collect()
+    taken, target, longest = defaultdict(int), {}, defaultdict(int)
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        longest[r.source_size] = max(longest[r.source_size], r.size)
+    assert len(got) == len(rows) and len(target) == 3
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 for s in target)
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(got, key=key) == sorted(mixing.mix_sources(docs.coalesce(1)).collect(), key=key)
+    mixed = mixing.take_mix(docs)
+    assert mixed.selectExpr("sum(copies * size(split(trim(text), ' ')))").first()[0] == sum(taken.values())
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.take_mix(docs.coalesce(2)).collect()))

@@ -1,19 +1,24 @@
-"""Scoring texts with a smoothed n-gram model: the weights of a backoff automaton, looked up in arrays.
+"""Scoring texts with a weighted backoff automaton made of smoothed n-grams.
 
-Such an automaton's states are histories of up to ``order - 1`` tokens. A seen n-gram is an arc with the weight
-(c(hw) + b * P'(w)) / (c(h) + b), where P' is the distribution of the shorter history's state; any other word
-takes the failure arc of weight b / (c(h) + b) to that state (Dirichlet smoothing, so each state's weights add
-up to one). The lowest state has the add-0.1 unigram distribution. No automaton is built or
-traversed: in a block of texts all steps are evaluated together from their counts, order by order.
+States are the histories of up to ``order - 1`` tokens that training text has. A seen n-gram is an arc with the weight
+(c(hw) + b * P'(w)) / (c(h) + b), where P' is the distribution of the shorter history's state, and leads to the longest
+history that it ends in; any other word takes the failure arc of weight b / (c(h) + b) to that shorter history
+(Dirichlet smoothing, so each state's weights add up to one). The lowest state has an arc for every word, the add-0.1
+unigram distribution. A text is read once from left to right: the state is carried from token to token, failure
+arcs are followed until there is an arc for the token, and the logarithms of all weights on the way are added up. The
+texts of a block are read in step with each other; long ones are cut, each part entering in the state that its
+predecessor ends in (which the ``order - 1`` tokens before it determine).
 
 The counts come from the whole training part: every block of texts sends each of its distinct n-grams once,
 with its count, to the n-gram's hash bucket, and gets the corpus count back. Nothing is pruned and no
-model has to fit into a task: a bucket holds a share of the n-grams and a block asks only for its own. ``b`` is
-chosen from a grid by the leave-one-out likelihood of all training tokens.
+model has to fit into a task: a bucket holds a share of the n-grams, and a block builds the part of the automaton
+that its own n-grams reach. ``b`` is chosen from a grid by the leave-one-out likelihood of all training tokens;
+arcs carry a weight for each value of the grid, so that texts are read once.
 
-Defined cases: null and empty texts are the end token alone; with no training text, counts are 0 and every
-probability is that of the lowest state; a null id counts as text 'null' in the choice of folds; repeated rows
-are texts like others; extra columns are not read.
+Defined cases: null and empty texts are the end token alone; very long texts are held whole by the task that stores
+them; with no training text, counts are 0 and every probability is that of the lowest state; an empty table gives no
+rows; a null id counts as text 'null' in the choice of folds; repeated rows are texts like others; equal
+likelihoods choose the smallest strength; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ ADD = 0.1
 GRID = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 16384.0, 262144.0)
 BLOCK_BYTES = 8 << 20
 BUCKET = 1_500_000  # n-grams aimed at for a bucket
+PART = 512  # tokens of a text that are read in one go
 BEGIN, END = np.uint64(0x9C0FFEE1BEEF0001), np.uint64(0x9C0FFEE1BEEF0002)
 U = np.uint64
 
@@ -95,13 +101,12 @@ def _gather(rows: DataFrame, base: str, buckets: int, order: int) -> DataFrame:
         for k, code, inside in _ngrams(tokens, starts, order):
             own, edges, number, _ = _distinct(code, inside, buckets)
             counts = np.bincount(number[learnt[inside]], minlength=len(own)).astype(np.uint32)
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 s, e = edges[b], edges[b + 1]
-                if s < e:
-                    cols["bucket"].append(b)
-                    cols["k"].append(k)
-                    cols["keys"].append(pack40(own[s:e] // U(buckets) & mask))
-                    cols["counts"].append(zstandard.compress(counts[s:e].tobytes(), 1))
+                cols["bucket"].append(b)
+                cols["k"].append(k)
+                cols["keys"].append(pack40(own[s:e] // U(buckets) & mask))
+                cols["counts"].append(zstandard.compress(counts[s:e].tobytes(), 1))
         n = len(cols["bucket"])
         yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array([ident] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, doc.type), pa.nulls(n, pa.bool_()), pa.array(cols["bucket"], pa.int32()), pa.array(cols["k"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["counts"], pa.binary())], names=names)
 
@@ -151,16 +156,111 @@ def _total(table: pa.Table, begin_key: int, begin_bucket: int) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "k": table.column("k"), "totals": pa.array(out, pa.binary()), "types": pa.array([types] + [0] * (n - 1), pa.int64()), "words": pa.array([words] + [0] * (n - 1), pa.int64())})
 
 
-def _steps(counts: list[np.ndarray], history: list[np.ndarray], inside: list[np.ndarray], less: np.ndarray, n: int, v: int, b: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of (lowest state's, automaton's) weight of each step; ``less`` leaves out the step's own count."""
-    low = (np.maximum(counts[0] - less, 0) + ADD) / (np.maximum(n - less, 0) + ADD * (v + 1))
-    p = low
+class Automaton:
+    """States, arcs and failure arcs of some texts' n-grams, with a weight for each strength of ``grid``.
+
+    ``counts[k - 1]``: corpus count of each distinct k-gram; ``number[k - 1]``: the k-gram that ends at each token, -1
+    where it would begin before its text. State 0 is the empty history.
+    """
+
+    def __init__(self, counts: list[np.ndarray], number: list[np.ndarray], n: int, v: int, grid: tuple[float, ...] = GRID):
+        strength = np.array(grid)
+        order, self.n_words = len(counts), len(counts[0])
+        last = []  # a token at which each distinct k-gram ends
+        for c, x in zip(counts, number):
+            at = np.zeros(len(c), dtype=np.int64)
+            inside = np.flatnonzero(x >= 0)
+            at[x[inside]] = inside
+            last.append(at)
+        state, size = [], 1
+        for c in counts[: order - 1]:
+            own = np.zeros(len(c), dtype=np.int64)  # 0: no state of its own
+            seen = np.flatnonzero(c > 0)
+            own[seen] = np.arange(size, size + len(seen))
+            state.append(own)
+            size += len(seen)
+        self.fail = np.zeros(size, dtype=np.int64)
+        self.fail_weight = np.zeros((size, len(grid)))
+        low = (counts[0] + ADD) / (n + ADD * (v + 1))
+        self.word_weight = np.log10(low)
+        self.word_target = state[0] if order > 1 else np.zeros(self.n_words, dtype=np.int64)
+        p = np.repeat(low[:, None], len(grid), axis=1)
+        keys, weights, targets = [], [], []
+        for k in range(1, order):  # (k + 1)-grams: arcs of the states of k-grams
+            seen = np.flatnonzero(counts[k - 1] > 0)
+            own, at = state[k - 1][seen], last[k - 1][seen]
+            if k > 1:
+                self.fail[own] = state[k - 2][number[k - 2][at]]
+            self.fail_weight[own] = np.log10(strength / (counts[k - 1][seen][:, None] + strength))
+            seen = np.flatnonzero(counts[k] > 0)
+            at = last[k][seen]
+            history = number[k - 1][at - 1]
+            shorter = p[number[k - 1][at]]
+            p = np.zeros((len(counts[k]), len(grid)))
+            p[seen] = (counts[k][seen][:, None] + strength * shorter) / (counts[k - 1][history][:, None] + strength)
+            keys.append(state[k - 1][history] * self.n_words + number[0][at])
+            weights.append(np.log10(p[seen]))
+            targets.append(state[k][seen] if k < order - 1 else state[k - 1][number[k - 1][at]])
+        key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+        by_key = np.argsort(key)
+        self.keys = key[by_key]
+        self.weights = np.concatenate(weights)[by_key] if keys else np.zeros((0, len(grid)))
+        self.targets = np.concatenate(targets)[by_key] if keys else key
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, weights) of reading a word in each state."""
+        weight = np.zeros((len(word), self.fail_weight.shape[1]))
+        state, out, open_ = state.copy(), np.zeros(len(word), dtype=np.int64), np.arange(len(word))
+        while len(open_):
+            now = state[open_]
+            lowest = now == 0
+            done = open_[lowest]
+            weight[done] += self.word_weight[word[done]][:, None]
+            out[done] = self.word_target[word[done]]
+            open_, now = open_[~lowest], now[~lowest]
+            if not len(open_):
+                break
+            key = now * self.n_words + word[open_]
+            arc = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            hit = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+            weight[open_[hit]] += self.weights[arc[hit]]
+            out[open_[hit]] = self.targets[arc[hit]]
+            open_, now = open_[~hit], now[~hit]
+            weight[open_] += self.fail_weight[now]
+            state[open_] = self.fail[now]
+        return out, weight
+
+    def read(self, words: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+        """log10 probabilities of texts, for each strength; a text's first token, its begin, is only a history."""
+        ends = np.append(starts[1:], len(words))
+        parts = np.maximum(-(-(ends - starts - 1) // PART), 1)
+        text = np.repeat(np.arange(len(starts)), parts)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        scored = starts[text] + 1 + within * PART
+        until = np.minimum(scored + PART, ends[text])
+        first = np.maximum(scored - max(order - 1, 1), starts[text])
+        longest = np.argsort(first - until, kind="stable")
+        first, scored, until, text = first[longest], scored[longest], until[longest], text[longest]
+        size = until - first
+        state = np.zeros(len(first), dtype=np.int64)
+        total = np.zeros((len(first), self.fail_weight.shape[1]))
+        for t in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-size, -t, side="left"))
+            state[:m], weight = self.step(state[:m], words[first[:m] + t])
+            weight[first[:m] + t < scored[:m]] = 0
+            total[:m] += weight
+        out = np.zeros((len(starts), total.shape[1]))
+        np.add.at(out, text, total)
+        return out
+
+
+def _left_out(counts: list[np.ndarray], history: list[np.ndarray], inside: list[np.ndarray], n: int, v: int, b: float) -> np.ndarray:
+    """log10 probability of each training token by a model that has not learnt it, as the automaton would give it."""
+    p = (np.maximum(counts[0] - 1, 0) + ADD) / (max(n - 1, 0) + ADD * (v + 1))
     for k in range(1, len(counts)):
-        c, h = np.maximum(counts[k] - less, 0), np.maximum(history[k] - less, 0)
-        arc = (c + b * p) / (h + b)
-        fail = b / (h + b) * p
-        p = np.where(inside[k], np.where(c > 0, arc, fail), p)
-    return np.log10(low), np.log10(p)
+        c, h = np.maximum(counts[k] - 1, 0), np.maximum(history[k] - 1, 0)
+        p = np.where(inside[k], (c + b * p) / (h + b), p)
+    return np.log10(p)
 
 
 def _score(table: pa.Table, base: str, buckets: int, order: int, n: int, v: int) -> pa.Table:
@@ -169,41 +269,35 @@ def _score(table: pa.Table, base: str, buckets: int, order: int, n: int, v: int)
         data, ends, train = f["data"].tobytes(), f["ends"], f["train"]
     texts = [data[s:e] for s, e in zip(np.concatenate([[0], ends[:-1]]).astype(int).tolist(), ends.tolist())]
     tokens, starts = _tokens(texts)
+    del data, texts
     kinds = table.column("kind").to_numpy()
     answers = table.filter(pa.array(kinds == 1))
     got = {(k, b): t for k, b, t in zip(*(answers.column(c).to_pylist() for c in ("k", "bucket", "totals")))}
-    counts, history, insides, before = [], [], [], None
+    counts, numbers = [], []
     for k, code, inside in _ngrams(tokens, starts, order):
         own, edges, number, _ = _distinct(code, inside, buckets)
-        total = np.zeros(len(own), dtype=np.int64)
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                total[edges[b] : edges[b + 1]] = np.frombuffer(zstandard.decompress(got[k, b]), dtype=np.int64)
-        c = np.zeros(len(tokens), dtype=np.float64)
-        c[inside] = total[number]
-        h = np.zeros(len(tokens), dtype=np.float64)
-        if before is not None:
-            h[1:] = before[:-1]
-        counts.append(c)
-        history.append(h)
-        insides.append(inside)
-        before = c
+        counts.append(np.concatenate([np.frombuffer(zstandard.decompress(got[k, b]), dtype=np.int64) for b in np.flatnonzero(np.diff(edges)).tolist()] or [np.empty(0, dtype=np.int64)]))
+        numbers.append(np.full(len(tokens), -1, dtype=np.int64))
+        numbers[-1][inside] = number
+    del got, answers
     real = np.ones(len(tokens), dtype=bool)
     real[starts] = False
-    none = np.zeros(len(tokens))
     sums = lambda x: np.add.reduceat(np.where(real, x, 0), starts)
-    low, _ = _steps(counts, history, insides, none, n, v, GRID[0])
-    base_score, score, loo = sums(low), [], []
-    learnt = np.repeat(train, np.diff(np.append(starts, len(tokens))))
-    less = learnt.astype(np.float64)
-    for b in GRID:
-        score.append(sums(_steps(counts, history, insides, none, n, v, b)[1]))
-        loo.append(np.where(train, sums(_steps(counts, history, insides, less, n, v, b)[1]), 0.0))
+    machine = Automaton(counts, numbers, n, v)
+    scores = machine.read(numbers[0], starts, order)
+    base_score, n_known = sums(machine.word_weight[numbers[0]]), sums(counts[0][numbers[0]] > 0)
+    del machine
+    learnt = real & np.repeat(train, np.diff(np.append(starts, len(tokens))))
+    at = np.flatnonzero(learnt)
+    each = [np.where(x[at] >= 0, c[x[at]] if len(c) else 0, 0) for c, x in zip(counts, numbers)]
+    before = [np.zeros(len(at))] + [np.where(x[at - 1] >= 0, c[x[at - 1]] if len(c) else 0, 0) for c, x in zip(counts, numbers)]
+    inside = [x[at] >= 0 for x in numbers]
+    likelihood = [float(_left_out(each, before, inside, n, v, b).sum()) for b in GRID]
     rows = table.filter(pa.array(kinds == 0))
     number = rows.column("number").to_numpy()
     n_tokens = np.diff(np.append(starts, len(tokens))) - 1
-    listed = lambda x: pa.array(list(np.stack(x, axis=1)[number]), pa.list_(pa.float64()))
-    return pa.table({"doc": rows.column("doc"), "train": rows.column("train"), "n_tokens": pa.array(n_tokens[number]), "n_known": pa.array(sums(counts[0] > 0).astype(np.int64)[number]), "base_score": pa.array(base_score[number]), "scores": listed(score), "left_out": listed(loo)})
+    listed = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    return pa.table({"doc": rows.column("doc"), "train": rows.column("train"), "n_tokens": pa.array(n_tokens[number]), "n_known": pa.array(n_known.astype(np.int64)[number]), "base_score": pa.array(base_score[number]), "scores": listed(scores[number]), "left_out": listed([likelihood] + [None] * (len(number) - 1))})
 
 
 def score_texts(docs: DataFrame, train: Column, order: int = ORDER, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

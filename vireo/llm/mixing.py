@@ -6,15 +6,18 @@ budget. Clamping sources and resharing the excess by weight until no source is a
 this level, which has a closed form: in the order of clamp / weight, a source is clamped if the targets at
 its own clamping level still fit the budget. Only one row for each source takes part in it.
 
-A document is then repeated ``floor(target / source size)`` times, and documents in a seeded hash order are
-taken once more until the rest of the target is reached. The place in that order at which a source stops is
-found from sums over 256 ranges of the hash and a sort of the one range in which it lies, so no source,
-however large, meets in one task. Scans: one that counts words (kept as a light table), one light.
-
-Defined cases: null text has size 0 and takes nothing; a null source is a source of its own, ordered last;
-null ids and repeated rows are rows like others (rows with equal id and size share their place in the hash
-order); an empty table gives an empty result; extra columns of ``docs`` never clash, as only the three named
-columns are read, and :func:`take_mix` returns them untouched beside ``copies``.
+A document is then repeated ``floor(target / source size)`` times, and documents in a seeded hash order of id, size
+and text are taken once more as long as their middle lies within the rest of the target. The place in that order at
+which a source stops is found from sums over 4096 ranges of the hash and a sort of the one range in which it lies, so
+no source, however large, meets in one task. Rows that share the place (repeated rows) are numbered by parts of the
+table, and the first of them are taken. Scans: one that counts words (kept as a light table), one light.
+
+Defined cases: null and empty text has size 0 and takes nothing; very long texts are documents like others, so a
+source's words differ from its target by half a document at most; a null source is a source of its own, ordered
+last; null ids are ids like others, their texts tell them apart; repeated rows are rows of their own, of which a cut may
+take some (which of them makes no difference to :func:`mix_sources`; :func:`take_mix` orders them by all their
+columns); an empty table gives an empty result; extra columns of ``docs`` never clash, as only the three named columns
+are read, and :func:`take_mix` returns them untouched beside ``copies`` (a column of that name is replaced).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ SEED = "vireo-mix-1"
 #: A plan of at most so many sources is broadcast (some 100 bytes each); a larger one is joined by shuffle, salted.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
-RANGE = 1 << 44  # of the 52 bits of hash: 256 ranges
+RANGE = 1 << 40  # of the 52 bits of hash: 4096 ranges
 
 
 @dataclass(frozen=True)
@@ -43,15 +46,17 @@ class Columns:
     source: str = "source"
 
 
-def _light(docs: DataFrame, c: Columns, seed: str) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(c.text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col(c.id).alias("id"), F.col(c.source).alias("source"), size.alias("size")).withColumn("place", _place(seed))
+def _with_place(rows: DataFrame, text, seed: str) -> DataFrame:
+    """rows(id, ...) with size and place in the seeded hash order: 52 bits of md5 over seed, id, size and text."""
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    null = F.lit("null")
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), null), F.col("size").cast("string"), F.coalesce(F.md5(text), null))
+    return rows.withColumn("size", size).withColumn("place", F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"))
 
 
-def _place(seed: str):
-    """Place in the seeded hash order: 52 bits of md5 over seed, id and size."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string"))
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
+def _light(docs: DataFrame, c: Columns, seed: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{c.id}`").alias("id"), F.col(f"`{c.source}`").alias("source"), F.col(f"`{c.text}`").alias("text"))
+    return _with_place(rows, F.col("text"), seed).drop("text").withColumn("part", F.spark_partition_id())
 
 
 def plan_sources(sizes: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
@@ -112,34 +117,59 @@ def mix_plan(docs: DataFrame, cycle=CYCLE, max_epochs: int = MAX_EPOCHS, share:
     )
     cut = materialize(cut, "mix-cut")
     by_place = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.floor((2 * F.col("wanted") - 2 * (F.col("upto") - F.col("all")) + F.col("each")) / (2 * F.nullif("each", F.lit(0))))
     inside = (
         _with_plan(light, cut, n_sources)
         .filter(F.floor(F.col("place") / F.lit(RANGE)) == F.col("range"))
         .groupBy("source", "place", "before", "wanted")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.col("before") + F.sum("size").over(by_place))
-        .filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("wanted"))
+        .agg(F.sum("size").alias("all"), F.max("size").alias("each"), F.count("*").alias("n"))
+        .withColumn("upto", F.col("before") + F.sum("all").over(by_place))
+        .withColumn("take", F.coalesce(F.greatest(F.least(fits, F.col("n")), F.lit(0)), F.col("n")))
+        .filter("take < n")
         .groupBy("source")
-        .agg(F.max("place").alias("last"))
+        .agg(F.min(F.struct("place", "take")).alias("first"))
     )
     stops = (
         cut.withColumnRenamed("source", "s").join(inside, F.col("s").eqNullSafe(F.col("source")), "left")
-        .select(F.col("s").alias("source"), F.coalesce("last", F.col("range") * F.lit(RANGE) - 1).alias("last"))
-        .withColumnRenamed("source", "stop_source")
+        .select(F.col("s").alias("stop_source"), F.coalesce("first.place", (F.col("range") + 1) * F.lit(RANGE)).alias("stop"), F.coalesce("first.take", F.lit(0)).alias("take"))
     )
     plan = plan.join(stops, F.col("source").eqNullSafe(F.col("stop_source")), "left").drop("stop_source")
     return light, materialize(plan, "mix-stops"), n_sources
 
 
-def _copies():
-    """Whole repetitions, and one more up to the place where the source stops (null: its last row)."""
-    return F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("last").isNull() | (F.col("place") <= F.col("last")), F.when(F.col("wanted") > 0, 1).otherwise(0)).otherwise(0)).otherwise(0).cast("long")
+def _numbered(tied: DataFrame) -> DataFrame:
+    """tied(source, place, order, part, ...) with ``number`` from 1 within each place, in the order of ``order``.
+
+    Rows are counted by part of the table, so that a place with many rows never meets in one task.
+    """
+    key = ["source", "place", "order", "part"]
+    before = Window.partitionBy("source", "place").orderBy("order", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tied.groupBy(*key).agg(F.count("*").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in key], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    here = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return tied.withColumn("here", here).join(offsets, same).withColumn("number", F.col("offset") + F.col("here")).drop("here", "offset", *[f"_{c}" for c in key])
+
+
+def _copies(more):
+    """Whole repetitions, and one more of the rows that the rest of the target takes."""
+    return F.when(F.col("size") > 0, F.col("whole") + F.when((F.col("wanted") > 0) & more, 1).otherwise(0)).otherwise(0).cast("long")
+
+
+def _before_stop():
+    """Whether a row stands before the place where its source stops (null: it takes all)."""
+    return F.col("stop").isNull() | (F.col("place") < F.col("stop"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for every row of ``docs``."""
     light, plan, n = mix_plan(docs, **options)
-    out = _with_plan(light, plan, n).withColumn("copies", _copies())
+    rows = _with_plan(light, plan, n)
+    if plan.filter("take > 0").isEmpty():
+        out = rows.withColumn("copies", _copies(_before_stop()))
+    else:
+        at_stop = F.coalesce(F.col("place") == F.col("stop"), F.lit(False))
+        tied = _numbered(rows.filter(at_stop).withColumn("order", F.lit(0)))
+        out = rows.filter(~at_stop).withColumn("copies", _copies(_before_stop())).unionByName(tied.drop("order").withColumn("copies", _copies(F.col("number") <= F.col("take"))).drop("number"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -147,17 +177,24 @@ def take_mix(docs: DataFrame, columns: Columns = Columns(), seed: str = SEED, **
     """The rows of ``docs`` that the mix takes, with all their columns, and ``copies``, how often each is taken."""
     _, plan, n = mix_plan(docs, columns=columns, seed=seed, **options)
     rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("doc"))
-    size = F.coalesce(F.regexp_count(F.col(f"doc.`{columns.text}`"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    light = rows.select("doc", F.col(f"doc.`{columns.id}`").alias("id"), F.col(f"doc.`{columns.source}`").alias("source"), size.alias("size")).withColumn("place", _place(seed))
-    taken = _with_plan(light, plan, n).withColumn("copies", _copies()).filter(F.col("copies") > 0)
-    return taken.select(*[F.col(f"doc.`{x}`").alias(x) for x in docs.columns if x != "copies"], "copies")
+    placed = _with_place(rows.select("doc", F.col(f"doc.`{columns.id}`").alias("id"), F.col(f"doc.`{columns.source}`").alias("source")), F.col(f"doc.`{columns.text}`"), seed)
+    rows = _with_plan(placed, plan, n)
+    at_stop = F.coalesce(F.col("place") == F.col("stop"), F.lit(False))
+    kept = [*[F.col(f"doc.`{x}`").alias(x) for x in docs.columns if x != "copies"], "copies"]
+    taken = rows.withColumn("copies", _copies(_before_stop())).filter(F.col("copies") > 0).select(*kept)
+    if plan.filter("take > 0").isEmpty():
+        return taken
+    hashed = [F.col(f"doc.`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    tied = materialize(rows.filter(at_stop).withColumn("order", F.xxhash64(*hashed)).withColumn("part", F.spark_partition_id()), "mix-tied")
+    tied = _numbered(tied).withColumn("copies", _copies(F.col("number") <= F.col("take"))).filter(F.col("copies") > 0).select(*kept)
+    return rows.filter(~at_stop).withColumn("copies", _copies(_before_stop())).filter(F.col("copies") > 0).select(*kept).unionByName(tied)
 
 
 SQL = r"""
 WITH light AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(md5(text), 'null') AS hash, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, row_number() OVER () AS n FROM documents
 ), placed AS (
-  SELECT *, ('0x' || substr(md5('vireo-mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR), 1, 13))::BIGINT AS place FROM light
+  SELECT *, ('0x' || substr(md5('vireo-mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR || '|' || hash), 1, 13))::BIGINT AS place FROM light
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM light GROUP BY source
 ), clamps AS (
@@ -174,12 +211,11 @@ WITH light AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets
 ), ordered AS (
   SELECT p.doc_id, p.size, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS wanted,
-    sum(p.size) OVER (PARTITION BY p.source ORDER BY p.place RANGE UNBOUNDED PRECEDING) AS upto,
-    sum(p.size) OVER (PARTITION BY p.source, p.place) AS here
+    sum(p.size) OVER (PARTITION BY p.source ORDER BY p.place, p.n ROWS UNBOUNDED PRECEDING) AS upto
   FROM placed p JOIN plan t ON p.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN wanted > 0 AND 2 * upto - here <= 2 * wanted THEN 1 ELSE 0 END))::BIGINT AS taken,
-  (CASE WHEN size > 0 THEN whole + CASE WHEN wanted > 0 AND 2 * upto - here <= 2 * wanted THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS copies
+  (size * (whole + CASE WHEN wanted > 0 AND 2 * upto - size <= 2 * wanted THEN 1 ELSE 0 END))::BIGINT AS taken,
+  (CASE WHEN size > 0 THEN whole + CASE WHEN wanted > 0 AND 2 * upto - size <= 2 * wanted THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS copies
 FROM ordered
 """
