@@ -47,9 +47,9 @@ def data():
     return docs, items
 
 
-@pytest.mark.parametrize("shard", [32 << 20, 200])
+@pytest.mark.parametrize("shard", [250_000, 7])
 def test_against_brute_force(spark, data, monkeypatch, shard):
-    monkeypatch.setattr(D, "SHARD_BYTES", shard)
+    monkeypatch.setattr(D, "SHARD_WINDOWS", shard)
     docs, items = data
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, spans string, n_words int")
     bench = spark.createDataFrame([(k, t, 0) for k, t in items], "item_id long, text string, doc int")
@@ -71,3 +71,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in D.contamination_report(docs, none).collect()] == [False]
     assert D.contamination_report(docs.limit(0), none).count() == 0
+
+
+def test_a_benchmark_of_some_megabytes_stays_small():
+    """Windows are word numbers, so the automaton takes bytes for words, not for letters."""
+    import resource
+
+    rnd = random.Random(3)
+    vocabulary = [("".join(rnd.choices("abcdefghij", k=9))).encode() for _ in range(50_000)]
+    items = [(k, rnd.choices(vocabulary, k=500)) for k in range(400)]  # 2 MB of text
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    machine = D.Automaton(items)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700 * 1024
+    text = b" ".join(items[7][1][40:60]) + b" xx " + b" ".join(items[9][1][:9])
+    assert machine.scan(text) == (30, [(0, 20)], {7})
+
+
+def test_the_automaton_is_built_once_in_a_worker():
+    a = D._automaton("s", [(0, [b"a", b"b"])], 10)
+    assert D._automaton("s", [(0, [b"a", b"b"])], 10) is a
+    assert D._automaton("t", [(0, [b"a"])], 10) is not a and len(D._BUILT) == 1

@@ -81,5 +81,25 @@ def test_recall_of_a_pair_at_the_threshold(dim):
     assert found >= 0.99 * len(x)
 
 
+@pytest.mark.parametrize("k", [0, 1, 5, 9])
+def test_reached_cells_are_all_within_the_ball(k):
+    rng = np.random.default_rng(k)
+    off, radius = rng.normal(size=(40, k)), 1.1
+    who, cell = E.reached_cells(off, radius)
+    home = ((off > 0) << np.arange(k)).sum(axis=1) if k else np.zeros(40, dtype=int)
+    want = {(i, int(home[i]) ^ f) for i in range(40) for f in range(1 << k) if f == 0 or sum(off[i, j] ** 2 for j in range(k) if f >> j & 1) <= radius**2}
+    assert set(zip(who.tolist(), cell.tolist())) == want and len(who) == len(want)
+    assert (cell[:40] == home).all()
+
+
+def test_many_halvings(spark, monkeypatch):
+    """A label with far more vectors than a cell holds is halved on more directions than ten."""
+    monkeypatch.setattr(E, "CELL", 0.2)
+    rows = vectors(250, 64, 4)
+    assert np.ceil(np.log2(sum(r[2] == 0 for r in rows) / 3 / 0.2)) > 6
+    got, want = run(spark, rows), brute(rows)
+    assert sum(g == w for g, w in zip(got, want)) >= 0.98 * len(want)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []

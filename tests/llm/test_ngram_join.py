@@ -89,8 +89,7 @@ def test_hot_near_copies_and_small_salts(spark, monkeypatch, few):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("partitions", [1, 8, 211])
-@pytest.mark.parametrize("shared", [0, 1, 3])
+@pytest.mark.parametrize("partitions, shared", [(1, 3), (8, 1), (211, 0)])
 def test_few_shared_shingles(spark, partitions, shared):
     common = " ".join(f"c{i}" for i in range(4 + shared))
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + (" " + common if shared and i < 3 else "")) for i in range(50)]

@@ -3,10 +3,10 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
+from .test_mixing import brute_targets
 from .test_ngram_join import brute as brute_groups
 from .test_suffix_dedup import brute as brute_repeats
 
@@ -20,7 +20,7 @@ def sf_dir(spark, tmp_path_factory):
     text = lambda n: " ".join(rnd.choices(vocabulary, k=n))
     passage, item = text(90), text(25)
     texts = [text(rnd.randint(20, 120)) for _ in range(60)]
-    texts += [texts[0], texts[0], texts[1] + " more", passage + " " + text(80), text(70) + " " + passage, text(40) + " " + item, None, "", "123 456", "ü" * 300 + passage]
+    texts += [texts[0], texts[0], texts[1] + " more", passage + " " + text(80), text(70) + " " + passage, text(40) + " " + item, None, "", "123 456", "ü" * 300 + passage, "ЖЩ!! " * 80]
     rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[5], rows[5], (6, text(50), "en", "s1", 1), (None, texts[7], "en", None, 2), (None, text(30), None, None, 2)]
     d = tmp_path_factory.mktemp("sf")
@@ -35,7 +35,9 @@ def test_stages(spark, sf_dir):
 
     one = P.identify_language(spark, docs, sf_dir)
     assert one.columns == columns
-    assert sorted(r.text for r in one.collect()) == sorted(r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+    junk = "ЖЩ!! " * 80  # like no language: nor are its own letters enough to make it one
+    assert sorted(r.text for r in one.collect()) == sorted(r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text) and r.text != junk)
+    assert {r.lang for r in one.collect()} == {"en"}  # a missing language is filled in
 
     before = [(r.doc_id, r.text) for r in one.collect()]
     two = P.one_of_each_group(spark, one, sf_dir)
@@ -72,8 +74,16 @@ def test_stages(spark, sf_dir):
 
     five = P.mix(spark, four, sf_dir)
     assert five.columns == [*columns, "copies"]
-    n = {r.source: r.n for r in five.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
-    assert n
+    words = lambda r: len(r.text.split())
+    size, taken = {}, {}
+    for r in four.collect():
+        size[r.source] = size.get(r.source, 0) + words(r)
+    for r in five.collect():
+        taken[r.source] = taken.get(r.source, 0) + words(r) * r.copies
+    target = brute_targets(size)
+    longest = max(words(r) for r in four.collect())
+    assert all(abs(taken.get(s, 0) - target[s]) <= longest / 2 for s in size)
+    assert {tuple(r)[:-1] for r in five.collect()} <= {tuple(r) for r in four.collect()}
 
 
 def test_run_is_the_stages(spark, sf_dir):
@@ -84,6 +94,14 @@ def test_run_is_the_stages(spark, sf_dir):
     assert sorted(map(key, P.run(spark, sf_dir).collect())) == sorted(map(key, docs.collect()))
 
 
+def test_documents_that_share_nothing_and_no_language(spark, sf_dir):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)), None, "a", 1) for i in range(50)] + [(99, "12 34", None, "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in docs.collect()) == list(range(50))
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:

@@ -44,6 +44,18 @@ def test_round_trip_with_texts(spark, monkeypatch):
     assert got == {**{i: {len(T.encode(t))} for i, t in enumerate(texts)}, None: {len(T.encode("same"))}}
 
 
+def test_long_runs_of_white_space():
+    coder = T.tokenizer(T.VOCABULARY, T.PATTERN)
+    for run in (" " * 9000, "\n" * 5000 + " ", " \t" * 4000, "\u3000" * 4500):
+        for before, after in (("", ""), ("a", ""), ("", "b c"), ("it's  ", "12!"), ("x\n", "\n y")):
+            text = before + run + after
+            assert T.encode_text(coder, text) == coder.encode_ordinary(text)
+    text = "a b" + " " * 6000 + "c" + "\n" * 7000 + "d" + " " * 5000
+    assert T.encode_text(coder, text) == coder.encode_ordinary(text)
+    for text in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b"):  # the pattern engine alone gives up here
+        assert coder.decode(T.encode_text(coder, text)) == text
+
+
 def test_files_hold_what_was_written(spark):
     docs = spark.createDataFrame([(1, "One two"), (2, "three")], "doc_id long, text string").coalesce(1)
     files, order, base = T.write_token_files(docs)

@@ -53,6 +53,25 @@ def test_selected_payloads_and_index(spark):
         assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
 
 
+def test_line_ends_in_urls_and_text_ids(spark):
+    ids = ["a>b", "x:y", "None", "none", "%3E", "é ü", "", "a\r\nb", None]
+    rows = [(p, f"http://e/\r\n\r\nContent-Length: {i}\t#é", f"same {i // 3} " * 40) for i, p in enumerate(ids)]
+    rows += [(f"zz{i}", None, f"same {i} " * 40) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    by_digest = {}
+    for p, _, h in rows:
+        by_digest.setdefault(hashlib.sha256(h.encode()).hexdigest(), []).append(p)
+    want = {}
+    for d, ps in by_digest.items():
+        first = min((p for p in ps if p is not None), key=lambda p: p.encode())
+        want |= {(p, d): ("response", None) if p == first else ("revisit", first) for p in ps}
+    assert got == want
+    index, base = warc.write_archives(df)
+    urls = {r.url for r in warc.read_records(index, base).collect()}
+    assert "http://e/%0D%0A%0D%0AContent-Length:%200%09#é" in urls and "urn:page:zz0" in urls
+
+
 def test_coalesced_reads():
     got = warc.coalesce_ranges([(0, 10), (10, 5), (100, 10), (5000, 10)], gap=100, most=200)
     assert got == [(0, 110, [(0, 10), (10, 5), (100, 10)]), (5000, 10, [(5000, 10)])]

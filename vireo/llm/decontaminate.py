@@ -1,21 +1,24 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Benchmark texts are lower-cased and cut into words; every run of ``window`` consecutive words (a shorter item:
-all its words) is a pattern of the automaton, written as words between single blanks. Each document is
-normalised in the same way and scanned once; matches give the hit words, and from the words' offsets the spans
-of the original text.
-
-The automaton is built from the benchmark in shards of at most ``SHARD_BYTES`` of text and broadcast one shard
-at a time; a usual benchmark is one shard, and a larger one takes one more scan for each further shard.
-Documents are only mapped, never shuffled, unless there are several shards.
-
-Defined cases: null or wordless texts have no words and no windows; a null item_id marks words but is not
-counted as an item; items with equal id count once; repeated documents give a row each; an empty benchmark
-leaves every document clean; extra columns are not read.
+all its words) is a pattern of the automaton, a sequence of word numbers. Each document is normalised in the
+same way and scanned once, words that no item has being number 0; matches give the hit words, and from the words'
+offsets the spans of the original text.
+
+The automaton is built once in a worker. It takes some hundred bytes for each word of a pattern, so a benchmark of more
+than ``SHARD_WINDOWS`` windows is cut into shards of so many (long items between words), fetched, broadcast and scanned
+with one at a time; a usual benchmark is one shard. Documents are only mapped, never shuffled, unless there are several
+shards.
+
+Defined cases: null or wordless texts have no words and no windows; very long texts are scanned whole in one task; a
+null item_id marks words but is not counted as an item; items with equal id count once, windows that several items
+have count for each; repeated documents give a row each; an empty benchmark leaves every document clean, and an empty
+table of documents gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import ensure_importable, materialize
 
 WINDOW = 10
-SHARD_BYTES = 32 << 20
+SHARD_WINDOWS = 250_000
 #: A-Z to a-z; ASCII other than letters and digits to blank; all else stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -37,18 +40,19 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Patterns over Latin-1 decoded bytes, so that positions count bytes."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        patterns: dict[bytes, tuple[int, set[int]]] = {}
-        for k, text in items:
-            w = words(text)
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1 if w else 0):
-                patterns.setdefault(b" " + b" ".join(w[i : i + n]) + b" ", (n, set()))[1].add(k)
-        self.machine = ahocorasick.Automaton()
-        for p, (n, ks) in patterns.items():
-            self.machine.add_word(p.decode("latin-1"), (n, tuple(ks)))
+    """Windows of items (item, words) as sequences of word numbers."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        patterns: dict[tuple[int, ...], set[int]] = {}
+        for k, w in items:
+            own = [self.number.setdefault(x, len(self.number) + 1) for x in w]
+            n = min(window, len(own))
+            for i in range(len(own) - n + 1 if own else 0):
+                patterns.setdefault(tuple(own[i : i + n]), set()).add(k)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p, ks in patterns.items():
+            self.machine.add_word(p, (len(p), tuple(ks)))
         self.empty = not patterns
         if patterns:
             self.machine.make_automaton()
@@ -58,27 +62,33 @@ class Automaton:
         w = words(text)
         if self.empty or not w:
             return len(w), [], set()
-        line = (b" " + b" ".join(w) + b" ").decode("latin-1")
-        found = list(self.machine.iter(line))
-        if not found:
-            return len(w), [], set()
-        ends = np.cumsum([len(x) + 1 for x in w])  # the blank behind each word
+        number = self.number
         runs: list[tuple[int, int]] = []
         items: set[int] = set()
-        for end, (n, ks) in found:
-            to = int(np.searchsorted(ends, end)) + 1
+        for end, (n, ks) in self.machine.iter(tuple([number.get(x, 0) for x in w])):
+            first, to = end + 1 - n, end + 1
             items.update(ks)
-            if runs and to - n <= runs[-1][1]:
-                first = to - n
+            if runs and first <= runs[-1][1]:
                 while len(runs) > 1 and runs[-2][1] >= first:
                     runs.pop()
                 a, b = runs[-1]
                 runs[-1] = (min(a, first), max(b, to))
             else:
-                runs.append((to - n, to))
+                runs.append((first, to))
         return len(w), runs, items
 
 
+_BUILT: dict[tuple[str, int], Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[int, list[bytes]]], window: int) -> Automaton:
+    """The shard's automaton, built once in a worker, which holds the last one only."""
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = Automaton(items, window)
+    return _BUILT[name, window]
+
+
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Byte offsets in the original text of runs of words."""
     a = np.frombuffer(text.translate(NORMAL), dtype=np.uint8) != 32
@@ -87,34 +97,38 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(starts[a]), int(ends[b - 1])) for a, b in runs]
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items as (id, text) in shards of bounded size, fetched one after another."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
-    shard: list[tuple[str | None, bytes]] = []
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items as (id, words) in shards of at most SHARD_WINDOWS windows, fetched one after another."""
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t IS NOT NULL")
+    shard: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for r in rows.toLocalIterator():
-        t = r["t"].encode()
-        if shard and size + len(t) > SHARD_BYTES:
-            yield shard
-            shard, size = [], 0
-        shard.append((r["i"], t))
-        size += len(t)
+        w = words(r["t"].encode())
+        for a in range(0, max(len(w) - window + 1, 1), SHARD_WINDOWS):
+            part = w[a : a + SHARD_WINDOWS + window - 1]
+            n = max(len(part) - window + 1, 1)
+            if shard and size + n > SHARD_WINDOWS:
+                yield shard
+                shard, size = [], 0
+            shard.append((r["i"], part))
+            size += n
     yield shard
 
 
 SCAN = "doc {doc}, n_words long, runs array<struct<a:int,b:int>>, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def _scan_with(rows: DataFrame, shard: list[tuple[str | None, bytes]], window: int) -> DataFrame:
+def _scan_with(rows: DataFrame, shard: list[tuple[str | None, list[bytes]]], window: int) -> DataFrame:
     spark = rows.sparkSession
     ids = sorted({i for i, _ in shard if i is not None})
     number = {x: k for k, x in enumerate(ids)}
-    held = spark.sparkContext.broadcast((ids, [(number[i] if i is not None else -1, t) for i, t in shard]))
+    name = uuid.uuid4().hex
+    held = spark.sparkContext.broadcast((ids, [(number[i] if i is not None else -1, w) for i, w in shard]))
     spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, items = held.value
-        machine = Automaton(items, window)
+        machine = _automaton(name, items, window)
         for b in batches:
             n, runs, where, found = [], [], [], []
             for t in b.column("text").cast(pa.binary()):
@@ -135,21 +149,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ensure_importable(spark)
     keep = list(docs.columns) if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    shards = _shards(benchmark, item_id_col, item_text_col)
+    shards = _shards(benchmark, item_id_col, item_text_col, window)
     first = next(shards)
     more = next(shards, None)
     if more is None:
         return _scan_with(rows, first, window)
     # Several shards: number the rows in a written copy, scan it once for each shard, add up.
     rows = materialize(rows.withColumn("row", F.expr("uuid()")), "decontaminate-rows").select(F.struct("doc", "row").alias("doc"), "text")
-    parts = [_scan_with(rows, first, window)]
+    every = materialize(_scan_with(rows, first, window), "decontaminate-shard")
     while more is not None:
-        parts.append(_scan_with(rows, more, window))
+        found = _scan_with(rows, more, window).filter("size(runs) > 0")
+        every = every.unionByName(materialize(found, "decontaminate-shard"))
         more = next(shards, None)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = materialize(every, "decontaminate-shards")
     pooled = every.groupBy("doc.row").agg(F.first("doc.doc").alias("doc"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return pooled.select("doc", "n_words", _merged("runs"), _merged("spans"), "items")
 

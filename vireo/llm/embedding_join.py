@@ -1,9 +1,10 @@
 """Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
 Unit vectors with cosine >= 0.98 are at most 0.2 apart, so their projections on a few orthonormal directions are
-close. Some leading directions only deal vectors to cells: a cell is the side of the median on each of them, and a vector
-also visits the cells that a ball around it reaches (the radius is that which a pair at the threshold keeps to
-in those directions with probability ``RECALL``). Within a cell, each further projection of the residents is sorted,
+close. Leading directions only deal vectors to cells: a label's vectors are halved at the median of one direction after
+the other until a cell holds about ``CELL``, so their number grows with the label, and a vector also visits the cells
+that a ball around it reaches (the radius is that which a pair at the threshold keeps to in those directions with
+probability ``RECALL``). Within a cell, each further projection of the residents is sorted,
 each query's window around its own projection is looked up in it, and the windows' members are counted. Pairs
 whose count passes are verified by their cosine in double precision. Window and count are calibrated by
 simulation so that a pair at the threshold passes with probability ``RECALL``.
@@ -14,6 +15,8 @@ many residents is split into blocks, a task for each two of them.
 
 The medians are fitted on a sample of at most ``SAMPLE`` vectors; all vectors are dealt and compared.
 
+An empty table gives no rows; equal cosines and repeated vectors make no difference, as every pair is judged for itself.
+
 Defined cases: a vector that is null, empty, zero or has null or non-finite components, and any with a null
 label, links with nothing and is its own component; vectors of unequal length aren't compared; a null id is
 ignored in minima; repeated rows link with each other; extra columns are not read.
@@ -37,7 +40,8 @@ COSINE = 0.98
 RECALL = 0.9999
 PROJECTIONS = 16
 CELL = 2000  # residents aimed at for a cell
-MAX_SPLITS = 10
+MAX_SPLITS = 48  # halvings of a label: cells would hold CELL of 10^17 vectors
+BROADCAST_LABELS = 100_000
 BLOCK = 4096  # residents of a cell handled by one task
 SAMPLE = 20_000
 SEED = 11
@@ -45,24 +49,31 @@ SEED = 11
 
 @lru_cache(maxsize=8)
 def directions(dim: int) -> np.ndarray:
-    """Orthonormal columns: the first MAX_SPLITS deal, the next PROJECTIONS count (fewer in few dimensions: all count)."""
+    """Orthonormal columns: the first deal, the last PROJECTIONS count (in few dimensions all do both)."""
     q, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
     return q
 
 
-def calibrate(dim: int, splits: int, cosine: float = COSINE) -> tuple[float, float, int]:
-    """(radius in the dealing directions, window, least count) that a pair at the threshold keeps to with probability RECALL."""
+def most_splits(dim: int) -> int:
+    return min(MAX_SPLITS, dim - PROJECTIONS if dim >= 2 * PROJECTIONS else dim)
+
+
+def counting(dim: int) -> slice:
+    return slice(dim - PROJECTIONS, dim) if dim >= 2 * PROJECTIONS else slice(0, dim)
+
+
+def calibrate(dim: int, splits: int, cosine: float = COSINE) -> tuple[np.ndarray, float, int]:
+    """(radius in the first 0, 1, .. dealing directions, window, least count) that a pair at the threshold keeps to with probability RECALL."""
     apart = np.sqrt(2 - 2 * cosine)
     x = np.random.default_rng(SEED + 1).standard_normal((200_000, dim)).astype(np.float32)
     x *= apart / np.linalg.norm(x, axis=1, keepdims=True)
-    radius = float(np.quantile(np.linalg.norm(x[:, :splits], axis=1), RECALL)) if splits else 0.0
+    square, radius = np.zeros(len(x)), [0.0]
+    for k in range(min(splits, most_splits(dim))):
+        square += x[:, k].astype(np.float64) ** 2
+        radius.append(min(float(np.sqrt(np.quantile(square, RECALL))), apart) * (1 + 1e-9))
     window = 2 * apart / np.sqrt(dim)
     counts = (np.abs(x[:, counting(dim)]) <= window).sum(axis=1)
-    return min(radius, apart) * (1 + 1e-9), float(window), int(np.quantile(counts, 1 - RECALL, method="lower"))
-
-
-def counting(dim: int) -> slice:
-    return slice(MAX_SPLITS, MAX_SPLITS + PROJECTIONS) if dim >= MAX_SPLITS + PROJECTIONS else slice(0, dim)
+    return np.array(radius), float(window), int(np.quantile(counts, 1 - RECALL, method="lower"))
 
 
 def _prepare(rows: DataFrame) -> DataFrame:
@@ -92,34 +103,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _deal(nodes: DataFrame, splits: int, medians: dict[int, np.ndarray], radii: dict[int, float]) -> DataFrame:
+def reached_cells(off: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the row, cell) for each row's own cell, then for each other one that the ball around it reaches.
+
+    ``off``: distances from the medians. Cells are halved direction by direction, and a row goes on into the other half
+    while that lies within the ball, so only what is reached is ever enumerated.
+    """
+    who, cell, spent = np.arange(len(off)), np.zeros(len(off), dtype=np.int64), np.zeros(len(off))
+    for j in range(off.shape[1]):
+        side = (off[who, j] > 0).astype(np.int64)
+        across = spent + off[who, j] ** 2
+        near = np.flatnonzero(across <= radius**2)
+        cell, far = cell | side << j, cell[near] | (1 - side[near]) << j
+        who, cell, spent = np.concatenate([who, who[near]]), np.concatenate([cell, far]), np.concatenate([spent, across[near]])
+    return who, cell
+
+
+def _deal(nodes: DataFrame, medians: dict[int, np.ndarray], radii: dict[int, np.ndarray]) -> DataFrame:
     """(label, dim, cell, visitor, code, weight, vector): residents, and visitors of cells of greater number."""
     label_type = nodes.schema["label"].dataType.simpleString()
     names = ["label", "dim", "cell", "visitor", "code", "weight", "vector"]
-    flips = (np.arange(1 << splits)[:, None] >> np.arange(splits)) & 1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                part = b.take(pa.array(at))
-                x = unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(len(at), dim))
-                k = min(splits, int(dim))
-                off = x @ directions(int(dim))[:, :k] - medians[int(dim)][:k]
-                home = ((off > 0) << np.arange(k)).sum(axis=1) if k else np.zeros(len(at), dtype=np.int64)
-                who, cell = [np.arange(len(at))], [home]
-                for f in flips[1 : 1 << k, :k]:
-                    to = home ^ int((f << np.arange(k)).sum())
-                    near = np.flatnonzero((to > home) & ((off**2 * f).sum(axis=1) <= radii[int(dim)] ** 2))
-                    who.append(near)
-                    cell.append(to[near])
-                which = np.concatenate(who)
-                visitor = np.arange(len(which)) >= len(at)
-                out = part.take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(np.concatenate(cell), pa.int64()), pa.array(visitor), out.column("code"), out.column("weight"), out.column("vector")], names=names)
-
-    return nodes.select("label", "dim", "code", "weight", "vector").mapInArrow(apply, f"label {label_type}, dim int, cell long, visitor boolean, code long, weight long, vector binary")
+            kinds = np.stack([b.column("dim").to_numpy(), b.column("splits").to_numpy()])
+            for dim, k in np.unique(kinds, axis=1).T.tolist():
+                at = np.flatnonzero((kinds == [[dim], [k]]).all(axis=0))
+                for s in range(0, len(at), 512):
+                    part = b.take(pa.array(at[s : s + 512]))
+                    k = min(k, most_splits(dim))
+                    x = unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(part.num_rows, dim))
+                    which, cell = reached_cells(x @ directions(dim)[:, :k] - medians[dim][:k], radii[dim][k])
+                    visitor = np.arange(len(which)) >= part.num_rows
+                    kept = np.flatnonzero(~visitor | (cell > cell[which]))
+                    out = part.take(pa.array(which[kept]))
+                    yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(cell[kept]), pa.array(visitor[kept]), out.column("code"), out.column("weight"), out.column("vector")], names=names)
+
+    return nodes.select("label", "dim", "splits", "code", "weight", "vector").mapInArrow(apply, f"label {label_type}, dim int, cell long, visitor boolean, code long, weight long, vector binary")
 
 
 def links_between(x: np.ndarray, y: np.ndarray, window: float, least: int, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,19 +219,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     valid = prepared.filter("code IS NOT NULL")
     nodes = materialize(valid.groupBy("code").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector")), "vector-nodes")
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    splits = min(MAX_SPLITS, max(0, int(np.ceil(np.log2(max(1, largest) / CELL)))))
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(CELL)))).cast("int")
+    splits = materialize(sizes.select(F.col("label").alias("of_label"), F.col("dim").alias("of_dim"), halvings.alias("splits")), "vector-splits")
+    largest, labels = splits.agg(F.coalesce(F.max("splits"), F.lit(0)), F.count("*")).first()
+    nodes = nodes.join(F.broadcast(splits) if labels <= BROADCAST_LABELS else splits, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))).drop("of_label", "of_dim")
     dims = [r["dim"] for r in nodes.select("dim").distinct().collect()]
-    sample = nodes.select("dim", "vector", F.xxhash64("code").alias("h")).orderBy("h").limit(SAMPLE).collect() if splits else []
+    sample = nodes.select("dim", "vector", F.xxhash64("code").alias("h")).orderBy("h").limit(SAMPLE).collect() if largest else []
     medians, radii, settings = {}, {}, {}
     for dim in dims:
         own = [np.frombuffer(r["vector"]) for r in sample if r["dim"] == dim]
-        medians[dim] = np.median(unit(np.stack(own)) @ directions(dim)[:, :splits], axis=0) if own else np.zeros(splits)
-        radii[dim], window, least = calibrate(dim, min(splits, dim), cosine)
+        deal = directions(dim)[:, : most_splits(dim)]
+        medians[dim] = np.median(unit(np.stack(own)) @ deal, axis=0) if own else np.zeros(deal.shape[1])
+        radii[dim], window, least = calibrate(dim, largest, cosine)
         settings[dim] = (window, least)
-    dealt = _deal(nodes, splits, medians, radii)
+    dealt = _deal(nodes, medians, radii)
     cell = ["label", "dim", "cell"]
-    if splits:
+    if largest:
         dealt = materialize(dealt, "vector-cells")
     per_cell = dealt.filter("NOT visitor").groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.join(per_cell.withColumnsRenamed({c: f"_{c}" for c in cell}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell]).drop(*[f"_{c}" for c in cell])

@@ -9,7 +9,12 @@ whichever block that is, so a document may span any number of blocks and a block
 :func:`write_token_files` makes such files from texts with a public tokenizer's vocabulary, whose path is a
 parameter; ordinary text never encodes to the separator.
 
-Defined cases: a null or empty text is a document of 0 tokens; tokens behind a file's last separator are a last
+Long runs of white space, on which the tokenizer's pattern engine gives up, are pieces of their own by the pattern's
+rules, so they are cut out and merged without it: a run at the end is one piece, any other gives its last character
+to what follows.
+
+Defined cases: a null or empty text is a document of 0 tokens; a very long text is encoded whole by one task, its
+tokens are scanned in blocks; repeated rows are documents of their own; an empty table gives no rows; tokens behind a file's last separator are a last
 document with ``complete`` false; an empty file has no documents; a size that isn't a multiple of the width is an
 error; ids may be null or repeated (a row each); extra columns are not read.
 """
@@ -17,6 +22,7 @@ error; ids may be null or repeated (a row each); extra columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +41,9 @@ SEPARATOR = 50_256
 WIDTH = "uint16"
 BLOCK_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
-PIECE = 1 << 18  # characters encoded at once
+LONG_RUN = 4096  # characters of white space
+#: The characters that the pattern's \\s stands for.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=2)
@@ -47,8 +55,19 @@ def tokenizer(vocabulary: str, pattern: str):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_text(coder, text: str) -> list[int]:
+    """The ids of a whole text; long runs of white space are merged past the pattern engine."""
+    out, at = [], 0
+    for run in re.finditer(f"[{SPACES}]{{{LONG_RUN},}}", text):
+        end = run.end() - (run.end() < len(text))
+        out += coder.encode_ordinary(text[at : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
+
+
 def encode(text: str | None, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> np.ndarray:
-    return np.array(tokenizer(vocabulary, pattern).encode_ordinary(text or ""), dtype=np.int64)
+    return np.array(encode_text(tokenizer(vocabulary, pattern), text or ""), dtype=np.int64)
 
 
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, separator: int = SEPARATOR, width: str = WIDTH) -> tuple[DataFrame, DataFrame, str]:
@@ -73,7 +92,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         files.create_dir(root, recursive=True)
                         name, at, number = f"{uuid.uuid4().hex}.tokens", 0, 0
                         out = files.open_output_stream(f"{root}/{name}", compression=None)
-                    data = np.array([*coder.encode_ordinary(text.as_py() or ""), separator], dtype=width).tobytes()
+                    data = np.array([*encode_text(coder, text.as_py() or ""), separator], dtype=width).tobytes()
                     out.write(data)
                     at += len(data)
                     names.append(name)

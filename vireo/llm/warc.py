@@ -15,7 +15,9 @@ third of all pages is one row of an aggregate and a join that adaptive execution
 
 Defined cases: null html is an empty payload; smaller payloads than ``MIN_REVISIT`` are responses always; of
 rows with the same smallest page_id and payload one is the response and the others revisit it; a null page_id
-comes after all others; null urls are written as ``urn:page:<page_id>``; an empty table gives no archive and no
+comes after all others; null urls are written as ``urn:page:<page_id>``, and control characters and blanks of a url, such as
+line ends, percent-encoded; ids of any type and text, as ids are percent-encoded in record ids; a very long payload is
+held whole by one task; an empty table gives no archive and no
 rows; extra columns are not read.
 """
 
@@ -23,8 +25,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,7 +60,7 @@ def write_record(url: str, record_id: str, digest: str, size: int, payload: byte
     block = http_head(size) + (payload or b"")
     fields = [
         ("WARC-Type", "response" if payload is not None else "revisit"),
-        ("WARC-Target-URI", url),
+        ("WARC-Target-URI", header_url(url)),
         ("WARC-Date", DATE),
         ("WARC-Record-ID", record_id),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -84,11 +88,14 @@ def parse_record(member: bytes) -> tuple[dict[str, str], int, bytes]:
 
 
 def record_id(page: object, serial: int = 0) -> str:
-    return f"<urn:page:{page}>" if serial == 0 else f"<urn:page:{page}:{serial}>"
+    """The record's name: a page's id percent-encoded, so that it holds none of the name's own marks."""
+    name = "none" if page is None else f"page:{quote(str(page), safe='')}"
+    return f"<urn:{name}>" if serial == 0 else f"<urn:{name}:{serial}>"
 
 
-def page_of(record: str) -> str:
-    return record[len("<urn:page:") : -1].split(":")[0]
+def header_url(url: str) -> str:
+    """A url on one line: control characters and blanks percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
 def classify(pages: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFrame:
@@ -144,7 +151,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                         out = files.open_output_stream(f"{root}/{name}", compression=None)
                     data = payload.as_py()
                     page, revisit = cols["page_id"][i], cols["record_type"][i] == "revisit"
-                    member = write_record(cols["url"][i] or f"urn:page:{page}", record_id(page, cols["copy"][i] - 1), cols["digest"][i], len(data), None if revisit else data, record_id(cols["response_of"][i]) if revisit else None)
+                    member = write_record(cols["url"][i] or record_id(page)[1:-1], record_id(page, cols["copy"][i] - 1), cols["digest"][i], len(data), None if revisit else data, record_id(cols["response_of"][i]) if revisit else None)
                     out.write(member)
                     archives.append(name)
                     offsets.append(at)
@@ -219,7 +226,7 @@ def read_records(index: DataFrame, base: str, with_payload: bool = False) -> Dat
 def archive_round_trip(pages: DataFrame, **columns) -> DataFrame:
     index, base = write_archives(pages, **columns)
     id_type = index.schema["page_id"].dataType
-    page = F.nullif(F.regexp_extract("refers_to_record", r"^<urn:page:([^>]*)>$", 1), F.lit("None")).cast(id_type)
+    page = F.when(F.col("refers_to_record").startswith("<urn:page:"), F.url_decode(F.regexp_extract("refers_to_record", r"^<urn:page:([^:>]*)>$", 1))).cast(id_type)
     return read_records(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page).alias("refers_to"))
 
 
