@@ -14,9 +14,20 @@ from vireo.llm.common import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those that are null or have no letter."""
+    """Documents of no language go: those without a letter, and those of some length that are like no language learnt.
+
+    Languages are learnt from all labelled documents. A null ``lang`` becomes the predicted one, others stay. Null,
+    empty and letterless texts go; short texts stay, as their score tells nothing; repeated rows and null ids are rows like
+    others; with no labelled text, every text with a letter stays; an empty table stays empty; other columns pass.
+    """
     langs, prototypes = langid.learn_prototypes(docs)
-    return langid.identify_languages(docs, langs, prototypes).filter("lang_pred <> 'und'").select(*docs.columns)
+    if not langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    found = langid.identify_languages(whole, langs, prototypes, keep=["doc"], with_size=True)
+    known = found.filter((F.col("lang_pred") != "und") & ~langid.unlike_any())
+    filled = {"lang": F.coalesce("doc.lang", "lang_pred")}
+    return known.select(*[filled.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: At most so many keys of dropped documents (some 50 bytes each) are broadcast; more are joined by a shuffle.
@@ -29,7 +40,11 @@ def _small(keys: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id stays of each group of near-duplicates; of repeated rows of it, one."""
+    """The document of the smallest doc_id stays of each group of near-duplicates; of repeated rows of it, one.
+
+    A null id comes after all others. Null, empty and wordless texts are near-duplicates of nothing and stay, as do all
+    rows of a table in which nothing is shared; very long texts are compared whole; other columns pass.
+    """
     text = F.xxhash64("text")
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text.alias("text_hash")).alias("key"), "text")
     groups = materialize(ngram_join.similar_groups(keyed, id_col="key").filter("n_shingles > 0").withColumnRenamed("doc_id", "key"), "pipeline-groups")
@@ -52,7 +67,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes and more that stand elsewhere too are cut out; a document that is cut to blanks goes.
 
-    A cut may fall inside a character; its other bytes are left out too.
+    A cut may fall inside a character; its other bytes are left out too. Null and short texts stay as they are; of
+    repeated rows of some length nothing is left; an empty table stays empty; n_chars follows a cut, other columns pass.
     """
     cut = suffix_dedup.remove_repeats(docs, with_text=True)
     text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
@@ -63,13 +79,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of ten words of a benchmark item, or all of a shorter one, go.
+
+    Null and wordless texts stay, and all if the benchmark is empty; repeated rows share their fate; very long texts are
+    scanned whole; other columns pass.
+    """
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("runs") == 0).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``copies``."""
+    """The documents that the mix takes, with ``copies``, how often each is taken.
+
+    Null and empty texts have no words and aren't taken; a null source is a source of its own; of repeated rows a cut may
+    take some; an empty table stays empty; other columns pass.
+    """
     return mixing.take_mix(docs)
 
 
