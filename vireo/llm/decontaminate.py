@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def words(text: bytes) -> list[bytes]:
-    return [w for w in text.translate(NORMAL).split(b" ") if w]
+    return text.translate(NORMAL).split()
 
 
 class Automaton:
@@ -62,10 +63,9 @@ class Automaton:
         w = words(text)
         if self.empty or not w:
             return len(w), [], set()
-        number = self.number
         runs: list[tuple[int, int]] = []
         items: set[int] = set()
-        for end, (n, ks) in self.machine.iter(tuple([number.get(x, 0) for x in w])):
+        for end, (n, ks) in self.machine.iter(tuple(map(self.number.get, w, repeat(0)))):
             first, to = end + 1 - n, end + 1
             items.update(ks)
             if runs and first <= runs[-1][1]:
