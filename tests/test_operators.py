@@ -10,6 +10,7 @@ from vireo.functions import network, text, tokens, vectors
 from vireo.operators import accounts, analytics, catalog, dedupe, descriptor, frames, pipeline, scenes
 from vireo.sources import readers, views
 
+#: What descriptors of these images must be, and a vector in the form that callers send.
 GOLDEN = {
     "ramp": [30, 15, 16, 16, 16, 16, 16, 15, 16, 15, 16, 16, 16, 16, 15, 15, 15, 16, 15, 16, 15, 32, 16, 16, 16, 16, 16, 32, 16, 16, 16, 16, 16],
     "black": [2] + [16] * 20 + [32] + [16] * 5 + [32] + [16] * 5,
@@ -130,6 +131,63 @@ def test_safe_urls(spark):
     assert [r[0] for r in df.select(text.is_safe_url(F.col("u"))).collect()] == list(urls.values())
 
 
+def test_written_forms_of_private_addresses(spark):
+    unsafe = ["[::ffff:10.0.0.1]", "[::ffff:8.8.8.8]", "[fe80::1]", "[ff02::1]", "[::]", "2130706433", "0x7f.1", "0177.0.0.1", "127.1", "100.64.0.1", "198.18.0.9", "224.0.0.1", "10.0.0.1", "0.0.0.0"]
+    safe = ["100.128.0.1", "198.20.0.1", "1.2.3.4", "a1.example.org", "1e100.net", "[2001:4860::8888]", "172.15.0.1"]
+    df = spark.createDataFrame([(f"http://{h}/x",) for h in unsafe + safe], "u string")
+    assert [r[0] for r in df.select(text.is_safe_url(F.col("u"))).collect()] == [False] * len(unsafe) + [True] * len(safe)
+
+
+def test_crawl_end_against_a_loop(spark):
+    import random
+
+    def loop(ids, known):
+        current, last = known, known
+        while True:
+            block = range(current, current + 50)
+            last = max([last, *(i for i in block if i in ids)])
+            if block[-1] - last >= 200:
+                return block[-1]
+            current += 50
+
+    for seed in range(6):
+        rnd = random.Random(seed)
+        known = rnd.randint(1, 300)
+        ids, at = set(), rnd.randint(1, 200)
+        for _ in range(25):
+            at += rnd.choice([1, 3, 40, 150, 199, 201, 230, 249, 251])
+            ids.add(at)
+        found = spark.createDataFrame([(i,) for i in sorted(ids)], "id int")
+        assert catalog.crawl_end(found, known).first()[0] == loop(ids, known)
+    assert catalog.crawl_end(found.limit(0), 1).first()[0] == loop(set(), 1)
+
+
+def test_accounts_of_several_requests(spark):
+    users = spark.createDataFrame([(1, "a@b.c", "k1"), (2, "d@b.c", "k2")], "id int, email string, api_key string")
+    tiers = spark.createDataFrame([(1,)], "id int")
+    asked = spark.createDataFrame([(1, "new@b.c", 1), (2, "new@b.c", 1), (3, None, 1), (4, "x", 1), (5, "e@b.c", None), (6, "e@b.c", 7), (7, "a@b.c", 1)], "request_id int, email string, tier int")
+    got = {r.request_id: (r.code, r.error) for r in accounts.new_accounts(users, tiers, asked).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 200, 2: 409, 3: 400, 4: 400, 5: 400, 6: 400, 7: 409}
+    assert got[5][1] == "Error: tier cannot be empty" and got[6][1] == "Error: invalid tier number"
+    resets = spark.createDataFrame([(1, "k1", "12345678"), (2, "k1", "short"), (3, None, "12345678"), (4, "k9", None)], "request_id int, api_key string, password string")
+    assert {r.request_id: r.code for r in accounts.password_resets(users, resets).collect()} == {1: 200, 2: 400, 3: 403, 4: 403}
+    logins = spark.createDataFrame([(1, "a@b.c", "p"), (2, "a@b.c", None), (3, None, "p")], "request_id int, email string, password string")
+    assert {r.request_id: (r.code, r.api_key) for r in accounts.login(users.withColumn("password", F.lit("p")), logins).collect()} == {1: (200, "k1"), 2: (403, None), 3: (403, None)}
+
+
+def test_nearest_frames_in_blocks_and_parts(spark, monkeypatch):
+    rows = [(i, i % 3, float(i), [(i * 7) % 11, (i * 5) % 13]) for i in range(200)]
+    every = spark.createDataFrame(rows, "frame_id long, file_id int, time double, vector array<int>")
+    wanted = every.filter("frame_id % 20 = 0").select(F.col("frame_id").alias("query_id"), F.col("vector").alias("qvec"))
+    monkeypatch.setattr(frames, "BLOCK", 4)
+    got = sorted((r.query_id, r.score, r.frame_id) for r in frames.nearest_frames(every, wanted, 15).collect())
+    want = []
+    for q in range(0, 200, 20):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(r[3], rows[q][3])), r[0]) for r in rows)[:15]
+        want += [(q, s, f) for s, f in near]
+    assert got == sorted(want)
+
+
 def test_templates(spark):
     got = spark.range(1).select(text.fill_template(F.lit("Hi {{name}}!"), name=F.lit("<a & 'b'>"))).first()[0]
     assert got == "Hi &lt;a &amp; &#39;b&#39;&gt;!"
@@ -138,6 +196,7 @@ def test_templates(spark):
 def test_missing_catalog_ids_nulls(spark):
     files = spark.createDataFrame([(1,), (2,), (None,)], "catalog_id int")
     known = spark.createDataFrame([(1,)], "id int")
+    assert pipeline.missing_catalog_ids(files, spark.createDataFrame([(1,), (None,)], "id int")).count() == 0
     assert [r[0] for r in pipeline.missing_catalog_ids(files, known).collect()] == [2]
     assert len(pipeline.missing_catalog_ids(files, known.limit(0)).collect()) == 3
 
@@ -178,6 +237,8 @@ def test_tokens(spark):
     import hmac
 
     df = spark.createDataFrame([("m",), (None,)], "m string")
+    for kind, key in (("sha1", b"k"), ("sha512", b"key" * 60), ("sha256", b"key" * 60)):
+        assert df.select(tokens.hmac_hex(key, kind)("m")).first()[0] == hmac.new(key, b"m", kind).hexdigest()
     assert [r[0] for r in df.select(tokens.hmac_hex(b"k")("m")).collect()] == [hmac.new(b"k", b"m", "sha256").hexdigest(), None]
     assert len(df.select(tokens.scrypt_base64(b"s")("m")).first()[0]) == 88
     assert tokens.api_key(1, bytes(32)).startswith("AQAA")

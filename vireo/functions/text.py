@@ -55,10 +55,15 @@ def is_email(text: Column) -> Column:
 
 
 def is_safe_url(url: Column) -> Column:
-    """http or https, and not a literal private, loopback or link-local address."""
+    """http or https, and not a literal private, shared, loopback, link-local or multicast address.
+
+    Also unsafe: addresses that are written as one number, in less than four parts, in octal or in hexadecimal, and IPv4
+    addresses within IPv6 ones.
+    """
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2\d|3[01])\.|\[(::1|::|f[cd][0-9a-f]*:|fe[89ab][0-9a-f]*:))")
-    return F.lower(url).rlike(r"^https?://") & (host != "") & ~private
+    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|198\.1[89]\.|(22[4-9]|2[345]\d)\.|\[(::|f[cdf][0-9a-f]*:|fe[89a-f][0-9a-f]*:|64:ff9b:|2002:|0*:))")
+    numeric = host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+)){0,2}\.?$|^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$") & ~host.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
+    return F.lower(url).rlike(r"^https?://") & (host != "") & ~private & ~numeric
 
 
 def escape_html(text: Column) -> Column:

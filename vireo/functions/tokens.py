@@ -1,10 +1,9 @@
-"""Digests and tokens that SQL lacks, as Arrow-batched UDFs; one-way digests that Spark has are used from there."""
+"""Digests and tokens: expressions over the digests that Spark has; only scrypt is an Arrow-batched UDF."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import hmac
 import struct
 
 import pandas as pd
@@ -18,11 +17,18 @@ def token_expiry(epoch_seconds: Column, window: int = 3600) -> Column:
 
 
 def hmac_hex(key: bytes, algorithm: str = "sha256"):
-    @F.pandas_udf("string")
-    def digest(message: pd.Series) -> pd.Series:
-        return message.map(lambda m: None if m is None else hmac.new(key, m.encode() if isinstance(m, str) else bytes(m), algorithm).hexdigest())
+    """Keyed digests by the definition of HMAC over the digests that Spark has: H(outer pad, H(inner pad, message))."""
+    kinds = {"sha1": (64, F.sha1), "sha256": (64, lambda c: F.sha2(c, 256)), "sha512": (128, lambda c: F.sha2(c, 512))}
+    if algorithm not in kinds:
+        raise ValueError(f"algorithm must be one of {', '.join(kinds)}")
+    size, digest = kinds[algorithm]
+    key = (hashlib.new(algorithm, key).digest() if len(key) > size else key).ljust(size, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in key)) for pad in (0x36, 0x5C))
 
-    return digest
+    def signature(message: Column | str) -> Column:
+        return digest(F.concat(outer, F.unhex(digest(F.concat(inner, F.col(message).cast("binary") if isinstance(message, str) else message.cast("binary"))))))
+
+    return signature
 
 
 def scrypt_base64(salt: bytes, size: int = 64):
@@ -33,23 +39,24 @@ def scrypt_base64(salt: bytes, size: int = 64):
     return digest
 
 
-def preview_token(salt: bytes):
-    """First word of the SHA-1 of a salt whose first word is time ^ expiry ^ file."""
-
-    def word(time: int, expiry: int, file_id: int) -> int:
-        mixed = abs(_int32(_int32(time) ^ _int32(expiry) ^ _int32(file_id)))
-        return struct.unpack("<I", hashlib.sha1(struct.pack("<I", mixed) + salt[4:]).digest()[:4])[0]
+def _turned(hexed: Column) -> Column:
+    """Eight hex digits, byte by byte from the back."""
+    return F.concat(*[F.substring(hexed, k, 2) for k in (7, 5, 3, 1)])
 
-    @F.pandas_udf("long")
-    def token(time: pd.Series, expiry: pd.Series, file_id: pd.Series) -> pd.Series:
-        return pd.Series([word(int(t), int(e), int(f)) for t, e, f in zip(time, expiry, file_id)], dtype="int64")
 
-    return token
+def preview_token(salt: bytes):
+    """First word of the SHA-1 of a salt whose first word is time ^ expiry ^ file, words being little-endian."""
 
+    def token(time: Column, expiry: Column, file_id: Column) -> Column:
+        word = F.lit(0xFFFFFFFF)
+        mixed = (F.col(time) if isinstance(time, str) else time).cast("long").bitwiseAND(word)
+        for x in (expiry, file_id):
+            mixed = mixed.bitwiseXOR((F.col(x) if isinstance(x, str) else x).cast("long").bitwiseAND(word))
+        size = F.when(mixed >= 1 << 31, F.lit(1 << 32) - mixed).otherwise(mixed)  # of a signed word
+        first = F.unhex(_turned(F.lpad(F.hex(size), 8, "0")))
+        return F.conv(_turned(F.sha1(F.concat(first, F.lit(salt[4:])))), 16, 10).cast("long")
 
-def _int32(x: int) -> int:
-    x &= 0xFFFFFFFF
-    return x - (1 << 32) if x >> 31 else x
+    return token
 
 
 def api_key(user_id: int, random: bytes) -> str:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+#: How a new account's address must look, and the least length of a password.
+ADDRESS = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
+PASSWORD_LENGTH = 8
+
 
 def used_last_day(logs: DataFrame, key: str, as_of: Column) -> DataFrame:
     """Successes in the day before ``as_of`` by key, aggregated before any join."""
@@ -31,6 +37,7 @@ def quota_guest(tiers: DataFrame, logs: DataFrame, network: str, as_of: Column)
 
 
 def quota_message(quota: Column, used: Column) -> Column:
+    """Fixed value: the text that callers compare with."""
     return F.when(used >= quota, F.concat(F.lit("Search quota depleted (quota per 24 hours: "), quota.cast("string"), F.lit(", used: "), used.cast("string"), F.lit(")")))
 
 
@@ -51,14 +58,52 @@ def apply_changes(existing: DataFrame, changes: DataFrame, key: str, column: str
 
 
 def with_new_ids(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows numbered on from the greatest key; numbers are dealt without gathering the rows."""
+    """New rows numbered on from the greatest key; numbers are dealt without gathering the rows.
+
+    The rows are written with their place first, so that what is counted is what is numbered.
+    """
     greatest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_max"))
-    placed = new.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33))
+    placed = checkpointed(new.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33)))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(counts), "_part").crossJoin(F.broadcast(greatest)).withColumn(key, F.col("_max") + F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before", "_max")
 
 
+def login(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(request_id, email, password digest) -> request_id, code, api_key: 200 with the key, else 403."""
+    known = users.select("email", "password", F.col("api_key").alias("key")).dropDuplicates(["email", "password"])
+    found = requests.join(known, ["email", "password"], "left")
+    return found.select("request_id", F.when(F.col("key").isNull(), 403).otherwise(200).alias("code"), F.col("key").alias("api_key"))
+
+
+def new_accounts(users: DataFrame, tiers: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(request_id, email, tier) -> request_id, email, tier, code, error.
+
+    Checked in this order: address there, well-formed, tier there, known, address unused. Of several valid requests for one
+    address the first is created, the others find it in use.
+    """
+    email, tier = F.col("email"), F.col("tier")
+    known = requests.join(F.broadcast(tiers.select(F.col("id").alias("known_tier"))), tier == F.col("known_tier"), "left")
+    used = known.join(users.select(F.col("email").alias("used_email")).distinct(), email == F.col("used_email"), "left")
+    error = (
+        F.when(email.isNull() | (email == ""), "Error: email cannot be empty").when(~email.rlike(ADDRESS), "Error: invalid email address")
+        .when(tier.isNull() | (tier == 0), "Error: tier cannot be empty").when(F.col("known_tier").isNull(), "Error: invalid tier number").when(F.col("used_email").isNotNull(), "Error: user already exists")
+    )
+    checked = used.withColumn("error", error)
+    first = checked.filter("error IS NULL").groupBy("email").agg(F.min("request_id").alias("first_id")).withColumnRenamed("email", "first_email")
+    settled = checked.join(first, email == F.col("first_email"), "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("request_id") > F.col("first_id")), "Error: user already exists").otherwise(F.col("error")))
+    code = F.when(F.col("error").isNull(), 200).when(F.col("error").endswith("exists"), 409).otherwise(400)
+    return settled.select("request_id", "email", "tier", code.alias("code"), "error")
+
+
+def password_resets(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(request_id, api_key, password) -> request_id, user_id, code: 403 without a known key, 400 if too short."""
+    known = users.select(F.col("id").alias("user_id"), F.col("api_key").alias("known_key")).dropDuplicates(["known_key"])
+    found = requests.join(known, F.col("api_key") == F.col("known_key"), "left")
+    code = F.when(F.col("user_id").isNull(), 403).when(F.coalesce(F.length("password"), F.lit(0)) < PASSWORD_LENGTH, 400).otherwise(200)
+    return found.select("request_id", "user_id", code.alias("code"))
+
+
 def queue_depth(queue: DataFrame) -> DataFrame:
     """(priority, queued) -> waiting: requests of this priority or a higher one."""
     return queue.withColumn("waiting", F.sum("queued").over(Window.orderBy("priority").rowsBetween(0, Window.unboundedFollowing)).cast("long"))

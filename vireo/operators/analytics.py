@@ -27,6 +27,12 @@ def traffic_pivot(logs: DataFrame, period: str, as_of: Column) -> DataFrame:
     return _recent(logs, period, as_of).groupBy("date_time").agg(*[F.count_if(F.col("code") == c).alias(f"c{c}") for c in CODES], F.count("*").alias("total"))
 
 
+def traffic_codes(logs: DataFrame, period: str, as_of: Column) -> DataFrame:
+    """One row for each bucket: the counts of whatever codes there are, as a map, and their total."""
+    each = traffic(logs, period, as_of).filter("code IS NOT NULL")
+    return each.groupBy("date_time").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "count")))).alias("counts"), F.sum("count").alias("total"))
+
+
 def percentiles(logs: DataFrame, period: str, value: str, as_of: Column) -> DataFrame:
     """Discrete percentiles of ``value`` in each bucket; nulls are ignored, a bucket of nulls has nulls."""
     kind = logs.schema[value].dataType.simpleString()

@@ -79,3 +79,20 @@ def id_chunks(first: Column, ids: DataFrame, size: int = 50) -> DataFrame:
 def add_titles(catalog: DataFrame, extra: DataFrame) -> DataFrame:
     """Alternative titles (id, title_chinese) of a small side table, where there are any."""
     return catalog.join(extra, "id", "left")
+
+
+def crawl_end(found: DataFrame, known: int, size: int = 50, most_empty: int = 200) -> DataFrame:
+    """last_id: where a crawl in blocks of ``size`` from ``known`` on ends, given the ids (id) that there are.
+
+    It ends with the first block whose end lies ``most_empty`` or more behind the last id found. An id's next one is looked
+    for in its own range of ids and the one behind, so ids are never sorted in one task.
+    """
+    reach = most_empty + size
+    start = found.sparkSession.createDataFrame([(known,)], "id long")
+    ids = found.select(F.col("id").cast("long").alias("id")).filter(F.col("id") > known).distinct().unionByName(start)
+    ids = ids.withColumn("part", F.floor((F.col("id") - known) / reach).cast("long"))
+    first = ids.groupBy("part").agg(F.min("id").alias("next_first")).select((F.col("part") - 1).alias("part"), "next_first")
+    behind = F.coalesce(F.lead("id").over(Window.partitionBy("part").orderBy("id")), F.col("next_first"))
+    ends = F.lit(known + size - 1) + size * F.greatest(F.lit(0), F.ceil((F.col("id") + most_empty - (known + size - 1)) / size))
+    followed = ids.join(first, "part", "left").withColumn("behind", behind).withColumn("ends", ends.cast("long"))
+    return followed.filter(F.col("behind").isNull() | (F.col("behind") > F.col("ends"))).agg(F.min("ends").alias("last_id"))

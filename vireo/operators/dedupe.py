@@ -15,9 +15,9 @@ class KeptFrames:
     """The last ``KEPT`` frames kept, newest last."""
 
     def __init__(self) -> None:
-        self.frames: list[tuple[float, tuple]] = []
+        self.frames: list[tuple[float, bytes]] = []
 
-    def admit(self, time: float, vector: tuple) -> bool:
+    def admit(self, time: float, vector: bytes) -> bool:
         """Whether no kept frame less than ``WITHIN`` before has this vector; if so the frame is kept."""
         for t, v in reversed(self.frames):
             if time - t < WITHIN and v == vector:
@@ -42,7 +42,7 @@ def dedupe_frames(frames: DataFrame) -> DataFrame:
             for f, t, v in zip(pdf["file_id"].tolist(), pdf["time"].tolist(), pdf["vector"]):
                 if f != file_id:
                     file_id, kept = f, KeptFrames()
-                good.append(kept.admit(t, tuple(v)))
+                good.append(kept.admit(t, v.tobytes()))
             yield pdf[good]
 
     return ordered.mapInPandas(apply, ordered.schema)

@@ -1,11 +1,14 @@
 """Frame search: exact k-nearest frames, merged to intervals of a file, best intervals, joined to files and catalogue.
 
-The few query vectors (at most ``MAX_QUERIES``) are broadcast; each frame's distances are computed in one scan,
-and only the nearest ``candidates`` of each query leave a task (a partial rank limit before the shuffle).
+Query vectors are broadcast, in blocks of at most ``BLOCK`` where there are more; each frame's distances to a block are
+computed in one scan, and only the nearest ``candidates`` of each query leave a task (a partial rank limit before the
+shuffle). They are ranked in ``SALTS`` parts first, so that what all tasks send for a query never meets in one of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +16,28 @@ from ..functions.vectors import similarity, squared_distance, squared_distance_d
 
 MAX_QUERIES = 10
 CANDIDATES = 1000
+BLOCK = 10_000
+SALTS = 64
 GAP = 5.0
 RESULTS = 10
 
 
 def nearest_frames(frames: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     """frames x queries(query_id, qvec) -> query_id, frame_id, file_id, time, score: the ``candidates`` nearest."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_nearest(frames, queries.filter(block == k) if blocks > 1 else queries, candidates) for k in range(blocks)])
+
+
+def _nearest(frames: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
     whole = "array<int>" == queries.schema["qvec"].dataType.simpleString()
     distance = squared_distance if whole else squared_distance_double
     scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), distance(F.col("vector"), F.col("qvec")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "frame_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= candidates).drop("rank")
+    nearest_first = ("score", "frame_id")
+    by_part = F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*nearest_first))
+    some = scored.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(SALTS))).withColumn("rank", by_part).filter(F.col("rank") <= candidates).drop("salt", "rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest_first))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= candidates).drop("rank")
 
 
 def merge_matches(hits: DataFrame, gap: float = GAP) -> DataFrame:

@@ -30,10 +30,15 @@ def media_columns(files: DataFrame) -> DataFrame:
 
 
 def missing_catalog_ids(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Catalogue ids of files that the catalogue lacks. NOT IN: null ids never qualify, unless the catalogue is empty."""
-    files.select("catalog_id").createOrReplaceTempView("_pipeline_files")
-    catalog.select("id").createOrReplaceTempView("_pipeline_catalog")
-    return files.sparkSession.sql("SELECT DISTINCT catalog_id FROM _pipeline_files WHERE catalog_id NOT IN (SELECT id FROM _pipeline_catalog)")
+    """Catalogue ids of files that the catalogue lacks, by the rules of NOT IN.
+
+    Null ids never qualify, and none does if the catalogue has a null id; all do if it is empty. An anti join, which
+    picks its way by size, and one row of counts.
+    """
+    counts = catalog.agg(F.count("*").alias("_all"), F.count("id").alias("_known"))
+    lacking = files.select("catalog_id").distinct().join(catalog.select(F.col("id").alias("catalog_id")), "catalog_id", "left_anti")
+    applies = (F.col("_all") == 0) | (F.col("catalog_id").isNotNull() & (F.col("_all") == F.col("_known")))
+    return lacking.crossJoin(F.broadcast(counts)).filter(applies).select("catalog_id")
 
 
 def pending(files: DataFrame, condition: Column, limit: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 VIEWS = {
     "frames": "SELECT vec_id AS frame_id, label AS file_id, vec_id * 0.5::DOUBLE AS time, list_transform(embedding[1:33], lambda x: floor((x::DOUBLE + 1) * 32)::INT) AS vector FROM embeddings",
-    "queries": "SELECT frame_id AS query_id, vector AS qvec FROM frames WHERE frame_id IN (7, 77, 177)",
+    "queries": "SELECT frame_id AS query_id, vector AS qvec FROM frames WHERE frame_id % 20 = 0",
     "logs": """SELECT event_id AS id, ts AS created,
       CASE WHEN user_id % 2 = 0 THEN '10.0.' || user_id % 5 || '.' || user_id ELSE '2001:db8:0:' || user_id || ':0:0:0:' || event_id % 16 END AS ip,
       CASE WHEN user_id % 2 = 0 THEN '10.0.' || user_id % 5 || '.' || user_id || '/32' ELSE '2001:db8:0:' || user_id || '::/64' END AS network,
@@ -27,7 +27,7 @@ VIEWS = {
     "changes": "SELECT event_id, user_id, epoch_us(ts) / 1000000::DOUBLE - epoch_us(min(ts) OVER (PARTITION BY user_id)) / 1000000::DOUBLE AS t, value / 500 AS score FROM events",
     # search
     "hits": """SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, frame_id) AS rank FROM
-      (SELECT query_id, frame_id, file_id, time, list_sum(list_transform(list_zip(vector, qvec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::INT AS score FROM frames, queries)) WHERE rank <= 100""",
+      (SELECT query_id, frame_id, file_id, time, list_sum(list_transform(list_zip(vector, qvec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::INT AS score FROM frames, queries)) WHERE rank <= 1000""",
     "islands": """SELECT *, sum(opens) OVER (PARTITION BY query_id, file_id ORDER BY time, frame_id ROWS UNBOUNDED PRECEDING) AS island FROM
       (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY query_id, file_id ORDER BY time, frame_id) < 5 THEN 0 ELSE 1 END AS opens FROM hits)""",
     "matches": "SELECT query_id, file_id, min(time) AS from_time, max(time) AS to_time, min(score)::INT AS score, arg_min(time, score * 1000000000.0 + time) AS at_time FROM islands GROUP BY query_id, file_id, island",
@@ -77,16 +77,18 @@ _MEDIA = r"regexp_matches(path, '^\d+/[^/]*\.(webm|mkv|mp4)$')"
 _OLD = "SELECT path FROM listing WHERE length(path) % 2 = 0"
 
 SQL = {
-    "frame_search": _with(("results",), "SELECT * FROM results", queries="SELECT frame_id AS query_id, vector AS qvec FROM frames WHERE frame_id = 7"),
+    "frame_search": _with(("results",), "SELECT * FROM results WHERE rank = 1"),
     "frame_search_batch": _with(("results",), "SELECT * FROM results"),
     "frame_search_filtered": _with(("results",), "SELECT * FROM results", files=VIEWS["files"].replace("o_custkey * 2 AS catalog_id", "o_orderkey % 3 AS catalog_id") + " WHERE o_orderkey % 3 = 1", hits=VIEWS["hits"].replace("FROM frames, queries", "FROM frames, queries WHERE file_id % 3 = 1 AND file_id IN (SELECT o_orderkey FROM orders)")),
     "frame_search_catalog": _with(("results", "catalog"), "SELECT query_id, rank, catalog_id, json AS catalog_json FROM results LEFT JOIN catalog ON catalog.id = catalog_id"),
     "nearest_frames": _with(("hits",), "SELECT * FROM hits"),
     "merge_matches": _with(("matches",), "SELECT * FROM matches"),
     "frame_count": "SELECT count(*) AS row_count FROM embeddings",
+    # fixed value: the bytes of the vector in the query
     "parse_vector": "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN [32,24,7,19,13,13,19,22,24,15,14,16,15,15,13,18,16,17,14,13,19,34,12,26,17,19,17,26,19,8,12,11,9] END AS vector FROM region",
     "stats_traffic": _with(("logs",), f"SELECT date_trunc('hour', created)::TIMESTAMP AS date_time, code, count(*) AS count FROM logs WHERE {_HOURS} GROUP BY 1, 2"),
     "stats_traffic_pivot": _with(("logs",), "SELECT date_trunc('day', created)::TIMESTAMP AS date_time, " + ", ".join(f"count(*) FILTER (code = {c}) AS c{c}" for c in (200, 400, 402, 405, 500, 503)) + f", count(*) AS total FROM logs WHERE {_DAYS} GROUP BY 1"),
+    "stats_traffic_codes": _with(("logs",), f"SELECT date_time, string_agg(code || ':' || n, ',' ORDER BY code) AS counts, sum(n)::BIGINT AS total FROM (SELECT date_trunc('hour', created)::TIMESTAMP AS date_time, code, count(*) AS n FROM logs WHERE {_HOURS} GROUP BY 1, 2) GROUP BY 1"),
     "stats_speed": _percentiles("search_time", "hour", _HOURS, "INT"),
     "stats_accuracy": _percentiles("accuracy", "day", _DAYS, "DOUBLE"),
     "status_totals": _with(("files",), "SELECT count(*) AS files, sum(frame_count)::BIGINT AS frames, sum(duration::DECIMAL(18,2))::DOUBLE AS seconds FROM files"),
@@ -107,6 +109,22 @@ SQL = {
     "tiers_seed": _with(("tiers",), "SELECT id, priority, concurrency, CASE WHEN id < 4 THEN quota ELSE quota - 1 END AS quota FROM tiers"),
     "apply_tier_changes": _with(("users",), "SELECT id, email, api_key, CASE WHEN id % 10 = 3 THEN tier + 1 ELSE tier END AS tier FROM users"),
     "new_user_ids": "SELECT count(*) AS n, (SELECT max(c_custkey) FROM customer) + 1 AS least, (SELECT max(c_custkey) FROM customer) + count(*) AS greatest, count(*) AS ids FROM supplier",
+    "login": _with(("users",), "SELECT id AS request_id, CASE WHEN id % 3 = 0 THEN 403 ELSE 200 END AS code, CASE WHEN id % 3 <> 0 THEN api_key END AS api_key FROM users"),
+    "new_accounts": _with(("users", "tiers"), """SELECT request_id, email, tier, CASE WHEN error IS NULL THEN 200 WHEN error LIKE '%exists' THEN 409 ELSE 400 END AS code, error FROM (
+      SELECT request_id, email, tier, CASE WHEN error IS NULL AND row_number() OVER (PARTITION BY email, error ORDER BY request_id) > 1 THEN 'Error: user already exists' ELSE error END AS error FROM (
+        SELECT *, CASE WHEN email = '' THEN 'Error: email cannot be empty' WHEN email NOT LIKE '%@%' THEN 'Error: invalid email address' WHEN tier = 0 THEN 'Error: tier cannot be empty'
+          WHEN tier NOT IN (SELECT id FROM tiers) THEN 'Error: invalid tier number' WHEN email IN (SELECT email FROM users) THEN 'Error: user already exists' END AS error FROM (
+          SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 7 = 0 THEN 'no address' WHEN s_suppkey % 5 = 0 THEN 'customer' || lpad(s_suppkey::VARCHAR, 9, '0') || '@example.com' WHEN s_suppkey % 11 = 0 THEN 'twice@example.com'
+            WHEN s_suppkey % 13 = 0 THEN '' ELSE 'new' || s_suppkey || '@example.com' END AS email, CASE WHEN s_suppkey % 4 = 0 THEN 99 WHEN s_suppkey % 9 = 0 THEN 0 ELSE 1 END AS tier FROM supplier)))"""),
+    "password_resets": _with(("users",), "SELECT id AS request_id, CASE WHEN id % 4 <> 0 THEN id END AS user_id, CASE WHEN id % 4 = 0 THEN 403 WHEN id % 12 < 8 THEN 400 ELSE 200 END AS code FROM users"),
+    "user_hmac": _with(("users",), "SELECT id, sha256(unhex('" + bytes(x ^ 0x5C for x in b"key".ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('" + bytes(x ^ 0x36 for x in b"key".ljust(64, b"\0")).hex() + "') || encode(email)))) AS signature FROM users"),
+    "preview_tokens": _with(("files",), "SELECT id, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT AS token FROM (SELECT id, sha1(unhex(w[7:8] || w[5:6] || w[3:4] || w[1:2]) || unhex('" + b"some salt of the engine"[4:].hex() + "')) AS h FROM (SELECT id, lpad(to_hex(CASE WHEN m >= 2147483648 THEN 4294967296 - m ELSE m END), 8, '0') AS w FROM (SELECT id, xor(xor(floor(duration * 100)::BIGINT & 4294967295, 1700000000), id & 4294967295) AS m FROM files)))"),
+    # a vector is kept again two seconds after it was last kept; no file of the tables has fifty frames within two seconds
+    "dedupe_frames": """WITH RECURSIVE f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, frame_id ORDER BY time, vector) AS n FROM
+        (SELECT l_orderkey * 10 + l_linenumber AS frame_id, (l_orderkey % 97)::INT AS file_id, l_partkey % 4000 * 0.25::DOUBLE AS time, [(l_suppkey % 3)::INT, (l_linenumber % 2)::INT] AS vector FROM lineitem)) WHERE n = 1),
+      k AS (SELECT file_id, vector, min(time) AS time FROM f GROUP BY ALL UNION ALL
+        SELECT k.file_id, k.vector, min(f.time) FROM k JOIN f ON f.file_id = k.file_id AND f.vector = k.vector AND f.time >= k.time + 2 GROUP BY ALL)
+      SELECT file_id, count(*) AS kept FROM k GROUP BY file_id""",
     "queue_depth": _with(("logs",), "SELECT priority, queued, sum(queued) OVER (ORDER BY priority ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS waiting FROM (SELECT (coalesce(user_id, 0) % 7)::INT AS priority, count(*) AS queued FROM logs GROUP BY 1)"),
     "admission": _with(("users", "tiers", "used_user"), "SELECT users.id, CASE WHEN coalesce(quota_used, 0) >= quota % 7 THEN 402 WHEN users.id % 3 > concurrency THEN 402 WHEN users.id % 10 + 1 > 8 THEN 503 ELSE 200 END AS code FROM users LEFT JOIN tiers ON tier = tiers.id LEFT JOIN used_user ON user_id = users.id"),
     "peak_concurrency": _with(("logs",), """SELECT key, max(running)::BIGINT AS peak FROM (SELECT key, sum(step) OVER (PARTITION BY key ORDER BY at_time, step, id ROWS UNBOUNDED PRECEDING) AS running FROM (
@@ -122,7 +140,8 @@ SQL = {
     "title_search": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "title_search_indexed": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "catalog_upsert": _with(("catalog",), f"SELECT id, updated, json FROM catalog WHERE id % 8 <> 4 UNION ALL SELECT id + CASE WHEN id % 8 = 0 THEN 1000000 ELSE 0 END, {_NOW}, '{{}}' FROM catalog WHERE id % 4 = 0"),
-    "catalog_fill_missing": _with(("catalog",), """SELECT i AS id, coalesce(json, '{"id":' || i || ',"title":{"native":null,"romaji":null,"english":null},"synonyms":[]}') AS json FROM (SELECT unnest(range(1, 400)) AS i) LEFT JOIN catalog ON id = i AND id % 3 = 0"""),
+    "catalog_fill_missing": _with(("catalog",), """SELECT i AS id, coalesce(json, '{"id":' || i || ',"title":{"native":null,"romaji":null,"english":null},"synonyms":[]}') AS json FROM (SELECT unnest(range(1, (SELECT max(p_partkey) + 1 FROM part))) AS i) LEFT JOIN catalog ON id = i AND id % 3 = 0"""),
+    "crawl_end": "SELECT min(ends) AS last_id FROM (SELECT *, lead(id) OVER (ORDER BY id) AS behind FROM (SELECT id, (54 + 50 * greatest(0, ceil((id + 146) / 50.0)))::BIGINT AS ends FROM (SELECT 5::BIGINT AS id UNION SELECT p_partkey FROM part WHERE p_partkey > 5 AND p_partkey % 1000 < 700))) WHERE behind IS NULL OR behind > ends",
     "id_chunks": "SELECT floor((p_partkey - 1) / 50)::BIGINT AS chunk, min(p_partkey) AS first_id, max(p_partkey) AS last_id, count(*) AS ids FROM part GROUP BY 1",
     "add_titles": "SELECT p_partkey AS id, s_name AS title_chinese FROM part LEFT JOIN supplier ON s_suppkey * 3 = p_partkey",
     "scan_files": _with(("files",), "SELECT id, path FROM files"),

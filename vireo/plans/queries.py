@@ -12,8 +12,6 @@ from ..operators import accounts, analytics, catalog, dedupe, descriptor, frames
 from ..session import ensure_importable
 from ..sources import views
 
-QUERY_FRAMES = (7, 77, 177)
-CANDIDATES = 100
 TITLE = "red widget"
 
 QUERIES: dict = {}
@@ -30,7 +28,7 @@ def query(f):
 
 
 def _frames(spark, d):
-    return views.frames(spark, d), views.frames(spark, d).filter(F.col("frame_id").isin(*QUERY_FRAMES)).select(F.col("frame_id").alias("query_id"), F.col("vector").alias("qvec"))
+    return views.frames(spark, d), views.frames(spark, d).filter(F.col("frame_id") % 20 == 0).select(F.col("frame_id").alias("query_id"), F.col("vector").alias("qvec"))
 
 
 def _logs(spark: SparkSession, d: str) -> DataFrame:
@@ -47,37 +45,37 @@ def _titles(spark, d):
 @query
 def frame_search(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.frame_search(every, wanted.filter("query_id = 7"), views.files(spark, d), CANDIDATES)
+    return frames.frame_search(every, wanted, views.files(spark, d), results=1)
 
 
 @query
 def frame_search_batch(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.frame_search(every, wanted, views.files(spark, d), CANDIDATES)
+    return frames.frame_search(every, wanted, views.files(spark, d))
 
 
 @query
 def frame_search_filtered(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.frame_search_filtered(every, wanted, views.files(spark, d).withColumn("catalog_id", F.col("id") % 3), 1, candidates=CANDIDATES)
+    return frames.frame_search_filtered(every, wanted, views.files(spark, d).withColumn("catalog_id", F.col("id") % 3), 1)
 
 
 @query
 def frame_search_catalog(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.with_catalog(frames.frame_search(every, wanted, views.files(spark, d), CANDIDATES), views.catalog(spark, d)).select("query_id", "rank", "catalog_id", "catalog_json")
+    return frames.with_catalog(frames.frame_search(every, wanted, views.files(spark, d)), views.catalog(spark, d)).select("query_id", "rank", "catalog_id", "catalog_json")
 
 
 @query
 def nearest_frames(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.nearest_frames(every, wanted, CANDIDATES)
+    return frames.nearest_frames(every, wanted)
 
 
 @query
 def merge_matches(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.merge_matches(frames.nearest_frames(every, wanted, CANDIDATES))
+    return frames.merge_matches(frames.nearest_frames(every, wanted))
 
 
 @query
@@ -88,7 +86,8 @@ def frame_count(spark, d):
 @query
 def dedupe_frames(spark, d):
     f = views.read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame_id"), (F.col("l_orderkey") % 97).cast("int").alias("file_id"), (F.col("l_partkey") % 4000 * 0.25).alias("time"), F.array((F.col("l_suppkey") % 3).cast("int"), (F.col("l_linenumber") % 2).cast("int")).alias("vector"))
-    return dedupe.dedupe_frames(f.dropDuplicates(["file_id", "frame_id"])).groupBy("file_id").agg(F.count("*").alias("kept"))
+    one = f.groupBy("file_id", "frame_id").agg(F.min(F.struct("time", "vector")).alias("x")).select("frame_id", "file_id", "x.time", "x.vector")
+    return dedupe.dedupe_frames(one).groupBy("file_id").agg(F.count("*").alias("kept"))
 
 
 @query
@@ -100,6 +99,7 @@ def colour_layout(spark, d):
 
 @query
 def parse_vector(spark, d):
+    #: Fixed value: a vector in the form that callers send.
     good = F.lit("IBgHEw0NExYYDw4QDw8NEhARDg0TIgwaERMRGhMIDAsJ")
     return views.read(spark, d, "region").select("r_regionkey", vectors.parse_vector(F.when(F.col("r_regionkey") % 2 == 0, good).otherwise(F.substring(good, 1, 40))).alias("vector"))
 
@@ -117,6 +117,12 @@ def stats_traffic_pivot(spark, d):
     return analytics.traffic_pivot(views.logs(spark, d), "day", views.as_of())
 
 
+@query
+def stats_traffic_codes(spark, d):
+    out = analytics.traffic_codes(views.logs(spark, d), "hour", views.as_of())
+    return out.select("date_time", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("counts"), "total")
+
+
 @query
 def stats_speed(spark, d):
     return analytics.percentiles(views.logs(spark, d), "hour", "search_time", views.as_of())
@@ -223,6 +229,32 @@ def new_user_ids(spark, d):
     return out.agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest"), F.count_distinct("id").alias("ids"))
 
 
+def _with_password(users):
+    return users.withColumn("password", F.sha2(F.concat(F.lit("pw"), F.col("id").cast("string")), 256))
+
+
+@query
+def login(spark, d):
+    u = _with_password(views.users(spark, d))
+    asked = u.select(F.col("id").alias("request_id"), "email", F.when(F.col("id") % 3 == 0, F.lit("wrong")).otherwise(F.col("password")).alias("password"))
+    return accounts.login(u, asked)
+
+
+@query
+def new_accounts(spark, d):
+    k = F.col("s_suppkey")
+    email = F.when(k % 7 == 0, F.lit("no address")).when(k % 5 == 0, F.concat(F.lit("customer"), F.lpad(k.cast("string"), 9, "0"), F.lit("@example.com"))).when(k % 11 == 0, F.lit("twice@example.com")).when(k % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("new"), k.cast("string"), F.lit("@example.com")))
+    asked = views.read(spark, d, "supplier").select(k.alias("request_id"), email.alias("email"), F.when(k % 4 == 0, 99).when(k % 9 == 0, 0).otherwise(1).alias("tier"))
+    return accounts.new_accounts(views.users(spark, d), views.tiers(spark), asked)
+
+
+@query
+def password_resets(spark, d):
+    u = views.users(spark, d)
+    asked = u.select(F.col("id").alias("request_id"), F.when(F.col("id") % 4 == 0, F.lit("none")).otherwise(F.col("api_key")).alias("api_key"), F.repeat(F.lit("x"), (F.col("id") % 12).cast("int")).alias("password"))
+    return accounts.password_resets(u, asked)
+
+
 def _queue(spark, d):
     return views.logs(spark, d).groupBy((F.coalesce(F.col("user_id"), F.lit(0)) % 7).cast("int").alias("priority")).agg(F.count("*").alias("queued"))
 
@@ -316,7 +348,7 @@ def catalog_upsert(spark, d):
 
 @query
 def catalog_fill_missing(spark, d):
-    ids = spark.range(1, 400).select(F.col("id"))
+    ids = views.catalog(spark, d).agg(F.max("id").alias("last")).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("id"))
     return catalog.fill_missing(ids, views.catalog(spark, d).filter("id % 3 = 0"))
 
 
@@ -325,6 +357,11 @@ def id_chunks(spark, d):
     return catalog.id_chunks(F.lit(1), views.catalog(spark, d).select("id")).groupBy("chunk").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("ids"))
 
 
+@query
+def crawl_end(spark, d):
+    return catalog.crawl_end(views.catalog(spark, d).select("id").filter("id % 1000 < 700"), 5)
+
+
 @query
 def add_titles(spark, d):
     extra = views.read(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("title_chinese"))

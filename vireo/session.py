@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -15,3 +16,17 @@ def ensure_importable(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, so that all that reads it sees the same rows in the same parts.
+
+    The folder is the one that ``spark.checkpoint.dir`` names; only a local session without it makes its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="vireo-"))
+    return df.checkpoint()

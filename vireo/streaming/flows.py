@@ -27,26 +27,31 @@ def watch_directory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append_new(stream: DataFrame, table: str, checkpoint: str, once: bool = True):
-    """Append the rows whose path the table lacks; scans every minute, or once over what is there."""
+    """Append the rows whose path the table lacks; scans every minute, or once over what is there.
+
+    A replay of a batch finds the paths that its first run added and appends the rest.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+        new = batch.dropDuplicates(["path"])
         try:
-            known = spark.read.parquet(table).select("path")
+            new = new.join(batch.sparkSession.read.parquet(table).select("path"), "path", "left_anti")
         except Exception as e:  # the table doesn't exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            known = None
-        new = batch.dropDuplicates(["path"])
-        (new.join(known, "path", "left_anti") if known is not None else new).write.mode("append").parquet(table)
+        new.write.mode("append").parquet(table)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
 
 
 def run_stage(pending: DataFrame, work, table: str, checkpoint: str):
-    """A stage of ingestion: each pending row once through ``work(DataFrame) -> DataFrame``, results appended."""
-    return pending.writeStream.foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A stage of ingestion: each pending row once through ``work(DataFrame) -> DataFrame``; a replayed batch replaces its results."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return pending.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def traffic(logs: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
