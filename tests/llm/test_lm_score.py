@@ -50,6 +50,7 @@ def brute(rows, order):
 def test_against_dictionaries(spark, monkeypatch, order):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(lm_score, "PART", 7)
+    monkeypatch.setattr(lm_score, "GROUP", 100)
     rnd = random.Random(order)
     vocabulary = [f"w{i}é" for i in range(40)]
     rows = [(" ".join(rnd.choices(vocabulary[: rnd.randint(2, 40)], k=rnd.randint(0, 60))), i % 3 > 0) for i in range(60)]

@@ -43,6 +43,7 @@ GRID = (2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 16384.0, 262144.0)
 BLOCK_BYTES = 8 << 20
 BUCKET = 1_500_000  # n-grams aimed at for a bucket
 PART = 512  # tokens of a text that are read in one go
+GROUP = 1 << 18  # tokens whose automaton is held at once
 BEGIN, END = np.uint64(0x9C0FFEE1BEEF0001), np.uint64(0x9C0FFEE1BEEF0002)
 U = np.uint64
 
@@ -254,13 +255,34 @@ class Automaton:
         return out
 
 
-def _left_out(counts: list[np.ndarray], history: list[np.ndarray], inside: list[np.ndarray], n: int, v: int, b: float) -> np.ndarray:
-    """log10 probability of each training token by a model that has not learnt it, as the automaton would give it."""
-    p = (np.maximum(counts[0] - 1, 0) + ADD) / (max(n - 1, 0) + ADD * (v + 1))
-    for k in range(1, len(counts)):
-        c, h = np.maximum(counts[k] - 1, 0), np.maximum(history[k] - 1, 0)
-        p = np.where(inside[k], (c + b * p) / (h + b), p)
-    return np.log10(p)
+def _left_out(counts: list[np.ndarray], number: list[np.ndarray], at: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 likelihood, for each strength, of the training tokens ``at`` under a model that hasn't learnt the one in question."""
+
+    def less(k: int, places: np.ndarray) -> np.ndarray:
+        x = number[k][places]
+        return np.where(x >= 0, np.maximum(counts[k][x] - 1, 0), 0) if len(counts[k]) else np.zeros(len(places), dtype=np.int64)
+
+    low = (less(0, at) + ADD) / (max(n - 1, 0) + ADD * (v + 1))
+    steps = [(number[k][at] >= 0, less(k, at), less(k - 1, at - 1)) for k in range(1, len(counts))]
+    out = []
+    for b in GRID:
+        p = low
+        for inside, c, h in steps:
+            p = np.where(inside, (c + b * p) / (h + b), p)
+        out.append(np.log10(p).sum())
+    return np.array(out)
+
+
+def _of_part(counts: list[np.ndarray], number: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts and numbers of the n-grams that a stretch of tokens has."""
+    few, renamed = [], []
+    for c, x in zip(counts, number):
+        inside = x >= 0
+        own, back = np.unique(x[inside], return_inverse=True)
+        few.append(c[own])
+        renamed.append(np.full(len(x), -1, dtype=np.int64))
+        renamed[-1][inside] = back
+    return few, renamed
 
 
 def _score(table: pa.Table, base: str, buckets: int, order: int, n: int, v: int) -> pa.Table:
@@ -277,27 +299,34 @@ def _score(table: pa.Table, base: str, buckets: int, order: int, n: int, v: int)
     for k, code, inside in _ngrams(tokens, starts, order):
         own, edges, number, _ = _distinct(code, inside, buckets)
         counts.append(np.concatenate([np.frombuffer(zstandard.decompress(got[k, b]), dtype=np.int64) for b in np.flatnonzero(np.diff(edges)).tolist()] or [np.empty(0, dtype=np.int64)]))
-        numbers.append(np.full(len(tokens), -1, dtype=np.int64))
+        numbers.append(np.full(len(tokens), -1, dtype=np.int32))
         numbers[-1][inside] = number
+        del code, own, number
     del got, answers
-    real = np.ones(len(tokens), dtype=bool)
-    real[starts] = False
-    sums = lambda x: np.add.reduceat(np.where(real, x, 0), starts)
-    machine = Automaton(counts, numbers, n, v)
-    scores = machine.read(numbers[0], starts, order)
-    base_score, n_known = sums(machine.word_weight[numbers[0]]), sums(counts[0][numbers[0]] > 0)
-    del machine
-    learnt = real & np.repeat(train, np.diff(np.append(starts, len(tokens))))
-    at = np.flatnonzero(learnt)
-    each = [np.where(x[at] >= 0, c[x[at]] if len(c) else 0, 0) for c, x in zip(counts, numbers)]
-    before = [np.zeros(len(at))] + [np.where(x[at - 1] >= 0, c[x[at - 1]] if len(c) else 0, 0) for c, x in zip(counts, numbers)]
-    inside = [x[at] >= 0 for x in numbers]
-    likelihood = [float(_left_out(each, before, inside, n, v, b).sum()) for b in GRID]
+    size = len(tokens)
+    del tokens
+    scores, base_score = np.zeros((len(starts), len(GRID))), np.zeros(len(starts))
+    n_known, likelihood = np.zeros(len(starts), dtype=np.int64), np.zeros(len(GRID))
+    group = starts // GROUP
+    for first in np.unique(group, return_index=True)[1].tolist():  # texts that begin in the same stretch
+        last = int(np.searchsorted(group, group[first], side="right"))
+        a, b = int(starts[first]), int(starts[last]) if last < len(starts) else size
+        part = slice(first, last)
+        c, x = _of_part(counts, [k[a:b] for k in numbers])
+        begins = starts[part] - a
+        real = np.ones(b - a, dtype=bool)
+        real[begins] = False
+        machine = Automaton(c, x, n, v)
+        scores[part] = machine.read(x[0], begins, order)
+        base_score[part] = np.add.reduceat(np.where(real, machine.word_weight[x[0]], 0), begins)
+        n_known[part] = np.add.reduceat(real & (c[0][x[0]] > 0), begins)
+        del machine
+        likelihood += _left_out(c, x, np.flatnonzero(real & np.repeat(train[part], np.diff(np.append(begins, b - a)))), n, v)
     rows = table.filter(pa.array(kinds == 0))
     number = rows.column("number").to_numpy()
-    n_tokens = np.diff(np.append(starts, len(tokens))) - 1
+    n_tokens = np.diff(np.append(starts, size)) - 1
     listed = lambda x: pa.array(list(x), pa.list_(pa.float64()))
-    return pa.table({"doc": rows.column("doc"), "train": rows.column("train"), "n_tokens": pa.array(n_tokens[number]), "n_known": pa.array(n_known.astype(np.int64)[number]), "base_score": pa.array(base_score[number]), "scores": listed(scores[number]), "left_out": listed([likelihood] + [None] * (len(number) - 1))})
+    return pa.table({"doc": rows.column("doc"), "train": rows.column("train"), "n_tokens": pa.array(n_tokens[number]), "n_known": pa.array(n_known[number]), "base_score": pa.array(base_score[number]), "scores": listed(scores[number]), "left_out": listed([likelihood.tolist()] + [None] * (len(number) - 1))})
 
 
 def score_texts(docs: DataFrame, train: Column, order: int = ORDER, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
