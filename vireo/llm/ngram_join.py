@@ -50,7 +50,7 @@ PERCENT = 75
 SKETCH_BITS = 20
 POSTINGS = 1_000_000  # held in a task before they are dealt to buckets
 BUCKET = 1_500_000  # postings aimed at for a bucket
-SALT = 4096  # queries that a part of an index gets
+SALT = 1024  # queries that a part of an index gets
 FEW = 64  # pairs are made of the documents of lists up to this length; longer lists are searched
 INDEX = 512  # documents of an index that a task holds
 ROW = 1024  # documents of a list in one row
