@@ -53,6 +53,7 @@ BUCKET = 1_500_000  # postings aimed at for a bucket
 SALT = 1024  # queries that a part of an index gets
 FEW = 64  # pairs are made of the documents of lists up to this length; longer lists are searched
 INDEX = 512  # documents of an index that a task holds
+BROADCAST_ROWS = 200_000
 ROW = 1024  # documents of a list in one row
 SKIP = 0.02  # weight of a list's length in the choice of how many lists are long
 
@@ -329,13 +330,19 @@ def _pair_roles(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) as searches of each b in an index that holds a and some others, in parts of about SALT queries."""
     parts = max(1, -(-pairs.agg(F.count_distinct("a")).first()[0] // INDEX))
     placed = pairs.withColumn("group", F.pmod(F.xxhash64("a"), F.lit(parts)))
-    salts = placed.groupBy("group").agg(F.ceil(F.count("*") / SALT).cast("long").alias("salts"))
+    salts = _small(placed.groupBy("group").agg(F.ceil(F.count("*") / SALT).cast("long").alias("salts")))
     zero, one = F.lit(0), F.lit(1)
     queries = placed.join(salts, "group").select(zero.alias("kind"), "group", F.pmod(F.xxhash64("b"), "salts").alias("part"), one.alias("role"), F.col("b").alias("code"), F.col("b").alias("comp")).distinct()
     index = placed.select("group", "a").distinct().join(salts, "group").select(zero.alias("kind"), "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"), zero.alias("role"), F.col("a").alias("code"), F.col("a").alias("comp"))
     return queries.unionByName(index)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """Written, and broadcast if it has at most BROADCAST_ROWS rows (of some 50 bytes)."""
+    table = materialize(table, "join-small")
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _cluster_roles(entries: DataFrame, percent: int) -> DataFrame:
     """Long lists' entries (list, least, code, size, comp) as searches: of all documents but the largest component's.
 
@@ -348,6 +355,7 @@ def _cluster_roles(entries: DataFrame, percent: int) -> DataFrame:
     docs = materialize(docs, "join-cluster-documents")
     largest = docs.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
     parts = docs.groupBy("group", "band").agg(F.ceil(F.count("*") / INDEX).cast("long").alias("parts"))
+    largest, parts = _small(largest), _small(parts)  # so that a large cluster isn't dealt to one task by its name
     one, width = F.lit(1).alias("kind"), F.lit(1 << 32)
     index = docs.join(parts, ["group", "band"]).select(one, "group", (F.col("band") * width + F.pmod(F.xxhash64("code"), "parts")).alias("part"), F.lit(0).alias("role"), "code", "comp")
     around = docs.join(largest, "group").filter("comp <> largest").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
