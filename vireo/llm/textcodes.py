@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
+import zstandard
 
 U = np.uint64
 TILE = 1 << 19  # bytes hashed at once: bounds memory, whatever the length of a text
@@ -154,6 +155,18 @@ def unpack40(b: bytes) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
+def pack_counts(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, compressed by planes of bytes (most upper bytes are 0)."""
+    x = np.array(columns).view(np.uint8).reshape(-1, 8)
+    return len(columns).to_bytes(1, "little") + zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 3)
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    """The columns as rows of signed numbers."""
+    planes = np.frombuffer(zstandard.decompress(b[1:]), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64).reshape(b[0], -1)
+
+
 def binary(column, step: int = 256) -> Iterator[bytes]:
     """The values of an Arrow string column as bytes, some at a time; null: empty."""
     import pyarrow as pa
