@@ -167,6 +167,26 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64).reshape(b[0], -1)
 
 
+def pack_tokens(own: np.ndarray, number: np.ndarray, starts: np.ndarray) -> bytes:
+    """Tokens ``own[number]`` (``own`` ascends) of texts that begin at ``starts``; frequent ones get small numbers."""
+    count = np.bincount(number, minlength=len(own))
+    rank = np.empty(len(own), dtype=np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(own))
+    parts = pack_counts(np.diff(own, prepend=U(0)).view(np.int64), count), pack_counts(rank[number]), pack_counts(np.diff(starts, prepend=0))
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def unpack_tokens(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, starts) of ``pack_tokens``."""
+    parts, at = [], 0
+    while at < len(b):
+        size = int.from_bytes(b[at : at + 8], "little")
+        parts.append(unpack_counts(b[at + 8 : at + 8 + size]))
+        at += 8 + size
+    (gaps, count), (number,), (between,) = parts
+    return np.cumsum(gaps.view(U))[np.argsort(-count, kind="stable")][number], np.cumsum(between)
+
+
 def binary(column, step: int = 256) -> Iterator[bytes]:
     """The values of an Arrow string column as bytes, some at a time; null: empty."""
     import pyarrow as pa
