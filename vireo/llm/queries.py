@@ -58,4 +58,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op4_token_counts, op5_decontaminate, op6_quality, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id)}
-SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL}

@@ -522,3 +522,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     out = remove_repeats(docs, keep=[id_col], **options)
     return out.select(F.col(f"doc.`{id_col}`").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same by the hash of every 400-byte string (in chunks of 64 starts, as SQL finds a place in a long text by walking to it).
+SQL = """
+WITH hexed AS (
+  SELECT row_number() OVER () AS n, doc_id, CASE WHEN text IS NULL THEN '' ELSE hex(encode(text)) END AS h FROM documents
+), chunks AS (
+  SELECT n, j, substr(h, 2 * j + 1, 926) AS h FROM (SELECT n, h, unnest(range(0, len(h) // 2 - 399, 64)) AS j FROM hexed)
+), starts AS (
+  SELECT n, j + i AS i, md5_number(substr(h, 2 * i + 1, 800)) AS code FROM (SELECT n, j, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM chunks)
+), repeated AS (
+  SELECT n, i FROM starts WHERE code IN (SELECT code FROM starts GROUP BY code HAVING count(*) > 1)
+), edges AS (
+  SELECT n, i, coalesce(i > max(i) OVER (PARTITION BY n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400, true) AS opens FROM repeated
+), runs AS (
+  SELECT n, min(i) AS a, max(i) + 400 AS b FROM (SELECT n, i, sum(opens::INT) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM edges) GROUP BY n, run
+), gaps AS (
+  SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS since FROM runs
+), cut AS (
+  SELECT n, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(h[2 * since + 1 : 2 * a], '' ORDER BY a) AS before FROM gaps JOIN hexed USING (n) GROUP BY n
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(before || h[2 * last + 1 :], h))) AS kept_sha256
+FROM hexed LEFT JOIN cut USING (n)
+"""
