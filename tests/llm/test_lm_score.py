@@ -64,6 +64,16 @@ def test_against_dictionaries(spark, monkeypatch, order):
         assert (r.base_score, r.score) == pytest.approx(want[3:], rel=1e-9)
 
 
+def test_words_beside_an_enormous_one_stay_apart(spark):
+    rnd = random.Random(7)
+    one, other = ([f"{rnd.getrandbits(40):x}" for _ in range(3000)] for _ in range(2))
+    rows = [(" ".join([*one, "w" * (3 << 20)]), True), (" ".join([*other, one[5], "w" * (3 << 20)]), False)]
+    got = {r.doc.doc_id: r for r in lm_score.score_texts(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, train boolean"), F.col("train"), order=2, keep=["doc_id"]).collect()}
+    for i, want in enumerate(brute(rows, 2)):
+        assert (got[i].n_tokens, got[i].n_known) == want[:2]
+        assert (got[i].base_score, got[i].score) == pytest.approx(want[3:], rel=1e-9)
+
+
 def test_no_training_text_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm_score.score_texts(df, F.lit(False)).collect()

@@ -150,6 +150,42 @@ def test_word_hashes_do_not_depend_on_tiles(monkeypatch):
     assert len(want[1]) == 2 and len(want[0]) == 0
 
 
+def twins(n):
+    """Two words of n bytes that sums of powers modulo 2^64 can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_enormous_and_crafted_words():
+    rnd = random.Random(5)
+    texts = []
+    for mb in (0, 1, 2, 5):
+        for _ in range(2):
+            w = [f"{rnd.getrandbits(40):x}" for _ in range(3000)]
+            w[1500:1500] = [rnd.choice("xyz") * (mb << 20)] * (mb > 0)
+            texts.append(" ".join(w) if rnd.random() < 0.5 else "\n\t" + "  ".join(w) + " ")
+    texts += [x for n in (128, 256, 2048, 4096) for x in twins(n)]
+    texts += [("q" * (3 << 20)) + " a", "a " + "q" * (3 << 20), "q" * (3 << 20), "b" * textcodes.TILE + " c", "b" * (4 * textcodes.TILE) + "\v" + "c" * textcodes.TILE]
+    got = list(textcodes.word_hashes(x.encode() for x in texts))
+    known = {}
+    for t, h in zip(texts, got):
+        own = words(t)
+        assert len(own) == len(h)
+        for w, x in zip(own, h.tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_texts_with_an_enormous_word_are_compared_by_all_their_words(spark):
+    rnd = random.Random(6)
+    one, other = ([f"{rnd.getrandbits(40):x}" for _ in range(4000)] for _ in range(2))
+    long = "w" * (3 << 20)
+    near = [*one[:4000], long, *one[:10]]
+    rows = [(1, " ".join([*one, long])), (2, " ".join([*other, long])), (3, " ".join(near)), *[(4 + i, "s t u v " + x) for i, x in enumerate(twins(2048))]]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)] + [(200, 200 + k) for k in range(1, 30)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}

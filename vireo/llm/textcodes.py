@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -11,8 +12,9 @@ import zstandard
 
 U = np.uint64
 TILE = 1 << 19  # bytes hashed at once: bounds memory, whatever the length of a text
-LONG_WORD = 1 << 12  # longer words are hashed on their own
+LONG_WORD = 128  # longer words are hashed by xxh3: sums of powers modulo 2^64 collide on crafted words of some thousand bytes
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so powers have inverses mod 2^64
+BLANK = re.compile(rb"[ \t-\r]")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -79,25 +81,31 @@ def _tile_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_tile(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, word starts) of lower-cased bytes that hold whole words."""
+    """(word hashes, word starts) of lower-cased bytes that hold whole words: a tile, or one enormous word."""
     a = np.frombuffer(data, dtype=np.uint8)
     starts, ends = _tile_words(a)
-    if len(a) <= 4 * TILE:
+    if len(a) > 4 * TILE:
+        if len(starts) > 1:
+            raise ValueError("a piece of several words is over the bound")
+        hashes = np.empty(len(starts), dtype=U)
+    else:
         hashes = span_hashes(prefix_codes(a), starts, ends)
-    else:  # one enormous word
-        hashes = np.zeros(len(starts), dtype=U)
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
     return hashes, starts
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
-    """Parts of a long text, cut only at white space."""
+    """Parts of a long text of TILE bytes at most, cut only at white space; a longer word is a part of its own."""
     at = 0
     while at < len(data):
-        end = at + TILE
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
+        end = len(data)
+        if end - at > TILE:
+            blanks = np.flatnonzero(_is_space()[np.frombuffer(data, dtype=np.uint8, count=TILE - 1, offset=at + 1)])
+            if len(blanks):
+                end = at + 1 + int(blanks[-1])
+            elif found := BLANK.search(data, at + TILE):
+                end = found.start()
         yield data[at:end]
         at = end
 
