@@ -9,6 +9,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import ensure_importable
 
@@ -35,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def ddl(kind: T.DataType) -> str:
+    """A type as text, whatever the names of its fields."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{ddl(f.dataType)}" for f in kind) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, T.MapType):
+        return f"map<{ddl(kind.keyType)},{ddl(kind.valueType)}>"
+    return kind.simpleString()
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_dir(spark).rstrip('/')}/vireo/{tag}-{uuid.uuid4().hex}"

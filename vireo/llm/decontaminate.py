@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, materialize
+from .common import ddl, ensure_importable, materialize
 
 WINDOW = 10
 SHARD_WINDOWS = 250_000
@@ -140,7 +140,7 @@ def _scan_with(rows: DataFrame, shard: list[tuple[str | None, list[bytes]]], win
                 found.append([names[x] for x in sorted(i) if x >= 0])
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(runs, spans), pa.array(where, spans), pa.array(found, pa.list_(pa.string()))], names=["doc", "n_words", "runs", "spans", "items"])
 
-    return rows.mapInArrow(apply, SCAN.format(doc=rows.schema["doc"].dataType.simpleString()))
+    return rows.mapInArrow(apply, SCAN.format(doc=ddl(rows.schema["doc"].dataType)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", keep: list[str] | None = None, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, materialize
+from .common import ddl, ensure_importable, materialize
 from .graph import components
 
 COSINE = 0.98
@@ -78,7 +78,7 @@ def calibrate(dim: int, splits: int, cosine: float = COSINE) -> tuple[np.ndarray
 
 def _prepare(rows: DataFrame) -> DataFrame:
     """id, label, code, dim, vector (bytes of floats as doubles), code null if it links with nothing."""
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    fields = {f.name: ddl(f.dataType) for f in rows.schema}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +121,7 @@ def reached_cells(off: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarra
 
 def _deal(nodes: DataFrame, medians: dict[int, np.ndarray], radii: dict[int, np.ndarray]) -> DataFrame:
     """(label, dim, cell, visitor, code, weight, vector): residents, and visitors of cells of greater number."""
-    label_type = nodes.schema["label"].dataType.simpleString()
+    label_type = ddl(nodes.schema["label"].dataType)
     names = ["label", "dim", "cell", "visitor", "code", "weight", "vector"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

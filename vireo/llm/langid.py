@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable
+from .common import ddl, ensure_importable
 
 DIM = 1024
 PIECE = 1 << 19  # characters handled at once
@@ -197,7 +197,7 @@ def identify_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray
     ensure_importable(docs.sparkSession)
     keep = list(docs.columns) if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    schema = rows.schema["doc"].dataType.simpleString()
+    schema = ddl(rows.schema["doc"].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

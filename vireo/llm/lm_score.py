@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
-from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
+from .common import by_block, ddl, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 from .textcodes import pack40, unpack40
 
 ORDER = 2
@@ -83,7 +83,7 @@ def _distinct(code: np.ndarray, inside: np.ndarray, buckets: int) -> tuple[np.nd
 
 def _gather(rows: DataFrame, base: str, buckets: int, order: int) -> DataFrame:
     """Store blocks; kind 0: (block, number, doc, train) for each row; kind 1: n-grams and counts for a bucket."""
-    doc_type = rows.schema["doc"].dataType.simpleString()
+    doc_type = ddl(rows.schema["doc"].dataType)
     names = ["kind", "block", "number", "doc", "train", "bucket", "k", "keys", "counts"]
     mask = U((1 << 40) - 1)
 
@@ -335,7 +335,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER, text_col: st
     ensure_importable(spark)
     keep = list(docs.columns) if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"), train.alias("train"))
-    doc_type = rows.schema["doc"].dataType.simpleString()
+    doc_type = ddl(rows.schema["doc"].dataType)
     base = fresh_path(spark, "lm-blocks")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     buckets = max(n_partitions(spark), size * order // 8 // BUCKET)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
-from .common import discard, ensure_importable, materialize, n_partitions
+from .common import ddl, discard, ensure_importable, materialize, n_partitions
 from .graph import components
 from .sketch import bloom_filter, chunk_rows, combine, in_bloom
 
@@ -115,7 +115,7 @@ def linked_overlap(n: int, m: int, percent: int = PERCENT) -> int:
 
 def _sign(rows: DataFrame, n_words: int) -> DataFrame:
     """kind 0: doc, n, code, bitmap for each row; kind 1: the task's part of the frequency sketch."""
-    doc_type = rows.schema["doc"].dataType.simpleString()
+    doc_type = ddl(rows.schema["doc"].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcodes
-from .common import by_block, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
+from .common import by_block, ddl, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
 
 LENGTH = 400
 BLOCK_BYTES = 8 << 20
@@ -178,7 +178,7 @@ PHRASES = "bucket int, a binary, c binary, inner binary, weight binary, at binar
 
 def _parse(rows: DataFrame, base: str, buckets: int, length: int) -> DataFrame:
     """Store blocks; kind 0: (block, number of text, doc) for each row, kind 1: a block's phrases in a bucket."""
-    doc_type = rows.schema["doc"].dataType.simpleString()
+    doc_type = ddl(rows.schema["doc"].dataType)
     names = ["kind", "block", "number", "doc", "bucket", "a", "c", "inner", "weight", "at"]
 
     def flush(block: _Block, docs: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     ensure_importable(spark)
     keep = list(docs.columns) if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    doc_type = rows.schema["doc"].dataType.simpleString()
+    doc_type = ddl(rows.schema["doc"].dataType)
     base = fresh_path(spark, "blocks")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     per_phrase = (length - length // 2) // 2

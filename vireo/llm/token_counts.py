@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, fresh_path, materialize, n_partitions, open_store
+from .common import ddl, ensure_importable, fresh_path, materialize, n_partitions, open_store
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before this vocabulary's merges, and its free id as separator.
@@ -76,7 +76,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ensure_importable(spark)
     base = fresh_path(spark, "tokens")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type = ddl(rows.schema["id"].dataType)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(vocabulary, pattern)

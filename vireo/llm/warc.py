@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, fresh_path, materialize, n_partitions, open_store
+from .common import ddl, ensure_importable, fresh_path, materialize, n_partitions, open_store
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     ensure_importable(spark)
     base = fresh_path(spark, "warc")
     rows = classify(pages, id_col, url_col, text_col)
-    id_type = rows.schema["page_id"].dataType.simpleString()
+    id_type = ddl(rows.schema["page_id"].dataType)
     is_first = F.col("page_id").eqNullSafe(F.col("response_of")) & (F.col("copy") == 1)
     rows = rows.withColumn("record_type", F.when(F.col("shared") & ~is_first, "revisit").otherwise("response")).select("page_id", "url", "payload", "digest", "response_of", "copy", "record_type")
 
@@ -218,7 +218,7 @@ def read_records(index: DataFrame, base: str, with_payload: bool = False) -> Dat
         if held:
             yield from flush()
 
-    id_type = index.schema["page_id"].dataType.simpleString()
+    id_type = ddl(index.schema["page_id"].dataType)
     schema = f"page_id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to_record string" + (", payload binary" if with_payload else "")
     return placed.select("page_id", "archive", "offset", "length").mapInArrow(apply, schema)
 
