@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_join, filter_audit, langid, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
+from . import collocations, decontaminate, embedding_join, filter_audit, langid, line_dedup, lm_score, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_read(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op4_token_counts, op5_decontaminate, op6_quality, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id, op11_filter_audit, op13_line_dedup)}
-SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL, "op11_filter_audit": filter_audit.SQL, "op13_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_join, op3_suffix_dedup, op4_token_counts, op5_decontaminate, op6_quality, op7_embedding_near_dup, op8_warc, op9_lm_score, op10_language_id, op11_filter_audit, op12_phrases, op13_line_dedup)}
+SQL = {"op1_mix_sources": mixing.SQL, "op2_ngram_join": ngram_join.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op5_decontaminate": decontaminate.SQL, "op7_embedding_near_dup": embedding_join.SQL, "op8_warc": warc.SQL, "op11_filter_audit": filter_audit.SQL, "op12_phrases": collocations.SQL, "op13_line_dedup": line_dedup.SQL}

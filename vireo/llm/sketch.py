@@ -20,21 +20,25 @@ def chunk_rows(summary: np.ndarray, salt: int) -> list[tuple[int, int, bytes]]:
     return [(k, salt % SALTS, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(np.split(summary, CHUNKS))]
 
 
-def combine(parts: DataFrame, dtype: str, how: Callable) -> np.ndarray:
-    """(chunk, salt, blob) of every task -> the one summary, whose size is fixed."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for blob in pdf["blob"]:
-            x = np.frombuffer(zlib.decompress(blob), dtype=dtype)
-            total = x.copy() if total is None else how(total, x)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "blob": [zlib.compress(total.tobytes(), 1)]})
-
-    some = parts.groupBy("chunk", "salt").applyInPandas(fold, "chunk int, blob binary")
-    got = some.groupBy("chunk").applyInPandas(fold, "chunk int, blob binary").collect()
+def combine(parts: DataFrame, dtype: str, how: Callable, finish: Callable = lambda x: x) -> np.ndarray:
+    """(chunk, salt, blob) of every task -> the one summary, whose size is fixed; ``finish`` is applied to each whole chunk."""
+
+    def fold(last: bool) -> Callable:
+        def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = None
+            for blob in pdf["blob"]:
+                x = np.frombuffer(zlib.decompress(blob), dtype=dtype)
+                total = x.copy() if total is None else how(total, x)
+            return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "blob": [zlib.compress((finish(total) if last else total).tobytes(), 1)]})
+
+        return apply
+
+    some = parts.groupBy("chunk", "salt").applyInPandas(fold(False), "chunk int, blob binary")
+    got = some.groupBy("chunk").applyInPandas(fold(True), "chunk int, blob binary").collect()
     if not got:
-        return np.zeros(0, dtype=dtype)
-    return np.concatenate([np.frombuffer(zlib.decompress(r["blob"]), dtype=dtype) for r in sorted(got, key=lambda r: r["chunk"])])
+        return finish(np.zeros(0, dtype=dtype))
+    kind = finish(np.zeros(0, dtype=dtype)).dtype
+    return np.concatenate([np.frombuffer(zlib.decompress(r["blob"]), dtype=kind) for r in sorted(got, key=lambda r: r["chunk"])])
 
 
 def bloom_places(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
