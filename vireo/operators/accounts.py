@@ -120,6 +120,18 @@ def peak_concurrency(events: DataFrame, key: str) -> DataFrame:
     return events.withColumn("running", F.sum("step").over(w)).groupBy(key).agg(F.max("running").alias("peak"))
 
 
+def running_concurrency(events: DataFrame, key: str, reset_us: int) -> DataFrame:
+    """(key, at_time in microseconds, step +1/-1, id) -> these and ``running``: an end counts down, not below 0, and counters start anew at multiples of ``reset_us``.
+
+    The sum that doesn't fall below 0 is the plain running sum less its least value so far, where that is negative. Counters of
+    different periods are independent, so a busy client is split by them.
+    """
+    period = F.floor(F.col("at_time") / F.lit(reset_us))
+    upto = Window.partitionBy(key, "period").orderBy("at_time", "step", "id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = events.select(key, "at_time", "step", "id").withColumn("period", period).withColumn("sum", F.sum("step").over(upto))
+    return summed.withColumn("running", (F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto))).cast("int")).select(key, "id", "step", "at_time", "running")
+
+
 def webhook_top_tier(json: Column) -> Column:
     """Id of the included tier with the greatest amount, the first of equals."""
     kind = "array<struct<type:string,id:string,attributes:struct<amount_cents:long>>>"

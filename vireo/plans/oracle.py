@@ -76,6 +76,11 @@ _EPISODE = r"nullif(coalesce(nullif(regexp_extract(regexp_replace(split_part({p}
 _MEDIA = r"regexp_matches(path, '^\d+/[^/]*\.(webm|mkv|mp4)$')"
 _OLD = "SELECT path FROM listing WHERE length(path) % 2 = 0"
 
+_RUNNING = _with(("logs",), """SELECT key, id, step, at_time, (sum - least(0, min(sum) OVER (PARTITION BY key, period ORDER BY at_time, step, id ROWS UNBOUNDED PRECEDING)))::INT AS running FROM (
+      SELECT *, sum(step) OVER (PARTITION BY key, period ORDER BY at_time, step, id ROWS UNBOUNDED PRECEDING) AS sum FROM (SELECT *, at_time // 86400000000 AS period FROM (
+      SELECT id, step::INT AS step, epoch_us(created) + CASE step WHEN 1 THEN 0 ELSE search_time::BIGINT * 60000000 END AS at_time, CASE WHEN ip LIKE '%:%' THEN array_to_string(string_split(ip, ':')[1:4], ':') ELSE ip END AS key
+      FROM logs, (SELECT unnest([1, -1]) AS step) WHERE search_time IS NOT NULL)))""")
+
 SQL = {
     "frame_search": _with(("results",), "SELECT * FROM results WHERE rank = 1"),
     "frame_search_batch": _with(("results",), "SELECT * FROM results"),
@@ -95,6 +100,7 @@ SQL = {
     "status_updated": _with(("catalog",), "SELECT max(updated) AS updated FROM catalog"),
     "max_catalog_id": "SELECT max(p_partkey) AS id FROM part",
     "rolling_quota": _with(("logs",), "SELECT id, user_id, count(*) FILTER (code = 200) OVER (PARTITION BY user_id ORDER BY created RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS used FROM logs WHERE user_id IS NOT NULL"),
+    "quota_stream": _with(("logs",), "SELECT id, user_id, count(*) FILTER (code = 200) OVER (PARTITION BY user_id ORDER BY created RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS used FROM logs WHERE user_id IS NOT NULL"),
     "rate_limit_windows": _with(("logs",), "SELECT network, date_trunc('hour', created)::TIMESTAMP AS window_start, count(*) AS requests, count(*) > 1 AS limited FROM logs GROUP BY 1, 2"),
     "tier_lookup": _with(("tiers",), "SELECT * FROM tiers WHERE id = 0"),
     "user_lookup": _with(("users",), "SELECT * FROM users WHERE api_key = md5('Customer#000000007')"),
@@ -130,6 +136,8 @@ SQL = {
     "peak_concurrency": _with(("logs",), """SELECT key, max(running)::BIGINT AS peak FROM (SELECT key, sum(step) OVER (PARTITION BY key ORDER BY at_time, step, id ROWS UNBOUNDED PRECEDING) AS running FROM (
       SELECT id, step, epoch_us(created) + CASE step WHEN 1 THEN 0 ELSE search_time::BIGINT * 60000000 END AS at_time, CASE WHEN ip LIKE '%:%' THEN array_to_string(string_split(ip, ':')[1:4], ':') ELSE ip END AS key
       FROM logs, (SELECT unnest([1, -1]) AS step) WHERE search_time IS NOT NULL)) GROUP BY key"""),
+    "running_concurrency": _RUNNING,
+    "concurrency_stream": _RUNNING,
     "webhook_top_tier": "SELECT p_partkey, CASE WHEN p_size >= p_size % 17 * 3 THEN 'a' ELSE 'b' END AS tier FROM part",
     "valid_emails": _with(("users",), "SELECT id, email FROM users WHERE id % 3 <> 0 AND regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')"),
     "user_digests": _with(("users",), "SELECT id, sha1(email) AS sha1, sha256(email) AS sha256 FROM users"),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
 from ..operators import accounts, analytics, catalog, dedupe, descriptor, frames, pipeline, scenes
-from ..session import ensure_importable
+from ..session import ensure_importable, fresh_folder
 from ..sources import views
+from ..streaming import stateful
 
 TITLE = "red widget"
 
@@ -270,13 +271,46 @@ def admission(spark, d):
     return u.select("id", accounts.admission(F.col("quota_used"), F.col("quota") % 7, F.col("id") % 3, F.col("concurrency"), F.col("id") % 10 + 1, F.lit(8)).alias("code"))
 
 
-@query
-def peak_concurrency(spark, d):
+def _searches(spark, d):
+    """Starts and ends of searches that take some minutes."""
     logs = views.logs(spark, d).filter("search_time IS NOT NULL").withColumn("key", network.concurrency_key(F.col("ip")))
     at = F.unix_micros(F.col("created").cast("timestamp"))
-    starts = logs.select("id", "key", at.alias("at_time"), F.lit(1).alias("step"))
-    ends = logs.select("id", "key", (at + F.col("search_time").cast("long") * 60_000_000).alias("at_time"), F.lit(-1).alias("step"))
-    return accounts.peak_concurrency(starts.unionByName(ends), "key")
+    starts = logs.select("id", "ip", "key", at.alias("at_time"), F.lit(1).alias("step"))
+    ends = logs.select("id", "ip", "key", (at + F.col("search_time").cast("long") * 60_000_000).alias("at_time"), F.lit(-1).alias("step"))
+    return starts.unionByName(ends)
+
+
+@query
+def peak_concurrency(spark, d):
+    return accounts.peak_concurrency(_searches(spark, d), "key")
+
+
+@query
+def running_concurrency(spark, d):
+    return accounts.running_concurrency(_searches(spark, d), "key", stateful.RESET_US * 96)
+
+
+#: Test tables span a month and come in no order; their streams wait longer than that for late events.
+LATE, BEHIND = "400 days", "2030-01-01"
+
+
+@query
+def concurrency_stream(spark, d):
+    """The same as a stream whose counters are keyed state."""
+    events = _searches(spark, d).select("id", "ip", F.timestamp_micros("at_time").alias("created"), "step")
+    last = events.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("~").alias("ip"), F.lit(BEHIND).cast("timestamp").alias("created"), F.lit(1).alias("step"))
+    flow = lambda s: stateful.concurrency_stream(s, LATE, stateful.RESET_US * 96)
+    out = stateful.run_to_end(spark, events, last, flow, fresh_folder(spark, "concurrency"))
+    return out.filter("client <> '~'").select(F.col("client").alias("key"), "id", "step", F.col("at_us").alias("at_time"), "running")
+
+
+@query
+def quota_stream(spark, d):
+    """``rolling_quota`` as a stream whose successes are keyed state."""
+    logs = views.logs(spark, d).select("id", "user_id", "code", F.col("created").cast("timestamp").alias("created"))
+    last = logs.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("user_id"), F.lit(402).alias("code"), F.lit(BEHIND).cast("timestamp").alias("created"))
+    out = stateful.run_to_end(spark, logs, last, lambda s: stateful.quota_stream(s, late=LATE), fresh_folder(spark, "quota"))
+    return out.filter("client <> '-1'").select("id", F.col("client").cast("long").alias("user_id"), "used")
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,34 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder, so that all that reads it sees the same rows in the same parts.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session without it makes its own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="vireo-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A folder below the shared one that no other run uses."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only a local session without it makes its own.
-    """
+def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = fresh_folder(df.sparkSession, tag)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, so that all that reads it sees the same rows in the same parts."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="vireo-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

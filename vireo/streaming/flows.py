@@ -1,4 +1,4 @@
-"""Structured Streaming forms: directory scan, staged ingestion, traffic, limits, stateful dedupe and concurrency."""
+"""Structured Streaming forms: directory scan, staged ingestion, traffic, limits, stateful dedupe."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.network import client_network, concurrency_key
+from ..functions.network import client_network
 from ..functions.text import base_name, episode_number, folder, is_media_path
 from ..operators.dedupe import KEPT, WITHIN
 
@@ -100,10 +100,3 @@ class FrameDeduper(StatefulProcessor):
 
 def dedupe_stream(frames: DataFrame) -> DataFrame:
     return frames.groupBy("file_id").transformWithStateInPandas(FrameDeduper(), FRAME, "append", "None")
-
-
-
-def concurrency_stream(events: DataFrame, reset: str = "15 minutes", late: str = "1 minute") -> DataFrame:
-    """Net requests by client in windows after which the counter starts anew."""
-    e = events.withWatermark("created", late).withColumn("client", concurrency_key(F.col("ip")))
-    return e.groupBy(F.window("created", reset).alias("w"), "client").agg(F.sum("step").alias("running"), F.count_if(F.col("step") > 0).alias("started")).select("client", F.col("w.start").alias("since"), "running", "started")
