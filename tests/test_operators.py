@@ -272,5 +272,34 @@ def test_inverted_file_recall(spark, tmp_path):
     rows = [(i, i % 9, i * 1.0, [int(x) for x in np.clip(centres[i % 20] + rng.integers(-3, 4, size=8), 0, 63)]) for i in range(4000)]
     every = spark.createDataFrame(rows, "frame_id long, file_id int, time double, vector array<int>")
     q = every.filter("frame_id IN (3, 500, 1234)").select(F.col("frame_id").alias("query_id"), F.col("vector").alias("qvec"))
-    centroids = ann.write_index(every, f"{tmp_path}/ivf", 20)
-    assert ann.recall(ann.probe(spark, f"{tmp_path}/ivf", centroids, q, probes=6, candidates=50), frames.nearest_frames(every, q, 50)) >= 0.95
+    path = f"{tmp_path}/ivf"
+    odd = spark.createDataFrame([(9001, 1, 1.0, None), (9002, 1, 1.0, [1, 2])], every.schema)
+    ann.write_index(every.unionByName(odd), path, 20)
+    exact = frames.nearest_frames(every, q, 50)
+    found = ann.search(spark, path, q, probes=6, candidates=50)
+    assert ann.recall(found, exact) >= 0.95
+    score = {(r.query_id, r.frame_id): r.score for r in exact.collect()}
+    assert all(score.get((r.query_id, r.frame_id), r.score) == r.score for r in found.collect())
+    assert ann.recall(ann.search(spark, path, q, probes=20, candidates=50), exact) == 1
+    lists = spark.read.parquet(f"{path}/lists")
+    assert lists.count() == 4000 and max(r.n for r in lists.select(F.size("code").alias("n")).distinct().collect()) == 8
+    plan = ann.search(spark, path, q, probes=2, candidates=5)._jdf.queryExecution().toString()
+    assert "Union" not in plan and "dynamicpruning" in plan.lower()
+
+
+def test_inverted_file_without_frames(spark, tmp_path):
+    from vireo.operators import ann
+
+    none = spark.createDataFrame([], "frame_id long, file_id int, time double, vector array<int>")
+    ann.write_index(none, f"{tmp_path}/none", 4)
+    q = spark.createDataFrame([(1, [1, 2])], "query_id long, qvec array<int>")
+    assert ann.search(spark, f"{tmp_path}/none", q).count() == 0
+
+
+def test_distances_of_one_length_are_flat(spark):
+    every = spark.createDataFrame([(1, 1, 0.0, [1, 2, 3]), (2, 1, 0.0, [3, 2, 1]), (3, 1, 0.0, [9, 9])], "frame_id long, file_id int, time double, vector array<int>")
+    q = spark.createDataFrame([(7, [1.5, 2.0, 2.0])], "query_id int, qvec array<double>")
+    got = {r.frame_id: r.score for r in frames.nearest_frames(every, q, 5).collect()}
+    assert got == {1: 1.25, 2: 3.25}  # a vector of another length is no match
+    whole = frames.nearest_frames(every, q.select("query_id", F.expr("array(1, 2, 2) AS qvec")), 2).collect()
+    assert {r.frame_id: r.score for r in whole}[1] == 1

@@ -1,23 +1,43 @@
-"""Inverted-file index over frame vectors: lists around centroids as partitions of a table, few of which a search reads.
+"""Inverted file with scalar quantisation: lists around centroids as partitions of a table, few of which a search reads.
 
-Centroids are fitted on a bounded sample (``SAMPLE`` frames by hash order); every frame is assigned. Scores are exact
-within the lists that are probed, so only frames of other lists can be missed; :func:`recall` measures how many.
+Every frame is assigned to its nearest centroid and kept with one byte a component beside its whole vector. A search is one
+plan for all its queries: each query's nearest lists are joined to the table by list, so that partitions of other lists aren't
+read and only codes are; the best few times ``candidates`` by decoded distance leave each task; they are joined to
+their whole vectors and ranked by exact distance. Only frames of lists that aren't probed, or whose code misleads
+by more than the surplus, can be missed; :func:`recall` measures how many.
+
+Centroids are fitted on a bounded sample (``SAMPLE`` frames by hash order); bounds of components are those of all frames. Both
+lie beside the table, in a model of ``lists`` rows that passes through the driver (16384 lists of 33 components: 4 MB).
+Null vectors and those of another length than most are not indexed; nor is anything of an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import nearest_frames
+from ..functions.vectors import squared_distance_double
+from .frames import nearest_of_each
 
 SAMPLE = 50_000
 ROUNDS = 8
 SEED = 5
+ROWS = 2048  # vectors that are compared with all centroids at once
+SPLITS = 16  # tasks that write a list at most
+SURPLUS = 3
+UNROLLED = 128  # components up to which distances to codes are one flat expression
+
+
+@dataclass
+class Model:
+    centroids: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
 
 
 def fit_centroids(frames: DataFrame, lists: int) -> np.ndarray:
@@ -27,7 +47,7 @@ def fit_centroids(frames: DataFrame, lists: int) -> np.ndarray:
         return np.zeros((0, 0))
     centroids = x[np.random.default_rng(SEED).choice(len(x), size=min(lists, len(x)), replace=False)]
     for _ in range(ROUNDS):
-        near = nearest(x, centroids)
+        near = nearest(x, centroids)[:, 0]
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, x)
         count = np.bincount(near, minlength=len(centroids))[:, None]
@@ -36,44 +56,106 @@ def fit_centroids(frames: DataFrame, lists: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
-    d = (centroids**2).sum(1)[None, :] - 2 * x @ centroids.T
-    return d.argmin(1) if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    """The numbers of the n nearest centroids of each vector, nearest first."""
+    out = []
+    for at in range(0, len(x), ROWS):
+        d = (centroids**2).sum(1)[None, :] - 2 * x[at : at + ROWS] @ centroids.T
+        out.append(d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out) if out else np.empty((0, n), dtype=np.int64)
 
 
-def assign(frames: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """frames with ``list``."""
-    held = frames.sparkSession.sparkContext.broadcast(centroids)
+def fit(frames: DataFrame, lists: int) -> Model:
+    centroids = fit_centroids(frames, lists)
+    n = centroids.shape[1]
+    bounds = frames.agg(*[f(F.get("vector", F.lit(i)).cast("double")).alias(f"{k}{i}") for i in range(n) for k, f in (("low", F.min), ("high", F.max))]).first() if n else {}
+    low, high = (np.array([bounds[f"{k}{i}"] for i in range(n)]) for k in ("low", "high"))
+    return Model(centroids, low, np.where(high > low, (high - low) / 255, 1.0))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column("vector")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(x, held.value).astype(np.int32) if len(x) else [], pa.int32())], names=[*b.schema.names, "list"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema)
-    return frames.mapInArrow(apply, f"{schema}, list int")
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def write_index(frames: DataFrame, path: str, lists: int = 64) -> np.ndarray:
-    """Write the frames partitioned by list; returns the centroids."""
-    centroids = fit_centroids(frames, lists)
-    if len(centroids):
-        assign(frames, centroids).repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
-    return centroids
+def encode(frames: DataFrame, model: Model) -> DataFrame:
+    """frames with ``list`` and ``code`` (one byte a component, shifted to -128..127)."""
+    held = frames.sparkSession.sparkContext.broadcast(model)
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("vector"))
+            code = np.clip(np.rint((x - m.low) / m.step), 0, 255).astype(np.int16) - 128
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(x, m.centroids)[:, 0].astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(code.astype(np.int8).ravel()))], names=[*b.schema.names, "list", "code"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    return frames.mapInArrow(apply, f"{schema}, list int, code array<tinyint>")
+
+
+def write_index(frames: DataFrame, path: str, lists: int = 64) -> None:
+    """Write the table partitioned by list, and the model beside it."""
+    spark = frames.sparkSession
+    rows = frames.select("frame_id", "file_id", F.col("time").cast("double").alias("time"), "vector").filter("vector IS NOT NULL")
+    usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows = rows.filter(F.size("vector") == (usual["n"] if usual else -1))
+    model = fit(rows, lists)
+    split = F.pmod(F.xxhash64("frame_id"), F.lit(SPLITS))
+    encode(rows, model).repartition("list", split).write.mode("overwrite").option("compression", "zstd").partitionBy("list").parquet(f"{path}/lists")
+    made = [(int(k), c.tolist(), model.low.tolist(), model.step.tolist()) for k, c in enumerate(model.centroids)]
+    spark.createDataFrame(made, "list int, centroid array<double>, low array<double>, step array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    # an index without frames has no partitions to tell its columns from
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    rows = spark.read.parquet(f"{path}/model").orderBy("list").collect()
+    return Model(np.array([r["centroid"] for r in rows]), np.array(rows[0]["low"]), np.array(rows[0]["step"])) if rows else Model(np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+
+
+def probes_of(queries: DataFrame, model: Model, probes: int) -> DataFrame:
+    """queries(query_id, qvec) -> query_id, shifted (the query less the least value, in the codes' scale of zero), list: a row for each list to read."""
+    held = queries.sparkSession.sparkContext.broadcast(model)
+    kind = queries.schema["query_id"].dataType.simpleString()
 
-def probe(spark: SparkSession, path: str, centroids: np.ndarray, queries: DataFrame, probes: int = 8, candidates: int = 1000) -> DataFrame:
-    """Nearest frames of each query within its nearest lists; other lists' partitions aren't read."""
-    wanted = [(r["query_id"], np.array(r["qvec"], dtype=np.float64)) for r in queries.select("query_id", "qvec").collect()]
-    near = nearest(np.stack([q for _, q in wanted]), centroids, max(2, probes))[:, :probes]
-    pairs = spark.createDataFrame([(q, int(k)) for (q, _), ks in zip(wanted, near) for k in ks], f"query_id {queries.schema['query_id'].dataType.simpleString()}, list int")
-    read = spark.read.parquet(path).filter(F.col("list").isin(sorted({int(k) for ks in near for k in ks})))
-    mine = read.join(F.broadcast(pairs), "list")
-    out = None
-    for q, _ in wanted:
-        part = nearest_frames(mine.filter(F.col("query_id") == q).drop("query_id"), queries.filter(F.col("query_id") == q), candidates)
-        out = part if out is None else out.unionByName(part)
-    return out
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column("qvec"))
+            near = nearest(x, m.centroids, min(max(2, probes), len(m.centroids)))[:, :probes]
+            row = np.repeat(np.arange(len(x)), near.shape[1])
+            shifted = (x - m.low - 128 * m.step)[row]
+            at = pa.array(np.arange(len(row) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(row)), pa.ListArray.from_arrays(at, pa.array(shifted.ravel())), pa.array(near.ravel().astype(np.int32))], names=["query_id", "shifted", "list"])
+
+    return queries.select("query_id", "qvec").mapInArrow(apply, f"query_id {kind}, shifted array<double>, list int")
+
+
+def decoded_distance(shifted: Column, code: Column, step: np.ndarray) -> Column:
+    """Squared distance of a query to a decoded vector."""
+    if len(step) <= UNROLLED:
+        terms = [F.get(shifted, F.lit(i)) - F.get(code, F.lit(i)) * F.lit(float(s)) for i, s in enumerate(step)]
+        return sum((t * t for t in terms[1:]), terms[0] * terms[0])
+    scaled = F.zip_with(code, F.array(*[F.lit(float(s)) for s in step]), lambda c, s: c * s)
+    return squared_distance_double(shifted, scaled)
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame, probes: int = 8, candidates: int = 1000, surplus: int = SURPLUS) -> DataFrame:
+    """query_id, frame_id, file_id, time, score: the nearest frames of each query within its nearest lists."""
+    model = read_model(spark, path)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    if not len(model.centroids):
+        return spark.read.parquet(f"{path}/columns").select(F.lit(None).cast(kind).alias("query_id"), "frame_id", "file_id", "time", F.lit(0.0).alias("score"))
+    index = spark.read.parquet(f"{path}/lists")
+    wanted = probes_of(queries, model, probes)
+    guessed = index.select("list", "frame_id", "code").join(wanted, "list").select("query_id", "list", "frame_id", decoded_distance(F.col("shifted"), F.col("code"), model.step).alias("score"))
+    few = nearest_of_each(guessed, surplus * candidates).drop("score")
+    whole = few.join(index.select("list", "frame_id", "file_id", "time", "vector"), ["list", "frame_id"]).join(queries.select("query_id", "qvec"), "query_id")
+    exact = whole.select("query_id", "frame_id", "file_id", "time", squared_distance_double(F.col("vector"), F.col("qvec")).alias("score"))
+    return nearest_of_each(exact, candidates)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import similarity, squared_distance, squared_distance_double
+from ..functions.vectors import flat_squared_distance, similarity, squared_distance, squared_distance_double
 
 MAX_QUERIES = 10
 CANDIDATES = 1000
@@ -20,19 +20,29 @@ BLOCK = 10_000
 SALTS = 64
 GAP = 5.0
 RESULTS = 10
+UNROLLED = 128  # components up to which a distance is one flat expression
 
 
 def nearest_frames(frames: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
     """frames x queries(query_id, qvec) -> query_id, frame_id, file_id, time, score: the ``candidates`` nearest."""
-    blocks = max(1, -(-queries.count() // BLOCK))
+    known = queries.agg(F.count("*").alias("n"), F.min(F.size("qvec")).alias("least"), F.max(F.size("qvec")).alias("most")).first()
+    length = known["most"] if known["least"] == known["most"] else None
+    blocks = max(1, -(-known["n"] // BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_nearest(frames, queries.filter(block == k) if blocks > 1 else queries, candidates) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, [_nearest(frames, queries.filter(block == k) if blocks > 1 else queries, candidates, length) for k in range(blocks)])
 
 
-def _nearest(frames: DataFrame, queries: DataFrame, candidates: int) -> DataFrame:
+def _nearest(frames: DataFrame, queries: DataFrame, candidates: int, length: int | None) -> DataFrame:
     whole = "array<int>" == queries.schema["qvec"].dataType.simpleString()
     distance = squared_distance if whole else squared_distance_double
-    scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), distance(F.col("vector"), F.col("qvec")).alias("score"))
+    score = flat_squared_distance(F.col("vector"), F.col("qvec"), length, whole) if length and length <= UNROLLED else distance(F.col("vector"), F.col("qvec"))
+    scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), score.alias("score"))
+    return nearest_of_each(scored, candidates)
+
+
+def nearest_of_each(scored: DataFrame, candidates: int) -> DataFrame:
+    """The ``candidates`` rows of least score (then frame_id) of each query, ranked in parts first; without a score is no match."""
+    scored = scored.filter("score IS NOT NULL")
     nearest_first = ("score", "frame_id")
     by_part = F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*nearest_first))
     some = scored.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(SALTS))).withColumn("rank", by_part).filter(F.col("rank") <= candidates).drop("salt", "rank")

@@ -87,6 +87,7 @@ SQL = {
     "frame_search_filtered": _with(("results",), "SELECT * FROM results", files=VIEWS["files"].replace("o_custkey * 2 AS catalog_id", "o_orderkey % 3 AS catalog_id") + " WHERE o_orderkey % 3 = 1", hits=VIEWS["hits"].replace("FROM frames, queries", "FROM frames, queries WHERE file_id % 3 = 1 AND file_id IN (SELECT o_orderkey FROM orders)")),
     "frame_search_catalog": _with(("results", "catalog"), "SELECT query_id, rank, catalog_id, json AS catalog_json FROM results LEFT JOIN catalog ON catalog.id = catalog_id"),
     "nearest_frames": _with(("hits",), "SELECT * FROM hits"),
+    "ann_recall": _with(("hits",), "SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM hits", hits=VIEWS["hits"].replace("rank <= 1000", "rank <= 10")),
     "merge_matches": _with(("matches",), "SELECT * FROM matches"),
     "frame_count": "SELECT count(*) AS row_count FROM embeddings",
     # fixed value: the bytes of the vector in the query

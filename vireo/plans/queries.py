@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
-from ..operators import accounts, analytics, catalog, dedupe, descriptor, frames, pipeline, scenes
+from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, scenes
 from ..session import ensure_importable, fresh_folder
 from ..sources import views
 from ..streaming import stateful
@@ -73,6 +73,27 @@ def nearest_frames(spark, d):
     return frames.nearest_frames(every, wanted)
 
 
+def _inverted_file(spark, d, candidates):
+    every, wanted = _frames(spark, d)
+    path = fresh_folder(spark, "ivf")
+    ann.write_index(every, path, lists=16)
+    return every, wanted, ann.search(spark, path, wanted, probes=10, candidates=candidates)
+
+
+@query
+def ann_search(spark, d):
+    return _inverted_file(spark, d, 1000)[2]
+
+
+@query
+def ann_recall(spark, d):
+    """Whether the index finds nine of ten of the ten nearest frames of all queries."""
+    every, wanted, found = _inverted_file(spark, d, 10)
+    exact = frames.nearest_frames(every, wanted, 10)
+    hit = exact.join(found.select("query_id", "frame_id", F.lit(1).alias("hit")), ["query_id", "frame_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (10 * F.count("hit") >= 9 * F.count("*")).alias("enough"))
+
+
 @query
 def merge_matches(spark, d):
     every, wanted = _frames(spark, d)
