@@ -102,6 +102,11 @@ SQL = {
     "max_catalog_id": "SELECT max(p_partkey) AS id FROM part",
     "rolling_quota": _with(("logs",), "SELECT id, user_id, count(*) FILTER (code = 200) OVER (PARTITION BY user_id ORDER BY created RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS used FROM logs WHERE user_id IS NOT NULL"),
     "quota_stream": _with(("logs",), "SELECT id, user_id, count(*) FILTER (code = 200) OVER (PARTITION BY user_id ORDER BY created RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS used FROM logs WHERE user_id IS NOT NULL"),
+    "client_windows": _with(("logs",), """, moments AS (SELECT id, network, epoch_us(created) AS t FROM logs), nexts AS (
+      SELECT network, t, min(t) OVER (PARTITION BY network ORDER BY t RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM (SELECT DISTINCT network, t FROM moments)), begun(network, t) AS (
+      SELECT network, min(t) FROM moments GROUP BY network UNION ALL SELECT begun.network, nexts.next FROM begun JOIN nexts ON begun.network = nexts.network AND begun.t = nexts.t WHERE nexts.next IS NOT NULL)
+      SELECT id, m.network, make_timestamp(begun.t) AS window_start, row_number() OVER one AS nth, row_number() OVER one > 2 AS limited
+      FROM moments m ASOF JOIN begun ON m.network = begun.network AND m.t >= begun.t WINDOW one AS (PARTITION BY m.network, begun.t ORDER BY m.t, id)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "rate_limit_windows": _with(("logs",), "SELECT network, date_trunc('hour', created)::TIMESTAMP AS window_start, count(*) AS requests, count(*) > 1 AS limited FROM logs GROUP BY 1, 2"),
     "tier_lookup": _with(("tiers",), "SELECT * FROM tiers WHERE id = 0"),
     "user_lookup": _with(("users",), "SELECT * FROM users WHERE api_key = md5('Customer#000000007')"),
@@ -148,6 +153,7 @@ SQL = {
     "best_title_per_id": _with(("best_title",), "SELECT * FROM best_title"),
     "title_search": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "title_search_indexed": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
+    "title_search_written": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "catalog_upsert": _with(("catalog",), f"SELECT id, updated, json FROM catalog WHERE id % 8 <> 4 UNION ALL SELECT id + CASE WHEN id % 8 = 0 THEN 1000000 ELSE 0 END, {_NOW}, '{{}}' FROM catalog WHERE id % 4 = 0"),
     "catalog_fill_missing": _with(("catalog",), """SELECT i AS id, coalesce(json, '{"id":' || i || ',"title":{"native":null,"romaji":null,"english":null},"synonyms":[]}') AS json FROM (SELECT unnest(range(1, (SELECT max(p_partkey) + 1 FROM part))) AS i) LEFT JOIN catalog ON id = i AND id % 3 = 0"""),
     "crawl_end": "SELECT min(ends) AS last_id FROM (SELECT *, lead(id) OVER (ORDER BY id) AS behind FROM (SELECT id, (54 + 50 * greatest(0, ceil((id + 146) / 50.0)))::BIGINT AS ends FROM (SELECT 5::BIGINT AS id UNION SELECT p_partkey FROM part WHERE p_partkey > 5 AND p_partkey % 1000 < 700))) WHERE behind IS NULL OR behind > ends",

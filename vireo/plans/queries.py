@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
-from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, scenes
+from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, rate_limits, scenes, title_index
 from ..session import ensure_importable, fresh_folder
 from ..sources import views
 from ..streaming import stateful
@@ -180,6 +180,11 @@ def rate_limit_windows(spark, d):
     return analytics.rate_windows(views.logs(spark, d), network.client_network(F.col("ip")), "1 hour", 1)
 
 
+@query
+def client_windows(spark, d):
+    return rate_limits.first_request_windows(_logs(spark, d), "network", 3600, 2)
+
+
 # --- accounts -----------------------------------------------------------------------------------
 
 
@@ -394,6 +399,17 @@ def title_search_indexed(spark, d):
     return catalog.title_search_indexed(catalog.trigram_index(t), t, views.catalog(spark, d), TITLE)
 
 
+@query
+def title_search_written(spark, d):
+    """The search by a written index, some of whose entries had other titles before an update."""
+    t = _titles(spark, d)
+    index = title_index.TitleIndex(spark, fresh_folder(spark, "titles"))
+    index.update(t.select("id"), t.withColumn("title", F.when(F.col("id") % 5 == 0, F.reverse("title")).otherwise(F.col("title"))))
+    some = t.filter("id % 5 = 0")
+    index.update(some.select("id"), some)
+    return index.search(views.catalog(spark, d), TITLE).withColumn("id", F.col("id").cast(t.schema["id"].dataType))
+
+
 @query
 def catalog_upsert(spark, d):
     c = views.catalog(spark, d)
