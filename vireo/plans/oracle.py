@@ -171,6 +171,8 @@ SQL = {
     "pending_scene": _with(("files",), "SELECT id, path FROM files WHERE o_orderstatus = 'O' ORDER BY id DESC LIMIT 20"),
     "pending_color": _with(("files",), "SELECT id, path FROM files WHERE frame_count IS NULL ORDER BY id DESC LIMIT 20"),
     "pending_load": _with(("files",), "SELECT id, path FROM files WHERE loaded IS NULL AND frame_count IS NOT NULL AND catalog_id IN (SELECT p_partkey FROM part) ORDER BY id DESC LIMIT 20"),
+    "ingestion_stages": _with(("files", "catalog"), """SELECT files.id, CASE WHEN catalog.id % 3 <> 0 THEN true END AS catalogue, files.id % 11 <> 0 AS media, files.id % 13 <> 0 AS scenes, files.id % 7 <> 0 AS colours,
+      CASE WHEN catalog.id % 3 <> 0 AND files.id % 11 <> 0 AND files.id % 13 <> 0 AND files.id % 7 <> 0 THEN files.id % 17 <> 0 END AS loaded FROM files LEFT JOIN catalog ON catalog.id = catalog_id"""),
     "files_view": _with(("files", "catalog"), "SELECT files.id, catalog_id, episode, path, duration, loaded, p_name AS title_native, p_type AS title_romaji, p_size % 7 = 0 AS is_adult FROM files LEFT JOIN catalog ON catalog.id = catalog_id"),
     "files_by_prefix": _with(("files",), "SELECT id, path, loaded FROM files WHERE path LIKE '2%/%'"),
     "cleanup_files": _with(("files", "gone"), "SELECT id, path FROM files WHERE id NOT IN (SELECT id FROM gone)"),
