@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,19 @@ def test_dedupe_frames(spark):
         assert sorted(r.frame_id for r in got if r.file_id == f) == sorted(kept_frames([(r[0], r[2], r[3]) for r in rows if r[1] == f]))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_dedupe_batch_after_batch(seed):
+    rnd = random.Random(seed)
+    rows = sorted((rnd.randint(0, 400) / rnd.choice([1, 4, 50]), rnd.randint(0, rnd.choice([2, 70]))) for _ in range(700))
+    keeper, got, at = dedupe.Keeper(), [], 0
+    while at < len(rows):
+        some = rows[at : at + rnd.choice([1, 3, 60, 300])]
+        stays = keeper.admit(np.array([t for t, _ in some]), np.array([v for _, v in some]))
+        got += [at + k for k in np.flatnonzero(stays).tolist()]
+        at += len(some)
+    assert got == kept_frames([(i, t, v) for i, (t, v) in enumerate(rows)])
+
+
 def test_scene_window():
     w = scenes.scene_window
     assert w(-1, 10, [], 0.5, 5) is None and w(11, 10, [], 0.5, 5) is None and w(1, None, [], 0.5, 5) is None and w(0, 0, [], 0.5, 5) is None
@@ -142,7 +156,7 @@ def test_crawl_end_against_a_loop(spark):
     import random
 
     def loop(ids, known):
-        current, last = known, known
+        current, last = (known, known) if known is not None else (1, 0)
         while True:
             block = range(current, current + 50)
             last = max([last, *(i for i in block if i in ids)])
@@ -159,7 +173,17 @@ def test_crawl_end_against_a_loop(spark):
             ids.add(at)
         found = spark.createDataFrame([(i,) for i in sorted(ids)], "id int")
         assert catalog.crawl_end(found, known).first()[0] == loop(ids, known)
-    assert catalog.crawl_end(found.limit(0), 1).first()[0] == loop(set(), 1)
+    assert catalog.crawl_end(found.limit(0), 1).first()[0] == loop(set(), 1) == 250
+    assert catalog.crawl_end(found.limit(0), None).first()[0] == loop(set(), None) == 200
+    some = spark.createDataFrame([(1,), (50,), (130,), (700,)], "id int")
+    assert catalog.crawl_end(some, None).first()[0] == loop({1, 50, 130, 700}, None)
+
+
+def test_refresh_blocks_go_down_from_the_last_but_one(spark):
+    ids = [3, 5, None, *range(10, 140), 139, 200]
+    got = {r.id: r.block for r in catalog.refresh_blocks(spark.createDataFrame([(i,) for i in ids], "id int").repartition(3)).collect()}
+    assert got == {i: k // 50 for k, i in enumerate(sorted({i for i in ids if i and i < 200}, reverse=True))}
+    assert catalog.refresh_blocks(spark.createDataFrame([], "id int")).count() == 0
 
 
 def test_accounts_of_several_requests(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Endings of media files, and the similarity above which titles match.
 MEDIA_ENDINGS = ("webm", "mkv", "mp4")
 TITLE_THRESHOLD = 0.3
+#: Fixed value: how an account's address must look.
+ADDRESS = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 
 
 def trigrams(text: Column) -> Column:
@@ -51,7 +53,7 @@ def episode_number(name: Column) -> Column:
 
 
 def is_email(text: Column) -> Column:
-    return text.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+    return text.rlike(ADDRESS)
 
 
 def is_safe_url(url: Column) -> Column:

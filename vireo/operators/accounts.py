@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_email
 from ..session import checkpointed
 
-#: How a new account's address must look, and the least length of a password.
-ADDRESS = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
+#: Fixed value: the least length of a password.
 PASSWORD_LENGTH = 8
+#: What callers are told about a new account, in the order of the checks.
+NO_ADDRESS = "Error: email cannot be empty"
+BAD_ADDRESS = "Error: invalid email address"
+NO_TIER = "Error: tier cannot be empty"
+BAD_TIER = "Error: invalid tier number"
+IN_USE = "Error: user already exists"
 
 
 def used_last_day(logs: DataFrame, key: str, as_of: Column) -> DataFrame:
@@ -86,13 +92,13 @@ def new_accounts(users: DataFrame, tiers: DataFrame, requests: DataFrame) -> Dat
     known = requests.join(F.broadcast(tiers.select(F.col("id").alias("known_tier"))), tier == F.col("known_tier"), "left")
     used = known.join(users.select(F.col("email").alias("used_email")).distinct(), email == F.col("used_email"), "left")
     error = (
-        F.when(email.isNull() | (email == ""), "Error: email cannot be empty").when(~email.rlike(ADDRESS), "Error: invalid email address")
-        .when(tier.isNull() | (tier == 0), "Error: tier cannot be empty").when(F.col("known_tier").isNull(), "Error: invalid tier number").when(F.col("used_email").isNotNull(), "Error: user already exists")
+        F.when(email.isNull() | (email == ""), NO_ADDRESS).when(~is_email(email), BAD_ADDRESS)
+        .when(tier.isNull() | (tier == 0), NO_TIER).when(F.col("known_tier").isNull(), BAD_TIER).when(F.col("used_email").isNotNull(), IN_USE)
     )
     checked = used.withColumn("error", error)
     first = checked.filter("error IS NULL").groupBy("email").agg(F.min("request_id").alias("first_id")).withColumnRenamed("email", "first_email")
-    settled = checked.join(first, email == F.col("first_email"), "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("request_id") > F.col("first_id")), "Error: user already exists").otherwise(F.col("error")))
-    code = F.when(F.col("error").isNull(), 200).when(F.col("error").endswith("exists"), 409).otherwise(400)
+    settled = checked.join(first, email == F.col("first_email"), "left").withColumn("error", F.when(F.col("error").isNull() & (F.col("request_id") > F.col("first_id")), IN_USE).otherwise(F.col("error")))
+    code = F.when(F.col("error").isNull(), 200).when(F.col("error") == IN_USE, 409).otherwise(400)
     return settled.select("request_id", "email", "tier", code.alias("code"), "error")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_THRESHOLD, trigram_similarity, trigrams
+from ..session import checkpointed
 
 RESULTS = 50
 #: Name, path and type of the projected fields.
@@ -81,18 +82,35 @@ def add_titles(catalog: DataFrame, extra: DataFrame) -> DataFrame:
     return catalog.join(extra, "id", "left")
 
 
-def crawl_end(found: DataFrame, known: int, size: int = 50, most_empty: int = 200) -> DataFrame:
+def refresh_blocks(ids: DataFrame, size: int = 50) -> DataFrame:
+    """(id, block) of all known ids but the greatest, from high to low in blocks of ``size``.
+
+    Ids are sorted over all tasks and numbered by their place in a task and the number of ids in the tasks before.
+    """
+    known = ids.filter("id IS NOT NULL").select("id").distinct()
+    below = known.crossJoin(F.broadcast(known.agg(F.max("id").alias("_max")))).filter("id < _max").select("id")
+    part = F.spark_partition_id()
+    placed = checkpointed(below.orderBy(F.desc("id")).withColumn("_part", part).withColumn("_in", F.monotonically_increasing_id() - part.cast("long") * (1 << 33)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return placed.join(counts, "_part").select("id", F.floor((F.col("_before") + F.col("_in")) / size).cast("long").alias("block"))
+
+
+def crawl_end(found: DataFrame, known: int | None, size: int = 50, most_empty: int = 200) -> DataFrame:
     """last_id: where a crawl in blocks of ``size`` from ``known`` on ends, given the ids (id) that there are.
 
+    Without a known id (an empty catalogue) it begins at 1, with nothing found yet.
+
     It ends with the first block whose end lies ``most_empty`` or more behind the last id found. An id's next one is looked
     for in its own range of ids and the one behind, so ids are never sorted in one task.
     """
     reach = most_empty + size
+    first_id, known = (1, 0) if known is None else (known, known)
     start = found.sparkSession.createDataFrame([(known,)], "id long")
     ids = found.select(F.col("id").cast("long").alias("id")).filter(F.col("id") > known).distinct().unionByName(start)
     ids = ids.withColumn("part", F.floor((F.col("id") - known) / reach).cast("long"))
     first = ids.groupBy("part").agg(F.min("id").alias("next_first")).select((F.col("part") - 1).alias("part"), "next_first")
     behind = F.coalesce(F.lead("id").over(Window.partitionBy("part").orderBy("id")), F.col("next_first"))
-    ends = F.lit(known + size - 1) + size * F.greatest(F.lit(0), F.ceil((F.col("id") + most_empty - (known + size - 1)) / size))
+    ends = F.lit(first_id + size - 1) + size * F.greatest(F.lit(0), F.ceil((F.col("id") + most_empty - (first_id + size - 1)) / size))
     followed = ids.join(first, "part", "left").withColumn("behind", behind).withColumn("ends", ends.cast("long"))
     return followed.filter(F.col("behind").isNull() | (F.col("behind") > F.col("ends"))).agg(F.min("ends").alias("last_id"))

@@ -82,7 +82,7 @@ _RUNNING = _with(("logs",), """SELECT key, id, step, at_time, (sum - least(0, mi
       FROM logs, (SELECT unnest([1, -1]) AS step) WHERE search_time IS NOT NULL)))""")
 
 SQL = {
-    "frame_search": _with(("results",), "SELECT * FROM results WHERE rank = 1"),
+    "frame_search": _with(("results",), "SELECT * FROM results"),
     "frame_search_batch": _with(("results",), "SELECT * FROM results"),
     "frame_search_filtered": _with(("results",), "SELECT * FROM results", files=VIEWS["files"].replace("o_custkey * 2 AS catalog_id", "o_orderkey % 3 AS catalog_id") + " WHERE o_orderkey % 3 = 1", hits=VIEWS["hits"].replace("FROM frames, queries", "FROM frames, queries WHERE file_id % 3 = 1 AND file_id IN (SELECT o_orderkey FROM orders)")),
     "frame_search_catalog": _with(("results", "catalog"), "SELECT query_id, rank, catalog_id, json AS catalog_json FROM results LEFT JOIN catalog ON catalog.id = catalog_id"),
@@ -90,8 +90,7 @@ SQL = {
     "ann_recall": _with(("hits",), "SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM hits", hits=VIEWS["hits"].replace("rank <= 1000", "rank <= 10")),
     "merge_matches": _with(("matches",), "SELECT * FROM matches"),
     "frame_count": "SELECT count(*) AS row_count FROM embeddings",
-    # fixed value: the bytes of the vector in the query
-    "parse_vector": "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN [32,24,7,19,13,13,19,22,24,15,14,16,15,15,13,18,16,17,14,13,19,34,12,26,17,19,17,26,19,8,12,11,9] END AS vector FROM region",
+    "parse_vector": _with(("frames",), "SELECT frame_id, CASE WHEN frame_id % 7 <> 0 THEN vector END AS vector FROM frames"),
     "stats_traffic": _with(("logs",), f"SELECT date_trunc('hour', created)::TIMESTAMP AS date_time, code, count(*) AS count FROM logs WHERE {_HOURS} GROUP BY 1, 2"),
     "stats_traffic_pivot": _with(("logs",), "SELECT date_trunc('day', created)::TIMESTAMP AS date_time, " + ", ".join(f"count(*) FILTER (code = {c}) AS c{c}" for c in (200, 400, 402, 405, 500, 503)) + f", count(*) AS total FROM logs WHERE {_DAYS} GROUP BY 1"),
     "stats_traffic_codes": _with(("logs",), f"SELECT date_time, string_agg(code || ':' || n, ',' ORDER BY code) AS counts, sum(n)::BIGINT AS total FROM (SELECT date_trunc('hour', created)::TIMESTAMP AS date_time, code, count(*) AS n FROM logs WHERE {_HOURS} GROUP BY 1, 2) GROUP BY 1"),
@@ -145,7 +144,7 @@ SQL = {
     "running_concurrency": _RUNNING,
     "concurrency_stream": _RUNNING,
     "webhook_top_tier": "SELECT p_partkey, CASE WHEN p_size >= p_size % 17 * 3 THEN 'a' ELSE 'b' END AS tier FROM part",
-    "valid_emails": _with(("users",), "SELECT id, email FROM users WHERE id % 3 <> 0 AND regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')"),
+    "valid_emails": _with(("users",), "SELECT id, email FROM users WHERE id % 3 <> 0 AND regexp_matches(email, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+$')"),
     "user_digests": _with(("users",), "SELECT id, sha1(email) AS sha1, sha256(email) AS sha256 FROM users"),
     "catalog_view": _with(("catalog",), "SELECT id, p_name AS title_native, p_type AS title_romaji, NULL::VARCHAR AS title_english, NULL::VARCHAR AS title_chinese, p_size % 7 = 0 AS is_adult, NULL::VARCHAR AS season, (json ->> '$.seasonYear')::INT AS season_year, json ->> '$.format' AS format, NULL::VARCHAR AS status, (json ->> '$.episodes')::INT AS episodes, NULL::INT AS duration, NULL::VARCHAR AS country, NULL::VARCHAR AS source, updated FROM catalog"),
     "catalog_titles": _with(("titles",), "SELECT * FROM titles"),
@@ -157,6 +156,7 @@ SQL = {
     "catalog_upsert": _with(("catalog",), f"SELECT id, updated, json FROM catalog WHERE id % 8 <> 4 UNION ALL SELECT id + CASE WHEN id % 8 = 0 THEN 1000000 ELSE 0 END, {_NOW}, '{{}}' FROM catalog WHERE id % 4 = 0"),
     "catalog_fill_missing": _with(("catalog",), """SELECT i AS id, coalesce(json, '{"id":' || i || ',"title":{"native":null,"romaji":null,"english":null},"synonyms":[]}') AS json FROM (SELECT unnest(range(1, (SELECT max(p_partkey) + 1 FROM part))) AS i) LEFT JOIN catalog ON id = i AND id % 3 = 0"""),
     "crawl_end": "SELECT min(ends) AS last_id FROM (SELECT *, lead(id) OVER (ORDER BY id) AS behind FROM (SELECT id, (54 + 50 * greatest(0, ceil((id + 146) / 50.0)))::BIGINT AS ends FROM (SELECT 5::BIGINT AS id UNION SELECT p_partkey FROM part WHERE p_partkey > 5 AND p_partkey % 1000 < 700))) WHERE behind IS NULL OR behind > ends",
+    "refresh_blocks": _with(("catalog",), "SELECT id, ((row_number() OVER (ORDER BY id DESC) - 1) // 50)::BIGINT AS block FROM catalog WHERE id < (SELECT max(id) FROM catalog)"),
     "id_chunks": "SELECT floor((p_partkey - 1) / 50)::BIGINT AS chunk, min(p_partkey) AS first_id, max(p_partkey) AS last_id, count(*) AS ids FROM part GROUP BY 1",
     "add_titles": "SELECT p_partkey AS id, s_name AS title_chinese FROM part LEFT JOIN supplier ON s_suppkey * 3 = p_partkey",
     "scan_files": _with(("files",), "SELECT id, path FROM files"),

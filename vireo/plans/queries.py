@@ -47,7 +47,7 @@ def _titles(spark, d):
 @query
 def frame_search(spark, d):
     every, wanted = _frames(spark, d)
-    return frames.frame_search(every, wanted, views.files(spark, d), results=1)
+    return frames.frame_search(every, wanted, views.files(spark, d))
 
 
 @query
@@ -115,16 +115,18 @@ def dedupe_frames(spark, d):
 
 @query
 def colour_layout(spark, d):
-    ramp = F.repeat(F.lit("0123456789abcdef"), 10800)
-    one = views.read(spark, d, "region").select("r_regionkey", F.encode(F.concat(F.repeat(F.col("r_name").substr(1, 1), 16), ramp), "UTF-8").alias("data"))
-    return one.select("r_regionkey", descriptor.colour_layout_udf("data", F.lit(320), F.lit(180)).alias("descriptor"))
+    """Descriptors of rasters that the pages' bytes make: rows of 32 pixels, as many as are full."""
+    raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    pages = views.read(spark, d, "pages").select("page_id", raw.alias("data"), F.floor(F.octet_length(raw) / 96).cast("int").alias("height"))
+    return pages.select("page_id", descriptor.colour_layout_udf("data", F.lit(32), "height").alias("descriptor"))
 
 
 @query
 def parse_vector(spark, d):
-    #: Fixed value: a vector in the form that callers send.
-    good = F.lit("IBgHEw0NExYYDw4QDw8NEhARDg0TIgwaERMRGhMIDAsJ")
-    return views.read(spark, d, "region").select("r_regionkey", vectors.parse_vector(F.when(F.col("r_regionkey") % 2 == 0, good).otherwise(F.substring(good, 1, 40))).alias("vector"))
+    """Each frame's vector sent as base64 and read back; some texts are cut and no vector."""
+    sent = F.base64(F.unhex(F.array_join(F.transform("vector", lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+    asked = views.frames(spark, d).select("frame_id", F.when(F.col("frame_id") % 7 == 0, F.substring(sent, 1, 40)).otherwise(sent).alias("sent"))
+    return asked.select("frame_id", vectors.parse_vector(F.col("sent")).alias("vector"))
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -429,6 +431,11 @@ def id_chunks(spark, d):
     return catalog.id_chunks(F.lit(1), views.catalog(spark, d).select("id")).groupBy("chunk").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("ids"))
 
 
+@query
+def refresh_blocks(spark, d):
+    return catalog.refresh_blocks(views.catalog(spark, d).select("id"))
+
+
 @query
 def crawl_end(spark, d):
     return catalog.crawl_end(views.catalog(spark, d).select("id").filter("id % 1000 < 700"), 5)
