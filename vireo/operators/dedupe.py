@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WITHIN = 2.0
@@ -67,10 +67,11 @@ class Keeper:
 def dedupe_frames(frames: DataFrame) -> DataFrame:
     """frame_id, file_id, time, vector without frames that repeat one kept shortly before in the same file.
 
-    Partitioned by file and streamed in time order: a task holds the last kept frame of each vector of one file, however long
-    it is. Vectors are told apart by 64-bit hashes that Spark computes.
+    Numbered by file and streamed in time order: a task holds the last kept frame of each vector of one file, however long
+    it is. Vectors are told apart by 64-bit hashes that Spark computes. A table bucketed by file isn't dealt out again.
     """
-    ordered = frames.select("frame_id", "file_id", "time", "vector", F.xxhash64("vector").alias("_code")).repartition("file_id").sortWithinPartitions("file_id", "time", "frame_id")
+    in_time = Window.partitionBy("file_id").orderBy("time", "frame_id")
+    ordered = frames.select("frame_id", "file_id", "time", "vector", F.xxhash64("vector").alias("_code")).withColumn("_n", F.row_number().over(in_time))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file_id, keeper = None, Keeper()
@@ -80,6 +81,6 @@ def dedupe_frames(frames: DataFrame) -> DataFrame:
                 if f != file_id:
                     file_id, keeper = f, Keeper()
                 good.append(keeper.admit(part["time"].to_numpy(), part["_code"].to_numpy()))
-            yield pdf[np.concatenate(good)].drop(columns="_code") if good else pdf.drop(columns="_code")
+            yield pdf[np.concatenate(good)].drop(columns=["_code", "_n"]) if good else pdf.drop(columns=["_code", "_n"])
 
-    return ordered.mapInPandas(apply, ordered.drop("_code").schema)
+    return ordered.mapInPandas(apply, ordered.drop("_code", "_n").schema)

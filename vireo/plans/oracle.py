@@ -148,6 +148,7 @@ SQL = {
     "user_digests": _with(("users",), "SELECT id, sha1(email) AS sha1, sha256(email) AS sha256 FROM users"),
     "catalog_view": _with(("catalog",), "SELECT id, p_name AS title_native, p_type AS title_romaji, NULL::VARCHAR AS title_english, NULL::VARCHAR AS title_chinese, p_size % 7 = 0 AS is_adult, NULL::VARCHAR AS season, (json ->> '$.seasonYear')::INT AS season_year, json ->> '$.format' AS format, NULL::VARCHAR AS status, (json ->> '$.episodes')::INT AS episodes, NULL::INT AS duration, NULL::VARCHAR AS country, NULL::VARCHAR AS source, updated FROM catalog"),
     "catalog_titles": _with(("titles",), "SELECT * FROM titles"),
+    "catalog_titles_refreshed": _with(("titles",), "SELECT * FROM titles"),
     "titles_union": _with(("catalog",), "SELECT id, p_name AS title FROM catalog UNION SELECT id, p_type FROM catalog UNION SELECT id, p_brand FROM catalog"),
     "best_title_per_id": _with(("best_title",), "SELECT * FROM best_title"),
     "title_search": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
@@ -177,6 +178,7 @@ SQL = {
     "files_by_prefix": _with(("files",), "SELECT id, path, loaded FROM files WHERE path LIKE '2%/%'"),
     "cleanup_files": _with(("files", "gone"), "SELECT id, path FROM files WHERE id NOT IN (SELECT id FROM gone)"),
     "cleanup_frames": _with(("frames", "gone"), "SELECT frame_id, file_id FROM frames WHERE file_id NOT IN (SELECT id FROM gone)"),
+    "cleanup_frames_by_file": _with(("frames", "gone"), "SELECT frame_id, file_id FROM frames WHERE file_id NOT IN (SELECT id FROM gone)"),
     "apply_stage_results": _with(("files",), "SELECT id, coalesce(loaded, id % 2 = 0) AS loaded FROM files"),
     "log_rows": _with(("logs",), "SELECT created, ip, user_id, code, search_time, accuracy FROM logs"),
     "safe_url_filter": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'http://198.51.100.7/x' ELSE url END AS url FROM pages WHERE CASE WHEN page_id % 3 = 0 THEN page_id % 5 = 4 ELSE page_id % 7 <> 0 END",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import network, text, tokens, vectors
 from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, rate_limits, scenes, title_index
 from ..session import ensure_importable, fresh_folder
-from ..sources import views
+from ..sources import derived, views
 from ..streaming import stateful
 from ..streaming.stages import Stage, StageGraph
 
@@ -386,6 +387,19 @@ def titles_union(spark, d):
     return branch("$.title.native").union(branch("$.title.romaji")).union(branch("$.title.english")).union(listed).distinct().filter("title IS NOT NULL AND title <> ''")
 
 
+@query
+def catalog_titles_refreshed(spark, d):
+    """The titles as a derived table: made, then refreshed for the entries that have changed since."""
+    now = views.catalog(spark, d)
+    before = now.filter("id % 9 <> 0").withColumn("json", F.when(F.col("id") % 100 == 7, F.lit("{}")).otherwise(F.col("json")))
+    titles = derived.DerivedTable(spark, fresh_folder(spark, "derived"), catalog.catalog_titles)
+    titles.note(before)
+    titles.refresh(before)
+    titles.note(now.filter("id % 9 = 0 OR id % 100 = 7"))
+    titles.refresh(now)
+    return titles.read()
+
+
 @query
 def best_title_per_id(spark, d):
     return catalog.best_title_per_id(_titles(spark, d), TITLE)
@@ -557,6 +571,13 @@ def cleanup_frames(spark, d):
     return pipeline.without(views.frames(spark, d), _gone(spark, d), "file_id").select("frame_id", "file_id")
 
 
+@query
+def cleanup_frames_by_file(spark, d):
+    """The clean-up of a table of frames that is bucketed by file."""
+    table = derived.write_frames_by_file(views.frames(spark, d), f"frames_{uuid.uuid4().hex}", 8)
+    return pipeline.without(table, _gone(spark, d), "file_id").select("frame_id", "file_id")
+
+
 @query
 def apply_stage_results(spark, d):
     f = views.files(spark, d).select("id", "loaded")
