@@ -6,7 +6,7 @@ they were given. Between stages documents are written and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
@@ -59,8 +59,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if repeated.isEmpty():
         return kept
     repeated = _small(repeated)
-    one = Window.partitionBy("doc_id", text).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = kept.join(repeated, same(repeated), "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
+    # of rows of one id and text the first by a hash of what can be hashed; each task sends on one of them
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    hashed = [n for n, f in zip(names, docs.schema) if f.dataType.typeName() not in ("map", "variant")]
+    rows = kept.join(repeated, same(repeated), "left_semi").select(F.struct(*names).alias("doc"), F.col("doc_id").alias("row_id"), text.alias("row_hash"), F.xxhash64(*hashed).alias("order"))
+    first = rows.groupBy("row_id", "row_hash").agg(F.min_by("doc", "order").alias("doc")).select(*[F.col(f"doc.{n}") for n in names])
     return kept.join(repeated, same(repeated), "left_anti").unionByName(first)
 
 
