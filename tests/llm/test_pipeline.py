@@ -107,3 +107,15 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_repeated_rows_with_odd_columns(spark):
+    """Columns named like the stage's own, with dots, and maps pass untouched; of rows of one id and text one stays."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 77, "a", {"k": 1}, 5), (1, text, 77, "a", {"k": 1}, 5), (1, text, 78, "a", {"k": 2}, 5), (2, text + " x", 1, "b", None, 6), (3, "other words " * 9, 2, "c", {}, 7), (None, None, 3, "d", None, 8), (None, None, 3, "d", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, `a.b` string, m map<string,int>, doc int").repartition(3)
+    got = P.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "3", "None", "None"]
+    assert {(r["_n"], r["a.b"]) for r in out} <= {(77, "a"), (78, "a"), (2, "c"), (3, "d")}
