@@ -85,5 +85,5 @@ def crop_decision(width: Column, height: Column, new_width: Column, new_height:
     """What border removal does: crop near 16:9 and 4:3; crop and letterbox near 21:9 after a clear loss; else keep."""
     ratio = new_width / new_height
     near = lambda target, off: F.abs(ratio - target) < off
-    shrunk = (new_width * new_height) / (width * height) < 0.95
+    shrunk = ((width - new_width) / width > 0.05) | ((height - new_height) / height > 0.05)
     return F.when(near(16 / 9, 0.05) | near(4 / 3, 0.05), "crop").when(near(21 / 9, 0.1) & shrunk, "letterbox").otherwise("keep")

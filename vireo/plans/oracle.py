@@ -187,6 +187,16 @@ SQL = {
     "scene_threshold": "SELECT event_id, value / 500 AS score FROM events WHERE value / 500 > 0.2",
     "scene_intervals": _with(("changes",), "SELECT user_id, t AS start_time, end_time FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS end_time FROM changes) WHERE end_time IS NOT NULL"),
     "preview_durations": "SELECT event_id, least(greatest(CASE WHEN value / 100 - 1 = 0 THEN 0.5 ELSE value / 100 - 1 END, 0.5), 2.0)::DOUBLE AS shortest, least(greatest(CASE WHEN value / 100 - 1 = 0 THEN 5.0 ELSE value / 100 - 1 END, 0.5), 5.0)::DOUBLE AS longest FROM events",
-    "crop_decision": """SELECT p_partkey, CASE WHEN abs(w / h - 16 / 9::DOUBLE) < 0.05 OR abs(w / h - 4 / 3::DOUBLE) < 0.05 THEN 'crop' WHEN abs(w / h - 21 / 9::DOUBLE) < 0.1 AND w * h / (640 * h) < 0.95 THEN 'letterbox' ELSE 'keep' END AS decision
+    "crop_decision": """SELECT p_partkey, CASE WHEN abs(w / h - 16 / 9::DOUBLE) < 0.05 OR abs(w / h - 4 / 3::DOUBLE) < 0.05 THEN 'crop' WHEN abs(w / h - 21 / 9::DOUBLE) < 0.1 AND (640 - w) / 640 > 0.05 THEN 'letterbox' ELSE 'keep' END AS decision
       FROM (SELECT p_partkey, 640.0::DOUBLE - p_partkey % 50 AS w, p_size * 10.0::DOUBLE + 100 AS h FROM part)""",
+    # raw frames and images
+    "raw_frame_times": """SELECT name, frame, frame * 0.25::DOUBLE AS time, md5(substr(bytes, (frame * 192 + 1)::BIGINT, 192)) AS digest FROM (
+      SELECT name, bytes, unnest(range(length(bytes) // 192 - CASE WHEN part % 3 = 0 THEN 2 ELSE 0 END)) AS frame FROM (
+        SELECT page_id // 50 AS part, 'clips/c ' || (page_id // 50) AS name, hex(encode(string_agg(html, '' ORDER BY page_id, html))) AS bytes FROM pages WHERE page_id IS NOT NULL GROUP BY ALL))""",
+    "prepared_images": """SELECT page_id, (CASE what WHEN 'crop' THEN nw ELSE 320 END)::INT AS width, (CASE what WHEN 'crop' THEN nh WHEN 'letterbox' THEN 180 ELSE h END)::INT AS height,
+      (CASE what WHEN 'crop' THEN nw * nh WHEN 'keep' THEN (320 - 2 * l) * (h - 2 * t) WHEN 'letterbox' THEN 320 * floor(nh * 320::DOUBLE / nw + 0.5) END)::INT AS lit FROM (
+      SELECT *, CASE WHEN abs(nw / nh - 16 / 9::DOUBLE) < 0.05 OR abs(nw / nh - 4 / 3::DOUBLE) < 0.05 THEN 'crop'
+        WHEN abs(nw / nh - 21 / 9::DOUBLE) < 0.1 AND ((320 - nw) / 320 > 0.05 OR (h - nh) / h > 0.05) THEN 'letterbox' ELSE 'keep' END AS what FROM (
+      SELECT *, 320::DOUBLE - 2 * l - CASE WHEN l > 0 THEN 4 ELSE 0 END AS nw, h::DOUBLE - 2 * t - CASE WHEN t > 0 THEN 4 ELSE 0 END AS nh FROM (
+      SELECT page_id, 180 + page_id % 2 * 60 AS h, page_id % 9 * 6 AS t, page_id % 5 * 8 AS l FROM pages)))""",
 }

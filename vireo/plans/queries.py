@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
-from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, rate_limits, scenes, title_index
+from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, prepare_image, rate_limits, scenes, title_index
 from ..session import ensure_importable, fresh_folder
-from ..sources import derived, views
+from ..sources import derived, raw_frames, views
 from ..streaming import stateful
 from ..streaming.stages import Stage, StageGraph
 
@@ -644,3 +644,37 @@ def preview_durations(spark, d):
 def crop_decision(spark, d):
     w, h = F.lit(640.0), F.col("p_size") * 10.0 + 100
     return views.read(spark, d, "part").select("p_partkey", descriptor.crop_decision(w, h, w - F.col("p_partkey") % 50, h).alias("decision"))
+
+
+# --- raw frames and images ----------------------------------------------------------------------
+
+
+@query
+def raw_frame_times(spark, d):
+    """Clips of 8 x 4 pixels that the bytes of 50 pages each make, with logs of their times; each third clip's log lacks two."""
+    part = F.floor(F.col("page_id") / 50)
+    pages = views.read(spark, d, "pages").filter("page_id IS NOT NULL").groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("pages"))
+    bytes_ = F.encode(F.array_join(F.transform("pages", lambda p: p["html"]), ""), "UTF-8")
+    clips = pages.select("part", F.concat(F.lit("clips/c "), "part").alias("name"), bytes_.alias("data"))
+    times = (F.octet_length("data") / 96).cast("int") + F.when(F.col("part") % 3 == 0, -2).otherwise(1)
+    line = lambda i: F.concat(F.lit("n:"), i.cast("string"), F.lit(" pts_time:"), (i * 0.25).cast("string"), F.lit(" type:I"))
+    log = F.when(times > 0, F.array_join(F.transform(F.sequence(F.lit(0), times - 1), line), "\n")).otherwise("")
+    root = fresh_folder(spark, "clips")
+    for extension, data in (("rgb", F.col("data")), ("log", F.encode(log, "UTF-8"))):
+        raw_frames.write_files(clips.select(F.concat("name", F.lit("." + extension)).alias("name"), data.alias("data")), root)
+    return raw_frames.timed_frames(spark, root, width=8, height=4).select("name", "frame", "time", F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
+@query
+def prepared_images(spark, d):
+    """Grey images with black bars whose shade and bars follow from the page; what is left of them without borders."""
+    k = F.col("page_id")
+    pages = views.read(spark, d, "pages").select("page_id", (180 + k % 2 * 60).alias("h"), (k % 9 * 6).alias("t"), (k % 5 * 8).alias("l"), F.lpad(F.hex(F.length(F.coalesce("html", F.lit(""))) % 100 + 100), 2, "0").alias("shade"))
+    many = lambda what, n: F.repeat(what, n.cast("int"))
+    side = many(F.lit("000000"), F.col("l"))
+    rows = F.concat(side, many(F.col("shade"), 3 * (320 - 2 * F.col("l"))), side)
+    bar = many(F.lit("000000"), 320 * F.col("t"))
+    images = pages.select("page_id", "h", F.unhex(F.concat(bar, many(rows, F.col("h") - 2 * F.col("t")), bar)).alias("data"))
+    made = images.select("page_id", prepare_image.prepare_image_udf("data", F.lit(320), F.col("h").cast("int"), F.lit(True)).alias("p"))
+    dark = F.replace(F.hex("p.data"), F.lit("00"), F.lit(""))
+    return made.select("page_id", "p.width", "p.height", (F.length(dark) / 6).cast("int").alias("lit"))
