@@ -199,4 +199,8 @@ SQL = {
         WHEN abs(nw / nh - 21 / 9::DOUBLE) < 0.1 AND ((320 - nw) / 320 > 0.05 OR (h - nh) / h > 0.05) THEN 'letterbox' ELSE 'keep' END AS what FROM (
       SELECT *, 320::DOUBLE - 2 * l - CASE WHEN l > 0 THEN 4 ELSE 0 END AS nw, h::DOUBLE - 2 * t - CASE WHEN t > 0 THEN 4 ELSE 0 END AS nh FROM (
       SELECT page_id, 180 + page_id % 2 * 60 AS h, page_id % 9 * 6 AS t, page_id % 5 * 8 AS l FROM pages)))""",
+    "request_sources": """SELECT page_id, source, CASE WHEN source IS NULL THEN 405 WHEN source = 'url' AND page_id % 3 = 0 OR source = 'file' AND (page_id % 25 = 0 OR size = 0) THEN 400 ELSE 200 END AS status,
+      CASE WHEN source = 'body' OR source = 'file' AND page_id % 25 <> 0 AND size > 0 THEN size END AS bytes FROM (
+      SELECT page_id, coalesce(octet_length(encode(html)), 0) AS size, CASE WHEN page_id % 7 = 0 THEN 'vector' WHEN page_id % 2 = 0 AND page_id % 3 < 2 THEN 'url' WHEN page_id % 5 = 0 THEN 'file'
+        WHEN page_id % 3 = 0 AND length(html) > 0 THEN 'body' END AS source FROM pages)""",
 }

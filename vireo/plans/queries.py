@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network, text, tokens, vectors
-from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, prepare_image, rate_limits, scenes, title_index
+from ..operators import accounts, analytics, ann, catalog, dedupe, descriptor, frames, pipeline, prepare_image, rate_limits, scenes, title_index, uploads
 from ..session import ensure_importable, fresh_folder
 from ..sources import derived, raw_frames, views
 from ..streaming import stateful
@@ -678,3 +678,14 @@ def prepared_images(spark, d):
     made = images.select("page_id", prepare_image.prepare_image_udf("data", F.lit(320), F.col("h").cast("int"), F.lit(True)).alias("p"))
     dark = F.replace(F.hex("p.data"), F.lit("00"), F.lit(""))
     return made.select("page_id", "p.width", "p.height", (F.length(dark) / 6).cast("int").alias("lit"))
+
+
+@query
+def request_sources(spark, d):
+    """Requests made of pages: vectors, addresses (some not to be fetched), files and bodies, by the page's number."""
+    k = F.col("page_id")
+    html = F.encode("html", "UTF-8")
+    url = F.when(k % 2 == 0, F.when(k % 3 == 0, F.lit("http://127.0.0.1/x")).when(k % 3 == 1, F.lit("http://198.51.100.7/a")).otherwise(""))
+    files = F.when(k % 5 == 0, F.array(F.when(k % 25 != 0, html), html)).when(k % 5 == 1, F.array().cast("array<binary>"))
+    asked = views.read(spark, d, "pages").select("page_id", F.when(k % 7 == 0, F.lit("AAAA")).when(k % 7 == 1, F.lit("")).alias("vector"), url.alias("url"), files.alias("files"), F.when(k % 3 == 0, html).alias("body"))
+    return uploads.request_sources(asked).select("page_id", "source", "status", F.octet_length("content").cast("long").alias("bytes"))

@@ -1,7 +1,8 @@
 """Remote catalogue as a Python data source: pages of ids fetched in parallel, with retries.
 
 ``spark.read.format("remote_catalog").option("url", "https://host/page?ids={ids}").option("first", 1).option("last", 500).load()``
-gives (id, json). A page is one partition; 429 waits as told, server errors wait ``pause`` seconds, five tries at most.
+gives (id, json). A page is one partition; 429 waits as told, server errors wait ``pause`` seconds, five tries at most. With option
+``failures`` the ids of a page that couldn't be had are rows without json, so that they can be asked for again; else there are none.
 """
 
 from __future__ import annotations
@@ -46,13 +47,17 @@ class CatalogReader(DataSourceReader):
     def __init__(self, options: dict):
         self.url, self.pause = options["url"], float(options.get("pause", 5))
         self.first, self.last = int(options["first"]), int(options["last"])
+        self.failures = options.get("failures", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [Page(k, min(k + PAGE, self.last + 1)) for k in range(self.first, self.last + 1, PAGE)]
 
     def read(self, page: Page) -> Iterator[tuple[int, str]]:
         ids = ",".join(map(str, range(page.first, page.last)))
-        for d in fetch(self.url.replace("{ids}", ids), self.pause) or []:
+        found = fetch(self.url.replace("{ids}", ids), self.pause)
+        if found is None and self.failures:
+            yield from ((i, None) for i in range(page.first, page.last))
+        for d in found or []:
             yield int(d["id"]), json.dumps(d, ensure_ascii=False)
 
 

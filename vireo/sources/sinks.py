@@ -60,3 +60,10 @@ def register(tables: dict[str, DataFrame]) -> None:
     """Make tables available to SQL."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def described(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table, temporary, column, type): the tables and views that SQL knows in a database."""
+    found = spark.catalog.listTables(database)
+    rows = [(t.name, t.isTemporary, c.name, c.dataType) for t in found for c in spark.catalog.listColumns(t.name if t.isTemporary else ".".join([*t.namespace, t.name]))]
+    return spark.createDataFrame(rows, "table string, temporary boolean, column string, type string")
