@@ -70,7 +70,7 @@ def test_cells_and_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("dim", [4, 16, 64])
 def test_recall_of_a_pair_at_the_threshold(dim):
     rng = np.random.default_rng(5)
-    window, least = E.calibrate(dim, 0)[1:]
+    window, least = E.calibrate(dim)
     x = rng.normal(size=(2000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     side = rng.normal(size=x.shape)
@@ -81,15 +81,44 @@ def test_recall_of_a_pair_at_the_threshold(dim):
     assert found >= 0.99 * len(x)
 
 
-@pytest.mark.parametrize("k", [0, 1, 5, 9])
-def test_reached_cells_are_all_within_the_ball(k):
-    rng = np.random.default_rng(k)
-    off, radius = rng.normal(size=(40, k)), 1.1
-    who, cell = E.reached_cells(off, radius)
-    home = ((off > 0) << np.arange(k)).sum(axis=1) if k else np.zeros(40, dtype=int)
-    want = {(i, int(home[i]) ^ f) for i in range(40) for f in range(1 << k) if f == 0 or sum(off[i, j] ** 2 for j in range(k) if f >> j & 1) <= radius**2}
-    assert set(zip(who.tolist(), cell.tolist())) == want and len(who) == len(want)
-    assert (cell[:40] == home).all()
+def around(centre_share, n, dim, seed):
+    """Unit vectors around one centre, with this cosine between each two of them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x *= np.sqrt(1 - centre_share) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(centre_share)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.8])
+def test_cells_of_a_label(share):
+    """Cells of 200 000 vectors are near the size aimed at, few for each vector, and pairs at the threshold meet."""
+    x = around(share, 200_000, 64, 7)
+    thresholds = E.fit_trees(x[:20_000], len(x))
+    trees, levels, _ = thresholds.shape
+    cells = E.cells_of(x, thresholds)
+    fullest = max(np.bincount(cells[:, t]).max() for t in range(trees))
+    assert levels >= 1 and trees <= E.MAX_TREES and fullest <= 3 * len(x) / 2**levels
+    if share == 0.0:
+        assert fullest <= 3 * E.CELL and trees <= 15
+    y = E.neighbours(x[50_000:60_000], 0.9801, np.random.default_rng(8))
+    assert (cells[50_000:60_000] == E.cells_of(y, thresholds)).any(axis=1).mean() >= 0.999
+
+
+def test_trees_of_degenerate_samples():
+    same = np.ones((500, 8)) / np.sqrt(8)
+    assert E.cells_of(same, E.fit_trees(same, 10_000_000)).shape[0] == 500
+    assert E.fit_trees(np.ones((500, 1)), 10_000_000).shape[1] == 0
+    assert E.fit_trees(np.empty((0, 8)), 10_000_000).shape[1] == 0
+
+
+def test_trees_joined_to_the_rows(spark, monkeypatch):
+    """Trees beyond what is broadcast give the same rows."""
+    monkeypatch.setattr(E, "CELL", 20)
+    rows = vectors(200, 64, 6)
+    held = run(spark, rows)
+    monkeypatch.setattr(E, "BROADCAST_TREES", -1)
+    assert run(spark, rows) == held
 
 
 def test_many_halvings(spark, monkeypatch):

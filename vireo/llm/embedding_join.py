@@ -1,19 +1,22 @@
 """Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
 Unit vectors with cosine >= 0.98 are at most 0.2 apart, so their projections on a few orthonormal directions are
-close. Leading directions only deal vectors to cells: a label's vectors are halved at the median of one direction after
-the other until a cell holds about ``CELL``, so their number grows with the label, and a vector also visits the cells
-that a ball around it reaches (the radius is that which a pair at the threshold keeps to in those directions with
-probability ``RECALL``). Within a cell, each further projection of the residents is sorted,
+close. A label of more than ``CELL`` vectors is dealt to cells by several trees: each halves it on one random direction
+after the other, at medians of the label's own vectors (in the first levels at those of each node), until a cell holds
+about ``CELL``. A vector is in one cell of each tree. Depth and number of trees are chosen for each label, on a bounded
+sample of it, so that a simulated pair at the threshold shares a cell with probability ``RECALL`` at the least number
+of comparisons; where halving doesn't pay (few dimensions, a tight label), the label stays one cell.
+Within a cell, each further projection of the residents is sorted,
 each query's window around its own projection is looked up in it, and the windows' members are counted. Pairs
 whose count passes are verified by their cosine in double precision. Window and count are calibrated by
 simulation so that a pair at the threshold passes with probability ``RECALL``.
 
-Every pair meets once: in the cell of greater number, the other vector being a visitor. Equal vectors are one
+Every pair counts once: in the first tree that has both in one cell, by the cells that the rows carry. Equal vectors are one
 node with a weight. A task returns link counts and a spanning forest of its links, never the pairs; a cell with
 many residents is split into blocks, a task for each two of them.
 
-The medians are fitted on a sample of at most ``SAMPLE`` vectors; all vectors are dealt and compared.
+Trees are fitted on a sample of at most ``SAMPLE`` vectors a label (fewer if long: ``SAMPLE_BYTES``); all vectors are
+dealt and compared.
 
 An empty table gives no rows; equal cosines and repeated vectors make no difference, as every pair is judged for itself.
 
@@ -40,40 +43,50 @@ COSINE = 0.98
 RECALL = 0.9999
 PROJECTIONS = 16
 CELL = 2000  # residents aimed at for a cell
-MAX_SPLITS = 48  # halvings of a label: cells would hold CELL of 10^17 vectors
+MAX_SPLITS = 40  # halvings of a label: cells would hold CELL of 10^15 vectors
+MAX_TREES = 40
+OWN_LEVELS = 6  # levels of a tree with a median for each node; deeper ones have one for each node of this level
 BROADCAST_LABELS = 100_000
+BROADCAST_TREES = 64 << 20  # bytes of trees that executors hold; more are joined to the rows
 BLOCK = 4096  # residents of a cell handled by one task
 SAMPLE = 20_000
+SAMPLE_BYTES = 32 << 20
 SEED = 11
 
 
-@lru_cache(maxsize=8)
-def directions(dim: int) -> np.ndarray:
-    """Orthonormal columns: the first deal, the last PROJECTIONS count (in few dimensions all do both)."""
-    q, _ = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
-    return q
+def counting(dim: int) -> int:
+    """Number of projections that count: all directions if there are few."""
+    return PROJECTIONS if dim >= 2 * PROJECTIONS else dim
 
 
-def most_splits(dim: int) -> int:
-    return min(MAX_SPLITS, dim - PROJECTIONS if dim >= 2 * PROJECTIONS else dim)
+@lru_cache(maxsize=8)
+def directions(dim: int) -> np.ndarray:
+    """The orthonormal columns that count."""
+    return np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, counting(dim))))[0]
 
 
-def counting(dim: int) -> slice:
-    return slice(dim - PROJECTIONS, dim) if dim >= 2 * PROJECTIONS else slice(0, dim)
+@lru_cache(maxsize=4)
+def tree_directions(dim: int) -> np.ndarray:
+    """(tree, dim, level): random directions, orthonormal within a tree as far as there are dimensions."""
+    rng = np.random.default_rng(SEED + 2)
+    step = min(dim, MAX_SPLITS)
+    trees = []
+    for _ in range(MAX_TREES):
+        runs = [np.linalg.qr(rng.standard_normal((dim, step)))[0] for _ in range(-(-MAX_SPLITS // step))]
+        trees.append(np.concatenate(runs, axis=1)[:, :MAX_SPLITS])
+    return np.stack(trees)
 
 
-def calibrate(dim: int, splits: int, cosine: float = COSINE) -> tuple[np.ndarray, float, int]:
-    """(radius in the first 0, 1, .. dealing directions, window, least count) that a pair at the threshold keeps to with probability RECALL."""
+def calibrate(dim: int, cosine: float = COSINE) -> tuple[float, int]:
+    """(window, least count) that a pair at the threshold keeps to with probability RECALL."""
     apart = np.sqrt(2 - 2 * cosine)
-    x = np.random.default_rng(SEED + 1).standard_normal((200_000, dim)).astype(np.float32)
-    x *= apart / np.linalg.norm(x, axis=1, keepdims=True)
-    square, radius = np.zeros(len(x)), [0.0]
-    for k in range(min(splits, most_splits(dim))):
-        square += x[:, k].astype(np.float64) ** 2
-        radius.append(min(float(np.sqrt(np.quantile(square, RECALL))), apart) * (1 + 1e-9))
+    rng = np.random.default_rng(SEED + 1)
+    x = rng.standard_normal((200_000, counting(dim)))
+    rest = rng.chisquare(dim - counting(dim), len(x)) if dim > counting(dim) else 0.0
+    x *= apart / np.sqrt((x**2).sum(axis=1) + rest)[:, None]
     window = 2 * apart / np.sqrt(dim)
-    counts = (np.abs(x[:, counting(dim)]) <= window).sum(axis=1)
-    return np.array(radius), float(window), int(np.quantile(counts, 1 - RECALL, method="lower"))
+    counts = (np.abs(x) <= window).sum(axis=1)
+    return float(window), int(np.quantile(counts, 1 - RECALL, method="lower"))
 
 
 def _prepare(rows: DataFrame) -> DataFrame:
@@ -103,48 +116,131 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def reached_cells(off: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the row, cell) for each row's own cell, then for each other one that the ball around it reaches.
-
-    ``off``: distances from the medians. Cells are halved direction by direction, and a row goes on into the other half
-    while that lies within the ball, so only what is reached is ever enumerated.
+def cells_of(x: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """(row, tree): the cell of each unit vector in each tree; bit j is its side at level j."""
+    cells = np.zeros((len(x), len(thresholds)), dtype=np.int64)
+    for t, levels in enumerate(thresholds):
+        projected = x @ tree_directions(x.shape[1])[t][:, : len(levels)]
+        for j, at_node in enumerate(levels):
+            cells[:, t] |= (projected[:, j] > at_node[cells[:, t] & (len(at_node) - 1)]).astype(np.int64) << j
+    return cells
+
+
+def fit_medians(x: np.ndarray, trees: int, levels: int) -> np.ndarray:
+    """(tree, level, node) -> median of the sample's vectors at that node."""
+    own = max(0, min(OWN_LEVELS, levels - 1, int(np.log2(max(1, len(x) / 256)))))
+    out = np.zeros((trees, levels, 1 << own))
+    for t in range(trees):
+        projected = x @ tree_directions(x.shape[1])[t][:, :levels]
+        cell = np.zeros(len(x), dtype=np.int64)
+        for j in range(levels):
+            node, p = cell & ((1 << own) - 1), projected[:, j]
+            n = np.bincount(node, minlength=1 << own)
+            middle = np.cumsum(n) - n + n // 2
+            out[t, j] = np.where(n > 0, p[np.lexsort((p, node))][np.minimum(middle, len(x) - 1)], np.median(p))
+            cell |= (p > out[t, j][node]).astype(np.int64) << j
+    return out
+
+
+def neighbours(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector a random one at this cosine."""
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return cosine * x + np.sqrt(1 - cosine**2) * side
+
+
+def fit_trees(x: np.ndarray, n: int, cosine: float = COSINE) -> np.ndarray:
+    """Thresholds (tree, level, node) for a label of ``n`` unit vectors of which ``x`` is a sample; no level: one cell.
+
+    Of all depths the one with the fewest comparisons, each with as many trees as a pair at the threshold needs to
+    share a cell with probability RECALL.
+    """
+    wanted = min(MAX_SPLITS, int(np.ceil(np.log2(max(1.0, n / CELL)))))
+    if wanted < 1 or len(x) < 2 or x.shape[1] < 2:
+        return np.zeros((1, 0, 1))
+    thresholds = fit_medians(x, MAX_TREES, wanted)
+    rng = np.random.default_rng(SEED + 3)
+    home = cells_of(x, thresholds)
+    apart = np.concatenate([home ^ cells_of(neighbours(x, cosine, rng), thresholds) for _ in range(-(-SAMPLE // len(x)))])
+    best, cost = np.zeros((1, 0, 1)), 1.0
+    for k in range(1, wanted + 1):
+        missed = np.ones(len(apart), dtype=bool)
+        for t in range(MAX_TREES):
+            missed &= (apart[:, t] & ((1 << k) - 1)) != 0
+            if missed.mean() <= 1 - RECALL:
+                sizes = np.unique(home[:, t] & ((1 << k) - 1), return_counts=True)[1]
+                together = (sizes * (sizes - 1)).sum() / (len(x) * (len(x) - 1))
+                found = (t + 1) * max(0.5**k, float(together))
+                if found < cost:
+                    best, cost = thresholds[: t + 1, :k], found
+                break
+    return best
+
+
+TREES = "trees int, levels int, nodes int, thresholds binary"
+
+
+def _fit(sample: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, trees, levels, nodes, thresholds) for each label of a sample (label, dim, n, vector)."""
+    label_type = ddl(sample.schema["label"].dataType)
+
+    def apply(t: pa.Table) -> pa.Table:
+        dim = t.column("dim")[0].as_py()
+        x = unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim))
+        found = np.ascontiguousarray(fit_trees(x, t.column("n")[0].as_py(), cosine))
+        made = [pa.array([v], pa.int32()) for v in found.shape] + [pa.array([found.tobytes()], pa.binary())]
+        return pa.Table.from_arrays([t.column("label")[:1], t.column("dim")[:1], *made], names=["label", "dim", "trees", "levels", "nodes", "thresholds"])
+
+    return sample.select("label", "dim", "n", "vector").groupBy("label", "dim").applyInArrow(apply, f"label {label_type}, dim int, {TREES}")
+
+
+def _deal(nodes: DataFrame, held, with_vector: bool = True) -> DataFrame:
+    """(label, dim, tree, cell [, code, weight, vector, cells]): each vector in one cell of each tree of its label.
+
+    ``held`` is a broadcast of thresholds by model; without it they are columns of the rows.
     """
-    who, cell, spent = np.arange(len(off)), np.zeros(len(off), dtype=np.int64), np.zeros(len(off))
-    for j in range(off.shape[1]):
-        side = (off[who, j] > 0).astype(np.int64)
-        across = spent + off[who, j] ** 2
-        near = np.flatnonzero(across <= radius**2)
-        cell, far = cell | side << j, cell[near] | (1 - side[near]) << j
-        who, cell, spent = np.concatenate([who, who[near]]), np.concatenate([cell, far]), np.concatenate([spent, across[near]])
-    return who, cell
-
-
-def _deal(nodes: DataFrame, medians: dict[int, np.ndarray], radii: dict[int, np.ndarray]) -> DataFrame:
-    """(label, dim, cell, visitor, code, weight, vector): residents, and visitors of cells of greater number."""
     label_type = ddl(nodes.schema["label"].dataType)
-    names = ["label", "dim", "cell", "visitor", "code", "weight", "vector"]
+    names = ["label", "dim", "tree", "cell"] + ["code", "weight", "vector", "cells"] * with_vector
+    no_tree = np.zeros((1, 0, 1))
+
+    def trees_of(part: pa.RecordBatch) -> np.ndarray:
+        model = part.column("model")[0].as_py()
+        if model is None:
+            return no_tree
+        if held is not None:
+            return held.value[model]
+        shape = [part.column(c)[0].as_py() for c in ("trees", "levels", "nodes")]
+        return np.frombuffer(part.column("thresholds")[0].as_py()).reshape(shape)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = np.stack([b.column("dim").to_numpy(), b.column("splits").to_numpy()])
-            for dim, k in np.unique(kinds, axis=1).T.tolist():
-                at = np.flatnonzero((kinds == [[dim], [k]]).all(axis=0))
-                for s in range(0, len(at), 512):
-                    part = b.take(pa.array(at[s : s + 512]))
-                    k = min(k, most_splits(dim))
-                    x = unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(part.num_rows, dim))
-                    which, cell = reached_cells(x @ directions(dim)[:, :k] - medians[dim][:k], radii[dim][k])
-                    visitor = np.arange(len(which)) >= part.num_rows
-                    kept = np.flatnonzero(~visitor | (cell > cell[which]))
-                    out = part.take(pa.array(which[kept]))
-                    yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(cell[kept]), pa.array(visitor[kept]), out.column("code"), out.column("weight"), out.column("vector")], names=names)
-
-    return nodes.select("label", "dim", "splits", "code", "weight", "vector").mapInArrow(apply, f"label {label_type}, dim int, cell long, visitor boolean, code long, weight long, vector binary")
+            model, dims = b.column("model").fill_null(-1).to_numpy(), b.column("dim").to_numpy()
+            for m, dim in np.unique(np.stack([model, dims]), axis=1).T.tolist():
+                at = np.flatnonzero((model == m) & (dims == dim))
+                thresholds = trees_of(b.slice(int(at[0]), 1))
+                step = max(1, (16 << 20) // (8 * dim * len(thresholds)))
+                for s in range(0, len(at), step):
+                    part = b.take(pa.array(at[s : s + step]))
+                    if thresholds.shape[1]:
+                        cells = cells_of(unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(part.num_rows, dim)), thresholds)
+                    else:
+                        cells = np.zeros((part.num_rows, 1), dtype=np.int64)
+                    out = part.take(pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1])))
+                    tree = np.tile(np.arange(cells.shape[1], dtype=np.int32), part.num_rows)
+                    columns = [out.column("label"), out.column("dim"), pa.array(tree), pa.array(cells.ravel())]
+                    if with_vector:
+                        rows = pa.array([c.tobytes() for c in cells], pa.binary()).take(pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1])))
+                        columns += [out.column("code"), out.column("weight"), out.column("vector"), rows]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = f"label {label_type}, dim int, tree int, cell long" + ", code long, weight long, vector binary, cells binary" * with_vector
+    return nodes.mapInArrow(apply, schema)
 
 
 def links_between(x: np.ndarray, y: np.ndarray, window: float, least: int, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers (i, j) of linked rows of x and y (same: of x alone, i < j)."""
-    cols = directions(x.shape[1])[:, counting(x.shape[1])]
+    cols = directions(x.shape[1])
     px, py = x @ cols, y @ cols
     orders = [np.argsort(py[:, j], kind="stable") for j in range(py.shape[1])]
     lists = [py[o, j] for j, o in enumerate(orders)]
@@ -195,13 +291,18 @@ def _compare(table: pa.Table, settings: dict[int, tuple[float, int]], cosine: fl
     x = unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float64).reshape(-1, dim))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     links = np.zeros(len(x), dtype=np.int64)
-    # side 0: residents of a block; 1: visitors, or residents of another block
+    tree = table.column("tree")[0].as_py()
+    earlier = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.int64).reshape(len(x), -1)[:, :tree]
+    # side 0: residents of a block; 1: those of another block
     r, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     whole = not table.column("across")[0].as_py()
     for left, right, same in [(r, r, True)] * whole + [(v, r, False)]:
         if len(left) and len(right):
             for i, j in links_between(x[left], x[right], window, least, cosine, same):
                 i, j = left[i], right[j]
+                if tree:
+                    new = ~(earlier[i] == earlier[j]).any(axis=1)
+                    i, j = i[new], j[new]
                 found.append((i, j))
                 np.add.at(links, i, weight[j])
                 np.add.at(links, j, weight[i])
@@ -218,32 +319,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     prepared = materialize(_prepare(rows), "vectors")
     valid = prepared.filter("code IS NOT NULL")
     nodes = materialize(valid.groupBy("code").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector")), "vector-nodes")
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(CELL)))).cast("int")
-    splits = materialize(sizes.select(F.col("label").alias("of_label"), F.col("dim").alias("of_dim"), halvings.alias("splits")), "vector-splits")
-    largest, labels = splits.agg(F.coalesce(F.max("splits"), F.lit(0)), F.count("*")).first()
-    nodes = nodes.join(F.broadcast(splits) if labels <= BROADCAST_LABELS else splits, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))).drop("of_label", "of_dim")
+    sizes = materialize(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).withColumnsRenamed({"label": "of_label", "dim": "of_dim"}), "vector-sizes")
+    of_label = (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))
+    labels = sizes.count()
+    held, models = None, None
+    if labels:
+        few = F.greatest(F.lit(1000), F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_BYTES) / (8 * F.col("dim")))))
+        drawn = F.pmod(F.xxhash64("code", F.lit(SEED)), F.lit(1 << 30)) < few / F.col("n") * (1 << 30)
+        sample = nodes.join(F.broadcast(sizes) if labels <= BROADCAST_LABELS else sizes, of_label).filter(drawn)
+        fitted = _fit(sample, cosine).filter("levels > 0").withColumnsRenamed({"label": "of_label", "dim": "of_dim"})
+        models = materialize(fitted.withColumn("model", F.monotonically_increasing_id()), "vector-trees")
+        size, labels = models.agg(F.coalesce(F.sum(F.octet_length("thresholds")), F.lit(0)), F.count("*")).first()
+        if size <= BROADCAST_TREES:
+            table = {r["model"]: np.frombuffer(r["thresholds"]).reshape(r["trees"], r["levels"], r["nodes"]) for r in models.drop("of_label").collect()}
+            held = spark.sparkContext.broadcast(table)
+            light = models.select("of_label", "of_dim", "model")
+            placed = nodes.join(F.broadcast(light) if labels <= BROADCAST_LABELS else light, of_label, "left").drop("of_label", "of_dim")
+        else:
+            placed = nodes.join(models, of_label, "left").drop("of_label", "of_dim")
+    else:
+        placed = nodes.withColumn("model", F.lit(None).cast("long"))
+    columns = ["label", "dim", "model", "code", "weight", "vector"] + ["trees", "levels", "nodes", "thresholds"] * (models is not None and held is None)
+    placed = placed.select(*columns)
     dims = [r["dim"] for r in nodes.select("dim").distinct().collect()]
-    sample = nodes.select("dim", "vector", F.xxhash64("code").alias("h")).orderBy("h").limit(SAMPLE).collect() if largest else []
-    medians, radii, settings = {}, {}, {}
-    for dim in dims:
-        own = [np.frombuffer(r["vector"]) for r in sample if r["dim"] == dim]
-        deal = directions(dim)[:, : most_splits(dim)]
-        medians[dim] = np.median(unit(np.stack(own)) @ deal, axis=0) if own else np.zeros(deal.shape[1])
-        radii[dim], window, least = calibrate(dim, largest, cosine)
-        settings[dim] = (window, least)
-    dealt = _deal(nodes, medians, radii)
-    cell = ["label", "dim", "cell"]
-    if largest:
-        dealt = materialize(dealt, "vector-cells")
-    per_cell = dealt.filter("NOT visitor").groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(per_cell.withColumnsRenamed({c: f"_{c}" for c in cell}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell]).drop(*[f"_{c}" for c in cell])
+    settings = {dim: calibrate(dim, cosine) for dim in dims}
+    cell = ["label", "dim", "tree", "cell"]
+    # cells are computed twice, so that no table of all vectors in all trees is written
+    per_cell = materialize(_deal(placed, held, with_vector=False).groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "vector-cells")
+    full = per_cell.filter("blocks > 1").withColumnsRenamed({c: f"_{c}" for c in cell})
+    full = F.broadcast(full) if full.count() <= BROADCAST_LABELS else full
+    dealt = _deal(placed, held).join(full, [F.col(c) == F.col(f"_{c}") for c in cell], "left").drop(*[f"_{c}" for c in cell]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
-    # residents: (own, j) for all j; the lesser block is side 0. Visitors: (i, i) for all i, side 1.
-    tasks = F.when(F.col("visitor"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), i.alias("j"), F.lit(1).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"), F.when(own <= j, 0).otherwise(1).alias("side")))
-    )
-    dealt = dealt.withColumn("task", F.explode(tasks)).select(*cell, "task.*", "code", "weight", "vector").withColumn("across", F.col("i") != F.col("j"))
+    # residents: (own, j) for all j; the lesser block is side 0
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"), F.when(own <= j, 0).otherwise(1).alias("side")))
+    dealt = dealt.withColumn("task", F.explode(tasks)).select(*cell, "task.*", "code", "weight", "vector", "cells").withColumn("across", F.col("i") != F.col("j"))
     out = materialize(dealt.groupBy(*cell, "i", "j").applyInArrow(lambda t: _compare(t, settings, cosine), "kind int, a long, b long"), "vector-links")
     links = out.filter("kind = 0").groupBy(F.col("a").alias("code")).agg(F.sum("b").alias("links"))
     comps = materialize(components(out.filter("kind = 1").select("a", "b")), "vector-components")
