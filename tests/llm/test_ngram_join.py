@@ -108,6 +108,53 @@ def test_templated_pages_that_do_not_link_make_no_searches(spark, monkeypatch):
     assert sum(searched) == 0
 
 
+def block_documents(n, seed=9):
+    """Documents made of half of 40 blocks of words each, in any order."""
+    rnd = random.Random(seed)
+    blocks = [" ".join(f"b{k}w{i}" for i in range(30)) for k in range(40)]
+    return [(i, " ".join(rnd.sample(blocks, 20))) for i in range(n)]
+
+
+def test_searches_of_documents_with_common_blocks_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    monkeypatch.setattr(ngram_join, "INDEX", 32)
+    search, searched = ngram_join._search, []
+    for n in (200, 400):
+        count = []
+        monkeypatch.setattr(ngram_join, "_search", lambda rows, roles, *a: count.append(roles.filter("role = 1").count()) or search(rows, roles, *a))
+        got = ngram_join.similar_groups(spark.createDataFrame(block_documents(n), "doc_id long, text string"))
+        assert got.filter("doc_id = component_id").count() == n
+        searched.append(sum(count))
+    assert 0 < searched[1] <= 2.1 * searched[0]
+
+
+@pytest.mark.parametrize("bitmaps, queries", [(1 << 9, 7), (1 << 21, 4096)])
+def test_copies_among_documents_with_common_blocks(spark, monkeypatch, bitmaps, queries):
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "INDEX", 16)
+    monkeypatch.setattr(ngram_join, "BITMAPS", bitmaps)
+    monkeypatch.setattr(ngram_join, "QUERIES", queries)
+    rows, rnd = block_documents(60), random.Random(2)
+    for i, (_, text) in enumerate(rows[:30]):
+        w = text.split(" ")
+        for _ in range(rnd.randint(1, 25)):
+            w[rnd.randrange(len(w))] = f"z{rnd.random()}"
+        rows.append((100 + i, " ".join(w[: rnd.randint(450, 600)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()), key=str) == brute(rows)
+
+
+def test_bitmaps_in_blocks_equal_those_of_each_pair():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, size=500, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(2, 500)], size=rng.integers(1, 400))) for _ in range(120)]
+    bits, comps = [ngram_join.bitmap(s) for s in sets], rng.integers(0, 5, len(sets)).tolist()
+    known = ngram_join.Bitmaps([len(s) for s in sets], comps, bits, 75)
+    for s, c, b in zip(sets, comps, bits):
+        want = [i for i, (t, d, x) in enumerate(zip(sets, comps, bits)) if d != c and ngram_join.may_link(len(s), len(t), ngram_join.least_difference(b, x))]
+        assert sorted(known.may_link(len(s), c, b).tolist()) == want
+
+
 def test_entries_without_a_fitting_partner_are_dropped():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -53,6 +53,8 @@ BUCKET = 1_500_000  # postings aimed at for a bucket
 SALT = 1024  # queries that a part of an index gets
 FEW = 64  # pairs are made of the documents of lists up to this length; longer lists are searched
 INDEX = 512  # documents of an index that a task holds
+BITMAPS = 2 << 20  # bytes of bitmaps of a cluster that a task holds
+QUERIES = 4096  # bitmaps that it compares with them
 BROADCAST_ROWS = 200_000
 ROW = 1024  # documents of a list in one row
 SKIP = 0.02  # weight of a list's length in the choice of how many lists are long
@@ -343,24 +345,86 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _cluster_roles(entries: DataFrame, percent: int) -> DataFrame:
+class Bitmaps:
+    """Sets known by size and bitmap, ordered by size for each width of a bitmap."""
+
+    def __init__(self, sizes: list[int], comps: list[int], bits: list[bytes], percent: int):
+        self.percent = percent
+        self.by_width: list[tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]] = []
+        size, comp, width = np.array(sizes, dtype=np.int64), np.array(comps, dtype=np.int64), np.array([len(x) // 8 for x in bits])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            at = at[np.argsort(size[at], kind="stable")]
+            whole = np.frombuffer(b"".join(bits[i] for i in at), dtype="<u8").reshape(len(at), w)
+            self.by_width.append((at, size[at], comp[at], {w: whole}))
+
+    @staticmethod
+    def fold(words: np.ndarray, w: int) -> np.ndarray:
+        while words.shape[1] > w:
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        return words
+
+    def may_link(self, size: int, comp: int, bits: bytes) -> np.ndarray:
+        """Numbers of the sets of other components that sizes and bitmaps let link."""
+        query, out = np.frombuffer(bits, dtype="<u8")[None, :], []
+        for at, sizes, comps, folds in self.by_width:
+            low, high = np.searchsorted(sizes, [-(-self.percent * size // 100), 100 * size // self.percent + 1])
+            if low == high:
+                continue
+            w = min(max(folds), query.shape[1])
+            if w not in folds:
+                folds[w] = self.fold(folds[max(folds)], w)
+            differ = np.bitwise_count(folds[w][low:high] ^ self.fold(query, w)).sum(axis=1, dtype=np.int64)
+            both = sizes[low:high] + size
+            fits = (2 * linked_overlap(both, 0, self.percent) + differ <= both) & (comps[low:high] != comp)
+            out.append(at[low:high][fits])
+        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
+def _cluster_roles(entries: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Long lists' entries (list, least, code, size, comp) as searches: of all documents but the largest component's.
 
     Lists that share documents are one cluster, so that a document is indexed once. An index is split by bands of
-    sizes and into parts of about INDEX documents, and a search goes to those of the bands that it may link with.
+    sizes and into parts of about INDEX documents. Bitmaps (code, bits) of the queries meet those of the bands that they may link
+    with in blocks of bounded size; a search goes only to the parts with a document that may link, and only such documents are indexed.
     """
     cluster = materialize(components(entries.select(F.col("least").alias("a"), F.col("code").alias("b"))), "join-clusters")
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("long")
-    docs = entries.select("code", "size", "comp").distinct().join(cluster, F.col("code") == F.col("node")).select(F.col("component").alias("group"), "code", "comp", band.alias("band"))
-    docs = materialize(docs, "join-cluster-documents")
+    docs = entries.select("code", "size", "comp").distinct().join(cluster, F.col("code") == F.col("node")).select(F.col("component").alias("group"), "code", "comp", "size", band.alias("band"))
+    docs = materialize(docs.join(bitmaps, "code"), "join-cluster-documents")
     largest = docs.groupBy("group", "comp").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    parts = docs.groupBy("group", "band").agg(F.ceil(F.count("*") / INDEX).cast("long").alias("parts"))
+    parts = docs.groupBy("group", "band").agg(F.ceil(F.count("*") / INDEX).cast("long").alias("parts"), F.ceil(F.sum(F.octet_length("bits")) / BITMAPS).cast("long").alias("blocks"))
     largest, parts = _small(largest), _small(parts)  # so that a large cluster isn't dealt to one task by its name
-    one, width = F.lit(1).alias("kind"), F.lit(1 << 32)
-    index = docs.join(parts, ["group", "band"]).select(one, "group", (F.col("band") * width + F.pmod(F.xxhash64("code"), "parts")).alias("part"), F.lit(0).alias("role"), "code", "comp")
-    around = docs.join(largest, "group").filter("comp <> largest").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    queries = around.join(parts, ["group", "band"]).select(one, "group", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.col("band") * width + i)).alias("part"), F.lit(1).alias("role"), "code", "comp")
-    return index.unionByName(queries)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    around = docs.join(largest, "group").filter("comp <> largest").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).join(parts, ["group", "band"])
+    salts = _small(around.groupBy("group", "band").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts")))
+    block, part = F.pmod(F.xxhash64("code", F.lit(1)), "blocks"), F.col("band") * (1 << 32) + F.pmod(F.xxhash64("code"), "parts")
+    key, rest = ["group", "band", "block", "salt"], ["role", "code", "comp", "size", "part", "bits"]
+    index = docs.join(parts, ["group", "band"]).join(salts, ["group", "band"]).withColumns({"block": block, "part": part, "role": F.lit(0)}).withColumn("salt", upto("salts")).select(*key, *rest)
+    queries = around.join(salts, ["group", "band"]).withColumns({"block": upto("blocks"), "salt": F.pmod(F.xxhash64("code", F.lit(2)), "salts"), "part": F.lit(None).cast("long"), "role": F.lit(1)}).select(*key, *rest)
+    placed = index.unionByName(queries).repartition(n_partitions(entries.sparkSession), *key).sortWithinPartitions(*key, "role")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, index, hit = None, None, [], set()
+        names, types = ["group", "part", "role", "code", "comp"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        for batch in batches:
+            out: list[tuple] = []
+            for *k, role, code, comp, size, part, bits in zip(*(batch.column(c).to_pylist() for c in [*key, *rest])):
+                if k != now:
+                    now, known, index, hit = k, None, [], set()
+                if role == 0:
+                    index.append((code, comp, size, part, bits))
+                elif index:
+                    known = known or Bitmaps([x[2] for x in index], [x[1] for x in index], [x[4] for x in index], percent)
+                    found = known.may_link(size, comp, bits).tolist()
+                    out += [(k[0], p, 1, code, comp) for p in {index[i][3] for i in found}]
+                    out += [(k[0], index[i][3], 0, index[i][0], index[i][1]) for i in found if i not in hit]
+                    hit.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names=names)
+
+    found = placed.mapInArrow(apply, "group long, part long, role int, code long, comp long").distinct()
+    return found.select(F.lit(1).alias("kind"), "group", "part", "role", "code", "comp")
 
 
 def _search(rows: DataFrame, roles: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -447,7 +511,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = component_of(long, "code", "comp")
     mixed = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("list").alias("mixed"))
     mixed = materialize(placed.join(mixed, F.col("list") == F.col("mixed")).drop("mixed"), "join-mixed")
-    more = materialize(_search(rows, _pair_roles(open_pairs).unionByName(_cluster_roles(mixed, percent)), n_words, percent), "join-links")
+    more = materialize(_search(rows, _pair_roles(open_pairs).unionByName(_cluster_roles(mixed, nodes.select("code", "bits"), percent)), n_words, percent), "join-links")
     if not more.isEmpty():
         comps = materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "join-components")
     discard(spark, links, pairs, long, mixed)
