@@ -79,3 +79,13 @@ def test_coalesced_reads():
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(pages(spark, ROWS).limit(0)).count() == 0
+
+
+def test_records_of_repeated_rows_have_names_of_their_own(spark):
+    rows = [(7, f"http://a/{i % 4}", "x" * 200) for i in range(24)] + [(8, None, "x" * 200), (9, "http://b", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    copies = [r.asDict() for r in warc.classify(pages, "page_id", "url", "html").collect()]
+    seven = [r for r in copies if r["page_id"] == 7]
+    assert len({r["copy"] for r in seven}) == 24
+    assert [r["url"] for r in seven if r["copy"] == 1] == ["http://a/0"]
+    assert all(r["copy"] == 1 for r in copies if r["page_id"] != 7)

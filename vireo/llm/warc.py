@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, ensure_importable, fresh_path, materialize, n_partitions, open_store
@@ -118,11 +118,13 @@ def classify(pages: DataFrame, id_col: str, url_col: str, text_col: str) -> Data
     joined = joined.withColumn("shared", F.col("shared_digest").isNotNull())
     if repeated <= 1:
         return joined.select("page_id", "url", "payload", "digest", "response_of", "shared", F.lit(1).alias("copy"))
-    # rows with equal page_id and payload: number those few, the rest stays where it is
+    # rows with equal page_id and payload: the first by url is copy 1, others have numbers of their own; no group meets in one task
     columns = ["page_id", "url", "payload", "digest", "response_of", "shared"]
     many = F.coalesce(F.col("copies"), F.lit(1)) > 1
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    return joined.filter(~many).select(*columns, F.lit(1).alias("copy")).unionByName(joined.filter(many).select(*columns, copy.alias("copy")))
+    rows = materialize(joined.filter(many).select(*columns, F.monotonically_increasing_id().alias("row")), "warc-repeated")
+    first = rows.groupBy("page_id", "digest").agg(F.min(F.struct("url", "row")).alias("least")).select(F.col("least.row").alias("row"), F.lit(True).alias("first"))
+    numbered = rows.join(first, "row", "left").select(*columns, F.when(F.col("first"), F.lit(1).cast("long")).otherwise(F.col("row") + 2).alias("copy"))
+    return joined.filter(~many).select(*columns, F.lit(1).cast("long").alias("copy")).unionByName(numbered)
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> tuple[DataFrame, str]:
