@@ -327,3 +327,50 @@ def test_distances_of_one_length_are_flat(spark):
     assert got == {1: 1.25, 2: 3.25}  # a vector of another length is no match
     whole = frames.nearest_frames(every, q.select("query_id", F.expr("array(1, 2, 2) AS qvec")), 2).collect()
     assert {r.frame_id: r.score for r in whole}[1] == 1
+
+
+def test_nearest_frames_by_cells(spark, monkeypatch):
+    """Several blocks and groups, ties by id, repeated queries and odd vectors: the same as one comparison of all pairs."""
+    from vireo.operators import nearest
+
+    rows = [(i, i % 3, float(i), [(i * 7) % 11, (i * 5) % 13]) for i in range(300)] + [(900, 1, 0.0, None), (901, 1, 0.0, [1]), (902, 1, 0.0, [1, None])]
+    every = spark.createDataFrame(rows, "frame_id long, file_id int, time double, vector array<int>")
+    asked = [(q, rows[q][3]) for q in range(0, 300, 20)] + [(20, [0, 0]), (None, [3, 3]), (77, [5]), (78, None)]
+    monkeypatch.setattr(frames, "BLOCK", 4)
+    monkeypatch.setattr(nearest, "NUMBERS", 128)
+    want = {}
+    for q, v in asked:
+        for i, _, _, x in rows:
+            if v and x and len(v) == len(x) and None not in x:
+                want.setdefault(q, []).append((sum((a - b) ** 2 for a, b in zip(x, v)), i))
+    want = sorted(((str(q), s, i) for q, near in want.items() for s, i in sorted(near)[:15]))
+    for kind in ("int", "double"):
+        e = every.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+        w = spark.createDataFrame(asked, "query_id long, qvec array<int>").withColumn("qvec", F.col("qvec").cast(f"array<{kind}>"))
+        found = frames.nearest_frames(e, w, 15)
+        assert found.schema["score"].dataType.simpleString() == kind
+        assert sorted((str(r.query_id), r.score, r.frame_id) for r in found.collect()) == want
+
+
+def test_cells_are_bounded():
+    from vireo.operators.nearest import BLOCK, NUMBERS, shape_of
+
+    for q, n in ((1, 1), (10, 10**9), (30_000, 600_000), (10**6, 10**7), (0, 0)):
+        blocks, groups = shape_of(q, n, 33)
+        assert q / blocks <= BLOCK and 33 * n / groups <= NUMBERS + 33
+
+
+def test_a_query_keeps_a_bounded_number_of_each_stretch():
+    import numpy as np
+
+    from vireo.operators.nearest import nearest_of_cell
+
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(0, 4, (20_000, 5)), rng.integers(0, 4, (3, 5))
+    for whole, kind in ((True, np.int32), (False, np.float64)):
+        near = nearest_of_cell(x.astype(kind), q.astype(kind), 50, whole)
+        for i in range(3):
+            d = ((x - q[i]) ** 2).sum(1)
+            want = np.lexsort((np.arange(len(x)), d))[:50]
+            score, at = near.of(i)
+            assert at.tolist() == want.tolist() and score.tolist() == d[want].tolist()

@@ -1,43 +1,83 @@
 """Frame search: exact k-nearest frames, merged to intervals of a file, best intervals, joined to files and catalogue.
 
-Query vectors are broadcast, in blocks of at most ``BLOCK`` where there are more; each frame's distances to a block are
-computed in one scan, and only the nearest ``candidates`` of each query leave a task (a partial rank limit before the
-shuffle). They are ranked in ``SALTS`` parts first, so that what all tasks send for a query never meets in one of them.
+Queries and frames are dealt to cells of bounded size (see :mod:`.nearest`); a task compares those of one cell as matrices, and
+only the nearest ``candidates`` of each query leave it. All pairs are compared, so the work grows with both tables. Where a
+query has several cells, its rows are ranked in ``SALTS`` parts first, so that what all tasks send never meets in one of them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import flat_squared_distance, similarity, squared_distance, squared_distance_double
+from ..functions.vectors import similarity
+from .nearest import BLOCK, in_order, matrices, nearest_of_cell, shape_of
 
 MAX_QUERIES = 10
 CANDIDATES = 1000
-BLOCK = 10_000
 SALTS = 64
 GAP = 5.0
 RESULTS = 10
-UNROLLED = 128  # components up to which a distance is one flat expression
+WHOLE = ("array<tinyint>", "array<smallint>", "array<int>")
 
 
 def nearest_frames(frames: DataFrame, queries: DataFrame, candidates: int = CANDIDATES) -> DataFrame:
-    """frames x queries(query_id, qvec) -> query_id, frame_id, file_id, time, score: the ``candidates`` nearest."""
-    known = queries.agg(F.count("*").alias("n"), F.min(F.size("qvec")).alias("least"), F.max(F.size("qvec")).alias("most")).first()
-    length = known["most"] if known["least"] == known["most"] else None
-    blocks = max(1, -(-known["n"] // BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_nearest(frames, queries.filter(block == k) if blocks > 1 else queries, candidates, length) for k in range(blocks)])
-
-
-def _nearest(frames: DataFrame, queries: DataFrame, candidates: int, length: int | None) -> DataFrame:
-    whole = "array<int>" == queries.schema["qvec"].dataType.simpleString()
-    distance = squared_distance if whole else squared_distance_double
-    score = flat_squared_distance(F.col("vector"), F.col("qvec"), length, whole) if length and length <= UNROLLED else distance(F.col("vector"), F.col("qvec"))
-    scored = frames.crossJoin(F.broadcast(queries)).select("query_id", "frame_id", "file_id", F.col("time").cast("double").alias("time"), score.alias("score"))
-    return nearest_of_each(scored, candidates)
+    """frames x queries(query_id, qvec) -> query_id, frame_id, file_id, time, score: the ``candidates`` nearest.
+
+    Vectors of another length than the query's, null ones and those with a null component are no match.
+    """
+    kinds = [queries.schema["qvec"].dataType.simpleString(), frames.schema["vector"].dataType.simpleString()]
+    whole = all(k in WHOLE for k in kinds)
+    numbers = lambda name, kind: F.col(name).cast("array<int>" if whole else kind if kind == "array<float>" else "array<double>").alias(name)
+    asked = queries.filter("qvec IS NOT NULL").select("query_id", numbers("qvec", kinds[0]))
+    every = frames.filter("vector IS NOT NULL").select("frame_id", "file_id", F.col("time").cast("double").alias("time"), numbers("vector", kinds[1]))
+    known = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.max(F.size("qvec")).alias("length")).first()
+    blocks, groups = shape_of(known["n"], every.count(), known["length"] or 1, BLOCK)
+    found = _by_cells(every, asked, candidates, whole, blocks, groups)
+    return found if groups == 1 and known["ids"] == known["n"] else nearest_of_each(found, candidates)
+
+
+def in_cells(every: DataFrame, asked: DataFrame, blocks: int, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Both with their ``cell``; a row comes once for each block, a query once for each group."""
+    group = F.pmod(F.xxhash64(*[c for c in every.columns if c != "code"]), F.lit(groups)).cast("int")
+    block = F.pmod(F.xxhash64("query_id", "qvec"), F.lit(blocks)).cast("int")
+    rows = every.withColumn("cell", F.explode(F.sequence(group, F.lit(blocks * groups - 1), F.lit(groups))))
+    return rows, asked.withColumn("cell", F.explode(F.sequence(block * groups, block * groups + groups - 1)))
+
+
+def by_cell(rows: DataFrame, asked: DataFrame, cells: int, compare, schema: str) -> DataFrame:
+    """``compare(rows, queries)`` for each cell, a task for a few cells whatever their size in bytes."""
+    left, right = (x.repartition(cells, "cell").groupBy("cell") for x in (rows, asked))
+    return left.cogroup(right).applyInArrow(compare, schema)
+
+
+def _by_cells(every: DataFrame, asked: DataFrame, candidates: int, whole: bool, blocks: int, groups: int) -> DataFrame:
+    kind = {f.name: f.dataType.simpleString() for f in [*every.schema, *asked.schema]}
+
+    def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(in_order(rows["frame_id"])))
+        vectors = matrices(rows["vector"])
+        wanted, found, scores = [], [], []
+        for length, (number, q) in matrices(queries["qvec"]).items():
+            if length in vectors:
+                place, x = vectors[length]
+                near = nearest_of_cell(x, q, candidates, whole)
+                for i in range(len(q)):
+                    score, at = near.of(i)
+                    wanted.append(np.full(len(at), number[i]))
+                    found.append(place[at])
+                    scores.append(score.astype(np.float64))
+        joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (wanted, found, scores)]
+        if whole and len(joined[2]) and joined[2].max() > np.iinfo(np.int32).max:
+            raise OverflowError("a squared distance is no int")
+        out = rows.select(["frame_id", "file_id", "time"]).take(pa.array(joined[1]))
+        score = pa.array(joined[2].astype(np.int32 if whole else np.float64), from_pandas=False)
+        return pa.table([queries["query_id"].take(pa.array(joined[0])), *out.columns, score], names=["query_id", *out.column_names, "score"])
+
+    schema = f"query_id {kind['query_id']}, frame_id {kind['frame_id']}, file_id {kind['file_id']}, time double, score {'int' if whole else 'double'}"
+    return by_cell(*in_cells(every, asked, blocks, groups), blocks * groups, compare, schema)
 
 
 def nearest_of_each(scored: DataFrame, candidates: int) -> DataFrame:
