@@ -6,22 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0), lambda acc, x: (acc + x).cast("int"))
-
-
-def squared_distance_double(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def flat_squared_distance(a: Column, b: Column, length: int, whole: bool) -> Column:
-    """The same for arrays of one known length, as a flat sum that is compiled with the rest of its stage; null if one is longer or shorter."""
-    terms = [F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(length)]
-    terms = terms if whole else [t.cast("double") for t in terms]
-    total = sum((t * t for t in terms[1:]), terms[0] * terms[0])
-    return F.when((F.size(a) == length) & (F.size(b) == length), total)
-
-
 def similarity(score: Column) -> Column:
     return F.least(F.greatest((255 - score) / 255.0, F.lit(0.0)), F.lit(1.0))
 

@@ -1,10 +1,10 @@
 """Inverted file with scalar quantisation: lists around centroids as partitions of a table, few of which a search reads.
 
 Every frame is assigned to its nearest centroid and kept with one byte a component beside its whole vector. A search is one
-plan for all its queries: each query's nearest lists are joined to the table by list, so that partitions of other lists aren't
-read and only codes are; the best few times ``candidates`` by decoded distance leave each task; they are joined to
-their whole vectors and ranked by exact distance. Only frames of lists that aren't probed, or whose code misleads
-by more than the surplus, can be missed; :func:`recall` measures how many.
+plan for all its queries: the lists that a block of queries probes are joined to the table by list, so that partitions of other
+lists aren't read, and dealt to cells of bounded size (see :mod:`.nearest`). A task compares each query with the codes of its own
+lists, ranks the best few times ``candidates`` by exact distance, and sends on ``candidates`` of them. Only frames of lists that
+aren't probed, or whose code misleads by more than the surplus, can be missed; :func:`recall` measures how many.
 
 Centroids are fitted on a bounded sample (``SAMPLE`` frames by hash order); bounds of components are those of all frames. Both
 lie beside the table, in a model of ``lists`` rows that passes through the driver (16384 lists of 33 components: 4 MB).
@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import squared_distance_double
-from .frames import nearest_of_each
+from .frames import by_cell, nearest_of_each
+from .nearest import STRETCH, Nearest, exact_distances, expanded, expanded_queries, in_order, matrices, shape_of
 
 SAMPLE = 50_000
 ROUNDS = 8
@@ -30,7 +30,7 @@ SEED = 5
 ROWS = 2048  # vectors that are compared with all centroids at once
 SPLITS = 16  # tasks that write a list at most
 SURPLUS = 3
-UNROLLED = 128  # components up to which distances to codes are one flat expression
+READ = 1_000_000
 
 
 @dataclass
@@ -115,32 +115,32 @@ def read_model(spark: SparkSession, path: str) -> Model:
 
 
 def probes_of(queries: DataFrame, model: Model, probes: int) -> DataFrame:
-    """queries(query_id, qvec) -> query_id, shifted (the query less the least value, in the codes' scale of zero), list: a row for each list to read."""
+    """queries(query_id, qvec) with ``lists``, those to read, nearest first. Queries of another length than the index have no match."""
     held = queries.sparkSession.sparkContext.broadcast(model)
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind = {f.name: f.dataType.simpleString() for f in queries.schema}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("qvec"))
-            near = nearest(x, m.centroids, min(max(2, probes), len(m.centroids)))[:, :probes]
-            row = np.repeat(np.arange(len(x)), near.shape[1])
-            shifted = (x - m.low - 128 * m.step)[row]
-            at = pa.array(np.arange(len(row) + 1, dtype=np.int32) * x.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(row)), pa.ListArray.from_arrays(at, pa.array(shifted.ravel())), pa.array(near.ravel().astype(np.int32))], names=["query_id", "shifted", "list"])
+            near = nearest(_matrix(b.column("qvec")), m.centroids, min(max(2, probes), len(m.centroids)))[:, :probes]
+            at = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(near.astype(np.int32).ravel()))], names=[*b.schema.names, "lists"])
 
-    return queries.select("query_id", "qvec").mapInArrow(apply, f"query_id {kind}, shifted array<double>, list int")
+    fits = queries.select("query_id", "qvec").filter(F.size("qvec") == len(model.low))
+    return fits.mapInArrow(apply, f"query_id {kind['query_id']}, qvec {kind['qvec']}, lists array<int>")
 
 
-def decoded_distance(shifted: Column, code: Column, step: np.ndarray) -> Column:
-    """Squared distance of a query to a decoded vector."""
-    if len(step) <= UNROLLED:
-        terms = [F.get(shifted, F.lit(i)) - F.get(code, F.lit(i)) * F.lit(float(s)) for i, s in enumerate(step)]
-        return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-    scaled = F.zip_with(code, F.array(*[F.lit(float(s)) for s in step]), lambda c, s: c * s)
-    return squared_distance_double(shifted, scaled)
+def guessed_places(code: np.ndarray, lists: np.ndarray, q: np.ndarray, probed: np.ndarray, model: Model, k: int) -> Nearest:
+    """For each query the k rows of its lists that are nearest by their codes. Rows are sorted by list; probed(queries, lists) are true or false."""
+    found, shifted = Nearest(len(q), k), expanded_queries(q - model.low - 128 * model.step)
+    numbers, starts = np.unique(lists, return_index=True)
+    for number, start, end in zip(numbers, starts, [*starts[1:], len(lists)]):
+        of = np.flatnonzero(probed[:, number])
+        for at in range(start, end, STRETCH) if len(of) else ():
+            found.add(shifted[of] @ expanded(code[at : min(end, at + STRETCH)] * model.step).T, of, at)
+    return found
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, probes: int = 8, candidates: int = 1000, surplus: int = SURPLUS) -> DataFrame:
@@ -150,12 +150,45 @@ def search(spark: SparkSession, path: str, queries: DataFrame, probes: int = 8,
     if not len(model.centroids):
         return spark.read.parquet(f"{path}/columns").select(F.lit(None).cast(kind).alias("query_id"), "frame_id", "file_id", "time", F.lit(0.0).alias("score"))
     index = spark.read.parquet(f"{path}/lists")
-    wanted = probes_of(queries, model, probes)
-    guessed = index.select("list", "frame_id", "code").join(wanted, "list").select("query_id", "list", "frame_id", decoded_distance(F.col("shifted"), F.col("code"), model.step).alias("score"))
-    few = nearest_of_each(guessed, surplus * candidates).drop("score")
-    whole = few.join(index.select("list", "frame_id", "file_id", "time", "vector"), ["list", "frame_id"]).join(queries.select("query_id", "qvec"), "query_id")
-    exact = whole.select("query_id", "frame_id", "file_id", "time", squared_distance_double(F.col("vector"), F.col("qvec")).alias("score"))
-    return nearest_of_each(exact, candidates)
+    known = queries.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids")).first()
+    blocks, groups = shape_of(known["n"], index.count(), 2 * len(model.low))
+    held = spark.sparkContext.broadcast(model)
+
+    def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        m = held.value
+        rows = rows.take(pa.array(in_order(rows["frame_id"])))
+        rows = rows.take(pa.array(np.argsort(rows["list"].to_numpy(), kind="stable")))
+        by_id = np.empty(len(rows), np.int64)
+        by_id[in_order(rows["frame_id"])] = np.arange(len(rows))
+        wanted, found, scores = [], [], []
+        (_, code), (place, x) = (matrices(rows[c]).get(len(m.low), (None, None)) for c in ("code", "vector"))
+        number, q = matrices(queries["qvec"]).get(len(m.low), (np.empty(0, np.int64), np.empty((0, len(m.low)))))
+        if code is not None and len(x) == len(rows):
+            probed = np.zeros((len(q), len(m.centroids)), bool)
+            for i, lists in enumerate(queries["lists"].take(pa.array(number)).to_pylist()):
+                probed[i, lists] = True
+            near = guessed_places(code.astype(np.float64), rows["list"].to_numpy(), q.astype(np.float64), probed, m, surplus * candidates)
+            for i in range(len(q)):
+                at = near.of(i)[1]
+                exact = exact_distances(x[at].astype(np.float64), q[i : i + 1].astype(np.float64))[0]
+                best = np.lexsort((by_id[at], exact))[:candidates]
+                wanted.append(np.full(len(best), number[i]))
+                found.append(at[best])
+                scores.append(exact[best])
+        joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((wanted, np.int64), (found, np.int64), (scores, np.float64))]
+        out = rows.select(["frame_id", "file_id", "time"]).take(pa.array(joined[1]))
+        return pa.table([queries["query_id"].take(pa.array(joined[0])), *out.columns, pa.array(joined[2])], names=["query_id", *out.column_names, "score"])
+
+    block = F.pmod(F.xxhash64("query_id", "qvec"), F.lit(blocks)).cast("int")
+    asked = probes_of(queries, model, probes).withColumn("block", block)
+    read = asked.select("block", F.explode("lists").alias("list")).distinct()
+    group = F.pmod(F.xxhash64("frame_id", "file_id", "time"), F.lit(groups)).cast("int")
+    # at most so many rows are broadcast
+    rows = index.join(F.broadcast(read) if blocks * len(model.centroids) <= READ else read, "list").withColumn("cell", F.col("block") * groups + group).drop("block")
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.col("block") * groups, F.col("block") * groups + groups - 1))).drop("block")
+    types = {f.name: f.dataType.simpleString() for f in index.schema}
+    out = by_cell(rows, asked, blocks * groups, compare, f"query_id {kind}, frame_id {types['frame_id']}, file_id {types['file_id']}, time double, score double")
+    return out if groups == 1 and known["ids"] == known["n"] else nearest_of_each(out, candidates)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
