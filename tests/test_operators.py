@@ -374,3 +374,19 @@ def test_a_query_keeps_a_bounded_number_of_each_stretch():
             want = np.lexsort((np.arange(len(x)), d))[:50]
             score, at = near.of(i)
             assert at.tolist() == want.tolist() and score.tolist() == d[want].tolist()
+
+
+def test_upsert_of_ids_that_meet(spark, tmp_path):
+    """The query and its SQL agree where an id that is sent under a new number is an old entry's."""
+    import duckdb
+
+    from vireo.plans import oracle, queries
+
+    part = spark.createDataFrame([(i, f"n{i}", "b", "t", i % 9) for i in (4, 5, 8, 16, 1_000_008, 1_000_012, 1_000_020)] + [(None, "n", "b", "t", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES["catalog_upsert"](spark, str(tmp_path)).select("id", F.col("updated").cast("string").alias("updated"), "json").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(f"SELECT id, strftime(updated, '%Y-%m-%d %H:%M:%S'), json FROM ({oracle.SQL['catalog_upsert']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert [r.json for r in got if r.id == 1_000_008] == ["{}"]

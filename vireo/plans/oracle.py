@@ -41,11 +41,13 @@ VIEWS = {
     "scored": """SELECT id, title, count(wanted.gram) / (count(*) + (SELECT count(*) FROM wanted) - count(wanted.gram))::DOUBLE AS similarity FROM grams LEFT JOIN wanted ON grams.gram = wanted.gram GROUP BY id, title""",
     "best_title": "SELECT id, title, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, title) AS n FROM scored WHERE similarity >= 0.3 OR title ILIKE '%red widget%') WHERE n = 1",
     "used_user": "SELECT user_id, count(*) AS quota_used FROM logs WHERE code = 200 AND created > TIMESTAMP '2024-01-30 00:00:00' AND user_id IS NOT NULL GROUP BY user_id",
+    # entries that replace those of the same id
+    "sent": "SELECT id + CASE WHEN id % 8 = 0 THEN 1000000 ELSE 0 END AS id, TIMESTAMP '2024-01-31 00:00:00' AS updated, '{}' AS json FROM catalog WHERE id % 4 = 0",
     "gone": "SELECT id FROM files WHERE id % 5 = 0 AND path NOT IN (SELECT path FROM files WHERE id % 5 <> 0)",
 }
 
 #: What each view needs, in order.
-NEEDS = {"queries": ("frames",), "hits": ("frames", "queries"), "islands": ("hits",), "matches": ("islands",), "best": ("matches",), "results": ("best", "files"), "titles": ("catalog",), "grams": ("titles",), "scored": ("grams", "wanted"), "best_title": ("scored",), "used_user": ("logs",), "gone": ("files",)}
+NEEDS = {"queries": ("frames",), "hits": ("frames", "queries"), "islands": ("hits",), "matches": ("islands",), "best": ("matches",), "results": ("best", "files"), "titles": ("catalog",), "grams": ("titles",), "scored": ("grams", "wanted"), "best_title": ("scored",), "used_user": ("logs",), "gone": ("files",), "sent": ("catalog",)}
 
 
 def _with(names: tuple[str, ...], body: str, **instead: str) -> str:
@@ -154,7 +156,7 @@ SQL = {
     "title_search": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "title_search_indexed": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
     "title_search_written": _with(("best_title",), "SELECT b.id, title, similarity, json FROM (SELECT * FROM best_title ORDER BY similarity DESC, id LIMIT 50) b JOIN catalog USING (id)"),
-    "catalog_upsert": _with(("catalog",), f"SELECT id, updated, json FROM catalog WHERE id % 8 <> 4 UNION ALL SELECT id + CASE WHEN id % 8 = 0 THEN 1000000 ELSE 0 END, {_NOW}, '{{}}' FROM catalog WHERE id % 4 = 0"),
+    "catalog_upsert": _with(("catalog", "sent"), "SELECT id, updated, json FROM catalog WHERE NOT EXISTS (SELECT * FROM sent WHERE sent.id = catalog.id) UNION ALL SELECT * FROM sent"),
     "catalog_fill_missing": _with(("catalog",), """SELECT i AS id, coalesce(json, '{"id":' || i || ',"title":{"native":null,"romaji":null,"english":null},"synonyms":[]}') AS json FROM (SELECT unnest(range(1, (SELECT max(p_partkey) + 1 FROM part))) AS i) LEFT JOIN catalog ON id = i AND id % 3 = 0"""),
     "crawl_end": "SELECT min(ends) AS last_id FROM (SELECT *, lead(id) OVER (ORDER BY id) AS behind FROM (SELECT id, (54 + 50 * greatest(0, ceil((id + 146) / 50.0)))::BIGINT AS ends FROM (SELECT 5::BIGINT AS id UNION SELECT p_partkey FROM part WHERE p_partkey > 5 AND p_partkey % 1000 < 700))) WHERE behind IS NULL OR behind > ends",
     "refresh_blocks": _with(("catalog",), "SELECT id, ((row_number() OVER (ORDER BY id DESC) - 1) // 50)::BIGINT AS block FROM catalog WHERE id < (SELECT max(id) FROM catalog)"),
