@@ -99,3 +99,13 @@ def test_progress_is_a_table(spark, tmp_path):
         assert sum(r.rows for r in found if r.name == "stage_media") == 5
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_results_are_not_broadcast(spark, tmp_path):
+    """However well results compress, they aren't gathered in the driver."""
+    g = graph(spark, str(tmp_path), [], range(15))
+    g.add_files(spark.createDataFrame(rows(20), SCHEMA), 0)
+    for df in (g.states(), g.ready(g.files(), "load")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    g.run()
+    assert states(g) == sorted(want(i, c, range(15)) for i, _, c in rows(20))

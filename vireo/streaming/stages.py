@@ -4,7 +4,8 @@ A stage's results are a table (key, ok, result), a folder for each batch. A stag
 results of the stages that it needs, whichever comes last, so that nothing is polled: a batch's files are joined to the
 result tables as they stand then, those that are ready and have no result yet go through the stage's work, and the batch's folder is
 replaced, so that a replay does no harm. ``ok`` is the state of three values: no row is pending, true is done, false
-has failed and is never tried again. All streams run over what is there and stop; a run that was stopped is taken up
+has failed and is never tried again. Tables are joined by merging: results compress so well that Spark, which
+goes by the size of files, would gather them in the driver to broadcast them. All streams run over what is there and stop; a run that was stopped is taken up
 by the next, stage by stage, from the checkpoints.
 
 Defined cases: a file whose key for a stage is null never gets ready for it; several files of one key are one row of that stage; work
@@ -74,9 +75,9 @@ class StageGraph:
         stage = self.stages[name]
         for n in stage.needs:
             done = self.results(n).filter("ok").select(F.col("key").alias(self.stages[n].key)).distinct()
-            files = files.join(done, self.stages[n].key, "left_semi")
+            files = files.join(done.hint("merge"), self.stages[n].key, "left_semi")
         settled = self.results(name, but).select(F.col("key").alias(stage.key))
-        return files.filter(F.col(stage.key).isNotNull()).join(settled, stage.key, "left_anti").dropDuplicates([stage.key])
+        return files.filter(F.col(stage.key).isNotNull()).join(settled.hint("merge"), stage.key, "left_anti").dropDuplicates([stage.key])
 
     def _triggers(self, stage: Stage) -> DataFrame:
         """A stream of the files that a new file or a new result concerns."""
@@ -86,7 +87,7 @@ class StageGraph:
         for n in stage.needs:
             key = self.stages[n].key
             new = read(f"results/{n}", RESULT).filter("ok").select(F.col("key").alias(key))
-            out = out.unionByName(new.join(self.files(), key).select(*files.columns))
+            out = out.unionByName(new.hint("merge").join(self.files().hint("merge"), key).select(*files.columns))
         return out
 
     def start(self, name: str):
@@ -121,7 +122,7 @@ class StageGraph:
         out = self.files()
         for s in self.stages.values():
             of = self.results(s.name).groupBy("key").agg(F.min("ok").alias(s.name)).withColumnRenamed("key", f"_{s.name}")
-            out = out.join(of, F.col(s.key) == F.col(f"_{s.name}"), "left").drop(f"_{s.name}")
+            out = out.join(of.hint("merge"), F.col(s.key) == F.col(f"_{s.name}"), "left").drop(f"_{s.name}")
         return out
 
 
