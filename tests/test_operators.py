@@ -390,3 +390,14 @@ def test_upsert_of_ids_that_meet(spark, tmp_path):
     want = con.sql(f"SELECT id, strftime(updated, '%Y-%m-%d %H:%M:%S'), json FROM ({oracle.SQL['catalog_upsert']})").fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert [r.json for r in got if r.id == 1_000_008] == ["{}"]
+
+
+def test_scene_windows_hold_one_row_as_objects(spark):
+    """Null lists, empty ones and null requests; lists reach Python as arrays, not as an object for each boundary."""
+    rows = [(0, 3.0, 10.0, [(2.0, 0.5), (6.0, 0.9)]), (1, 3.0, 10.0, None), (2, 3.0, 10.0, []), (3, 3.0, None, [(2.0, 0.5)]), (4, 30.0, 10.0, [(2.0, 0.5)]), (5, 7.0, 10.0, [(2.0, 0.5), (6.0, 0.9)])]
+    df = spark.createDataFrame(rows, "id int, t double, duration double, changes array<struct<t: double, score: double>>").coalesce(1)
+    made = scenes.scene_windows(df)
+    got = {r.id: r.scene and tuple(r.scene) for r in made.collect()}
+    want = {i: scenes.scene_window(t, d, c, 0.5, 5.0) for i, t, d, c in rows}
+    assert {k: v if v and v[0] is not None else None for k, v in got.items()} == want
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +69,16 @@ def scene_window(t: float, duration: float | None, changes: list[tuple[float, fl
 def scene_windows(requests: DataFrame, shortest: float = 0.5, longest: float = 5.0) -> DataFrame:
     """requests(.., t, duration, changes array<struct<t,score>>) with ``scene`` (null, or start_time, end_time, duration)."""
 
-    @F.pandas_udf("start_time double, end_time double, duration double")
-    def window(t: pd.Series, duration: pd.Series, changes: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("start_time double, end_time double, duration double")
+    def window(t: pa.Array, duration: pa.Array, changes: pa.Array) -> pa.Array:
+        # only one row's boundaries are Python objects at a time
+        when, score = changes.values.field("t"), changes.values.field("score")
+        some, ends = changes.is_valid().to_pylist(), changes.offsets.to_pylist()
         rows = []
-        for a, d, c in zip(t, duration, changes):
-            found = scene_window(float(a), None if pd.isna(d) else float(d), None if c is None else [(x["t"], x["score"]) for x in c], shortest, longest)
-            rows.append(found or (None, None, None))
-        return pd.DataFrame(rows, columns=["start_time", "end_time", "duration"], dtype=float)
+        for i, (a, d) in enumerate(zip(t.to_pylist(), duration.to_pylist())):
+            at = slice(ends[i], ends[i + 1])
+            rows.append(scene_window(np.nan if a is None else float(a), None if d is None or np.isnan(d) else float(d), list(zip(when[at].to_pylist(), score[at].to_pylist())) if some[i] else None, shortest, longest))
+        named = [pa.array([None if r is None else r[k] for r in rows], pa.float64()) for k in range(3)]
+        return pa.StructArray.from_arrays(named, names=["start_time", "end_time", "duration"])
 
     return requests.withColumn("scene", window("t", "duration", "changes"))
