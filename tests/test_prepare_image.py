@@ -121,3 +121,39 @@ def test_udf_on_odd_rows(spark):
     assert (got[9]["width"], got[9]["height"], len(got[9]["data"])) == (320, 1, 960)
     assert got[1]["data"] == p.prepare(image[None], np.array([True]))[0].tobytes()
     assert spark.createDataFrame([], df.schema).count() == 0
+
+
+def test_boxes_are_those_of_sorted_brightness():
+    """Ranks from counts and byte-wise comparisons give the boxes that sorting whole numbers gives."""
+    rng = np.random.default_rng(5)
+    images = rng.integers(0, 256, (40, 30, 40, 3)).astype(np.uint8)
+    for k, image in enumerate(images):
+        image[: k % 7] //= 9
+        image[:, 40 - k % 11 :] //= 12
+        if k % 5 == 0:
+            image[:] = k
+        elif k % 3 == 0:
+            image //= np.uint8(k)
+    got = p.lit_boxes(images)
+    for image, box in zip(images.astype(np.int64), got):
+        h, w = image.shape[:2]
+        ranked = np.sort((image @ np.array([299, 587, 114]) // 1000).ravel())
+        cut = (h * w - 1) // 100
+        low, high = ranked[cut], ranked[-1 - cut]
+        above = 30 * 255 if high == low else 255 * low + 30 * (high - low)
+        wide = np.pad(image, ((2, 2), (2, 2), (0, 0)), mode="edge")
+        dark = np.min([wide[i : i + h, j : j + w] for i in range(5) for j in range(5)], axis=0)
+        rows, cols = np.nonzero(dark.max(-1) * 255 > above)
+        want = (cols.min(), rows.min(), np.ptp(cols) + 1, np.ptp(rows) + 1) if len(rows) else (0, 0, w, h)
+        assert tuple(map(int, want)) == box
+
+
+def test_brightness_takes_little_memory():
+    import tracemalloc
+
+    images = np.full((8, 180, 320, 3), 90, np.uint8)
+    tracemalloc.start()
+    p.lit_boxes(images)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * images.nbytes
