@@ -67,13 +67,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.join(repeated, same(repeated), "left_anti").unionByName(first)
 
 
+#: Passages of so many words that stand in another document too are repeats, even those of under 400 bytes.
+PASSAGE_WORDS = 50
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that stand elsewhere too are cut out; a document that is cut to blanks goes.
+    """Strings of 400 bytes and more that stand elsewhere too are cut out, and passages of 50 words and more that stand in
+    another document, however short; a document that is cut to blanks goes.
 
     A cut may fall inside a character; its other bytes are left out too. Null and short texts stay as they are; of
     repeated rows of some length nothing is left; an empty table stays empty; n_chars follows a cut, other columns pass.
     """
-    cut = suffix_dedup.remove_repeats(docs, with_text=True)
+    cut = suffix_dedup.remove_repeats(docs, with_text=True, words=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
     kept = cut.withColumn("cut_text", F.when(F.col("n_removed") > 0, F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))).otherwise(F.col("doc.text")))
     kept = kept.filter((F.col("n_removed") == 0) | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]"))
