@@ -75,3 +75,14 @@ def test_stopped_update_is_not_seen(spark, tmp_path):
 
 def test_literal_runs():
     assert _literal_runs("red widget") == ["red widget"] and _literal_runs("ab%cde_f") == ["cde"] and _literal_runs("a\\%bcd") == ["bcd"] and _literal_runs("%") == []
+
+
+def test_a_text_of_many_entries_is_indexed_once(spark, tmp_path):
+    index = TitleIndex(spark, str(tmp_path / "index"), buckets=4)
+    few = spark.range(3000).selectExpr("cast(id AS int) AS id", "element_at(array('red widget', 'blue ring', 'Red wid'), cast(id % 3 AS int) + 1) AS title")
+    segment = index.update(few.select("id"), few)
+    postings = spark.read.parquet(f"{tmp_path}/index/{segment}/postings")
+    assert postings.select("number").distinct().count() == 3 and postings.count() < 100
+    docs = few.selectExpr("id", "cast(id AS string) AS json")
+    assert rows(index.search(docs, "red widget", 5000)) == rows(catalog.title_search(few, docs, "red widget", 5000))
+    assert rows(index.search(docs, "ri", 5000)) == rows(catalog.title_search(few, docs, "ri", 5000))

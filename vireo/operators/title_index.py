@@ -1,12 +1,12 @@
 """A written trigram index of titles: posting lists by gram in buckets, kept up to date for changed entries only.
 
-Each title has a number, ``entry id << 16`` plus its place among the entry's titles. Postings are rows (gram, number, n), sorted by
-gram and number within the partition of the gram's bucket and written by Parquet's second format, which stores ascending
+A text that many entries have as a title is indexed once: each distinct text of a segment has a number there, and ``titles`` tells the
+entries that have it. Postings are rows (gram, number, n), sorted by gram and number within the partition of the gram's bucket and written by Parquet's second format, which stores ascending
 numbers as packed differences. There are two kinds of gram: those of padded words, by which titles are similar, and those of the
 whole lower-cased title, which every title that holds a text of three letters and more must have. A search reads the
-buckets of its own grams only, counts shared grams, and reads the texts of the few titles that qualify.
+buckets of its own grams only, counts shared grams, reads the few texts that qualify, and joins the entries that have them.
 
-An update writes a segment with the titles and postings of the changed entries, and their ids. A posting counts if no
+An update writes a segment with the titles, texts and postings of the changed entries, and their ids. A title counts if no
 later segment has its entry, so an entry that lost its titles is in a segment's ids alone. ``compact`` makes one segment of all.
 Segments become visible by the row that names them, which is written last; a stopped update leaves files that no one reads.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.text import TITLE_THRESHOLD, trigram_similarity, trigrams
 from .catalog import RESULTS
 
-PLACES = 1 << 16  # titles that an entry can have
 BUCKETS = 64
+TITLES, TEXTS = "id long, title string, bucket int", "number long, title string"
 WORD, INNER = 0, 1
 
 
@@ -47,7 +47,7 @@ def _literal_runs(pattern: str) -> list[str]:
 
 
 class TitleIndex:
-    """The index in a folder. ``numbered`` titles and postings lie by segment; ``_segments`` names those that count."""
+    """The index in a folder. Titles, their distinct texts and postings lie by segment; ``_segments`` names those that count."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -67,10 +67,11 @@ class TitleIndex:
     def _add(self, ids: DataFrame, titles: DataFrame, replaces: bool) -> str:
         segment = uuid.uuid4().hex
         folder = f"{self.root}/{segment}"
-        place = F.row_number().over(Window.partitionBy("id").orderBy("title")) - 1
-        rows = titles.filter("title IS NOT NULL AND title <> ''").distinct().withColumn("number", F.col("id") * PLACES + place)
-        rows.select("number", "id", "title").withColumn("bucket", self._bucket_of(F.col("id"))).repartition("bucket").sortWithinPartitions("number").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/titles")
-        named = self.spark.read.schema("number long, id long, title string, bucket int").parquet(f"{folder}/titles")
+        rows = titles.filter("title IS NOT NULL AND title <> ''").distinct()
+        rows.withColumn("bucket", self._bucket_of(F.col("id"))).repartition("bucket").sortWithinPartitions("title", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/titles")
+        texts = self.spark.read.schema(TITLES).parquet(f"{folder}/titles").select("title").distinct()
+        texts.select(F.monotonically_increasing_id().alias("number"), "title").write.option("compression", "zstd").parquet(f"{folder}/texts")
+        named = self.spark.read.schema(TEXTS).parquet(f"{folder}/texts")
         postings = named.select("number", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), grams.alias("grams")) for kind, grams in ((WORD, trigrams(F.col("title"))), (INNER, inner_grams(F.col("title"))))])).alias("g"))
         postings = postings.select("number", "g.kind", F.size("g.grams").alias("n"), F.explode("g.grams").alias("gram")).withColumn("bucket", self._bucket_of(F.col("gram")))
         # a frequent gram's postings are dealt to several tasks
@@ -108,8 +109,8 @@ class TitleIndex:
         return rows.join(later, "id").filter("order = latest").drop("latest")
 
     def titles(self) -> DataFrame:
-        """id, title, number: all titles that count."""
-        return self._current(self._read("titles", "number long, id long, title string, bucket int")).select("id", "title", "number")
+        """id, title: all titles that count."""
+        return self._current(self._read("titles", TITLES)).select("id", "title")
 
     def _postings(self, kind: int, grams: list[str]) -> DataFrame:
         """(number, n, gram, order) of some grams; only their buckets are read."""
@@ -120,28 +121,31 @@ class TitleIndex:
         return self._read("postings", "number long, n int, gram string, bucket int, kind int", narrow)
 
     def _texts(self, numbers: DataFrame) -> DataFrame:
-        """(id, title, order) of numbered titles that count."""
-        found = self._current(numbers.withColumn("id", F.floor(F.col("number") / F.lit(PLACES)).cast("long")))
-        every = self._read("titles", "number long, id long, title string, bucket int").select(F.col("number").alias("n_"), "title", F.col("order").alias("o_"))
-        return found.join(every, (F.col("number") == F.col("n_")) & (F.col("order") == F.col("o_"))).drop("n_", "o_")
+        """Numbered texts (number, order, ...) with their titles."""
+        return self._read("texts", TEXTS).join(numbers, ["number", "order"])
+
+    def _entries(self, texts: DataFrame) -> DataFrame:
+        """(id, title, similarity) of the entries that have such titles now; texts(title, order, similarity)."""
+        having = self._read("titles", TITLES).select("id", "title", "order").join(texts, ["title", "order"])
+        return self._current(having).select("id", "title", "similarity")
 
     def similar(self, query: str) -> DataFrame:
         """id, title, similarity: titles that share enough grams with the query."""
         grams = self._grams(trigrams, query)
         shared = self._postings(WORD, grams).groupBy("number", "order", "n").agg(F.count("*").alias("c"))
         near = shared.withColumn("similarity", F.col("c") / (F.col("n") + F.lit(len(grams)) - F.col("c"))).filter(F.col("similarity") >= TITLE_THRESHOLD)
-        return self._texts(near).select("id", "title", "similarity")
+        return self._entries(self._texts(near).select("title", "order", "similarity"))
 
     def holding(self, query: str) -> DataFrame:
-        """id, title, similarity: titles that hold the query (LIKE wildcards count). A query without a text of three letters reads all titles."""
+        """id, title, similarity: titles that hold the query (LIKE wildcards count). A query without a text of three letters reads all texts."""
         grams = sorted({g for r in _literal_runs(query) for g in self._grams(inner_grams, r)})
         if grams:
             having = self._postings(INNER, grams).groupBy("number", "order").agg(F.count("*").alias("c")).filter(F.col("c") == len(grams))
             rows = self._texts(having)
         else:
-            rows = self.titles()
+            rows = self._read("texts", TEXTS)
         fits = rows.filter(F.col("title").ilike(f"%{query}%"))
-        return fits.select("id", "title", trigram_similarity(trigrams(F.col("title")), trigrams(F.lit(query))).alias("similarity"))
+        return self._entries(fits.select("title", "order", trigram_similarity(trigrams(F.col("title")), trigrams(F.lit(query))).alias("similarity")))
 
     def _grams(self, of, text: str) -> list[str]:
         return self.spark.range(1).select(of(F.lit(text))).first()[0]
