@@ -154,3 +154,23 @@ def test_blocks_keep_known_words_and_one_unknown():
     back, at = textcodes.unpack_tokens(textcodes.pack_tokens(own, number, starts))
     assert at.tolist() == starts.tolist()
     assert back.tolist() == np.where(np.isin(tokens, tokens[:5]), tokens, Q.UNKNOWN).tolist()
+
+
+def test_learns_from_all_that_is_trusted(spark, monkeypatch):
+    learnt, train = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda docs: learnt.append(docs.count()) or train(docs))
+    docs = spark.range(14000).selectExpr("id AS doc_id", "'a b' AS text", "'aa' AS lang")
+    Q.classify_quality(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert 10900 < learnt[0] < 11500  # a sample of 10,000 left some 8,000
+
+
+def test_shards_follow_the_model(spark, data, monkeypatch):
+    texts = [r[1] for r in data if r[3]][:60]
+    model = Q.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    codes, shards, deal = model.words.count() + model.pairs.count(), [], Q._deal
+    monkeypatch.setattr(Q, "SHARD_CODES", 100)
+    monkeypatch.setattr(Q, "_deal", lambda table, what, n: shards.append(n) or deal(table, what, n))
+    got = Q.perplexities(spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").repartition(4), model, ["doc_id"]).collect()
+    assert shards == [-(-codes // 100)] * 2 and shards[0] > 5
+    brute = Brute(texts)
+    assert all(r.log10_prob == pytest.approx(brute.score(data[r.doc.doc_id][1]), rel=1e-9) for r in got) and len(got) == len(data)

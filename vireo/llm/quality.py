@@ -1,12 +1,13 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-The model is trained on trusted documents: labelled ones of good quality, at most about ``TRUSTED`` of them (chosen by a hash
-of the id), less a fifth that is held out. Discounts come from counts of counts, the lower order from
+The model is trained on all trusted documents, which are the labelled ones of good quality, less a fifth that is held out for
+the thresholds (by a hash of the id; a caller may ask for fewer). Discounts come from counts of counts, the lower order from
 continuation counts. Its tables (words with the counts that give backoff weight and lower-order probability; bigrams
 with counts) are dealt to shards by hash. All documents are then scored: each block of texts asks the shards for those of its
 distinct words and bigrams that may be in the model (a Bloom filter tells), a shard joins requests and counts, and the block adds
-up log-probabilities. Blocks are dealt to slices that each have their copy of the model, whose size is bounded, so that requests
-to one shard are bounded too. A document is kept unless its perplexity is above the threshold of its language: the
+up log-probabilities. There are so many shards that none has more than about ``SHARD_CODES`` of the model's codes, and blocks are
+dealt to slices, as many as keep a shard's requests bounded, that each have their copy of the model. Where the model grows with
+the input, shards do and slices don't; where it stays small, its copies are small: they grow no faster than the input. A document is kept unless its perplexity is above the threshold of its language: the
 ``QUANTILE`` of the perplexities of the language's trusted documents that the model was not trained on (of all
 languages, where a language has none). The quantile is read from a histogram of log-perplexity over all of them.
 
@@ -32,13 +33,13 @@ from .common import by_block, ddl, discard, ensure_importable, fresh_path, get_f
 from .sketch import bloom_filter, in_bloom
 from .textcodes import pack_counts, unpack_counts
 
-TRUSTED = 10_000
 HELD_OUT = 5  # a trusted document in so many is never trained on, so that there are some for the thresholds
 BROADCAST_ROWS = 200_000  # a larger number of trusted ids is joined by a shuffle
 QUANTILE = 0.995
 BIN = 0.001  # width of the histogram, in log10 of perplexity
 BLOCK_BYTES = 8 << 20
 SLICE_BLOCKS = 8  # what a shard is asked at a time is about as much as so many blocks ask of all shards
+SHARD_CODES = 1_000_000  # words and bigrams of the model aimed at for a shard
 COPIES = 64  # copies of the model that one task makes
 COUNTS = (("total", "m1", "m2", "m3", "n"), ("c",))  # of a word, of a bigram
 U = np.uint64
@@ -322,7 +323,7 @@ def perplexities(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
     doc_type = ddl(rows.schema["doc"].dataType)
-    base, shards = fresh_path(spark, "quality-blocks"), n_partitions(spark)
+    base, shards = fresh_path(spark, "quality-blocks"), max(n_partitions(spark), -(-(model.words.count() + model.pairs.count()) // SHARD_CODES))
     known = spark.sparkContext.broadcast([bloom_filter(t.select("code")) for t in (model.words, model.pairs)])
     asked = materialize(_ask(rows, base, shards, known), "quality-requests", partition_by="kind")
     tables = _deal(model.words, 0, shards).unionByName(_deal(model.pairs, 1, shards))
@@ -353,18 +354,22 @@ def quantile_by_language(scored: DataFrame, quantile: float) -> tuple[DataFrame,
     return own, row["threshold"] if row else None
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", trusted: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, keep for every row of ``docs``."""
+def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", trusted: int | None = None, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, keep for every row of ``docs``.
+
+    With ``trusted``, the model is learnt from about so many trusted documents in place of all.
+    """
     spark = docs.sparkSession
     ensure_importable(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     place = F.xxhash64(F.lit("trusted"), "id")
     good = materialize(labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{id_col}`").alias("id")).filter("id IS NOT NULL").distinct().withColumn("place", place), "quality-trusted")
-    share = min(1.0, trusted / max(1, good.count()))
+    n_good = good.count()
+    share = 1.0 if trusted is None else min(1.0, trusted / max(1, n_good))
     held = F.pmod(F.col("place"), F.lit(HELD_OUT)) == 0
     taken = ~held & (F.pmod(F.shiftright("place", 8), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = good.filter(taken).select("id")
-    learnt = docs.join(F.broadcast(chosen) if trusted <= BROADCAST_ROWS else chosen, "id", "left_semi").filter("text IS NOT NULL")
+    learnt = docs.join(F.broadcast(chosen) if share * n_good <= BROADCAST_ROWS else chosen, "id", "left_semi").filter("text IS NOT NULL")
     model = train(learnt)
     scored = materialize(perplexities(docs, model, keep=["id", "lang"]).select("doc.id", "doc.lang", "n_tokens", "log10_prob", (-F.col("log10_prob") / F.col("n_tokens")).alias("log_ppl")), "quality-scored")
     own, of_all = quantile_by_language(scored.join(good.filter(~taken).select("id"), "id", "left_semi"), quantile)
