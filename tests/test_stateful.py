@@ -96,3 +96,39 @@ def test_run_to_end(spark, tmp_path, per_batch):
     last = spark.createDataFrame([(99, "~", START + timedelta(days=9), 1)], schema)
     out = stateful.run_to_end(spark, spark.createDataFrame(rows, schema).repartition(2), last, lambda s: stateful.concurrency_stream(s, late="1 hour"), str(tmp_path), per_batch)
     assert sorted((r.id, r.running) for r in out.collect() if r.client == "c") == [(i, i + 1) for i in range(20)]
+
+
+def test_a_batch_waits_as_one_value():
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: self.rows
+        clear = lambda self: self.rows.clear()
+        put = lambda self, rows: setattr(self, "rows", list(rows))
+        appendList = lambda self, rows: self.rows.extend(rows)
+
+    class Value(State):
+        get = lambda self: self.rows
+        update = lambda self, row: setattr(self, "rows", list(row))
+
+    class Handle:
+        getListState = lambda self, *_: State()
+        getValueState = lambda self, *_: Value()
+        registerTimer = deleteTimer = lambda self, _: None
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 2
+
+    counter = stateful.ConcurrencyCounter(10**9)
+    counter.init(Handle())
+    batch = pd.DataFrame({"id": [5, 3, 4, 4, 9], "at_us": [2000, 1000, 1000, 1000, 2001], "step": [-1, 1, 1, 1, 1]})
+    list(counter.handleInputRows(("c",), iter([batch]), None))
+    assert len(counter.waiting.rows) == 1
+    list(counter.handleInputRows(("c",), iter([batch[:2]]), None))
+    out = list(counter.handleExpiredTimer(("c",), Now(), None))[0]
+    assert out["id"].tolist() == [3, 4, 5] and out["running"].tolist() == [1, 2, 1] and out["step"].tolist() == [1, 1, -1]
+    assert len(counter.waiting.rows) == 1  # the one that is not ripe

@@ -3,7 +3,8 @@
 Events of a client wait in its state until the watermark has passed them and are then handled in the order of time, so that
 results equal those of a batch however events arrive; a timer wakes the client at its earliest waiting event. Repeated
 events are one while they wait, and later ones lie behind the watermark, where Spark drops them. A client whose
-counter is reset, or whose successes have all expired, keeps no state. State lies in RocksDB, not in the workers' memory.
+counter is reset, or whose successes have all expired, keeps no state. What a client gets in a batch waits as one value, so that
+state is read and written by batch and not by event. State lies in RocksDB, not in the workers' memory.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions.network import concurrency_key
 #: Counters are reset every quarter of an hour; quotas are those of a day.
 RESET_US = 15 * 60 * 1_000_000
 DAY_US = 24 * 60 * 60 * 1_000_000
-EVENT = "id long, at_us long, step int"
+EVENTS = "events binary"  # (at_us, step, id) of some events of a client, as arrays of longs
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,14 +36,14 @@ class InTimeOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
+        self.waiting = handle.getListState("waiting", EVENTS)
         self.due = handle.getValueState("due", "at_ms long")
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         at = new["at_us"].to_numpy()
-        self.waiting.appendList(list(zip(new["id"].tolist(), at.tolist(), new["step"].tolist())))
+        self.waiting.appendList([(np.stack([at, new["step"].to_numpy(), new["id"].to_numpy()]).astype(np.int64).tobytes(),)])
         self._wake(-(-int(at.min()) // 1000))
         yield self.empty()
 
@@ -50,12 +51,14 @@ class InTimeOrder(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         if self.due.exists() and self.due.get()[0] <= now:
             self.due.clear()
-        every = sorted(set(tuple(x) for x in self.waiting.get()), key=lambda e: (e[1], e[2], e[0])) if self.waiting.exists() else []
-        ripe = [e for e in every if e[1] <= 1000 * now]
-        rest = every[len(ripe) :]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(-(-rest[0][1] // 1000))
+        parts = [np.frombuffer(x[0], dtype=np.int64).reshape(3, -1) for x in self.waiting.get()] if self.waiting.exists() else []
+        every = np.unique(np.concatenate([np.empty((3, 0), dtype=np.int64), *parts], axis=1), axis=1)
+        n = int(np.searchsorted(every[0], 1000 * now, side="right"))
+        at, step, ident = every[:, :n].tolist()
+        ripe = list(zip(ident, at, step))
+        if n < every.shape[1]:
+            self.waiting.put([(np.ascontiguousarray(every[:, n:]).tobytes(),)])
+            self._wake(-(-int(every[0, n]) // 1000))
         else:
             self.waiting.clear()
         until = self.expire(1000 * now) if not ripe else None
