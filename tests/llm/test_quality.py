@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from vireo.llm import quality as Q
-from vireo.llm import sketch, textcodes
+from vireo.llm import common, sketch, textcodes
 
 
 def tokens(t):
@@ -174,3 +174,33 @@ def test_shards_follow_the_model(spark, data, monkeypatch):
     assert shards == [-(-codes // 100)] * 2 and shards[0] > 5
     brute = Brute(texts)
     assert all(r.log10_prob == pytest.approx(brute.score(data[r.doc.doc_id][1]), rel=1e-9) for r in got) and len(got) == len(data)
+
+
+def test_rounds_leave_nothing_but_scores(spark, data, monkeypatch):
+    texts = [r[1] for r in data if r[3]][:60]
+    brute = Brute(texts)
+    model = Q.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    monkeypatch.setattr(Q, "ROUND_BYTES", 10_000)
+    made, asked, left = [], [], []
+    write, ask, score = Q.materialize, Q._ask, Q._score_round
+    gone = lambda path: not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    monkeypatch.setattr(Q, "materialize", lambda df, tag, **more: made.append((tag, write(df, tag, **more))) or made[-1][1])
+    monkeypatch.setattr(Q, "_ask", lambda rows, base, *more: asked.append(base) or ask(rows, base, *more))
+    monkeypatch.setattr(Q, "_score_round", lambda *args: left.append([gone(p) for p in asked]) or score(*args))
+    docs = spark.createDataFrame([(*r[:2], {"k": r[0]}) for r in data] + [(None, None, None)] * 3, "doc_id long, text string, extra map<string, int>").repartition(4)
+    got = Q.perplexities(docs, model, ["doc_id", "extra"], last=True).collect()
+    assert len(asked) == Q.ROUNDS and left == [[True] * k for k in range(Q.ROUNDS)]
+    assert all(gone(t._vireo_path) == (tag != "quality-scored") for tag, t in made) and all(map(gone, asked))
+    assert gone(model.words._vireo_path) and gone(model.pairs._vireo_path)
+    assert len(got) == len(data) + 3
+    for r in got:
+        assert r.log10_prob == pytest.approx(brute.score(None if r.doc.doc_id is None else data[r.doc.doc_id][1]), rel=1e-9)
+
+
+def test_shuffles_are_freed_only_within(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), common.shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key) == before

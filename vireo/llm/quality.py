@@ -7,7 +7,11 @@ with counts) are dealt to shards by hash. All documents are then scored: each bl
 distinct words and bigrams that may be in the model (a Bloom filter tells), a shard joins requests and counts, and the block adds
 up log-probabilities. There are so many shards that none has more than about ``SHARD_CODES`` of the model's codes, and blocks are
 dealt to slices, as many as keep a shard's requests bounded, that each have their copy of the model. Where the model grows with
-the input, shards do and slices don't; where it stays small, its copies are small: they grow no faster than the input. A document is kept unless its perplexity is above the threshold of its language: the
+the input, shards do and slices don't; where it stays small, its copies are small: they grow no faster than the input.
+
+Bigrams are counted in ``COUNT_ROUNDS`` rounds, each for its share of them by hash, and documents are scored in up to
+``ROUNDS`` rounds, each for its share of them. What a round stores and shuffles is deleted at its end, so
+that the disk never holds all n-grams of all blocks beside the model; every round has the whole model. A document is kept unless its perplexity is above the threshold of its language: the
 ``QUANTILE`` of the perplexities of the language's trusted documents that the model was not trained on (of all
 languages, where a language has none). The quantile is read from a histogram of log-perplexity over all of them.
 
@@ -21,15 +25,17 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textcodes
-from .common import by_block, ddl, discard, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file
+from .common import by_block, ddl, discard, ensure_importable, fresh_path, get_file, materialize, n_partitions, put_file, shuffles_freed
 from .sketch import bloom_filter, in_bloom
 from .textcodes import pack_counts, unpack_counts
 
@@ -41,6 +47,9 @@ BLOCK_BYTES = 8 << 20
 SLICE_BLOCKS = 8  # what a shard is asked at a time is about as much as so many blocks ask of all shards
 SHARD_CODES = 1_000_000  # words and bigrams of the model aimed at for a shard
 COPIES = 64  # copies of the model that one task makes
+COUNT_ROUNDS = 2  # rounds that bigrams are counted in
+ROUNDS = 4  # rounds that documents are scored in
+ROUND_BYTES = 16 << 20  # text that is worth a round of its own
 COUNTS = (("total", "m1", "m2", "m3", "n"), ("c",))  # of a word, of a bigram
 U = np.uint64
 BEGIN, END, UNKNOWN = U(0xC0FFEE1B0001), U(0xC0FFEE1B0002), U(0)
@@ -71,8 +80,8 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return _pair_codes(tokens[:-1], tokens[1:])
 
 
-def _count_pairs(rows: DataFrame) -> DataFrame:
-    """(h, w, c): bigrams of texts with counts."""
+def _count_pairs(rows: DataFrame, k: int, rounds: int) -> DataFrame:
+    """(h, w, c): those bigrams of texts whose code has the remainder ``k``, with counts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,8 +90,10 @@ def _count_pairs(rows: DataFrame) -> DataFrame:
             inside = np.ones(len(tokens), dtype=bool)
             inside[starts] = False
             at = np.flatnonzero(inside)
-            _, first, count = np.unique(_pairs(tokens)[at - 1], return_index=True, return_counts=True)
-            at = at[first]
+            codes = _pairs(tokens)[at - 1]
+            own = codes % U(rounds) == k
+            _, first, count = np.unique(codes[own], return_index=True, return_counts=True)
+            at = at[own][first]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[at - 1].view(np.int64)), pa.array(tokens[at].view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "w", "c"])
 
     return rows.select("text").mapInArrow(apply, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
@@ -148,7 +159,8 @@ class Model:
 
 
 def train(rows: DataFrame) -> Model:
-    pairs = materialize(_count_pairs(rows), "kn-pairs")
+    rounds = [materialize(_count_pairs(rows, k, COUNT_ROUNDS), "kn-pairs") for k in range(COUNT_ROUNDS)]
+    pairs = reduce(DataFrame.unionByName, rounds)
     d = _discounts_of(pairs, "c")
     after = pairs.groupBy(F.col("h").alias("code")).agg(F.sum("c").alias("total"), *[F.count_if(t).alias(f"m{k}") for k, t in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2))])
     follows = materialize(pairs.groupBy(F.col("w").alias("code")).agg(F.count("*").alias("n")), "kn-continuations")
@@ -158,7 +170,7 @@ def train(rows: DataFrame) -> Model:
     unknown = (lost / kinds if kinds else 1.0) / (types + 1)
     words = after.join(follows, "code", "full").select("code", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS[0]])
     words, short = materialize(words, "kn-words"), materialize(_with_codes(pairs), "kn-counts")
-    discard(rows.sparkSession, pairs, follows)
+    discard(rows.sparkSession, *rounds, follows)
     return Model(words, short, Weights(d, d1, kinds, unknown))
 
 
@@ -318,15 +330,34 @@ def _score(table: pa.Table, base: str, bits: list[np.ndarray], shards: int, weig
     return pa.table({"doc": rows.column("doc"), "n_tokens": pa.array(size[number]), "log10_prob": pa.array(score[number])})
 
 
-def perplexities(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """doc (struct of the columns ``keep``), n_tokens, log10_prob for every row."""
+def _by_rounds(rows: DataFrame, keep: list[str]) -> list[DataFrame]:
+    """Rows by a hash of text and kept values, in as many rounds as their size is worth."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds = max(1, min(ROUNDS, size // ROUND_BYTES))
+    plain = [f"doc.`{f.name}`" for f in rows.schema["doc"].dataType if f.name in keep and isinstance(f.dataType, (T.NumericType, T.StringType))]
+    place = F.pmod(F.xxhash64("text", *plain), F.lit(rounds))
+    return [rows.filter(place == k) for k in range(rounds)] if rounds > 1 else [rows]
+
+
+def perplexities(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", last: bool = False) -> DataFrame:
+    """doc (struct of the columns ``keep``), n_tokens, log10_prob for every row; with ``last``, the model's tables are deleted once dealt."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    doc_type = ddl(rows.schema["doc"].dataType)
-    base, shards = fresh_path(spark, "quality-blocks"), max(n_partitions(spark), -(-(model.words.count() + model.pairs.count()) // SHARD_CODES))
+    shards = max(n_partitions(spark), -(-(model.words.count() + model.pairs.count()) // SHARD_CODES))
     known = spark.sparkContext.broadcast([bloom_filter(t.select("code")) for t in (model.words, model.pairs)])
+    tables = materialize(_deal(model.words, 0, shards).unionByName(_deal(model.pairs, 1, shards)), "kn-shards")
+    if last:
+        discard(spark, model.words, model.pairs)
+    scored = [_score_round(some, tables, model.weights, known, shards) for some in _by_rounds(rows, keep)]
+    discard(spark, tables)
+    return reduce(DataFrame.unionByName, scored)
+
+
+def _score_round(rows: DataFrame, tables: DataFrame, weights: Weights, known, shards: int) -> DataFrame:
+    spark = rows.sparkSession
+    doc_type = ddl(rows.schema["doc"].dataType)
+    base = fresh_path(spark, "quality-blocks")
     asked = materialize(_ask(rows, base, shards, known), "quality-requests", partition_by="kind")
-    tables = _deal(model.words, 0, shards).unionByName(_deal(model.pairs, 1, shards))
     slices = max(1, -(-asked.filter("kind = 0").select("block").distinct().count() // (SLICE_BLOCKS * shards)))
     requests = asked.filter("kind = 1").select("shard", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"), "block", "what", "codes")
     key = ["shard", "slice"]
@@ -336,9 +367,10 @@ def perplexities(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     every = asked.filter("kind = 0").select("block", "kind", "number", "doc", null.cast("int").alias("what"), null.cast("int").alias("shard"), *[null.cast("binary").alias(c) for c in values]).unionByName(
         answers.select("block", F.lit(1).alias("kind"), null.cast("int").alias("number"), null.cast(doc_type).alias("doc"), "what", "shard", *values)
     )
-    weights = model.weights
     score = lambda t: _score(t, base, known.value, shards, weights)
-    return by_block(every, asked.filter("kind = 0")).groupBy("block").applyInArrow(score, f"doc {doc_type}, n_tokens long, log10_prob double")
+    out = materialize(by_block(every, asked.filter("kind = 0")).groupBy("block").applyInArrow(score, f"doc {doc_type}, n_tokens long, log10_prob double"), "quality-scored")
+    discard(spark, asked, base)
+    return out
 
 
 def quantile_by_language(scored: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
@@ -370,9 +402,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     taken = ~held & (F.pmod(F.shiftright("place", 8), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = good.filter(taken).select("id")
     learnt = docs.join(F.broadcast(chosen) if share * n_good <= BROADCAST_ROWS else chosen, "id", "left_semi").filter("text IS NOT NULL")
-    model = train(learnt)
-    scored = materialize(perplexities(docs, model, keep=["id", "lang"]).select("doc.id", "doc.lang", "n_tokens", "log10_prob", (-F.col("log10_prob") / F.col("n_tokens")).alias("log_ppl")), "quality-scored")
-    own, of_all = quantile_by_language(scored.join(good.filter(~taken).select("id"), "id", "left_semi"), quantile)
-    own = materialize(own, "quality-thresholds").withColumnsRenamed({"lang": "own_lang", "threshold": "own"})
+    with shuffles_freed(spark):
+        scored = perplexities(docs, train(learnt), keep=["id", "lang"], last=True).select("doc.id", "doc.lang", "n_tokens", "log10_prob", (-F.col("log10_prob") / F.col("n_tokens")).alias("log_ppl"))
+        own, of_all = quantile_by_language(scored.join(good.filter(~taken).select("id"), "id", "left_semi"), quantile)
+        own = materialize(own, "quality-thresholds").withColumnsRenamed({"lang": "own_lang", "threshold": "own"})
     out = scored.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left").withColumn("limit", F.coalesce("own", F.lit(of_all).cast("double")))
     return out.select(F.col("id").alias("doc_id"), "lang", "n_tokens", "log10_prob", F.pow(F.lit(10.0), "log_ppl").alias("perplexity"), F.pow(F.lit(10.0), "limit").alias("threshold"), F.coalesce(F.col("log_ppl") <= F.col("limit"), F.lit(True)).alias("keep"))
