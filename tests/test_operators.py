@@ -376,6 +376,46 @@ def test_a_query_keeps_a_bounded_number_of_each_stretch():
             assert at.tolist() == want.tolist() and score.tolist() == d[want].tolist()
 
 
+def test_frames_travel_in_packs(spark, monkeypatch):
+    """A block of queries gets packs of frames in the order of their ids, not a row for each frame; the nearest are the same."""
+    from vireo.operators import nearest
+
+    rows = [(f"f{(i * 37) % 500:03d}", i % 3, float(i), [(i * 7) % 11, (i * 5) % 13]) for i in range(500)] + [("none", 1, 0.0, None)]
+    every = spark.createDataFrame(rows, "frame_id string, file_id int, time double, vector array<int>")
+    asked = [(q, rows[q][3]) for q in range(0, 500, 5)]
+    queries = spark.createDataFrame(asked, "query_id long, qvec array<int>")
+    monkeypatch.setattr(nearest, "PACK", 100)
+    packs = every.coalesce(1).mapInArrow(nearest.packer("vector"), "number long, pack binary").orderBy("number").collect()
+    assert [nearest.unpacked(nearest.pa.scalar(p.pack, nearest.pa.binary())).num_rows for p in packs] == [50] * 10 + [1]
+    monkeypatch.setattr(frames, "BLOCK", 10)
+    found = frames.nearest_frames(every, queries, 15)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(q, s, f) for q, v in asked for s, f in sorted((sum((a - b) ** 2 for a, b in zip(r[3], v)), r[0]) for r in rows[:-1])[:15]]
+    assert sorted((r.query_id, r.score, r.frame_id) for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.float64])
+def test_a_stream_holds_what_is_nearest(monkeypatch, kind):
+    import pyarrow as pa
+
+    from vireo.operators import nearest
+
+    monkeypatch.setattr(nearest, "HELD", 100)
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(0, 6, (5000, 4)), rng.integers(0, 6, (7, 4))
+    x[3000:] *= 2000  # no longer exact as single precision
+    stream, most = nearest.Stream(q.astype(kind), 20, kind == np.int32), 0
+    for at in range(0, 5000, 64):
+        stream.add(x[at : at + 64].astype(kind), pa.table({"id": np.arange(at, min(5000, at + 64))}))
+        most = max(most, sum(map(len, stream.parts)))
+    of, score, rows = stream.nearest()
+    assert most < 7 * 20 + 2 * max(100, 7 * 20) and rows["id"].to_numpy().max() < 5000
+    for i in range(7):
+        d = ((x - q[i]) ** 2).sum(1)
+        want = np.lexsort((np.arange(5000), d))[:20]
+        assert rows["id"].to_numpy()[of == i].tolist() == want.tolist() and score[of == i].tolist() == d[want].tolist()
+
+
 def test_upsert_of_ids_that_meet(spark, tmp_path):
     """The query and its SQL agree where an id that is sent under a new number is an old entry's."""
     import duckdb

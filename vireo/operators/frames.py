@@ -1,19 +1,23 @@
 """Frame search: exact k-nearest frames, merged to intervals of a file, best intervals, joined to files and catalogue.
 
-Queries and frames are dealt to cells of bounded size (see :mod:`.nearest`); a task compares those of one cell as matrices, and
-only the nearest ``candidates`` of each query leave it. All pairs are compared, so the work grows with both tables. Where a
-query has several cells, its rows are ranked in ``SALTS`` parts first, so that what all tasks send never meets in one of them.
+Queries and frames are dealt to cells (see :mod:`.nearest`); frames travel to them in packs and are read there pack by pack, in the
+order of their ids, and only the nearest ``candidates`` of each query leave a cell. All pairs are compared, so the work grows with
+both tables; a task holds its queries, some packs and what is nearest so far. Where a query has several cells (few queries, or
+more than some million frames), its rows are ranked in ``SALTS`` parts first, so that what all tasks send never meets in one of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity
-from .nearest import BLOCK, in_order, matrices, nearest_of_cell, shape_of
+from .nearest import BLOCK, Stream, matrices, packer, shape_of, unpacked
 
 MAX_QUERIES = 10
 CANDIDATES = 1000
@@ -33,20 +37,12 @@ def nearest_frames(frames: DataFrame, queries: DataFrame, candidates: int = CAND
     numbers = lambda name, kind: F.col(name).cast("array<int>" if whole else kind if kind == "array<float>" else "array<double>").alias(name)
     asked = queries.filter("qvec IS NOT NULL").select("query_id", numbers("qvec", kinds[0]))
     every = frames.filter("vector IS NOT NULL").select("frame_id", "file_id", F.col("time").cast("double").alias("time"), numbers("vector", kinds[1]))
-    known = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.max(F.size("qvec")).alias("length")).first()
-    blocks, groups = shape_of(known["n"], every.count(), known["length"] or 1, BLOCK)
+    known = asked.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids")).first()
+    blocks, groups = shape_of(known["n"], every.count(), 1, BLOCK)
     found = _by_cells(every, asked, candidates, whole, blocks, groups)
     return found if groups == 1 and known["ids"] == known["n"] else nearest_of_each(found, candidates)
 
 
-def in_cells(every: DataFrame, asked: DataFrame, blocks: int, groups: int) -> tuple[DataFrame, DataFrame]:
-    """Both with their ``cell``; a row comes once for each block, a query once for each group."""
-    group = F.pmod(F.xxhash64(*[c for c in every.columns if c != "code"]), F.lit(groups)).cast("int")
-    block = F.pmod(F.xxhash64("query_id", "qvec"), F.lit(blocks)).cast("int")
-    rows = every.withColumn("cell", F.explode(F.sequence(group, F.lit(blocks * groups - 1), F.lit(groups))))
-    return rows, asked.withColumn("cell", F.explode(F.sequence(block * groups, block * groups + groups - 1)))
-
-
 def by_cell(rows: DataFrame, asked: DataFrame, cells: int, compare, schema: str) -> DataFrame:
     """``compare(rows, queries)`` for each cell, a task for a few cells whatever their size in bytes."""
     left, right = (x.repartition(cells, "cell").groupBy("cell") for x in (rows, asked))
@@ -56,28 +52,40 @@ def by_cell(rows: DataFrame, asked: DataFrame, cells: int, compare, schema: str)
 def _by_cells(every: DataFrame, asked: DataFrame, candidates: int, whole: bool, blocks: int, groups: int) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in [*every.schema, *asked.schema]}
 
-    def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        rows = rows.take(pa.array(in_order(rows["frame_id"])))
-        vectors = matrices(rows["vector"])
-        wanted, found, scores = [], [], []
-        for length, (number, q) in matrices(queries["qvec"]).items():
-            if length in vectors:
-                place, x = vectors[length]
-                near = nearest_of_cell(x, q, candidates, whole)
-                for i in range(len(q)):
-                    score, at = near.of(i)
-                    wanted.append(np.full(len(at), number[i]))
-                    found.append(place[at])
-                    scores.append(score.astype(np.float64))
-        joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (wanted, found, scores)]
-        if whole and len(joined[2]) and joined[2].max() > np.iinfo(np.int32).max:
-            raise OverflowError("a squared distance is no int")
-        out = rows.select(["frame_id", "file_id", "time"]).take(pa.array(joined[1]))
-        score = pa.array(joined[2].astype(np.int32 if whole else np.float64), from_pandas=False)
-        return pa.table([queries["query_id"].take(pa.array(joined[0])), *out.columns, score], names=["query_id", *out.column_names, "score"])
-
+    def cell(packs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        queries, streams = [], None
+        for _, is_row, pack in packs:
+            some = unpacked(pack)
+            if not is_row.as_py():
+                queries.append(some)
+                continue
+            if streams is None and queries:  # they come before all rows
+                asked = pa.concat_tables(queries)
+                streams = {length: (number, Stream(q, candidates, whole)) for length, (number, q) in matrices(asked["qvec"]).items()}
+            for length, (place, x) in matrices(some["vector"]).items() if streams else ():
+                if length in streams:
+                    streams[length][1].add(x, some.select(["frame_id", "file_id", "time"]).take(pa.array(place)))
+        for number, stream in (streams or {}).values():
+            if not stream.parts:
+                continue
+            of, score, rows = stream.nearest()
+            if whole and len(score) and score.max() > np.iinfo(np.int32).max:
+                raise OverflowError("a squared distance is no int")
+            score = pa.array(score.astype(np.int32 if whole else np.float64), from_pandas=False)
+            yield from pa.table([asked["query_id"].take(pa.array(number[of])), *rows.columns, score], names=["query_id", *rows.column_names, "score"]).combine_chunks().to_batches(100_000)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = (x for b in batches for x in zip(b.column("cell").to_pylist(), b.column("is_row"), b.column("pack")))
+        for _, of_cell in groupby(packs, key=lambda x: x[0]):
+            yield from cell(of_cell)
+
+    packed = lambda rows, vector: rows.mapInArrow(packer(vector), "number long, pack binary")
+    block, group = F.shiftright("number", 32).cast("int") % blocks, F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")
+    cells = lambda first, last, step: F.explode(F.sequence(first, last, F.lit(step))).alias("cell")
+    rows = packed(every.sort("frame_id"), "vector").select(cells(group, F.lit(blocks * groups - 1), groups), F.lit(True).alias("is_row"), "number", "pack")
+    queries = packed(asked.repartition(blocks), "qvec").select(cells(block * groups, block * groups + groups - 1, 1), F.lit(False).alias("is_row"), "number", "pack")
     schema = f"query_id {kind['query_id']}, frame_id {kind['frame_id']}, file_id {kind['file_id']}, time double, score {'int' if whole else 'double'}"
-    return by_cell(*in_cells(every, asked, blocks, groups), blocks * groups, compare, schema)
+    return queries.union(rows).repartitionById(blocks * groups, "cell").sortWithinPartitions("cell", "is_row", "number").mapInArrow(compare, schema)
 
 
 def nearest_of_each(scored: DataFrame, candidates: int) -> DataFrame:

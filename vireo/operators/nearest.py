@@ -1,12 +1,15 @@
 """The nearest rows of each query, by cells: a cell is a block of queries against a group of rows, compared in one task.
 
-Rows are dealt to groups and queries to blocks by hash, each of bounded size, so that a task holds a bounded part of either
+Rows are dealt to groups and queries to blocks, each of bounded size, so that a task holds a bounded part of either
 whatever the size of both. A task compares stretches of rows with all its queries as matrices and keeps each query's
 nearest; what is farther than a query's worst so far is dropped at once, so at most ``k`` rows of a query leave a cell.
+Rows that are compared with many blocks travel as packs: some thousand of them as one Arrow stream in one binary value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +18,9 @@ BLOCK = 1024  # queries of a cell
 NUMBERS = 1 << 24  # components of the rows of a cell
 CELLS = 48  # cells that a search is dealt to where there is work for them
 PAIRS = 1_000_000  # that are worth a cell
-STRETCH = 4096  # rows that are compared with all queries of a cell at once
+STRETCH = 4096  # rows that are compared with all queries of a cell at once, and of a pack at most
+PACK = 1 << 20  # components of the rows of a pack
+HELD = 1 << 20  # rows that a task holds before it lets go of those that are no query's nearest
 
 
 def shape_of(queries: int, rows: int, length: int, block: int = BLOCK) -> tuple[int, int]:
@@ -105,21 +110,96 @@ def matrices(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray,
     return out
 
 
+class Compared:
+    """Scores of some queries, all of one length. Whole numbers are compared as products of matrices as long as that is exact."""
+
+    def __init__(self, q: np.ndarray, whole: bool):
+        self.whole, self.most = whole, self._most(q) if whole else 0.0
+        self.q = q.astype(np.float64) if whole else q
+        self.ready: dict[type, np.ndarray] = {}
+
+    @staticmethod
+    def _most(m: np.ndarray) -> float:
+        return float(np.abs(m.astype(np.float64)).max()) if m.size else 0.0
+
+    def stretches(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The number of the first row of each stretch of x, and scores (queries, rows)."""
+        bound = 4 * max(self.most, self._most(x)) ** 2 * x.shape[1] if self.whole else np.inf
+        kind = np.float32 if bound < 2**24 else np.float64
+        if bound < 2**53 and kind not in self.ready:
+            self.ready[kind] = expanded_queries(self.q, kind)
+        for at in range(0, len(x), STRETCH):
+            some = x[at : at + STRETCH]
+            some = some.astype(np.float64) if self.whole else some
+            yield at, self.ready[kind] @ expanded(some, kind).T if bound < 2**53 else exact_distances(some, self.q)
+
+
 def nearest_of_cell(x: np.ndarray, q: np.ndarray, k: int, whole: bool) -> Nearest:
-    """x, q: rows and queries of one length. Whole numbers are compared as products of matrices as long as that is exact."""
+    """x, q: rows and queries of one length."""
     found, of = Nearest(len(q), k), np.arange(len(q))
-    most = max((float(np.abs(m.astype(np.float64)).max()) for m in (x, q) if m.size), default=0.0) if whole else 0.0
-    bound = 4 * most * most * x.shape[1]
-    product = whole and bound < 2**53
-    kind = np.float32 if bound < 2**24 else np.float64
-    asked = expanded_queries(q.astype(np.float64), kind) if product else q.astype(np.float64) if whole else q
-    for at in range(0, len(x), STRETCH):
-        some = x[at : at + STRETCH]
-        some = some.astype(np.float64) if whole else some
-        found.add(asked @ expanded(some, kind).T if product else exact_distances(some, asked), of, at)
+    for at, scores in Compared(q, whole).stretches(x):
+        found.add(scores, of, at)
     return found
 
 
+class Stream:
+    """The nearest of rows that come part by part, in the order that decides between equal scores.
+
+    Of what came it holds, beside the last ``HELD`` rows or as many as stayed before, only the rows that are nearest to a query.
+    """
+
+    def __init__(self, q: np.ndarray, k: int, whole: bool):
+        self.compared, self.found, self.of = Compared(q, whole), Nearest(len(q), k), np.arange(len(q))
+        self.parts: list[pa.Table] = []
+        self.held = self.stayed = 0
+
+    def add(self, x: np.ndarray, rows: pa.Table) -> None:
+        """The vectors of rows, and what is to be known of them."""
+        for at, scores in self.compared.stretches(x):
+            self.found.add(scores, self.of, self.held + at)
+        self.parts.append(rows)
+        self.held += len(x)
+        if self.held > self.stayed + max(HELD, self.stayed):
+            self._let_go()
+
+    def _let_go(self) -> None:
+        places = [self.found.of(q)[1] for q in self.of]
+        stay = np.unique(np.concatenate(places))
+        self.parts = [pa.concat_tables(self.parts).take(pa.array(stay)).combine_chunks()]
+        self.found.places = [np.searchsorted(stay, p) for p in places]
+        self.held = self.stayed = len(stay)
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        """Numbers of queries, scores, and rows; each query's nearest first."""
+        near = [self.found.of(q) for q in self.of]
+        rows = pa.concat_tables(self.parts).take(pa.array(np.concatenate([p for _, p in near])))
+        return np.repeat(self.of, [len(p) for _, p in near]), np.concatenate([s for s, _ in near]).astype(np.float64), rows
+
+
+def packer(vector: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows to packs (number, pack), numbered in the order of partitions and rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            longest = pc.max(pc.list_value_length(b.column(vector))).as_py() if b.num_rows else None
+            size = max(1, min(STRETCH, PACK // max(1, longest or 1)))
+            for at in range(0, b.num_rows, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["number", "pack"])
+                number += 1
+
+    return pack
+
+
+def unpacked(pack: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(pack.as_buffer()).read_all()
+
+
 def in_order(ids: pa.ChunkedArray) -> np.ndarray:
     """Places of rows in the order of their ids, null first."""
     return pc.sort_indices(ids, null_placement="at_start").to_numpy()
