@@ -416,6 +416,19 @@ def test_a_stream_holds_what_is_nearest(monkeypatch, kind):
         assert rows["id"].to_numpy()[of == i].tolist() == want.tolist() and score[of == i].tolist() == d[want].tolist()
 
 
+def test_files_and_documents_are_not_broadcast(spark, tmp_path):
+    """However well they compress; results without an entry stay."""
+    f = spark.createDataFrame([(i, i, i * 10.0, [i, 0]) for i in range(6)], "frame_id int, file_id int, time double, vector array<int>")
+    q = spark.createDataFrame([(1, [0, 0])], "query_id int, qvec array<int>")
+    files = spark.createDataFrame([(i, i % 2, f"1/{i}.mp4", 1.0, 1) for i in range(6)], "id int, catalog_id int, path string, duration double, episode int")
+    for name, df in (("files", files), ("catalog", spark.createDataFrame([(1, "{}"), (7, "{}")], "id int, json string"))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    files, catalog = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("files", "catalog"))
+    found = frames.with_catalog(frames.frame_search(f, q, files), catalog)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.rank, r.file_id, r.catalog_json) for r in found.collect()) == [(i + 1, i, "{}" if i % 2 else None) for i in range(6)]
+
+
 def test_upsert_of_ids_that_meet(spark, tmp_path):
     """The query and its SQL agree where an id that is sent under a new number is an old entry's."""
     import duckdb

@@ -118,10 +118,13 @@ def best_matches(matches: DataFrame, results: int = RESULTS) -> DataFrame:
 
 
 def frame_search(frames: DataFrame, queries: DataFrame, files: DataFrame, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
-    """The whole search. Files are joined behind the limit, so a missing file makes the result shorter."""
+    """The whole search. Files are joined behind the limit, so a missing file makes the result shorter.
+
+    They are joined by merging: files compress so well that Spark, which goes by the size on disk, would gather them in the driver.
+    """
     best = best_matches(merge_matches(nearest_frames(frames, queries, candidates)), results)
     known = files.select(F.col("id").alias("file_id"), "catalog_id", "path", "duration", "episode")
-    return best.join(known, "file_id").select("query_id", "rank", "file_id", "catalog_id", F.substring_index("path", "/", -1).alias("filename"), "episode", "from_time", "at_time", "to_time", "duration", similarity(F.col("score")).alias("similarity"))
+    return best.join(known.hint("merge"), "file_id").select("query_id", "rank", "file_id", "catalog_id", F.substring_index("path", "/", -1).alias("filename"), "episode", "from_time", "at_time", "to_time", "duration", similarity(F.col("score")).alias("similarity"))
 
 
 def frame_search_filtered(frames: DataFrame, queries: DataFrame, files: DataFrame, catalog_id: int, **options) -> DataFrame:
@@ -131,5 +134,5 @@ def frame_search_filtered(frames: DataFrame, queries: DataFrame, files: DataFram
 
 
 def with_catalog(results: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Add the catalogue document of each result; unknown entries keep their bare id."""
-    return results.join(catalog.select(F.col("id").alias("catalog_id"), F.col("json").alias("catalog_json")), "catalog_id", "left")
+    """Add the catalogue document of each result; unknown entries keep their bare id. Documents aren't gathered in the driver either."""
+    return results.join(catalog.select(F.col("id").alias("catalog_id"), F.col("json").alias("catalog_json")).hint("merge"), "catalog_id", "left")
